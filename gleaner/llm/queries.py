@@ -6,16 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import pii
+from gleaner.llm import exact_dedup, pii
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_exact_dedup": exact_dedup.query,
         "op9_pii": pii.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_pii": pii.oracle_sql(),
     }
