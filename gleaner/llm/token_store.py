@@ -128,8 +128,8 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     ordered = ranged.sortWithinPartitions(F.asc_nulls_first("id"), F.coalesce("text", F.lit("")))
     shards = ordered.mapInArrow(lambda it: _shards(it, tokenizer, end_id, shard_ids), _SHARD)
     if folder is None:
-        return staged(shards, "token-store", compression="none")
-    shards.write.option("compression", "none").parquet(folder)
+        return staged(shards, "token-store", compression="zstd")
+    shards.write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.schema(_SHARD).parquet(folder)
 
 
