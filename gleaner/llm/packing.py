@@ -22,13 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, staged
-from gleaner.llm.tokens import ids_of
+from gleaner.llm.tokens import encoded, ids_of
 
 WINDOW = 4096
 #: Padding that a combination may leave, as a share of the window, before its pieces are laid end to end instead.
@@ -36,25 +35,28 @@ SLACK = 1 / 128
 #: Partners tried for each length in combinations of three and four.
 PARTNERS = 6
 _STEPS = 300
+#: Pieces handed on at a time.
+FLUSH = 512
 
 _DOC = "part int, seq long, doc_id long, n_tokens long, rest int, number long, ids binary"
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
-    encode, part, end, seq = ids_of(path), TaskContext.get().partitionId(), struct.pack("<I", end_id), 0
+    part, end, seq = TaskContext.get().partitionId(), struct.pack("<I", end_id), 0
+    narrow = ids_of(path).tokenizer.get_vocab_size() <= 1 << 16 > end_id
     seen = np.zeros(window, np.int64)
-    for b in batches:
-        ids = [x + end for x in encode(pc.fill_null(b.column(1), "").to_pylist())]
+    for names, ids in (x for b in batches for x in encoded(b.column(0), b.column(1), path)):
+        ids = [x + end for x in ids]
         n = np.array([len(x) // 4 for x in ids], np.int64)
         rest = n % window
         number = np.empty(len(n), np.int64)
         for i, r in enumerate(rest.tolist()):
             number[i] = seen[r]
             seen[r] += 1
-        if encode.tokenizer.get_vocab_size() <= 1 << 16 > end_id:  # half the bytes while they wait
+        if narrow:  # half the bytes while they wait
             ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
         small = pa.array(ids, pa.binary())
-        yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), b.column(0), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(number), small], ["part", "seq", "doc_id", "n_tokens", "rest", "number", "ids"])
+        yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), pa.array(names, pa.int64()), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(number), small], ["part", "seq", "doc_id", "n_tokens", "rest", "number", "ids"])
         seq += len(n)
 
 
@@ -197,9 +199,11 @@ def _pieces(batches: Iterator[pa.RecordBatch], placed: np.ndarray, laid: np.ndar
                         done += take
             for start, length, sequence, offset in pieces:
                 out.append((names[i], start, length, n, sequence, offset, data[4 * start : 4 * (start + length)]))
-        if out:
+            if not out or len(out) < FLUSH and i + 1 < b.num_rows:
+                continue
             kinds = [pa.int64()] * 6 + [pa.binary()]
             yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
+            out = []
 
 
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"

@@ -26,13 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, partitions, staged
-from gleaner.llm.tokens import ids_of
+from gleaner.llm.tokens import encoded
 
 MAGIC, SAMPLE = 0x31454647, 256
 SHARD_IDS = 1 << 20
@@ -99,15 +98,15 @@ class Shard:
 
 
 def _shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
-    encode, part, seq = ids_of(path), TaskContext.get().partitionId(), 0
+    part, seq = TaskContext.get().partitionId(), 0
     end = struct.pack("<I", end_id)
     names, ids, held = [], [], 0
 
     def out() -> pa.RecordBatch:
         return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64()), pa.array([encode_shard(names, ids)], pa.binary())], ["part", "seq", "n_docs", "n_ids", "shard"])
 
-    for b in batches:
-        for name, x in zip(b.column(0).to_pylist(), encode(pc.fill_null(b.column(1), "").to_pylist()), strict=True):
+    for some, coded in (x for b in batches for x in encoded(b.column(0), b.column(1), path)):
+        for name, x in zip(some, coded, strict=True):
             if names and held + len(x) // 4 + 1 > shard_ids:
                 yield out()
                 names, ids, held, seq = [], [], 0, seq + 1

@@ -1,34 +1,55 @@
 """Token ids by the tokenizers library, with a memo over units that no token crosses.
 
-In a byte-level vocabulary a unit is white space with the word or marks after it, in the word vocabulary a word or
-marks: the split patterns of both begin anew wherever white space follows something else and wherever an ASCII mark
-follows a Latin letter, so a text's ids are its units' ids in a row. Every unit's ids come from the library; the memo only saves asking twice. Texts with rare kinds of white space,
-on which libraries differ, are encoded whole.
+In the word vocabulary white space carries no ids, so a text's ids are the ids of its words between white space, in a
+row. In a byte-level vocabulary a unit is white space with what follows it up to the next white space: the split
+pattern begins anew wherever white space follows something else. Every unit's ids come from the library; the memo
+only saves asking twice. Texts with rare kinds of white space, on which libraries differ, are encoded whole.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Iterator
 
-import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Units in the memo before its older half goes; bounds a Python worker's memory (about 200 bytes each).
-MEMO = 1_000_000
+MEMO = 600_000
+#: Texts that are Python objects at a time.
+SLICE = 256
 #: Longer units aren't kept.
 LONGEST = 64
 
 _BLANK = " \t\n\r\x0b\x0c"
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_MARKS = r"!-/:-@\[-`{-~0-9"
-_WORDS = f"[{_LETTERS}]+(?=[{_MARKS}{_BLANK}]|\\Z)|[^{_BLANK}]+"
-_UNITS = re.compile(f"[{_BLANK}]*(?:{_WORDS})|[{_BLANK}]+")
-_WORD_UNITS = re.compile(_WORDS)
-_RARE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
-#: The file with the word vocabulary, whose white space carries no ids.
+_UNITS = re.compile(f"[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+")
+_RARE = re.compile("[\\x1c-\\x1f\\x85\\xa0\\u1680\\u180e\\u2000-\\u200f\\u2028\\u2029\\u202f\\u205f-\\u206f\\u3000\\ufeff]")
+_RARE_ASCII = re.compile("[\x1c-\x1f]")
+#: Up to here Python and the library lower letters alike, whatever stands around them.
+_BEYOND = re.compile("[^\\x00-\\u012f]")
+#: White space that the quick way of cutting into units doesn't know.
+_ODD = ("  ", " \n", "\n ", "\n\n", "\t", "\r", "\x0b", "\x0c", "\x00")
+_ENDS = ",.;:!?"
+_LATIN = re.compile("\n?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: The file with the word vocabulary.
 _WORD_FILES = ("word_bpe_49k.json",)
 
 
+def _as_key(unit: str) -> str:
+    """The memo's key of a unit: without its blank if that is all its white space, else marked unless it begins a line."""
+    if unit[0] == " " and len(unit) > 1 and unit[1] not in _BLANK + "\x00":
+        return unit[1:]
+    if unit[0] == "\n" and len(unit) > 1 and unit[1] not in _BLANK:
+        return unit
+    return "\x00" + unit
+
+
+def _as_unit(key: str) -> str:
+    return key[1:] if key[0] == "\x00" else key if key[0] == "\n" else " " + key
+
+
 class Ids:
     """Ids of texts, as little-endian unsigned 32-bit bytes."""
 
@@ -42,40 +63,75 @@ class Ids:
         self.old: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keys(self, text: str) -> list[str]:
+        if self.words:
+            if "<|" not in text and (text.isascii() or not _BEYOND.search(text)):
+                text = text.lower()  # the vocabulary has lower case only
+            return text.split()
+        if text[0] in _BLANK or text[-1] in _BLANK or any(x in text for x in _ODD):
+            return [_as_key(u) for u in _UNITS.findall(text)]
+        keys = text.replace("\n", " \n").split(" ")
+        keys[0] = "\x00" + keys[0]
+        return keys
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        rare = [i for i, t in enumerate(texts) if _RARE.search(t)]
-        for i, ids in zip(rare, self.whole([texts[i] for i in rare]), strict=True):
-            out[i] = ids
-        rare_set = set(rare)
-        split = (_WORD_UNITS if self.words else _UNITS).findall
         for i, text in enumerate(texts):
-            if i in rare_set or not text:
+            if not text:
                 continue
-            units = split(text)
+            if (_RARE_ASCII if text.isascii() else _RARE).search(text):
+                out[i] = self.whole([text])[0]
+                continue
+            keys = self._keys(text)
             try:
-                out[i] = b"".join(map(self.new.__getitem__, units))
+                out[i] = b"".join(map(self.new.__getitem__, keys))
             except KeyError:
-                out[i] = b"".join(map(self._learnt(units).__getitem__, units))
+                out[i] = b"".join(map(self._learnt(keys).__getitem__, keys))
         return out
 
-    def _learnt(self, units: list[str]) -> dict[str, bytes]:
-        """A memo that has all of ``units``."""
+    def _mark(self, mark: str) -> str:
+        return mark if self.words else "\x00" + mark
+
+    def _learnt(self, keys: list[str]) -> dict[str, bytes]:
+        """A memo that has all of ``keys``."""
         if len(self.new) > MEMO // 2:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        missing = {u for u in units if u not in new}
-        long_ones = {u for u in missing if len(u) > LONGEST}
-        known = {u: old[u] for u in missing if u in old}
-        new.update(known)
-        ask = sorted(u for u in missing if u not in known and u not in long_ones)
-        new.update(zip(ask, self.whole(ask), strict=True))
+        missing = {k for k in keys if k not in new}
+        ask, long_ones, ended = [], [], []
+        for k in missing:
+            if k in old:
+                new[k] = old[k]
+            elif len(k) > LONGEST:
+                long_ones.append(k)
+            elif k[-1] in _ENDS and _LATIN.fullmatch(k, 0, len(k) - 1):
+                ended.append(k)
+            else:
+                ask.append(k)
+        # a word and the mark after it share no token
+        asked = set(ask)
+        for k in {x for k in ended for x in (k[:-1], self._mark(k[-1]))}:
+            if k in old:
+                new.setdefault(k, old[k])
+            elif k not in new and k not in asked:
+                ask.append(k)
+        units = (lambda some: some) if self.words else (lambda some: [_as_unit(k) for k in some])
+        new.update(zip(ask, self.whole(units(ask)), strict=True))
+        for k in ended:
+            new[k] = new[k[:-1]] + new[self._mark(k[-1])]
         if not long_ones:
             return new
-        ask = sorted(long_ones)
-        return {u: new[u] for u in set(units) - long_ones} | dict(zip(ask, self.whole(ask), strict=True))
+        known = {k: new[k] for k in keys if k in new}
+        return known | dict(zip(long_ones, self.whole(units(long_ones)), strict=True))
+
+
+def encoded(ids: pa.Array, texts: pa.Array, path: str) -> Iterator[tuple[list, list[bytes]]]:
+    """Documents' ids and token ids, SLICE texts at a time; null counts as empty."""
+    encode = ids_of(path)
+    for i in range(0, len(texts), SLICE):
+        yield ids.slice(i, SLICE).to_pylist(), encode(pc.fill_null(texts.slice(i, SLICE), "").to_pylist())
 
 
 _kept: dict[str, Ids] = {}
