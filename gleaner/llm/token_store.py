@@ -59,7 +59,7 @@ def encode_shard(names: list[int | None], ids: list[bytes]) -> bytes:
 class Shard:
     """Reads a shard's bytes."""
 
-    def __init__(self, data: bytes):
+    def __init__(self, data: bytes | pa.Buffer):
         magic, self.n, u, self.low, words, samples = struct.unpack_from(_HEADER, data)
         if magic != MAGIC:
             raise ValueError("not a shard of token ids")
@@ -132,32 +132,33 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     return docs.sparkSession.read.schema(_SHARD).parquet(folder)
 
 
-def with_bases(store: DataFrame) -> DataFrame:
-    """The store with ``base``: ids before each shard. Only two numbers a shard are summed, first by part."""
+def bases(store: DataFrame) -> DataFrame:
+    """part, seq and ``base``: ids before each shard. Only two numbers a shard are summed, first by part."""
     sizes = store.select("part", "seq", "n_ids")
     parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("ids"))  # one row a partition of the writer
     before = parts.select("part", (F.sum("ids").over(Window.orderBy("part")) - F.col("ids")).alias("before"))
     within = F.sum("n_ids").over(Window.partitionBy("part").orderBy("seq")) - F.col("n_ids")
-    bases = sizes.select("part", "seq", within.alias("within")).join(before, "part").select("part", "seq", (F.col("within") + F.col("before")).alias("base"))
-    return store.join(bases, ["part", "seq"])
+    return sizes.select("part", "seq", within.alias("within")).join(before, "part").select("part", "seq", (F.col("within") + F.col("before")).alias("base"))
 
 
-_DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+_DIGEST = "part int, seq int, doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for base, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            s = Shard(data.as_py())
+        for part, seq, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            s = Shard(data.as_buffer())
             ends = s.ends()
             starts = np.concatenate([[0], ends[:-1]]) if s.n else ends
             crc = [zlib.crc32(s.ids[i:j]) for i, j in zip(starts, ends, strict=True)]
-            yield pa.record_batch([pa.array(s.names, mask=s.nulls.astype(bool)), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            same = [pa.array(np.full(s.n, x, np.int32)) for x in (part, seq)]
+            yield pa.record_batch([*same, pa.array(s.names, mask=s.nulls.astype(bool)), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())], ["part", "seq", "doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def digest(store: DataFrame) -> DataFrame:
-    """Each document's place, length and checksum, read back from the store's shards."""
-    return with_bases(store).select("base", "shard").mapInArrow(_digest, _DIGEST)
+    """Each document's place, length and checksum, read back from the store's shards (which don't move)."""
+    found = store.select("part", "seq", "shard").mapInArrow(_digest, _DIGEST)
+    return found.join(bases(store), ["part", "seq"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
