@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import exact_dedup, jaccard_join, packing, pii, quality, token_store
+from gleaner.llm import embedding_join, exact_dedup, jaccard_join, packing, pii, quality, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_packing": packing.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_pii": pii.query,
+        "op10_embedding_join": embedding_join.query,
     }
 
 
@@ -24,4 +25,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_pii": pii.oracle_sql(),
+        "op10_embedding_join": embedding_join.ORACLE_SQL,
     }
