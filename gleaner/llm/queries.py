@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import embedding_join, exact_dedup, jaccard_join, packing, pii, quality, token_store
+from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_exact_dedup": exact_dedup.query,
         "op4_quality": quality.query,
         "op5_packing": packing.query,
+        "op7_line_dedup": line_dedup.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_pii": pii.query,
         "op10_embedding_join": embedding_join.query,
