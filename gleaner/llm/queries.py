@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, packing, pii, quality, token_store
+from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, packing, piece_codec, pii, quality, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_store": token_store.query,
         "op2_exact_dedup": exact_dedup.query,
+        "op3_piece_codec": piece_codec.query,
         "op4_quality": quality.query,
         "op5_packing": packing.query,
         "op7_line_dedup": line_dedup.query,
