@@ -1,8 +1,71 @@
-"""The corpus pipeline; see STAGES."""
+"""The corpus pipeline: documents in, packed sequences of the documents worth training on out.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir), works on all of docs and returns the columns of documents (the last: pieces of
+sequences). ``run`` writes each stage's result to the shared folder and reads it back for the next.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner.llm import exact_dedup, jaccard_join, packing, pii, quality
+from gleaner.llm.common import documents, staged
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose doc_id (null too) is in ``ids``, with their columns as they were."""
+    wanted = ids.select(F.col("doc_id").alias("__wanted")).distinct()
+    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__wanted")), "left_semi").select(*COLUMNS)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learnt from their labels, predicts to be of label 1."""
+    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return _only(docs, found.filter("predicted = 1"))
+
+
+def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts (A-Z lowered), the document with the largest id."""
+    return _only(docs, exact_dedup.exact_dedup(docs, keep="max").filter("kept"))
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates, the document with the smallest id."""
+    found = jaccard_join.near_duplicates(docs)
+    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+
+
+def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, with personal data replaced by its kind; n_chars is counted anew where the text changed."""
+    masked = pii.redacted(docs.select(*COLUMNS).withColumn("__before", F.length("text")))
+    n = F.when(F.length("text") == F.col("__before"), F.col("n_chars")).otherwise(F.length("text").cast("long"))
+    return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(n)).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of 4096 tokens."""
+    return packing.packed(docs)
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", good_quality),
+    ("exact_dedup", distinct_texts),
+    ("near_dedup", without_near_duplicates),
+    ("pii", without_pii),
+    ("packing", packed),
+]
+
+#: A learnt classifier and a tokenizer can't be said in SQL; tests compare each stage with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return docs
