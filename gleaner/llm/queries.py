@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, packing, piece_codec, pii, quality, token_store
+from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, packing, piece_codec, pii, quality, recurrent_lm, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_piece_codec": piece_codec.query,
         "op4_quality": quality.query,
         "op5_packing": packing.query,
+        "op6_recurrent_lm": recurrent_lm.query,
         "op7_line_dedup": line_dedup.query,
         "op8_jaccard_join": jaccard_join.query,
         "op9_pii": pii.query,
