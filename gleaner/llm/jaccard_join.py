@@ -14,10 +14,12 @@ Verification is on whole sets. Before it, sketches of one parity bit a token (as
 drop pairs whose Hamming distance, again a lower bound, already exceeds the bound.
 
 Groups. Sets that are equal are one class. In the group of a sketch word all members are paired with one hub, not with
-each other; verified pairs are contracted to components. Pairs inside a group that are still in different
-components follow: groups up to GROUP all of them. A set agrees with a similar one in at least ``slack`` words
-(non-empty words less the bound), so a larger group can be passed over for sets with fewer than slack such groups;
-the others are compared within it in tiles of TILE x TILE, so that no set is left out and no task holds a whole group.
+each other; verified pairs are contracted to components. In groups whose members are still apart, members are paired
+with the hub that has most links so far, for as long as that finds links. What is then still apart is compared
+exactly: in groups up to GROUP, all open pairs. A set agrees with a similar one in at least ``slack`` words of a sketch
+(non-empty words less the bound), so a larger group can be passed over for sets with fewer than slack such groups; of
+the others, members of the smaller components are compared with those of larger ones, in tiles of TILE x SIDE sets
+whose pairs leave the tile only if their parity bits allow a link. No set is left out, and no task holds a group.
 
 Scale. A row is emitted for about 0.7 of each distinct shingle: two 64-bit numbers, which is what is shuffled and sorted;
 texts aren't. One word's group can't have more than one in some hundreds of a set's rows, so no key is hot. Only counts
@@ -33,8 +35,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import attach_group, documents, partitions, staged
@@ -45,7 +48,9 @@ NUM, DEN = 75, 100
 #: Band 0 holds sets below LOWEST tokens, joined token by token; band i those from LOWEST * 2^(i-1) on.
 LOWEST, LOAD = 64, 2.4
 #: Largest group whose open pairs are listed; larger ones go by slack and tiles.
-GROUP, TILE = 24, 256
+GROUP, TILE, SIDE = 24, 256, 8192
+#: Rounds of new hubs at most, before what is left is compared exactly.
+ROUNDS = 4
 #: Pairs that share a copy of their hub's set when verified.
 HUB = 256
 #: Ids to be broadcast at most (16 bytes each).
@@ -86,24 +91,27 @@ def _words(s: Sets, rows: np.ndarray, k: np.ndarray, level: np.ndarray) -> tuple
     at = np.flatnonzero(first)
     word = np.bitwise_xor.reduceat(mix(h + _U(0x9E3779B97F4A7C15)), at) if len(at) else np.zeros(0, np.uint64)
     own = owner[at]
-    key = mix(word + mix(block[at] ^ (level[own].astype(np.uint64) << _U(56)) ^ (k[own].astype(np.uint64) << _U(20))))
+    key = mix(word + mix(block[at] ^ (level[own].astype(np.uint64) << _U(56))))
+    key = (key & ~_U(255)) | level[own].astype(np.uint64)  # the low byte names the sketch
     return key, own, np.bincount(own, minlength=len(rows))
 
 
-def _levels(s: Sets, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All sketches that the sets ``rows`` (non-empty) join: (keys, index of the set, slack by position in the subset)."""
+def _levels(s: Sets, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """All sketches that the sets ``rows`` (non-empty) join: (keys, their sets), and (sets, their sketch, their slack)."""
     n = s.sizes[rows]
     own, top = _band(n), _band(_largest_partner(n))
     for which, band in ((np.ones(len(rows), bool), own), (top > own, top)):
         sub, b = rows[which], band[which]
-        finer = 1
-        while len(sub):
-            k = _blocks(b, finer) if finer < 64 else np.zeros(len(sub), np.int64)
-            key, at, found = _words(s, sub, k, b)
+        for step in range(4):
+            if not len(sub):
+                break
+            k = _blocks(b, 4**step) if step < 3 else np.zeros(len(sub), np.int64)
+            level = b | (step << 5)
+            key, at, found = _words(s, sub, k, level)
             slack = found - bound(s.sizes[sub], _largest_partner(s.sizes[sub]))
-            yield key, sub[at], np.where(slack > 0, slack, np.iinfo(np.int32).max)[at]
+            yield key, sub[at], sub, level, slack
             weak = (slack <= 0) & (k > 0)
-            sub, b, finer = sub[weak], b[weak], finer * 4
+            sub, b = sub[weak], b[weak]
 
 
 def _parity_bits(s: Sets) -> list[bytes | None]:
@@ -130,17 +138,17 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cls = s.names()[0]
             rows = np.flatnonzero(s.sizes)
             rows = rows[np.unique(cls[rows], return_index=True)[1]]  # a class once
-            for key, at, slack in _levels(s, rows):
+            for key, at, *_ in _levels(s, rows):
                 yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(cls[at])], ["key", "cls"])
 
 
 def _slacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, cls, slack) again, for the classes that need it."""
+    """(cls, sketch, slack) of every sketch that a class joins; a weak one counts as slack 1: any word may be the only one."""
     for b in batches:
         for _, s in in_chunks(b.column(0), b.column(1)):
             cls = s.names()[0]
-            for key, at, slack in _levels(s, np.flatnonzero(s.sizes)):
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(cls[at]), pa.array(slack.astype(np.int32))], ["key", "cls", "slack"])
+            for _, _, sub, level, slack in _levels(s, np.flatnonzero(s.sizes)):
+                yield pa.record_batch([pa.array(cls[sub]), pa.array(level.astype(np.int64)), pa.array(np.maximum(slack, 1))], ["cls", "sketch", "slack"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,20 +242,58 @@ def _chosen(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(other) if few else other, F.col("id").eqNullSafe(F.col("wanted")), "left_semi")
 
 
-def _tiles(rows: DataFrame) -> DataFrame:
-    """All pairs of classes in different components within the keys of ``rows`` (key, cls, root), tile by tile."""
-    counts = staged(rows.groupBy("key").agg(F.count("*").alias("m")), "large")
-    cut = attach_group(rows, counts, ["key"], "m").withColumn("side", F.ceil(F.col("m") / TILE).cast("int")).withColumn("mine", F.pmod(F.xxhash64("cls"), "side").cast("int"))
-    sent = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("side") - 1)))
-    sent = sent.withColumn("i", F.least("mine", "other")).withColumn("j", F.greatest("mine", "other"))
+def _folded(bits: list[bytes], width: int) -> np.ndarray:
+    """Parity bits folded to ``width`` bytes, as rows of 64-bit words."""
+    out = np.empty((len(bits), width // 8), np.uint64)
+    for i, x in enumerate(bits):
+        v = np.frombuffer(x, np.uint64)
+        while len(v) > width // 8:
+            v = v[: len(v) // 2] ^ v[len(v) // 2 :]
+        out[i] = v
+    return out
 
-    def pairs(g):
-        left, right = g[g.mine == g.i], g[g.mine == g.j]
-        out = left.merge(right, on=["key", "i", "j"], suffixes=("", "_r"))
-        out = out[(out.root != out.root_r) & ((out.i != out.j) | (out.cls < out.cls_r))]
-        return out.assign(a=np.minimum(out.cls, out.cls_r), b=np.maximum(out.cls, out.cls_r))[["a", "b"]].drop_duplicates()
 
-    return sent.select("key", "i", "j", "mine", "cls", "root").groupBy("key", "i", "j").applyInPandas(pairs, "a long, b long")
+def _tile(g: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of a tile, one from each side, whose parity bits allow a link and whose components differ."""
+    left, right = g[g["left"]], g[~g["left"]]
+    out_a: list[np.ndarray] = []
+    out_b: list[np.ndarray] = []
+    if len(left) and len(right):
+        width = min(map(len, g["bits"]))
+        y, yn = _folded(right["bits"].tolist(), width), right["n"].to_numpy()
+        rank = list(zip(right["members"], right["root"], strict=True))
+        for c, n, members, root, bits in zip(left["cls"], left["n"], left["members"], left["root"], left["bits"], strict=True):
+            far = np.bitwise_count(y ^ _folded([bits], width)).sum(axis=1)
+            ok = (far <= bound(n, yn)) & (np.minimum(n, yn) * DEN >= np.maximum(n, yn) * NUM)
+            hit = [i for i in np.flatnonzero(ok).tolist() if rank[i] > (members, root)]
+            if hit:
+                out_a.append(np.full(len(hit), c, np.int64))
+                out_b.append(right["cls"].to_numpy()[hit])
+    none = [np.zeros(0, np.int64)]
+    return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
+
+
+def _tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Open pairs within the keys of ``rows`` (key, cls, root, members, m, words, slack) that may be links.
+
+    A pair agrees in ``slack`` of the ``words`` keys of either of its sets, so any words - slack + 1 keys of the one hold
+    the other too: those of the smallest groups are used for the member of the smaller component.
+    """
+    rank = F.struct("members", "root")
+    top = rows.groupBy("key").agg(F.max(rank).alias("top"))
+    few = F.row_number().over(Window.partitionBy("cls", "sketch").orderBy("m", "key"))
+    left = rows.withColumn("nth", few).filter("nth <= words - slack + 1").join(top, "key").filter(rank < F.col("top")).select("key", "cls", "root", "members")
+    left = staged(left, "left")
+    lefts = left.groupBy("key").agg(F.count("*").alias("lefts"))
+    right = rows.select("key", "cls", "root", "members").join(lefts, "key")
+    size = staged(right.groupBy("key").agg(F.max("lefts").alias("lefts"), F.count("*").alias("rights")), "sizes")
+    cut = lambda n, by: F.ceil(F.col(n) / by).cast("int")
+    spread = lambda n, by: F.explode(F.sequence(F.lit(0), cut(n, by) - 1))
+    mine = lambda n, by: F.pmod(F.xxhash64("cls"), cut(n, by)).cast("int")
+    one = left.join(size, "key").withColumn("i", mine("lefts", TILE)).withColumn("j", spread("rights", SIDE)).withColumn("left", F.lit(True))
+    two = right.drop("lefts").join(size, "key").withColumn("j", mine("rights", SIDE)).withColumn("i", spread("lefts", TILE)).withColumn("left", F.lit(False))
+    both = one.unionByName(two).drop("lefts", "rights").join(sets.select("cls", "n", "bits"), "cls")
+    return both.groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -287,24 +333,50 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     if rest.limit(1).count():
         links = links.unionByName(verified(rest))
         roots = components(links)
-    # words whose members are still apart; with two members the hub's pair was all
-    apart = rooted(roots, shared, "cls", "root")
-    keys = apart.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
-    keys = staged(keys.filter("m > 2 and low != high").select("key", "m"), "open-keys")
-    if not keys.limit(1).count():
-        return roots
-    apart = staged(attach_group(apart.select("key", "cls", "root"), keys, ["key"], "m"), "open")
-    small, large = apart.filter(f"m <= {GROUP}").drop("m"), apart.filter(f"m > {GROUP}").drop("m")
-    more = _few(small)
+    tested = [stars.select("a", "b")]
+
+    def untested(pairs: DataFrame) -> DataFrame:
+        for t in tested:
+            pairs = pairs.join(t, ["a", "b"], "left_anti")
+        return pairs
+
+    def apart(rows: DataFrame) -> DataFrame:
+        """Rows of words whose members are in different components; with two members the hub's pair was all."""
+        now = rooted(roots, rows, "cls", "root")
+        keys = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
+        keys = staged(keys.filter("m > 2 and low != high").select("key", "m"), "open-keys")
+        return staged(attach_group(now.select("key", "cls", "root"), keys, ["key"], "m"), "open")
+
+    rows = apart(shared.select("key", "cls"))
+    for _ in range(ROUNDS):
+        if not rows.limit(1).count():
+            return roots
+        degree = links.select(F.explode(F.array("a", "b")).alias("cls")).groupBy("cls").agg(F.count("*").alias("degree"))
+        ranked = rows.join(degree, "cls", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+        hubs = ranked.groupBy("key", "m").agg(F.max(F.struct("degree", "cls", "root")).alias("hub"))
+        hubs = staged(hubs.select("key", "m", F.col("hub.cls").alias("hub"), F.col("hub.root").alias("hub_root")), "hubs")
+        pairs = attach_group(rows.drop("m"), hubs, ["key"], "m").filter("root != hub_root").select(F.least("hub", "cls").alias("a"), F.greatest("hub", "cls").alias("b")).distinct()
+        pairs = staged(untested(pairs).withColumn("shared", F.lit(0).cast("long")), "pairs")
+        new = verified(near(pairs))
+        if not new.limit(1).count():
+            break
+        tested.append(pairs.select("a", "b"))
+        links = links.unionByName(new)
+        roots = components(links)
+        rows = apart(rows.select("key", "cls"))
+    small, large = rows.filter(f"m <= {GROUP}").drop("m"), rows.filter(f"m > {GROUP}")
+    more = _few(small).distinct()
     if large.limit(1).count():
-        busy = large.groupBy("cls").agg(F.count("*").alias("words"))
-        busy = staged(busy.join(classes, "cls").select("cls", "id", "words"), "busy")
-        slack = _chosen(docs, busy.select("id")).mapInArrow(_slacks, "key long, cls long, slack int")
-        slack = slack.groupBy("cls").agg(F.min("slack").alias("slack"))
-        stuck = staged(busy.join(slack, "cls").filter("words >= slack").select("cls"), "stuck")
-        more = more.unionByName(_tiles(staged(large.join(stuck, "cls", "left_semi"), "tiles")))
-    more = more.distinct().join(close.select("a", "b"), ["a", "b"], "left_anti").withColumn("shared", F.lit(0).cast("long"))
-    links = links.unionByName(verified(near(staged(more, "more"))))
+        sketch = F.pmod("key", F.lit(256)).alias("sketch")
+        busy = staged(large.groupBy("cls", sketch).agg(F.count("*").alias("words")), "busy")
+        ids = busy.select("cls").distinct().join(classes, "cls").select("id")
+        slack = _chosen(docs, staged(ids, "ids")).mapInArrow(_slacks, "cls long, sketch long, slack long").groupBy("cls", "sketch").agg(F.max("slack").alias("slack"))
+        stuck = staged(busy.join(slack, ["cls", "sketch"]).filter("words >= slack"), "stuck")
+        members = rooted(roots, classes.select("cls"), "cls", "root").groupBy("root").agg(F.count("*").alias("members"))
+        held = large.select("*", sketch).join(stuck, ["cls", "sketch"]).join(members, "root")
+        more = more.unionByName(_tiles(staged(held, "stuck-rows"), sets)).distinct()
+    more = staged(untested(more).withColumn("shared", F.lit(0).cast("long")), "more")
+    links = links.unionByName(verified(near(more)))
     return components(links)
 
 
