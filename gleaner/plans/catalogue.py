@@ -1,4 +1,459 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries of the selection engine and their SQL twins, on the TPC-H-like tables.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+The running example is ``lineitem``: five numbers in decile bins, and the target l_extendedprice * (1 - l_discount) > 50000.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gleaner import estimator
+from gleaner.config import SelectorConfig
+from gleaner.functions.measures import cmi_of_cells, entropy_of_cells, mi_of_cells
+from gleaner.functions.metrics import auc_of_rows, r2_of_rows
+from gleaner.operators import cells as C
+from gleaner.operators import evaluate, greedy
+from gleaner.operators import profile as P
+from gleaner.operators import significance as S
+from gleaner.sources.tables import benchmark_rows, planted, rows, table
+
+FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+_TARGET = "CAST(l_extendedprice * (1 - l_discount) > 50000 AS INT)"
+_BINS = 10
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# --- the example in Spark
+
+
+def _lines(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return table(spark, d, "lineitem").select(*FEATURES, *more, F.expr(_TARGET).alias("y"))
+
+
+def _plan(df: DataFrame, missing: str = "drop"):
+    config = SelectorConfig(target="y", task="classifier_multiclass", missing=missing)
+    features, target, n = P.codings(df.select(*FEATURES, "y"), {f: "numeric" for f in FEATURES}, config, config.task, exact=True)
+    return features, target, n
+
+
+def _coded(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    df = _lines(spark, d, *more)
+    features, _, _ = _plan(df)
+    return df.select(*[P.code_of(df, c).alias(c.name) for c in features], "y", *more)
+
+
+def _mi(spark: SparkSession, d: str) -> DataFrame:
+    return mi_of_cells(C.feature_cells(_coded(spark, d), FEATURES, "y"), ["feature"])
+
+
+def _names(column: str) -> Column:
+    return F.array(*[F.lit(f) for f in FEATURES])[F.col(column)]
+
+
+def _cmi(spark: SparkSession, d: str) -> DataFrame:
+    pairs = C.both_ways(C.pair_cells(_coded(spark, d), FEATURES, "y"))
+    return cmi_of_cells(pairs, ["i", "j"], "xi", "y", ["xj"]).select(_names("i").alias("fi"), _names("j").alias("fj"), "cmi")
+
+
+def _pair_mi(spark: SparkSession, d: str) -> DataFrame:
+    pairs = C.both_ways(C.pair_cells(_coded(spark, d), FEATURES, "y")).groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
+    return mi_of_cells(pairs, ["i", "j"], "xi", "xj").select(_names("i").alias("fi"), _names("j").alias("fj"), "mi")
+
+
+# --- the example in SQL
+
+_LEVELS = ", ".join(str(k / _BINS) for k in range(1, _BINS))
+_RULE = "CASE WHEN len(m) < 2 THEN [] WHEN len(m) <= {b} THEN list_transform(range(1, len(m)), lambda i: (m[i] + m[i + 1]) / 2) ELSE list_sort(list_distinct(q)) END"
+_CODES = f"""base AS (SELECT row_number() OVER () AS rid, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)}, {_TARGET} AS y, l_returnflag, l_linestatus, l_discount AS d FROM lineitem),
+long AS (SELECT rid, y, feature, v FROM base UNPIVOT (v FOR feature IN ({", ".join(FEATURES)}))),
+marks AS (SELECT feature, q, list_sort(list_distinct(list_concat([lo, hi], q))) AS m FROM
+  (SELECT feature, min(v) AS lo, max(v) AS hi, quantile_cont(v, [{_LEVELS}]) AS q FROM long GROUP BY feature)),
+edges AS (SELECT feature, {_RULE.format(b=_BINS)} AS e FROM marks),
+codes AS (SELECT rid, y, feature, len(list_filter(e, lambda t: v >= t)) AS x FROM long JOIN edges USING (feature))"""
+_CELLS = _CODES + ",\ncells AS (SELECT feature, x, y, count(*)::DOUBLE AS n FROM codes GROUP BY ALL)"
+_MI = (
+    _CELLS
+    + """,
+mi AS (SELECT feature, sum(n / nt * ln(n * nt / (nx * ny))) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY feature, x) AS nx,
+  sum(n) OVER (PARTITION BY feature, y) AS ny, sum(n) OVER (PARTITION BY feature) AS nt FROM cells) GROUP BY feature)"""
+)
+_PLACE = "CASE feature " + " ".join(f"WHEN '{f}' THEN {i}" for i, f in enumerate(FEATURES)) + " END"
+_PAIRS = """,
+pairs AS (SELECT a.feature AS fi, b.feature AS fj, a.x AS xi, b.x AS xj, a.y AS y, count(*)::DOUBLE AS n
+  FROM codes a JOIN codes b ON a.rid = b.rid AND a.feature <> b.feature GROUP BY ALL),
+cmi AS (SELECT fi, fj, sum(n / nt * ln(n * nz / (nxz * nyz))) AS cmi FROM (SELECT *, sum(n) OVER (PARTITION BY fi, fj, xj) AS nz,
+  sum(n) OVER (PARTITION BY fi, fj, xi, xj) AS nxz, sum(n) OVER (PARTITION BY fi, fj, xj, y) AS nyz,
+  sum(n) OVER (PARTITION BY fi, fj) AS nt FROM pairs) GROUP BY fi, fj),
+two AS (SELECT fi, fj, xi, xj, sum(n) AS n FROM pairs GROUP BY ALL),
+pmi AS (SELECT fi, fj, sum(n / nt * ln(n * nt / (nx * ny))) AS mi FROM (SELECT *, sum(n) OVER (PARTITION BY fi, fj, xi) AS nx,
+  sum(n) OVER (PARTITION BY fi, fj, xj) AS ny, sum(n) OVER (PARTITION BY fi, fj) AS nt FROM two) GROUP BY fi, fj)"""
+_FULL = _MI + _PAIRS
+
+
+# --- informations
+
+
+@_query("WITH c AS (SELECT l_returnflag, count(*)::DOUBLE AS n FROM lineitem GROUP BY 1), t AS (SELECT *, sum(n) OVER () AS nt FROM c) SELECT round(-sum(n / nt * ln(n / nt)), 9) AS entropy FROM t")
+def entropy_returnflag(spark, d):
+    return entropy_of_cells(table(spark, d, "lineitem").groupBy("l_returnflag").agg(F.count("*").alias("n"))).select(F.round("entropy", 9).alias("entropy"))
+
+
+@_query("WITH c AS (SELECT count(*)::DOUBLE AS n FROM lineitem GROUP BY l_returnflag, l_linestatus), t AS (SELECT *, sum(n) OVER () AS nt FROM c) SELECT round(-sum(n / nt * ln(n / nt)), 9) AS entropy FROM t")
+def joint_entropy(spark, d):
+    cells = table(spark, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+    return entropy_of_cells(cells).select(F.round("entropy", 9).alias("entropy"))
+
+
+@_query("WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS nt FROM c) SELECT round(sum(n / nt * ln(n * nt / (nx * ny))), 9) AS mi FROM w")
+def mi_pair(spark, d):
+    cells = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("x"), F.col("l_linestatus").alias("y")).agg(F.count("*").alias("n"))
+    return mi_of_cells(cells, []).select(F.round("mi", 9).alias("mi"))
+
+
+@_query(f"WITH {_MI} SELECT feature, round(mi, 9) AS mi FROM mi")
+def mi_all_features(spark, d):
+    return _mi(spark, d).select("feature", F.round("mi", 9).alias("mi"))
+
+
+@_query(f"WITH {_FULL} SELECT fi, fj, round(cmi, 9) AS cmi FROM cmi")
+def cmi_one_conditioner(spark, d):
+    return _cmi(spark, d).select("fi", "fj", F.round("cmi", 9).alias("cmi"))
+
+
+@_query(
+    f"""WITH {_CODES}, c AS (SELECT c.feature, x, c.y, l_linestatus AS z0, floor(d * 20) AS z1, count(*)::DOUBLE AS n FROM codes c JOIN base USING (rid) GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY feature, z0, z1) AS nz, sum(n) OVER (PARTITION BY feature, x, z0, z1) AS nxz,
+  sum(n) OVER (PARTITION BY feature, y, z0, z1) AS nyz, sum(n) OVER (PARTITION BY feature) AS nt FROM c)
+SELECT feature, round(sum(n / nt * ln(n * nz / (nxz * nyz))), 9) AS cmi FROM w GROUP BY feature"""
+)
+def cmi_two_conditioners(spark, d):
+    df = _lines(spark, d, "l_linestatus").withColumn("z", F.floor(F.col("l_discount") * 20))
+    features, _, _ = _plan(df)
+    codes = df.select(*[P.code_of(df, c).alias(c.name) for c in features], "y", "l_linestatus", "z")
+    cells = C.given_cells(codes, FEATURES, "y", ["l_linestatus", "z"])
+    return cmi_of_cells(cells, ["feature"], "x", "y", ["z0", "z1"]).select("feature", F.round("cmi", 9).alias("cmi"))
+
+
+# --- counts
+
+
+@_query(f"WITH {_CELLS} SELECT feature, x::INT AS x, y, n::BIGINT AS n FROM cells")
+def crosstab_cells(spark, d):
+    return C.feature_cells(_coded(spark, d), FEATURES, "y")
+
+
+@_query(f"WITH {_FULL} SELECT fi, fj, xi::INT AS xi, xj::INT AS xj, y, n::BIGINT AS n FROM pairs WHERE {_PLACE.replace('feature', 'fi')} < {_PLACE.replace('feature', 'fj')}")
+def joint_cells(spark, d):
+    return C.pair_cells(_coded(spark, d), FEATURES, "y").select(_names("i").alias("fi"), _names("j").alias("fj"), "xi", "xj", "y", "n")
+
+
+@_query(f"WITH {_FULL} SELECT fi, fj, xi::INT AS xi, xj::INT AS xj, n::BIGINT AS n FROM two WHERE {_PLACE.replace('feature', 'fi')} < {_PLACE.replace('feature', 'fj')}")
+def pair_marginal(spark, d):
+    pairs = C.pair_cells(_coded(spark, d), FEATURES, "y").groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
+    return pairs.select(_names("i").alias("fi"), _names("j").alias("fj"), "xi", "xj", "n")
+
+
+@_query("SELECT count(DISTINCT m) + max(CASE WHEN m IS NULL THEN 1 ELSE 0 END) AS n FROM (SELECT nullif(o_orderstatus, 'F') AS m FROM orders)")
+def distinct_target(spark, d):
+    df = table(spark, d, "orders").select(F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("m"))
+    return spark.createDataFrame([(P.distinct_values(df, "m"),)], "n long")
+
+
+# --- profile and codes
+
+
+@_query(f"WITH {_CODES} SELECT feature, unnest(list_transform(e, lambda t: round(t, 6))) AS edge FROM edges")
+def quantile_edges(spark, d):
+    features, _, _ = _plan(_lines(spark, d))
+    return spark.createDataFrame([(c.name, round(e, 6)) for c in features for e in c.edges], "feature string, edge double")
+
+
+@_query(f"WITH {_CODES} SELECT feature, x::INT AS x, count(*) AS n FROM codes GROUP BY ALL")
+def bin_codes(spark, d):
+    return _coded(spark, d).unpivot([], FEATURES, "feature", "x").groupBy("feature", "x").agg(F.count("*").alias("n"))
+
+
+def _gaps(spark, d):
+    return table(spark, d, "lineitem").select(F.expr("nullif(l_quantity, 13)").alias("q"), "l_linestatus")
+
+
+@_query(
+    f"""WITH b AS (SELECT CAST(nullif(l_quantity, 13) AS DOUBLE) AS v FROM lineitem), marks AS (SELECT q, list_sort(list_distinct(list_concat([lo, hi], q))) AS m
+FROM (SELECT min(v) AS lo, max(v) AS hi, quantile_cont(v, [{_LEVELS}]) AS q FROM b)), edges AS (SELECT {_RULE.format(b=_BINS)} AS e FROM marks)
+SELECT (CASE WHEN v IS NULL THEN len(e) + 1 ELSE len(list_filter(e, lambda t: v >= t)) END)::INT AS code, count(*) AS n FROM b, edges GROUP BY 1"""
+)
+def bin_histogram_with_missing(spark, d):
+    df = _gaps(spark, d)
+    (c,), _, _ = P.codings(df, {"q": "numeric"}, SelectorConfig(target="l_linestatus"), "classifier_multiclass", exact=True)
+    return df.select(P.code_of(df, c).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT count(*) AS n FROM lineitem WHERE nullif(l_quantity, 13) IS NOT NULL")
+def missing_drop_count(spark, d):
+    df = _gaps(spark, d)
+    config = SelectorConfig(target="l_linestatus", missing="drop")
+    features, target, _ = P.codings(df, {"q": "numeric"}, config, "classifier_multiclass", exact=True)
+    return P.encoded(df, features, target, "drop").agg(F.count("*").alias("n"))
+
+
+@_query("WITH c AS (SELECT p_brand AS v, count(*) AS n FROM part GROUP BY 1), r AS (SELECT v, n, row_number() OVER (ORDER BY n DESC, v) - 1 AS k FROM c) SELECT least(k, 5)::INT AS code, sum(n)::BIGINT AS n FROM r GROUP BY 1")
+def category_codes_topc_other(spark, d):
+    df = table(spark, d, "part").select("p_brand", "p_size")
+    config = SelectorConfig(target="p_size", task="continuous", max_categories=5)
+    (c,), _, _ = P.codings(df, {"p_brand": "categorical"}, config, "continuous")
+    return df.select(P.code_of(df, c).alias("code")).groupBy("code").agg(F.count("*").alias("n"))
+
+
+@_query("WITH c AS (SELECT event_type AS value, count(*) AS n FROM events GROUP BY 1) SELECT value, n, (row_number() OVER (ORDER BY n DESC, value) - 1)::INT AS code FROM c")
+def string_index(spark, d):
+    counts = P.category_counts(table(spark, d, "events"), ["event_type"])
+    return counts.select("value", "n", (F.col("place") - 1).alias("code"))
+
+
+@_query("SELECT greatest(4, least(20, round(log2(count(*)))))::INT AS bins FROM lineitem")
+def auto_bins(spark, d):
+    return spark.createDataFrame([(P.bins_for(table(spark, d, "lineitem").count(), "auto"),)], "bins int")
+
+
+_TASKS = (("lineitem", "l_linenumber"), ("lineitem", "l_returnflag"), ("lineitem", "l_quantity"), ("lineitem", "l_orderkey"), ("lineitem", "l_shipdate"), ("customer", "c_nationkey"), ("embeddings", "label"))
+
+
+@_query(
+    " UNION ALL ".join(
+        f"SELECT '{c}' AS name, CASE WHEN any_value(typeof({c})) IN ('VARCHAR', 'TIMESTAMP') THEN 'classifier_multiclass' WHEN any_value(typeof({c})) IN ('INTEGER', 'BIGINT') AND count(DISTINCT {c}) <= 20 THEN 'classifier_multiclass' ELSE 'continuous' END AS task FROM {t}"
+        for t, c in _TASKS
+    )
+)
+def task_rule(spark, d):
+    return spark.createDataFrame([(c, P.task_of(table(spark, d, t), c)) for t, c in _TASKS], "name string, task string")
+
+
+# --- significance
+
+
+@_query(f"WITH {_MI} SELECT feature, round(2 * nt * mi, 5) AS g, (len(e) * 1)::INT AS freedom FROM mi JOIN edges USING (feature), (SELECT count(*) AS nt FROM lineitem)")
+def g_statistic(spark, d):
+    df = _lines(spark, d)
+    features, target, n = _plan(df)
+    free = F.create_map(*[F.lit(v) for c in features for v in (c.name, (c.n_codes - 1) * (target.n_codes - 1))])
+    return _mi(spark, d).select("feature", F.round(2 * n * F.col("mi"), 5).alias("g"), free[F.col("feature")].alias("freedom"))
+
+
+@_query(
+    """WITH c AS (SELECT l_returnflag AS x, l_linestatus AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), w AS (SELECT *, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS nt FROM c)
+SELECT round(exp(-sum(n * ln(n * nt / (nx * ny)))), 9) AS p FROM w"""
+)
+def g_pvalue_two_degrees(spark, d):
+    """Three flags by two states: two degrees of freedom, for which p is exp(-G / 2)."""
+    cells = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("x"), F.col("l_linestatus").alias("y")).agg(F.count("*").alias("n")).cache()
+    mi, n = mi_of_cells(cells, []).first()[0], cells.agg(F.sum("n")).first()[0]
+    return spark.createDataFrame([(round(S.g_pvalue(n, mi, 2), 9),)], "p double")
+
+
+_P = ((0, 0.01), (1, 0.03), (2, 0.04), (3, 0.9), (4, 0.002), (5, 0.03), (6, 0.0004))
+
+
+@_query(
+    f"""WITH v(feature, p) AS (VALUES {", ".join(f"({i}, {p}::DOUBLE)" for i, p in _P)}), r AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS rk, count(*) OVER () AS m FROM v),
+k AS (SELECT *, max(CASE WHEN p <= rk * 0.05::DOUBLE / m THEN rk ELSE 0 END) OVER () AS last FROM r) SELECT feature, p, rk <= last AS significant FROM k"""
+)
+def bh_mask(spark, d):
+    return S.with_discoveries(spark.createDataFrame(list(_P), "feature int, p double")).select("feature", "p", "significant")
+
+
+@_query(f"WITH {_CELLS}, o AS (SELECT max(n) AS observed FROM cells) SELECT round((1 + sum(CASE WHEN n >= (SELECT observed FROM o) / 2 THEN 1 ELSE 0 END)) / (1 + count(*))::DOUBLE, 9) AS p FROM cells")
+def perm_pvalue_from_null(spark, d):
+    null = np.array([r["n"] for r in crosstab_cells(spark, d).select("n").collect()], float)
+    return spark.createDataFrame([(round(S.permutation_pvalue(null.max() / 2, null), 9),)], "p double")
+
+
+@_query()
+def permutation_test(spark, d):
+    return S.permutation_pvalues(C.feature_cells(_coded(spark, d), FEATURES, "y"), 50, 42)
+
+
+# --- ranking, scores, search
+
+
+@_query(f"WITH {_MI} SELECT feature, (row_number() OVER (ORDER BY mi DESC, {_PLACE}))::INT AS rank FROM mi")
+def ranking(spark, d):
+    mi = {r["feature"]: r["mi"] for r in _mi(spark, d).collect()}
+    order = greedy.ranked(np.array([mi[f] for f in FEATURES]))
+    return spark.createDataFrame([(FEATURES[i], k + 1) for k, i in enumerate(order)], "feature string, rank int")
+
+
+@_query(f"WITH {_MI} SELECT feature, round(mi, 9) AS mi FROM mi WHERE feature <> 'l_quantity' ORDER BY mi DESC LIMIT 2")
+def topk_candidates(spark, d):
+    mi = {r["feature"]: r["mi"] for r in _mi(spark, d).collect()}
+    v = np.array([mi[f] for f in FEATURES])
+    short = greedy.shortlist(v, np.array([f != "l_quantity" for f in FEATURES]), 2)
+    return spark.createDataFrame([(FEATURES[i], round(float(v[i]), 9)) for i in short], "feature string, mi double")
+
+
+@_query(f"WITH {_CODES}, n AS (SELECT feature, len(e) + 1 AS k FROM edges) SELECT (sum(a.k * b.k) * 3)::BIGINT AS cells FROM n a JOIN n b ON a.feature < b.feature")
+def cell_budget(spark, d):
+    features, target, _ = _plan(_lines(spark, d))
+    return spark.createDataFrame([(C.budget([c.n_codes for c in features], target.n_codes),)], "cells long")
+
+
+_CHOSEN = ("l_extendedprice", "l_discount")
+_REST = "feature NOT IN ('l_extendedprice', 'l_discount')"
+
+
+def _scores(spark, d, criterion: str) -> DataFrame:
+    """Scores of the features outside _CHOSEN, once these have been chosen: joins of the small tables of informations."""
+    mi = _mi(spark, d)
+    if criterion in ("mrmr", "mim"):
+        with_chosen = _pair_mi(spark, d).filter(F.col("fj").isin(*_CHOSEN)).groupBy(F.col("fi").alias("feature"))
+        loss = with_chosen.agg((F.avg("mi") if criterion == "mrmr" else F.sum("mi")).alias("loss"))
+        out = mi.join(loss, "feature").select("feature", (F.col("mi") - F.col("loss")).alias("score"))
+    else:
+        gains = _cmi(spark, d).filter(F.col("fj").isin(*_CHOSEN)).groupBy(F.col("fi").alias("feature"))
+        out = gains.agg((F.sum("cmi") if criterion == "jmi" else F.min("cmi")).alias("score"))
+    return out.filter(~F.col("feature").isin(*_CHOSEN)).select("feature", F.round("score", 9).alias("score"))
+
+
+_LOSS = "SELECT feature, round(mi - (SELECT {f}(p.mi) FROM pmi p WHERE p.fi = feature AND p.fj IN ('l_extendedprice', 'l_discount')), 9) AS score FROM mi WHERE " + _REST
+_GAIN = "SELECT fi AS feature, round({f}(cmi), 9) AS score FROM cmi WHERE fj IN ('l_extendedprice', 'l_discount') AND fi NOT IN ('l_extendedprice', 'l_discount') GROUP BY 1"
+
+
+@_query(f"WITH {_FULL} " + _LOSS.format(f="avg"))
+def score_mrmr(spark, d):
+    return _scores(spark, d, "mrmr")
+
+
+@_query(f"WITH {_FULL} " + _LOSS.format(f="sum"))
+def score_mim(spark, d):
+    return _scores(spark, d, "mim")
+
+
+@_query(f"WITH {_FULL} " + _GAIN.format(f="sum"))
+def score_jmi(spark, d):
+    return _scores(spark, d, "jmi")
+
+
+@_query(f"WITH {_FULL} " + _GAIN.format(f="min"))
+def score_jmim(spark, d):
+    return _scores(spark, d, "jmim")
+
+
+@_query(
+    f"""WITH {_CODES}, s AS (SELECT a.rid, a.x AS z0, b.x AS z1 FROM codes a JOIN codes b USING (rid) WHERE a.feature = 'l_extendedprice' AND b.feature = 'l_discount'),
+c AS (SELECT feature, x, y, CASE WHEN feature = 'l_extendedprice' THEN -1 ELSE z0 END AS z0, CASE WHEN feature = 'l_discount' THEN -1 ELSE z1 END AS z1, count(*)::DOUBLE AS n FROM codes JOIN s USING (rid) GROUP BY ALL),
+w AS (SELECT *, sum(n) OVER (PARTITION BY feature, z0, z1) AS nz, sum(n) OVER (PARTITION BY feature, x, z0, z1) AS nxz, sum(n) OVER (PARTITION BY feature, y, z0, z1) AS nyz, sum(n) OVER (PARTITION BY feature) AS nt FROM c)
+SELECT feature, round(sum(n / nt * ln(n * nz / (nxz * nyz))), 9) AS score FROM w GROUP BY feature"""
+)
+def score_cmim(spark, d):
+    found = estimator.CMIMSelector(target="y").fixed_gains(_coded(spark, d), FEATURES, list(_CHOSEN))
+    return spark.createDataFrame([(f, round(float(v), 9)) for f, v in zip(FEATURES, found, strict=True)], "feature string, score double")
+
+
+@_query(
+    f"""WITH {_FULL}, r1 AS (SELECT feature AS f, mi AS s FROM mi ORDER BY mi DESC, {_PLACE} LIMIT 1),
+g2 AS (SELECT fi AS feature, cmi AS s FROM cmi WHERE fj IN (SELECT f FROM r1)), r2 AS (SELECT feature AS f, s FROM g2 ORDER BY s DESC, {_PLACE} LIMIT 1),
+g3 AS (SELECT fi AS feature, min(cmi) AS s FROM cmi WHERE fj IN (SELECT f FROM r1 UNION SELECT f FROM r2) AND fi NOT IN (SELECT f FROM r1 UNION SELECT f FROM r2) GROUP BY 1),
+r3 AS (SELECT feature AS f, s FROM g3 ORDER BY s DESC, {_PLACE} LIMIT 1),
+every AS (SELECT 1 AS round, * FROM r1 UNION ALL SELECT 2, * FROM r2 UNION ALL SELECT 3, * FROM r3)
+SELECT round, f AS feature, round(s, 9) AS score FROM every e WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.round <= e.round AND o.s < 0.001)"""
+)
+def greedy_jmim(spark, d):
+    """The search on the example's informations, at most three features, least score 0.001."""
+    at = {f: i for i, f in enumerate(FEATURES)}
+    mi, cmi = np.zeros(len(at)), np.zeros((len(at), len(at)))
+    for r in _mi(spark, d).collect():
+        mi[at[r["feature"]]] = r["mi"]
+    for r in _cmi(spark, d).collect():
+        cmi[at[r["fi"]], at[r["fj"]]] = r["cmi"]
+    got = greedy.choose(greedy.Matrices(mi, np.zeros_like(cmi), cmi), "jmim", 3, 1e-3)
+    return spark.createDataFrame([(k + 1, FEATURES[i], round(s, 9)) for k, (i, s) in enumerate(zip(got.places, got.scores, strict=True))], "round int, feature string, score double")
+
+
+# --- model, metrics
+
+
+@_query(f"SELECT l_extendedprice, l_discount, {_TARGET} AS y FROM lineitem")
+def transform_projection(spark, d):
+    return estimator.SelectorModel(list(_CHOSEN), [], [], "jmim", 0, "y", "auto").transform(_lines(spark, d))
+
+
+@_query(
+    f"""WITH b AS (SELECT l_quantity AS s, {_TARGET} AS y FROM lineitem), r AS (SELECT y, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rk FROM b)
+SELECT round((sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2.0) / (sum(y) * (count(*) - sum(y))), 9) AS auc FROM r"""
+)
+def auc_binary(spark, d):
+    return auc_of_rows(_lines(spark, d), F.col("y") == 1, F.col("l_quantity")).select(F.round("auc", 9).alias("auc"))
+
+
+@_query(
+    """WITH b AS (SELECT l_quantity AS s, l_returnflag AS c FROM lineitem), k AS (SELECT DISTINCT c AS k FROM b),
+r AS (SELECT k, c = k AS y, rank() OVER (PARTITION BY k ORDER BY s) + (count(*) OVER (PARTITION BY k, s) - 1) / 2.0 AS rk FROM b, k),
+a AS (SELECT k, (sum(CASE WHEN y THEN rk ELSE 0 END) - sum(y::INT) * (sum(y::INT) + 1) / 2.0) / (sum(y::INT) * (count(*) - sum(y::INT))) AS auc FROM r GROUP BY k) SELECT round(avg(auc), 9) AS auc FROM a"""
+)
+def auc_macro(spark, d):
+    df = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
+    each = [auc_of_rows(df, F.col("l_returnflag") == r[0], F.col("l_quantity")) for r in df.select("l_returnflag").distinct().collect()]
+    every = each[0]
+    for e in each[1:]:
+        every = every.unionByName(e)
+    return every.agg(F.round(F.avg("auc"), 9).alias("auc"))
+
+
+@_query("WITH b AS (SELECT l_extendedprice AS y, 0.9 * l_extendedprice + 10 AS p FROM lineitem), m AS (SELECT avg(y) AS my FROM b) SELECT round(1 - sum((y - p) ** 2) / sum((y - my) ** 2), 9) AS r2 FROM b, m")
+def r2(spark, d):
+    return r2_of_rows(table(spark, d, "lineitem"), F.col("l_extendedprice"), 0.9 * F.col("l_extendedprice") + 10).select(F.round("r2", 9).alias("r2"))
+
+
+# --- whole fits: no SQL can express these
+
+
+def _fitted(spark: SparkSession, df: DataFrame, criterion: str = "jmim", **config) -> DataFrame:
+    m = estimator.InfoSelector(criterion, target="y", **config).fit(df)
+    return spark.createDataFrame([(i + 1, f, float(s)) for i, (f, s) in enumerate(zip(m.selected_features, m.scores_, strict=True))], "place int, feature string, score double")
+
+
+@_query()
+def fit_lineitem(spark, d):
+    return _fitted(spark, table(spark, d, "lineitem").drop("l_orderkey").withColumn("y", F.expr(_TARGET)), max_features=5, screen_top_k=10)
+
+
+def _example(spark):
+    features = [{"name": "x0", "role": "informative"}, {"name": "x1", "role": "informative"}, {"name": "x2", "role": "independent"}, {"name": "x3", "role": "redundant", "of": "x0"}]
+    return rows(spark, planted(4000, 0, features, {"kind": "and", "of": ["x0", "x1"], "noise": 0.1}), as_strings=True)
+
+
+@_query()
+def planted_recovery(spark, d):
+    return _fitted(spark, _example(spark))
+
+
+@_query()
+def benchmark_recovery(spark, d):
+    return _fitted(spark, benchmark_rows(spark, 20_000, 25), max_features=20, screen_top_k=200)
+
+
+@_query()
+def ksg_selection(spark, d):
+    features = [{"name": f"x{i}", "role": "informative", "levels": 0} for i in range(3)]
+    return _fitted(spark, rows(spark, planted(2000, 0, features, {"kind": "linear", "weights": {"x0": 1, "x1": 1}, "noise": 0.1})), estimator="ksg", max_features=2, screen_top_k=5)
+
+
+@_query()
+def efficiency_prefix(spark, d):
+    curve = evaluate.efficiency_curve(_lines(spark, d).limit(5000), ["l_extendedprice", "l_discount"], "y")
+    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(curve)], "features int, auc double")
