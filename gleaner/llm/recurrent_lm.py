@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, staged
 
-LEXICON, FREQUENT = 2048, 200_000
-STATE, WINDOW, LANES = 24, 32, 384
+LEXICON, FREQUENT = 2048, 100_000
+STATE, WINDOW, LANES = 16, 32, 512
 SHARE, SHARD_TOKENS, AVERAGED, RATE = 8, 1_500_000, 16, 0.01
+#: Steps of the optimiser that a shard makes at least before it uses more lanes.
+UPDATES = 300
 #: Texts that are Python objects at a time.
 SLICE = 2048
 #: Kinds of words a worker counts before it hands them on.
@@ -65,6 +67,11 @@ def shape(word: bytes) -> int:
     return 52 + (0 if 48 <= word[-1] < 58 else 2 if word[-1] < 128 else 4) + long
 
 
+def _shape(token: bytes) -> int:
+    """The shape of a word, or of the end."""
+    return 52 if token == END else shape(token)
+
+
 def _lowered(texts: pa.Array) -> list[bytes]:
     return pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_binary()).to_pylist()
 
@@ -111,6 +118,7 @@ class Lexicon:
         self.word_bias = np.log(self.count[: self.size] / mass[self.cls]) if self.size else np.zeros(0)
         self.log_count = np.log10(self.count + 1)
         self.log_rest = np.log10(self.rest)
+        self.shapes = np.array([_shape(w) for w, _ in frequent], np.int16)
 
     def coded(self, words: list[bytes]) -> np.ndarray:
         """Place of each word among the frequent ones, or -1 - shape."""
@@ -185,13 +193,10 @@ def _laid(codes: list[np.ndarray], shapes: list[np.ndarray], lanes: list[list[in
     return code.T, shp.T, owner.T, start.T
 
 
-def _with_shapes(words: list[bytes], code: np.ndarray) -> np.ndarray:
-    """Shapes of the tokens outside the lexicon (0 elsewhere)."""
-    out = np.zeros(len(code), np.int16)
-    beyond = np.flatnonzero((code < 0) | (code >= LEXICON))
-    for i in beyond.tolist():
-        out[i] = shape(words[i]) if i < len(words) else 52
-    return out
+def _with_shapes(lexicon: Lexicon, code: np.ndarray) -> np.ndarray:
+    """Shapes of the tokens outside the lexicon (0 inside)."""
+    known = lexicon.shapes[np.maximum(code, 0)] if len(lexicon.shapes) else np.zeros(len(code), np.int16)
+    return np.where(code < 0, -1 - code, np.where(code >= lexicon.size, known, 0)).astype(np.int16)
 
 
 def scored(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lanes: int = LANES) -> np.ndarray:
@@ -222,10 +227,11 @@ def scored(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     return total
 
 
-def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lanes: int = 48) -> None:
+def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lanes: int | None = None) -> None:
     """One pass of truncated back-propagation through time over the texts, by Adam."""
     if not codes:
         return
+    lanes = lanes or int(np.clip(sum(map(len, codes)) // (WINDOW * UPDATES), 8, 128))
     lex, k, h = model.l, model.l.size, STATE
     code, shp, owner, start = _laid(codes, shapes, _lanes(np.array([len(c) for c in codes]), lanes), k)
     inside = (code >= 0) & (code < k)
@@ -276,7 +282,7 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         full[real] = dx
         full = full.reshape(len(kept), -1, h)
         ds = np.zeros_like(s)
-        gx = np.zeros_like(p["x"])
+        inner = np.empty((len(kept), code.shape[1], 3 * h), np.float32)
         for i in range(len(kept) - 1, -1, -1):
             b, s0, z, r, n, gn, new_text = kept[i]
             d = full[i] + ds
@@ -284,10 +290,14 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             dz = d * (s0 - n) * z * (1 - z)
             dr = dn * gn * r * (1 - r)
             dg = np.concatenate([dz, dr, dn * r], axis=1)
-            np.add.at(gx, b, np.concatenate([dz, dr, dn], axis=1))
+            inner[i, :, : 2 * h], inner[i, :, 2 * h :] = dg[:, : 2 * h], dn
             g["u"] += s0.T @ dg
             ds = np.where(new_text[:, None], np.float32(0), d * z + dg @ p["u"].T)
-        g["x"] = gx
+        used = np.concatenate([x[0] for x in kept])
+        order = np.argsort(used, kind="stable")
+        at = np.flatnonzero(np.r_[True, np.diff(used[order]) != 0])
+        g["x"] = np.zeros_like(p["x"])
+        g["x"][used[order][at]] = np.add.reduceat(inner.reshape(-1, 3 * h)[order], at, axis=0)
         done += 1
         rate = RATE * (1 - 0.9 * done / windows) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
         for name, v in g.items():
@@ -299,13 +309,13 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
 def _texts(lexicon: Lexicon, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[list[bytes]]]:
     words = [words_of(t) for t in texts]
     codes = [lexicon.coded(w) for w in words]
-    return codes, [_with_shapes(w, c) for w, c in zip(words, codes, strict=True)], words
+    return codes, [_with_shapes(lexicon, c) for c in codes], words
 
 
 def _shape_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            shapes = np.fromiter((shape(w) if w != END else 52 for w in b.column(0).to_pylist()), np.int64, b.num_rows)
+            shapes = np.fromiter((_shape(w) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
             n = np.bincount(shapes, b.column(1).to_numpy().astype(float), SHAPES).astype(np.int64)
             yield pa.record_batch([pa.array(np.arange(SHAPES)), pa.array(n), pa.array(np.bincount(shapes, minlength=SHAPES))], ["shape", "n", "kinds"])
 
@@ -313,11 +323,18 @@ def _shape_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexicon_of(counts: DataFrame) -> Lexicon:
     """From the staged counts (word, n): FREQUENT words and SHAPES sums reach the driver, whatever the input."""
     tokens, kinds = counts.agg(F.sum("n"), F.count("*")).first()
-    frequent = [(bytes(r["word"]), r["n"]) for r in counts.orderBy(F.desc("n"), "word").limit(FREQUENT).collect()]
+    # the least count that keeps the words at or above it within the bound
+    below, least = 0, 1
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(FREQUENT + 1).collect():
+        below, least = below + r["words"], r["n"] + 1 if below + r["words"] > FREQUENT else r["n"]
+        if below > FREQUENT:
+            break
+    found = counts.filter(F.col("n") >= least).toPandas()
+    frequent = sorted(zip(map(bytes, found["word"]), found["n"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     sums = counts.mapInArrow(_shape_sums, "shape long, n long, kinds long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()
     shapes = {r["shape"]: [r["n"], r["kinds"]] for r in sums}
     for w, c in frequent[:LEXICON]:
-        s = shapes[shape(w) if w != END else 52]
+        s = shapes[_shape(w)]
         s[0], s[1] = s[0] - c, s[1] - 1
     return Lexicon(frequent, tokens or 0, kinds, {k: tuple(v) for k, v in shapes.items()})
 
