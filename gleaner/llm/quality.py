@@ -124,7 +124,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     """Boosted trees for labels 0 and 1."""
     share = float(y.mean()) if len(y) else 0.5
     empty = np.zeros((0, 0))
-    if not 0 < share < 1:
+    if not len(y) or not 0 < share < 1:
         p = min(max(share, 1e-6), 1 - 1e-6)
         return Forest(empty.astype(np.int64), empty, empty, float(np.log(p / (1 - p))))
     base = float(np.log(share / (1 - share)))
