@@ -103,10 +103,11 @@ def _confirmed(kind: str, match: Column) -> Column:
 
 def _spans(kind: str, text: Column, matches: Column) -> Column:
     """Confirmed spans of a kind: array of (kind, start, end, text, score)."""
-    between = F.split(text, _FAST[kind], -1)
-    steps = F.transform(matches, lambda m, i: F.length(F.get(between, i)) + F.coalesce(F.length(F.get(matches, i - 1)), F.lit(0)))
+    # arrays are zipped, never indexed inside a lambda: an expression that a lambda captures is computed for each element
+    before = F.concat(F.array(F.lit(0)), F.transform(matches, lambda m: F.length(m)))
+    steps = F.zip_with(F.split(text, _FAST[kind], -1), before, lambda gap, m: F.length(gap) + m)
     starts = _running(steps, lambda a, b: a + b)
-    found = F.transform(matches, lambda m, i: F.struct(F.get(starts, i).alias("start"), m.alias("text")))
+    found = F.filter(F.zip_with(starts, matches, lambda s, m: F.struct(s.alias("start"), m.alias("text"))), lambda s: s["text"].isNotNull())
 
     def scored(s: Column) -> Column:
         before = F.lower(F.substring(text, F.greatest(s["start"] - CONTEXT, F.lit(0)) + 1, F.least(s["start"], F.lit(CONTEXT))))
