@@ -91,7 +91,8 @@ def mod97(account: Column) -> Column:
 def _confirmed(kind: str, match: Column) -> Column:
     n = F.length(_digits(match))
     if kind == "ip":
-        return F.forall(F.split(match, r"\."), lambda p: (F.length(F.ltrim(F.lit("0"), p)) <= 3) & (F.coalesce(F.substring(F.ltrim(F.lit("0"), p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
+        number = lambda p: F.ltrim(p, F.lit("0"))
+        return F.forall(F.split(match, r"\."), lambda p: (F.length(number(p)) <= 3) & (F.coalesce(number(p).try_cast("int"), F.lit(0)) <= 255))
     if kind == "card":
         return n.between(13, 19) & luhn(_digits(match))
     if kind == "phone":
@@ -142,10 +143,11 @@ def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     kept = docs.columns
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    key = lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+    # by start; of spans that begin together the longest names the mask
+    key = lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))
     found = with_pii(docs, text_col, "__pii").withColumn("__pii", F.array_sort(F.transform("__pii", key)))
     s = F.col("__pii")
-    reach = _running(F.transform(s, lambda x: x["end"]), lambda a, b: F.greatest(a, b))
+    reach = _running(F.transform(s, lambda x: -x["back"]), lambda a, b: F.greatest(a, b))
     found = found.withColumn("__reach", reach)
     reach = F.col("__reach")
     index = F.transform(s, lambda x, i: i)
