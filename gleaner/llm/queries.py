@@ -27,6 +27,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op8_jaccard_join": jaccard_join.ORACLE_SQL,
         "op9_pii": pii.oracle_sql(),
         "op10_embedding_join": embedding_join.ORACLE_SQL,
     }
