@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import attach_group, documents, partitions, staged
+from gleaner.llm.common import attach_group, documents, partitions, release, small_batches, staged
 from gleaner.llm.graph import components
 from gleaner.llm.shingles import Sets, in_chunks, mix
 
@@ -55,6 +55,8 @@ ROUNDS = 4
 HUB = 256
 #: Ids to be broadcast at most (16 bytes each).
 BROADCAST_IDS = 500_000
+#: Pairs in an Arrow batch; each row holds two whole sets.
+BATCH = 200
 
 _U = np.uint64
 
@@ -308,16 +310,19 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     rows = docs.mapInArrow(_keys, "key long, cls long").repartition(n, "key").sortWithinPartitions("key", "cls")
     shared = staged(rows.mapInArrow(_shared, "key long, cls long, hub long"), "shared")
     del rows
+    release(spark)  # the largest shuffle is over
     stars = staged(shared.filter("cls != hub").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "stars")
     wanted = shared.select("cls").distinct()
     chosen = staged(classes.join(wanted, "cls").select("id"), "chosen")
     sets = staged(_chosen(docs, chosen).mapInArrow(_sets, "cls long, n long, bits binary, tokens binary"), "sets")
 
     def near(pairs: DataFrame) -> DataFrame:
-        return staged(_joined(pairs, sets, "bits").mapInArrow(_near, "a long, b long, shared long"), "near")
+        with small_batches(spark, BATCH):
+            return staged(_joined(pairs, sets, "bits").mapInArrow(_near, "a long, b long, shared long"), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return staged(_joined(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified, "a long, b long"), "links")
+        with small_batches(spark, BATCH):
+            return staged(_joined(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified, "a long, b long"), "links")
 
     def rooted(roots: DataFrame, table: DataFrame, on: str, name: str) -> DataFrame:
         return table.join(roots.select(F.col("node").alias(on), F.col("root").alias("r")), on, "left").withColumn(name, F.coalesce("r", on)).drop("r")
