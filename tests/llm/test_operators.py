@@ -253,6 +253,28 @@ def test_line_dedup_moved_block(spark):
         assert sum(x in block for x in left[i]) < 14 and {f"own {i} {k}" for k in range(i * 3 - 3)} <= set(left[i])
 
 
+@pytest.mark.parametrize("lines", range(2, 9))
+def test_line_dedup_passages_of_few_lines(spark, lines):
+    """Passages of over 50 words, each line far below 50, between foreign lines: all copies but the first go, whole."""
+    docs, passages = [], {}
+    for p in range(20):
+        passages[p] = [" ".join(f"w{p}x{k}x{i}" for i in range(55 // lines + 1)) for k in range(lines)]
+        passages[p].insert(1, "")
+        for copy in range(2):
+            own = [f"own {p} {copy} {k} \t words" for k in range(8)]
+            docs.append((2 * p + copy, "\n".join([*own[: 3 + p % 3], *passages[p], *own[3 + p % 3 :]])))
+    got = {r["doc_id"]: r for r in line_dedup.without_repeats(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()}
+    for n, text in docs:
+        want = text if n % 2 == 0 else "\n".join(x for x in text.split("\n") if x not in passages[n // 2])
+        assert (got[n]["text"], got[n]["removed_lines"], got[n]["removed_chunks"]) == (want, n % 2 * (lines + 1), n % 2)
+
+
+def test_line_dedup_keeps_one_of_a_line_that_repeats_itself(spark):
+    line = " ".join(f"w{i}" for i in range(30))
+    got = line_dedup.without_repeats(spark.createDataFrame([(1, "\n".join([line] * 7))], "doc_id long, text string")).collect()
+    assert (got[0]["text"], got[0]["removed_lines"]) == (f"{line}\n{line}", 5)
+
+
 # 8
 
 
