@@ -11,8 +11,7 @@ written; inside such a class the chance of a word is (c + 1) / (sum of (c + 1) +
 So the chances of all words and one unknown a class sum to 1. The state is a GRU's, carried from window to window, and
 starts anew with each text; a text's log-likelihood is over all its tokens.
 
-Learning. Training documents whose digest falls into a share of SHARE (whole texts; the sample grows with the input)
-are dealt to shards of about SHARD_TOKENS tokens. Each learns by back-propagation through WINDOW steps from the common
+Learning. All training documents are dealt to shards of about SHARD_TOKENS tokens. Each learns by back-propagation through WINDOW steps from the common
 start (unigram biases); the models are then averaged, AVERAGED at a time, in rounds of Spark tasks.
 
 Scoring runs on LANES texts side by side, in lanes of nearly equal length, so that long texts don't wait.
@@ -40,7 +39,7 @@ from gleaner.llm.common import documents, staged
 
 LEXICON, FREQUENT = 2048, 100_000
 STATE, WINDOW, LANES = 16, 32, 512
-SHARE, SHARD_TOKENS, AVERAGED, RATE = 8, 1_500_000, 16, 0.01
+SHARD_TOKENS, AVERAGED, RATE = 1_500_000, 16, 0.01
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
 UPDATES = 300
 #: Texts that are Python objects at a time.
@@ -358,8 +357,8 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
     """The averaged model of all shards; docs: id, text."""
     spark, sc = docs.sparkSession, docs.sparkSession.sparkContext
     mine = F.coalesce(F.crc32(F.col("id").cast("string").cast("binary")) % 7 != 2, F.lit(True))
-    sample = docs.filter(mine & (F.pmod(F.xxhash64("id", "text"), F.lit(SHARE)) == 0) & F.col("text").isNotNull())
-    chars = sample.agg(F.sum(F.length("text"))).first()[0] or 0
+    mine = docs.filter(mine).withColumn("text", F.coalesce("text", F.lit("")))
+    chars = mine.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     model = Model(lexicon)
     if not chars or not lexicon.size:
         return model
@@ -381,7 +380,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
             yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([float(sum(map(len, codes)))], pa.float64()), pa.array([m.dumped()], pa.binary())], ["shard", "weight", "model"])
 
     kind = "shard long, weight double, model binary"
-    dealt = sample.select(F.pmod(F.xxhash64("text", "id"), F.lit(shards)).alias("shard"), "text", "id")
+    dealt = mine.select(F.pmod(F.xxhash64("text", "id"), F.lit(shards)).alias("shard"), "text", "id")
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("text")).select("shard", "text")
     models = staged(dealt.mapInArrow(learn, kind), "models")
     while shards > 1:

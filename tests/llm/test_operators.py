@@ -223,6 +223,15 @@ def test_gradients_follow_differences():
     assert recurrent_lm.scored(model, codes[:1], shapes[:1])[0] / len(codes[0]) > -0.6
 
 
+def test_every_training_document_is_learnt_from(spark):
+    lexicon = recurrent_lm.Lexicon([(b"\n", 40)] + [(f"w{i}".encode(), 1) for i in range(40)], 80, 41, {})
+    docs = spark.createDataFrame([(i, f"w{i} w{i}") for i in range(40)], "id long, text string")
+    start, model = recurrent_lm.Model(lexicon), recurrent_lm.train(docs, lexicon)
+    moved = np.abs(model.p["x"] - start.p["x"]).max(axis=1) > 0
+    for i in range(40):  # the input of a word moves only where a text with it is learnt from
+        assert moved[lexicon.code[f"w{i}".encode()]] == (zlib.crc32(str(i).encode()) % 7 != 2)
+
+
 # 7
 
 
