@@ -2,16 +2,17 @@
 
 Tokens are the words of a text, A-Z lowered, and one end. Counts cover all training documents:
  - c(word), N and V by one grouped count; a batch's words are counted before the shuffle.
- - The FREQUENT most frequent words (a bounded table) go to the workers. The counts of all other words reach the
+ - The FREQUENT most frequent words (or twice the lexicon) go to the workers. The counts of all other words reach the
    documents by a join on the word; only sums come back.
 
-Model. P(token | text so far) = P(class | state) P(token | class, state). The LEXICON most frequent tokens fall into
-classes of like frequency, with a softmax inside the class. All other words fall into SHAPES classes by how they are
+Model. P(token | text so far) = P(class | state) P(token | class, state). The most frequent tokens, kinds ** GROWTH of
+them (LEXICON at least), fall into classes of like frequency, as many as the square root of their number, with a
+softmax inside the class. All other words fall into SHAPES classes by how they are
 written; inside such a class the chance of a word is (c + 1) / (sum of (c + 1) + 1), the last 1 for words never seen.
 So the chances of all words and one unknown a class sum to 1. The state is a GRU's, carried from window to window, and
 starts anew with each text; a text's log-likelihood is over all its tokens.
 
-Learning. All training documents are dealt to shards of about SHARD_TOKENS tokens. Each learns by back-propagation through WINDOW steps from the common
+Learning. All training documents are dealt to shards of SHARD_TOKENS tokens or, with a large lexicon, of as many bytes as the model has. Each learns by back-propagation through WINDOW steps from the common
 start (unigram biases); the models are then averaged, AVERAGED at a time, in rounds of Spark tasks.
 
 Scoring runs on LANES texts side by side, in lanes of nearly equal length, so that long texts don't wait.
@@ -35,10 +36,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, staged
+from gleaner.llm.common import documents, small_batches, staged
 
-LEXICON, FREQUENT = 2048, 100_000
-STATE, WINDOW, LANES = 16, 32, 512
+LEXICON, GROWTH, FREQUENT = 2048, 0.75, 100_000
+STATE, WINDOW, LANES = 24, 32, 512
 SHARD_TOKENS, AVERAGED, RATE = 1_500_000, 16, 0.01
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
 UPDATES = 300
@@ -93,13 +94,18 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 found = Counter()
 
 
+def lexicon_size(kinds: int) -> int:
+    """Words with learnt inputs and outputs, by the number of different words."""
+    return max(LEXICON, int(kinds**GROWTH))
+
+
 class Lexicon:
     """The frequent words with their counts, the classes, and what must be known of all other words."""
 
     def __init__(self, frequent: list[tuple[bytes, int]], tokens: int, kinds: int, shapes: dict[int, tuple[int, int]]):
-        """frequent: by falling count; shapes: (sum of counts, words) of each shape over all words but the LEXICON first."""
+        """frequent: by falling count; shapes: (sum of counts, words) of each shape over all words but the first, the lexicon."""
         self.tokens, self.kinds = tokens, kinds
-        top = frequent[:LEXICON]
+        top = frequent[: lexicon_size(kinds)]
         self.size = len(top)
         self.count = np.array([c for _, c in frequent], np.float64)
         self.code = {w: i for i, (w, _) in enumerate(frequent)}
@@ -126,7 +132,7 @@ class Lexicon:
 
 
 class Model:
-    """A GRU whose inputs are rows of a table (LEXICON words, shapes, start), with numpy arrays as parameters."""
+    """A GRU whose inputs are rows of a table (the lexicon's words, shapes, start), with numpy arrays as parameters."""
 
     def __init__(self, lexicon: Lexicon, seed: int = 7):
         rng, h = np.random.default_rng(seed), STATE
@@ -181,7 +187,7 @@ def _laid(codes: list[np.ndarray], shapes: list[np.ndarray], lanes: list[list[in
     """(steps, lanes) tables: input row, output class base word, shape, whether a text starts, owner (-1: none)."""
     steps = max(sum(len(codes[i]) for i in lane) for lane in lanes)
     code = np.full((len(lanes), steps), -1, np.int32)
-    shp, owner, start = np.zeros((len(lanes), steps), np.int16), np.full((len(lanes), steps), -1, np.int32), np.zeros((len(lanes), steps), bool)
+    shp, owner, start = np.zeros((len(lanes), steps), np.int32), np.full((len(lanes), steps), -1, np.int32), np.zeros((len(lanes), steps), bool)
     for j, lane in enumerate(lanes):
         at = 0
         for i in lane:
@@ -227,7 +233,7 @@ def scored(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
 
 
 def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lanes: int | None = None) -> None:
-    """One pass of truncated back-propagation through time over the texts, by Adam."""
+    """One pass of truncated back-propagation through time over the texts, by Adam; of the tables, rows in use are moved."""
     if not codes:
         return
     lanes = lanes or int(np.clip(sum(map(len, codes)) // (WINDOW * UPDATES), 8, 128))
@@ -238,6 +244,13 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     rows = np.where(inside, code, k + shp)
     m1 = {n: np.zeros_like(v) for n, v in model.p.items()}
     m2 = {n: np.zeros_like(v) for n, v in model.p.items()}
+
+    def move(name: str, at: slice | np.ndarray, v: np.ndarray) -> None:
+        a, b = m1[name][at], m2[name][at]
+        a, b = a + 0.1 * (v - a), b + 0.001 * (v * v - b)
+        m1[name][at], m2[name][at] = a, b
+        model.p[name][at] -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
+
     s, before, done = np.zeros((code.shape[1], h), np.float32), np.full(code.shape[1], k + SHAPES), 0
     windows = -(-len(code) // WINDOW)
     for t0 in range(0, len(code), WINDOW):
@@ -257,6 +270,8 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         real = np.flatnonzero(owner[t0:t1].ravel() >= 0)
         if not len(real):
             break
+        done += 1
+        rate = RATE * (1 - 0.9 * done / windows) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
         x, cls, word = states[real], out_class[t0:t1].ravel()[real], np.where(inside[t0:t1], code[t0:t1], -1).ravel()[real]
         e = x @ p["c"] + p["cb"]
         e = np.exp(e - e.max(axis=1, keepdims=True))
@@ -264,7 +279,7 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         e[np.arange(len(e)), cls] -= 1
         scale = np.float32(1 / len(real))
         e *= scale
-        g = {"c": x.T @ e, "cb": e.sum(axis=0), "w": np.zeros_like(p["w"]), "wb": np.zeros_like(p["wb"]), "u": np.zeros_like(p["u"])}
+        g = {"c": x.T @ e, "cb": e.sum(axis=0), "u": np.zeros_like(p["u"])}
         dx = e @ p["c"].T
         for c in np.unique(cls[word >= 0]).tolist():
             some = np.flatnonzero((cls == c) & (word >= 0))
@@ -274,9 +289,9 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             f /= f.sum(axis=1, keepdims=True)
             f[np.arange(len(some)), word[some] - lo] -= 1
             f *= scale
-            g["w"][lo:hi] += f.T @ x[some]
-            g["wb"][lo:hi] += f.sum(axis=0)
             dx[some] += f @ p["w"][lo:hi]
+            move("w", slice(lo, hi), f.T @ x[some])
+            move("wb", slice(lo, hi), f.sum(axis=0))
         full = np.zeros_like(states)
         full[real] = dx
         full = full.reshape(len(kept), -1, h)
@@ -295,14 +310,9 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         used = np.concatenate([x[0] for x in kept])
         order = np.argsort(used, kind="stable")
         at = np.flatnonzero(np.r_[True, np.diff(used[order]) != 0])
-        g["x"] = np.zeros_like(p["x"])
-        g["x"][used[order][at]] = np.add.reduceat(inner.reshape(-1, 3 * h)[order], at, axis=0)
-        done += 1
-        rate = RATE * (1 - 0.9 * done / windows) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
+        move("x", used[order][at], np.add.reduceat(inner.reshape(-1, 3 * h)[order], at, axis=0))
         for name, v in g.items():
-            m1[name] += 0.1 * (v - m1[name])
-            m2[name] += 0.001 * (v * v - m2[name])
-            p[name] -= (rate * m1[name] / (np.sqrt(m2[name]) + 1e-8)).astype(np.float32)
+            move(name, slice(None), v)
 
 
 def _texts(lexicon: Lexicon, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[list[bytes]]]:
@@ -320,19 +330,19 @@ def _shape_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
-    """From the staged counts (word, n): FREQUENT words and SHAPES sums reach the driver, whatever the input."""
+    """From the staged counts (word, n): the frequent words and SHAPES sums reach the driver."""
     tokens, kinds = counts.agg(F.sum("n"), F.count("*")).first()
     # the least count that keeps the words at or above it within the bound
-    below, least = 0, 1
-    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(FREQUENT + 1).collect():
-        below, least = below + r["words"], r["n"] + 1 if below + r["words"] > FREQUENT else r["n"]
-        if below > FREQUENT:
+    below, least, most = 0, 1, max(FREQUENT, 2 * lexicon_size(kinds))
+    for r in counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(most + 1).collect():
+        below, least = below + r["words"], r["n"] + 1 if below + r["words"] > most else r["n"]
+        if below > most:
             break
     found = counts.filter(F.col("n") >= least).toPandas()
     frequent = sorted(zip(map(bytes, found["word"]), found["n"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
     sums = counts.mapInArrow(_shape_sums, "shape long, n long, kinds long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()
     shapes = {r["shape"]: [r["n"], r["kinds"]] for r in sums}
-    for w, c in frequent[:LEXICON]:
+    for w, c in frequent[: lexicon_size(kinds)]:
         s = shapes[_shape(w)]
         s[0], s[1] = s[0] - c, s[1] - 1
     return Lexicon(frequent, tokens or 0, kinds, {k: tuple(v) for k, v in shapes.items()})
@@ -362,7 +372,7 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
     model = Model(lexicon)
     if not chars or not lexicon.size:
         return model
-    shards = int(-(-chars // (6 * SHARD_TOKENS)))
+    shards = int(-(-chars // max(6 * SHARD_TOKENS, sum(v.nbytes for v in model.p.values()))))
     start = sc.broadcast(lexicon)
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,7 +396,8 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
     while shards > 1:
         shards = -(-shards // AVERAGED)
         grouped = models.withColumn("shard", F.expr(f"shard div {AVERAGED}")).repartition(shards, "shard").sortWithinPartitions("shard", "weight")
-        models = staged(grouped.mapInArrow(_averaged, kind), "models")
+        with small_batches(spark, 1):
+            models = staged(grouped.mapInArrow(_averaged, kind), "models")
     left = models.collect()  # one model, or the few that a group's tasks left
     for p in _averaged(iter([pa.record_batch([pa.array([0] * len(left), pa.int64()), pa.array([r["weight"] for r in left]), pa.array([bytes(r["model"]) for r in left], pa.binary())], ["shard", "weight", "model"])])):
         with np.load(io.BytesIO(p.column(2)[0].as_py())) as f:

@@ -232,6 +232,21 @@ def test_every_training_document_is_learnt_from(spark):
         assert moved[lexicon.code[f"w{i}".encode()]] == (zlib.crc32(str(i).encode()) % 7 != 2)
 
 
+def test_lexicon_grows_with_the_vocabulary(spark):
+    for kinds in (3_000, 60_000, 200_000):
+        counts = spark.range(kinds).select(F.encode(F.concat(F.lit("w"), "id"), "utf-8").alias("word"), (kinds - F.col("id")).alias("n"))
+        lexicon = recurrent_lm.lexicon_of(counts)
+        assert lexicon.size == max(2048, int(kinds**0.75)) and lexicon.classes == round(lexicon.size**0.5)
+        assert lexicon.rest.sum() - recurrent_lm.SHAPES == sum(n + 1 for n in range(1, kinds - lexicon.size + 1))
+    assert recurrent_lm.Model(lexicon).p["u"].shape == (24, 72)
+    large = recurrent_lm.Lexicon([(f"w{i}".encode(), 1) for i in range(40_000)] + [(b"\n", 1)], 80_000, 1_500_000, {})
+    codes, shapes, _ = recurrent_lm._texts(large, [b"w39999 w1 other"] * 3)
+    model = recurrent_lm.Model(large)
+    before = recurrent_lm.scored(model, codes, shapes).sum()
+    recurrent_lm.learnt(model, codes, shapes)
+    assert large.size == 40_001 and before < recurrent_lm.scored(model, codes, shapes).sum() < 0
+
+
 # 7
 
 
