@@ -455,5 +455,5 @@ def ksg_selection(spark, d):
 
 @_query()
 def efficiency_prefix(spark, d):
-    curve = evaluate.efficiency_curve(_lines(spark, d).limit(5000), ["l_extendedprice", "l_discount"], "y")
+    curve = evaluate.efficiency_curve(_lines(spark, d), ["l_extendedprice", "l_discount"], "y")
     return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(curve)], "features int, auc double")

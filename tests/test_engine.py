@@ -193,3 +193,12 @@ def test_stream_of_cells(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("running_cells").agg(F.sum("n")).first()[0] == 100
+
+
+def test_efficiency_prefix_uses_every_line(spark, monkeypatch):
+    from gleaner.plans import catalogue
+
+    seen = []
+    monkeypatch.setattr(catalogue.evaluate, "efficiency_curve", lambda df, order, target: seen.append(df.count()) or [0.5] * len(order))
+    assert catalogue.QUERIES["efficiency_prefix"](spark, "/root/testdata/sf0.001").count() == 2
+    assert seen == [spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()] and seen[0] > 5000
