@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all of docs and returns the columns of documents (the last: pieces of
 sequences). ``run`` writes each stage's result to the shared folder and reads it back for the next.
+
+Decisions are about rows. A stage that drops some stages its input with a number for each row and judges by that, so
+rows with a null id, and different texts under one id, have each a fate of their own. Of a group of equal or near-equal
+texts exactly one row stays, whatever the ids: rows with an id come before those without, then the id decides, then a
+digest of the row, then its number (between rows equal in all columns, it doesn't matter which stays).
 """
 
 from __future__ import annotations
@@ -17,27 +22,43 @@ from gleaner.llm.common import documents, staged
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of ``docs`` whose doc_id (null too) is in ``ids``, with their columns as they were."""
-    wanted = ids.select(F.col("doc_id").alias("__wanted")).distinct()
-    return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("__wanted")), "left_semi").select(*COLUMNS)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with a number that no other row has, staged so that it stays."""
+    return staged(docs.select(*COLUMNS).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
+def _only(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose number is in ``rows``, with their columns as they were."""
+    return docs.join(rows.select("__row"), "__row", "left_semi").select(*COLUMNS)
+
+
+def _one_each(docs: DataFrame, groups: DataFrame, largest: bool) -> DataFrame:
+    """One row of ``docs`` for each group of ``groups`` (__row, group): that with the largest or smallest id."""
+    names = docs.select("__row", "doc_id", F.xxhash64(*COLUMNS).alias("digest"))
+    order = F.struct(F.col("doc_id").isNotNull() if largest else F.col("doc_id").isNull(), "doc_id", "digest", "__row")
+    best = groups.join(names, "__row").groupBy("group").agg((F.max if largest else F.min)(order).alias("best"))
+    return _only(docs, best.select("best.__row"))
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, learnt from their labels, predicts to be of label 1."""
-    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Rows that the classifier, learnt from the labels of their ids, predicts to be of label 1, each by its own text."""
+    docs = _numbered(docs)
+    found = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row_col="__row")
     return _only(docs, found.filter("predicted = 1"))
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts (A-Z lowered), the document with the largest id."""
-    return _only(docs, exact_dedup.exact_dedup(docs, keep="max").filter("kept"))
+    """Of equal texts (A-Z lowered; null as empty), one row: that with the largest id, one without an id only if none has any."""
+    docs = _numbered(docs)
+    found = exact_dedup.exact_dedup(docs, id_col="__row", keep="max")
+    return _one_each(docs, found.select("__row", F.col("keep_id").alias("group")), largest=True)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near duplicates, the document with the smallest id."""
-    found = jaccard_join.near_duplicates(docs)
-    return _only(docs, found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))))
+    """Of each component of near duplicates, one row: that with the smallest id, one without an id only if none has any."""
+    docs = _numbered(docs)
+    found = jaccard_join.near_duplicates(docs, id_col="__row")
+    return _one_each(docs, found.select("__row", F.col("component_id").alias("group")), largest=False)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

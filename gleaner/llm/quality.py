@@ -91,13 +91,14 @@ def describe(text: bytes) -> list[float]:
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         x = np.array([describe(t) for t in pc.fill_null(b.column(1), "").cast(pa.large_binary()).to_pylist()], np.float32).reshape(-1, len(STATS))
-        yield pa.record_batch([b.column(0), pa.array(list(x), pa.list_(pa.float32()))], ["id", "x"])
+        yield pa.record_batch([b.column(0), pa.array(list(x), pa.list_(pa.float32())), *b.columns[2:]], ["id", "x", "row"][: b.num_columns])
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and x (array of STATS numbers) of every row, staged."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    return staged(rows.mapInArrow(_described, "id long, x array<float>"), "statistics")
+def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id and x (array of STATS numbers) of every row, staged; with ``row_col``, also row."""
+    more = [F.col(f"`{row_col}`").cast("long").alias("row")] if row_col else []
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
+    return staged(rows.mapInArrow(_described, "id long, x array<float>" + (", row long" if more else "")), "statistics")
 
 
 @dataclass
@@ -173,18 +174,19 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a document: id, held_out, score, predicted."""
-    stats = statistics(docs, id_col, text_col)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """One row a document: id, held_out, score, predicted; with ``row_col``, a key that tells rows with one id apart, also that."""
+    stats = statistics(docs, id_col, text_col, row_col)
     forest = learn(stats, labels)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
-            yield pa.record_batch([b.column(0), pa.array(forest.score(x))], ["id", "score"])
+            yield pa.record_batch([b.column(0), pa.array(forest.score(x)), *b.columns[2:]], ["id", "score", "row"][: b.num_columns])
 
-    out = stats.select("id", "x").mapInArrow(scored, "id long, score double")
-    return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    out = stats.mapInArrow(scored, "id long, score double" + (", row long" if row_col else ""))
+    more = [F.col("row").alias(row_col)] if row_col else []
+    return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *more)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -34,3 +34,35 @@ def test_stages(spark, odd_docs, tmp_path):
             return
         assert kept(after) == kept(want), name
         docs = out
+
+
+def test_stages_on_null_and_repeated_ids(spark, odd_docs, tmp_path):
+    junk, good = "$$ ## @@ " * 40, "A quiet sentence of common words follows another one. " * 12
+    more = [(None, junk), (None, good), (None, good), (70, junk), (70, good + "More."), (71, good), (71, good.upper()), (71, good + "More."), (72, "only"), (72, "only")]
+    docs = odd_docs.select(*corpus_pipeline.COLUMNS)
+    docs = docs.unionByName(spark.createDataFrame([(n, t, "en", "s", None) for n, t in more], docs.schema))
+    labelled = [(1000 + k, junk + str(k) if k % 2 else good + str(k)) for k in range(80)]
+    docs = staged(docs.unionByName(spark.createDataFrame([(n, t, "en", "s", None) for n, t in labelled], docs.schema)), "odd")
+    spark.createDataFrame([(n, int(n % 2 == 0)) for n, _ in labelled], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    after = lambda name: [(r["doc_id"], r["text"]) for r in stages[name](spark, docs, str(tmp_path)).collect()]
+
+    got = after("quality")
+    assert (None, junk) not in got and (70, junk) not in got  # others under their ids stay
+    assert (70, good + "More.") in got and got.count((None, good)) == 2
+
+    got = after("exact_dedup")
+    texts = {low(t) for _, t in rows}
+    assert len(got) == len(texts) and {low(t) for _, t in got} == texts
+    for n, t in got:
+        assert (n, t) in rows and n == max((m for m, u in rows if low(u) == low(t) and m is not None), default=None)
+
+    got = after("near_dedup")
+    apart = [(k, t) for k, (_, t) in enumerate(rows)]  # components by row
+    groups = {}
+    for k, (_, _, root) in enumerate(components(apart)):
+        groups.setdefault(root, []).append(k)
+    want = [min((rows[k][0] for k in g if rows[k][0] is not None), default=None) for g in groups.values()]
+    assert kept(n for n, _ in got) == kept(want)
+    assert all(row in rows for row in got)
