@@ -2,12 +2,14 @@
 
 A text becomes pieces of a SentencePiece BPE model by its own agenda: candidate merges of neighbouring symbols wait in a
 heap by the merged piece's rank, then place. A candidate taken from the agenda is skipped for good when a keyed hash of
-(seed, variant, unit, place, length) falls below ``dropout``; merges that later arise beside it are candidates of their
-own. So segmentations vary with the seed and, among documents, with one of VARIANTS keys that a digest of the text
-picks; the same text and seed always give the same ids. With dropout 0 the ids are those of the library's encoder.
-
-No piece has a blank or a line end after another character, so a text is cut into units there; a worker keeps the
-ids of units it has met (bounded). Characters that no piece has are coded as bytes, as is the model's own blank sign
+(seed, digest of the text, place of the unit in the text, how many candidates the unit took before) falls below
+``dropout``; merges that later arise beside it are candidates of their own. So segmentations vary with the seed, from
+document to document and from place to place; the same text and seed always give the same ids. With dropout 0 the ids
+are those of the library's encoder.
+
+No piece has a blank or a line end after another character, so a text is cut into units there; a worker keeps the ids
+of units it has met (bounded), without skips and by the skips that befell them: what is skipped is drawn anew for
+every unit of every text. Characters that no piece has are coded as bytes, as is the model's own blank sign
 where a text holds it, so decoding gives every text back exactly.
 
 Edge cases: a null text counts as empty; an empty text has no ids; text of any length is coded whole.
@@ -18,7 +20,7 @@ from __future__ import annotations
 import heapq
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents
 
-DROPOUT, SEED, VARIANTS = 0.1, 17, 2
+DROPOUT, SEED = 0.1, 17
 #: Units in the memo before its older half goes; longer units aren't kept.
 MEMO, LONGEST = 500_000, 64
 #: Texts that are Python objects at a time.
@@ -38,10 +40,27 @@ SLICE = 256
 _SIGN, _LITERAL = "▁", "\0▁"
 _UNITS = re.compile(r" *[^ \n]+|\n| +")
 _MASK = (1 << 64) - 1
+_UNIT, _NTH, _MIX = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
+
+
+def _drawn(key: int, unit: int, nth: int) -> int:
+    """32 bits for a unit's nth candidate, in a text of that key."""
+    x = key + unit * _UNIT + nth * _NTH & _MASK
+    x = (x ^ x >> 30) * _MIX[0] & _MASK
+    x = (x ^ x >> 27) * _MIX[1] & _MASK
+    return (x ^ x >> 31) >> 32
+
+
+def _all_drawn(key: int, unit: np.ndarray, nth: np.ndarray) -> np.ndarray:
+    """``_drawn`` of arrays."""
+    x = np.uint64(key) + unit.astype(np.uint64) * np.uint64(_UNIT) + nth.astype(np.uint64) * np.uint64(_NTH)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(_MIX[0])
+    x = (x ^ x >> np.uint64(27)) * np.uint64(_MIX[1])
+    return (x ^ x >> np.uint64(31)) >> np.uint64(32)
 
 
 class Codec:
-    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED, variants: int = VARIANTS):
+    def __init__(self, path: str, dropout: float = DROPOUT, seed: int = SEED):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -60,18 +79,20 @@ class Codec:
                 self.ids[piece] = i
                 self.rank[piece] = -model.get_score(i)
                 self.surface.append(piece.replace(_SIGN, " ").encode())
-        self.dropout, self.seed, self.variants = dropout, seed, variants if dropout else 1
-        self.new: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        self.old: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def pieces(self, unit: str, variant: int) -> list[str]:
-        """Symbols of a unit whose blanks are signs, by the agenda."""
+        self.limit, self.seed = int(dropout * (1 << 32)), seed
+        # unit: its ids without skips, and the candidates taken; (unit, skips): the same with these
+        self.new: dict[str, tuple[bytes, int]] = {}
+        self.old: dict[str, tuple[bytes, int]] = {}
+        self.skipped: dict[tuple, tuple[bytes, int]] = {}
+        self.skipped_old: dict[tuple, tuple[bytes, int]] = {}
+
+    def pieces(self, unit: str, skip: Callable[[int], bool] | None = None) -> tuple[list[str], int]:
+        """Symbols of a unit whose blanks are signs, by the agenda, and how many candidates were taken; ``skip``: by number."""
         symbols = [_LITERAL if c == _SIGN else _SIGN if c == " " else c for c in unit]
         n = len(symbols)
         if n == 1:
-            return symbols
-        rank, limit = self.rank.get, int(self.dropout * (1 << 32))
-        key = xxhash.xxh64_intdigest(unit, seed=self.seed * 1000003 + variant) if limit else 0
+            return symbols, 0
+        rank, taken = self.rank.get, 0
         after, before, size = list(range(1, n + 1)), list(range(-1, n - 1)), [1] * n
         agenda = [(r, i, 2) for i in range(n - 1) if (r := rank(symbols[i] + symbols[i + 1])) is not None]
         heapq.heapify(agenda)
@@ -80,7 +101,8 @@ class Codec:
             j = after[i]
             if not size[i] or j >= n or size[i] + size[j] != length:
                 continue  # one of its symbols has changed since
-            if limit and (((key ^ (i * 0x9E3779B97F4A7C15 + length * 0xC2B2AE3D27D4EB4F)) * 0xD6E8FEB86659FD93 & _MASK) >> 32) < limit:
+            taken += 1
+            if skip and skip(taken - 1):
                 continue
             symbols[i] += symbols[j]
             size[i], size[j] = length, 0
@@ -92,38 +114,77 @@ class Codec:
             h = before[i]
             if h >= 0 and (r := rank(symbols[h] + symbols[i])) is not None:
                 heapq.heappush(agenda, (r, h, size[h] + length))
-        return [s for s, c in zip(symbols, size, strict=True) if c]
+        return [s for s, c in zip(symbols, size, strict=True) if c], taken
 
-    def _unit(self, unit: str, variant: int) -> bytes:
+    def _unit(self, unit: str, skip: Callable[[int], bool] | None = None) -> tuple[bytes, int]:
         out: list[int] = []
-        for p in self.pieces(unit, variant):
+        symbols, taken = self.pieces(unit, skip)
+        for p in symbols:
             i = self.ids.get(p)
             if i is None:
                 out += [self.bytes[b] for b in p.removeprefix("\0").encode()] if p == _LITERAL else [self.bytes[b] for b in p.encode()]
             else:
                 out.append(i)
-        return np.array(out, "<u4").tobytes()
+        return np.array(out, "<u4").tobytes(), taken
 
-    def encode(self, text: str) -> bytes:
-        """Ids as little-endian unsigned 32-bit numbers."""
-        if not text:
-            return b""
-        v = zlib.crc32(text.encode()) % self.variants
-        new, old = self.new[v], self.old[v]
-        units = _UNITS.findall(" " + text)
+    def _plain(self, units: list[str]) -> list[tuple[bytes, int]]:
+        """Ids and taken candidates of units without skips."""
         try:
-            return b"".join(map(new.__getitem__, units))
+            return list(map(self.new.__getitem__, units))
         except KeyError:
             pass
-        if len(new) > MEMO // (2 * self.variants):
-            self.old[v] = old = new
-            self.new[v] = new = {}
-        held: dict[str, bytes] = {}
+        if len(self.new) > MEMO // 4:
+            self.old, self.new = self.new, {}
+        new, old, held = self.new, self.old, {}
         for u in units:
             if u not in new and u not in held:
-                ids = old.get(u) or self._unit(u, v)
-                (new if len(u) <= LONGEST else held)[u] = ids
-        return b"".join([new[u] if u in new else held[u] for u in units])
+                (new if len(u) <= LONGEST else held)[u] = old.get(u) or self._unit(u)
+        return [new[u] if u in new else held[u] for u in units]
+
+    def _with_skips(self, unit: str, taken: int, key: int, place: int) -> bytes:
+        """Ids of the unit at a place of a text; ``taken``: candidates taken without skips."""
+        limit, skips, nth = self.limit, (), 0
+        while True:
+            while nth < taken and _drawn(key, place, nth) >= limit:
+                nth += 1
+            if nth >= taken:
+                return ids
+            skips += (nth,)
+            nth += 1
+            found = self.skipped.get((unit, skips)) or self.skipped_old.get((unit, skips))
+            if found is None:
+                break
+            ids, taken = found
+        had, more = set(skips), []
+
+        def skip(n: int) -> bool:
+            if n >= nth and _drawn(key, place, n) < limit:
+                more.append(n)
+                return True
+            return n in had
+
+        found = self._unit(unit, skip)
+        if len(unit) <= LONGEST:
+            if len(self.skipped) > MEMO // 6:
+                self.skipped_old, self.skipped = self.skipped, {}
+            self.skipped[unit, (*skips, *more)] = found
+        return found[0]
+
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian unsigned 32-bit numbers."""
+        if not text:
+            return b""
+        units = _UNITS.findall(" " + text)
+        found = self._plain(units)
+        out = [ids for ids, _ in found]
+        taken = np.fromiter((n for _, n in found), np.int64, len(found))
+        if self.limit and taken.any():
+            key = xxhash.xxh64_intdigest(text.encode(), seed=self.seed)
+            unit = np.repeat(np.arange(len(units)), taken)
+            nth = np.arange(len(unit)) - np.repeat(np.cumsum(taken) - taken, taken)
+            for i in np.unique(unit[_all_drawn(key, unit, nth) < self.limit]).tolist():
+                out[i] = self._with_skips(units[i], found[i][1], key, i)
+        return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
         data = b"".join(map(self.surface.__getitem__, np.frombuffer(ids, "<u4").tolist()))

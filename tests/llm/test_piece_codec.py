@@ -36,3 +36,28 @@ def test_dropout_varies_by_seed_and_not_by_time():
     assert DROPPED.encode(text) == Codec(PATH, 0.1).encode(text)
     assert len({c.encode(text) for c in (PLAIN, DROPPED, OTHER)}) == 3
     assert len(DROPPED.encode(text)) > len(PLAIN.encode(text))
+
+
+def test_dropout_varies_by_document_and_place():
+    word = "internationalisation"
+    alone = {tuple(ids(DROPPED, f"{word}\n{k}")).index(ids(PLAIN, "\n")[-1]) for k in range(200)}
+    texts = [ids(DROPPED, " ".join([word] * 200) + f" {k}") for k in range(3)]
+    assert len(alone) > 2  # several segmentations of one unit, by document
+    assert len({tuple(t) for t in texts}) == 3
+    # a unit's occurrences in one text are cut in several ways
+    starts = [i for i, p in enumerate(texts[0]) if DROPPED.surface[p].startswith(b" ")]
+    assert len({tuple(texts[0][a:b]) for a, b in zip(starts, starts[1:], strict=False)}) > 2
+
+
+def test_draws_agree_and_skip_a_tenth_whatever_the_memo():
+    import numpy as np
+
+    from gleaner.llm import piece_codec
+
+    unit, nth = np.repeat(np.arange(400), 50), np.tile(np.arange(50), 400)
+    drawn = piece_codec._all_drawn(12345678901234567890, unit, nth)
+    assert drawn.tolist() == [piece_codec._drawn(12345678901234567890, u, n) for u, n in zip(unit.tolist(), nth.tolist(), strict=True)]
+    assert abs((drawn < int(0.1 * (1 << 32))).mean() - 0.1) < 0.01
+    texts = [f"responsibilities unbelievable {k} internationalisation understanding responsibilities" for k in range(300)]
+    warm = [DROPPED.encode(t) for t in texts]
+    assert warm == [DROPPED.encode(t) for t in texts] and warm[::-1] == [c.encode(t) for c in [Codec(PATH, 0.1)] for t in texts[::-1]]
