@@ -52,8 +52,9 @@ _MARKED = _table(b"#$%&*!|")
 
 
 def _windows(mask: np.ndarray) -> float:
+    """The worst share of a window; the last window ends with the text."""
     n = len(mask) // PIECE
-    return float(mask[: n * PIECE].reshape(n, PIECE).sum(axis=1).max() / PIECE) if n else float(mask.mean())
+    return float(max(mask[: n * PIECE].reshape(n, PIECE).sum(axis=1).max(), mask[-PIECE:].sum()) / PIECE) if n else float(mask.mean())
 
 
 def describe(text: bytes) -> list[float]:

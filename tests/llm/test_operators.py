@@ -108,6 +108,14 @@ def test_forest_learns_and_walks():
     assert f.score(x[:5]) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
 
 
+@pytest.mark.parametrize("size", [512, 513, 1000, 1023, 1024, 1500])
+def test_windows_see_the_end_of_a_text(size):
+    text = b"a" * (size - 300) + b"#" * 100 + b"A" * 100 + b"|" * 100
+    worst = dict(zip(quality.STATS, quality.describe(text), strict=True))
+    for name in ("worst_mark_window", "worst_upper_window", "worst_pipe_window"):
+        assert worst[name] == 100 / 512
+
+
 def test_quality(spark, odd_docs, odd_rows, no_docs):
     labels = spark.createDataFrame([(n, int(n % 2), 0) for n, _ in odd_rows if n is not None] + [(None, 1, 0), (3, None, 0), (5, 7, 0), (999, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd_docs, labels).collect()
