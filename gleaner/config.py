@@ -6,15 +6,17 @@ from dataclasses import dataclass, fields
 from typing import Any
 
 TASKS = ("auto", "classifier_binary", "classifier_multiclass", "continuous")
+#: Names and defaults of the public interface.
 #: Options that only one estimator reads; setting one for the other estimator is an error.
 OF_ESTIMATOR = {
-    "histogram": ("bins", "bins_target", "max_categories", "missing", "significance", "fdr_q", "n_permutations", "permutation_rows", "subsample", "max_cache_cells", "numeric_features", "categorical_features"),
+    "histogram": ("bins", "bins_target", "max_categories", "missing", "significance", "fdr_q", "n_permutations", "permutation_rows", "subsample", "max_cache_cells", "numeric_features", "categorical_features", "exact_quantiles"),
     "ksg": ("ksg_k", "ksg_subsample"),
 }
 
 
 @dataclass
 class SelectorConfig:
+    # fixed values: names and defaults of the public interface, up to categorical_features
     target: str
     task: str = "auto"
     max_features: int = 50
@@ -23,7 +25,7 @@ class SelectorConfig:
     bins_target: int = 10
     max_categories: int = 50
     missing: str = "category"
-    significance: str | None = "chi2"
+    significance: Any = "chi2"
     fdr_q: float = 0.05
     n_permutations: int = 100
     permutation_rows: int = 50_000
@@ -43,16 +45,20 @@ class SelectorConfig:
     exclude: tuple[str, ...] = ()
     #: "table": degrees of freedom from the table's shape; "occupied": from the codes that occur.
     freedom: str = "table"
+    #: Quantiles by counting all values instead of a sketch.
+    exact_quantiles: bool = False
 
     def __post_init__(self) -> None:
         least = {"max_features": 1, "screen_top_k": 1, "bins_target": 2, "max_categories": 1, "n_permutations": 1, "permutation_rows": 100, "subsample": 1000, "ksg_k": 1, "ksg_subsample": 1000, "max_cache_cells": 1000, "cmim_m": 1, "min_score": 0}
         for name, low in least.items():
             if getattr(self, name) < low:
                 raise ValueError(f"{name} must be at least {low}, not {getattr(self, name)}")
-        allowed = {"task": TASKS, "missing": ("category", "drop"), "significance": ("chi2", "permutation", None), "estimator": ("histogram", "ksg"), "cmim_approx": (None, "max_min"), "freedom": ("table", "occupied")}
+        allowed = {"task": TASKS, "missing": ("category", "drop"), "estimator": ("histogram", "ksg"), "cmim_approx": (None, "max_min"), "freedom": ("table", "occupied")}
         for name, values in allowed.items():
             if getattr(self, name) not in values:
                 raise ValueError(f"{name} must be one of {values}, not {getattr(self, name)!r}")
+        if self.significance not in ("chi2", "permutation", None) and not hasattr(self.significance, "test"):
+            raise ValueError(f"significance must be 'chi2', 'permutation', None or have a method test, not {self.significance!r}")
         if self.screen_top_k < self.max_features:
             raise ValueError(f"screen_top_k ({self.screen_top_k}) must not be below max_features ({self.max_features})")
         if self.bins != "auto" and (not isinstance(self.bins, int) or self.bins < 2):

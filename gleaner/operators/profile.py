@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -118,15 +119,57 @@ def as_text(df: DataFrame, name: str) -> Column:
     return F.date_format(_col(name), "yyyy-MM-dd HH:mm:ss") if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else _col(name).cast("string")
 
 
-def number_stats(df: DataFrame, bins: dict[str, int], exact: bool = False) -> dict[str, tuple]:
-    """(least, largest, inner quantiles) of each column, by one aggregate."""
-    wanted = []
+def number_stats(df: DataFrame, bins: dict[str, int], exact: bool = False) -> tuple[dict[str, tuple], int]:
+    """(least, largest, inner quantiles) of each column, and the number of rows, by one aggregate."""
+    wanted = [F.count("*").alias("rows")]
     for i, (name, b) in enumerate(bins.items()):
         x, levels = as_number(df, name), [k / b for k in range(1, b)]
-        q = F.percentile(x, levels) if exact else F.percentile_approx(x, levels, ACCURACY)
+        q = F.lit(None).cast("array<double>") if exact else F.percentile_approx(x, levels, ACCURACY)
         wanted.append(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"), q.alias("q")).alias(f"s{i}"))
-    row = df.agg(*wanted).first() if wanted else ()
-    return {name: (s["lo"], s["hi"], list(s["q"] or [])) for name, s in zip(bins, row, strict=True)}
+    row = df.agg(*wanted).first()
+    quantiles = exact_quantiles(df, bins) if exact else {n: list(row[i + 1]["q"] or []) for i, n in enumerate(bins)}
+    return {n: (row[i + 1]["lo"], row[i + 1]["hi"], quantiles[n]) for i, n in enumerate(bins)}, row["rows"]
+
+
+def exact_quantiles(df: DataFrame, bins: dict[str, int]) -> dict[str, list[float]]:
+    """Quantiles k / bins of each column, between two values if need be.
+
+    Values are counted, dealt by ranges of (column, value) and numbered within each range; the ranges' totals (one row
+    a range and column) give the ranks before it. Only values at a wanted rank leave the executors.
+    """
+    names = list(bins)
+    if not names:
+        return {}
+    wide = df.select(*[as_number(df, n).alias(f"f{i}") for i, n in enumerate(names)])
+    kinds = wide.unpivot([], [f"f{i}" for i in range(len(names))], "f", "v").filter("v is not null").groupBy("f", "v").agg(F.count("*").alias("n"))
+    ranged = kinds.repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        sizes = ranged.groupBy("f", "part").agg(F.sum("n").alias("n")).collect()
+        total, before = dict.fromkeys((f"f{i}" for i in range(len(names))), 0), []
+        for r in sorted(sizes, key=lambda r: (r["f"], r["part"])):
+            before.append((r["f"], r["part"], total[r["f"]]))
+            total[r["f"]] += r["n"]
+        ranks = {f: [(total[f] - 1) * k / b for k in range(1, b)] if total[f] else [] for f, b in zip(total, bins.values(), strict=True)}
+        wanted = {f: sorted({int(x) for x in r} | {math.ceil(x) for x in r}) for f, r in ranks.items()}
+        if not before:
+            return {n: [] for n in names}
+        firsts = df.sparkSession.createDataFrame(before, "f string, part int, before long")
+        needs = df.sparkSession.createDataFrame(list(wanted.items()), "f string, ranks array<long>")
+        upto = F.sum("n").over(Window.partitionBy("f", "part").orderBy("v"))
+        placed = ranged.withColumn("upto", upto).join(F.broadcast(firsts), ["f", "part"]).join(F.broadcast(needs), "f")
+        end = F.col("before") + F.col("upto")
+        hit = F.filter("ranks", lambda r: (r < end) & (r >= end - F.col("n")))
+        at: dict[tuple[str, int], float] = {}
+        for r in placed.select("f", "v", hit.alias("hit")).filter(F.size("hit") > 0).collect():
+            at |= {(r["f"], k): r["v"] for k in r["hit"]}
+    finally:
+        ranged.unpersist()
+
+    def between(f: str, x: float) -> float:
+        lo, hi = at[f, int(x)], at[f, math.ceil(x)]
+        return lo + (hi - lo) * (x - int(x))
+
+    return {n: [between(f, x) for x in ranks[f]] for n, f in zip(names, total, strict=True)}
 
 
 def category_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -139,13 +182,12 @@ def category_counts(df: DataFrame, names: list[str]) -> DataFrame:
 
 def codings(df: DataFrame, kinds: dict[str, str], config: SelectorConfig, task: str, exact: bool = False) -> tuple[list[Coding], Coding, int]:
     """Codings of the features and the target, and the number of rows."""
-    n_rows = df.count()
     target_kind = "numeric" if task == "continuous" else "categorical"
-    b = bins_for(n_rows, config.bins)
+    b = bins_for(df.count() if config.bins == "auto" else 0, config.bins)
     bins = {n: b for n, k in kinds.items() if k == "numeric"}
     if target_kind == "numeric":
         bins[config.target] = config.bins_target
-    stats = number_stats(df, bins, exact)
+    stats, n_rows = number_stats(df, bins, exact or config.exact_quantiles)
     words = [n for n, k in kinds.items() if k == "categorical"] + ([config.target] if target_kind == "categorical" else [])
     values: dict[str, list[str]] = {n: [] for n in words}
     if words:
