@@ -16,26 +16,33 @@ from gleaner.functions.measures import cmi_of_cells, mi_of_cells
 from gleaner.operators import cells as C
 from gleaner.operators import evaluate, greedy, knn
 from gleaner.operators import profile as P
-from gleaner.operators import significance as S
+from gleaner.operators.screening import screen
+
+#: Names of the stages in ``timings_``.
+STAGES = ("etapa0", "etapa1", "etapa2", "etapa3")
 
 
 @dataclass
 class SelectorModel:
     selected_features: list[str]
     scores_: list[float]
-    ranking_: list[str]
+    ranking_: list[tuple[str, float]]
     criterion: str
     n_rows: int
     target: str
     task: str
     timings_: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        if len(self.selected_features) != len(self.scores_):
+            raise ValueError(f"{len(self.selected_features)} features, but {len(self.scores_)} scores")
+
     def transform(self, df: DataFrame) -> DataFrame:
         """The selected columns and the target."""
         return df.select(*[f"`{c}`" for c in (*self.selected_features, self.target)])
 
     def report(self, df: DataFrame, model: Any = "gbt", task: str | None = None) -> evaluate.EvaluationReport:
-        return evaluate.report(df, self.selected_features, self.ranking_, self.target, model, task or self.task)
+        return evaluate.report(df, self.selected_features, [name for name, _ in self.ranking_], self.target, model, task or self.task)
 
 
 class _Clock:
@@ -68,52 +75,32 @@ class InfoSelector:
         c, clock = self.config, _Clock()
         task = P.task_of(df, c.target, c.task)
         features, target, n_before = P.codings(df, P.kinds_of(df, c), c, task)
-        by_name = {f.name: f for f in features}
         codes = P.encoded(df, features, target, c.missing).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             n_rows = codes.count() if c.missing == "drop" else n_before
-            clock.lap("etapa0")
-            names = list(by_name)
-            uni = C.feature_cells(codes, names, c.target).cache()
-            mi_of = {r["feature"]: r["mi"] for r in mi_of_cells(uni, ["feature"]).collect()} if names else {}
-            mi = np.array([mi_of.get(n, 0.0) for n in names])
-            verdict = S.judged(c.significance, mi, n_rows, self._freedom(uni, names, by_name, target), c.fdr_q, lambda best: self._permuted(codes, names, best, n_rows), c.screen_top_k)
-            uni.unpersist()
-            ranking = [names[i] for i in greedy.ranked(mi)]
-            short = greedy.shortlist(mi, verdict.significant, c.screen_top_k)
-            while len(short) > 1 and C.budget([by_name[names[i]].n_codes for i in short], target.n_codes) > c.max_cache_cells:
+            clock.lap(STAGES[0])
+            screening = screen(codes, features, target, c, n_rows)
+            short = list(screening.candidates)
+            while len(short) > 1 and C.budget([features[i].n_codes for i in short], target.n_codes) > c.max_cache_cells:
                 short.pop()
-            clock.lap("etapa1")
+            clock.lap(STAGES[1])
             if not short:
-                return SelectorModel([], [], ranking, self.criterion, n_rows, c.target, task, clock.found)
-            picked = [names[i] for i in short]
+                return SelectorModel([], [], screening.ranking(), self.criterion, n_rows, c.target, task, clock.found)
+            picked = [features[i] for i in short]
             sample = P.sampled(codes, n_rows, c.subsample, c.seed)
-            info = self._matrices(sample, picked, mi[short])
-            clock.lap("etapa2")
+            info = self._matrices(sample, picked, target, screening.mi[short])
+            clock.lap(STAGES[2])
             chosen = self._search(info)
-            clock.lap("etapa3")
-            return SelectorModel([picked[i] for i in chosen.places], chosen.scores, ranking, self.criterion, n_rows, c.target, task, clock.found)
+            clock.lap(STAGES[3])
+            return SelectorModel([picked[i].name for i in chosen.places], chosen.scores, screening.ranking(), self.criterion, n_rows, c.target, task, clock.found)
         finally:
             codes.unpersist()
 
-    def _freedom(self, uni: DataFrame, names: list[str], by_name: dict[str, P.Coding], target: P.Coding) -> np.ndarray:
-        if self.config.freedom == "table":
-            return np.array([(by_name[n].n_codes - 1) * (target.n_codes - 1) for n in names])
-        there = {r["feature"]: (r["x"] - 1) * (r["y"] - 1) for r in uni.groupBy("feature").agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).collect()}
-        return np.array([there.get(n, 0) for n in names])
-
-    def _permuted(self, codes: DataFrame, names: list[str], best: np.ndarray, n_rows: int) -> np.ndarray:
-        c = self.config
-        some = [names[i] for i in best]
-        sample = P.sampled(codes, n_rows, c.permutation_rows, c.seed)
-        p = {r["feature"]: r["p"] for r in S.permutation_pvalues(C.feature_cells(sample, some, c.target), c.n_permutations, c.seed).collect()}
-        return np.array([p.get(n, 1.0) for n in some])
-
-    def _matrices(self, sample: DataFrame, picked: list[str], mi: np.ndarray) -> greedy.Matrices:
-        k, target = len(picked), self.config.target
+    def _matrices(self, sample: DataFrame, codings: list[P.Coding], target: P.Coding, mi: np.ndarray) -> greedy.Matrices:
+        picked, k = [c.name for c in codings], len(codings)
         pair, cmi = np.zeros((k, k)), np.zeros((k, k))
         if k > 1 and self.criterion != "cmim" or self.config.cmim_approx:
-            found = C.pair_cells(sample, picked, target).persist(StorageLevel.MEMORY_AND_DISK)
+            found = C.pair_cells(sample, picked, target.name, [c.n_codes for c in codings], target.n_codes).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 if self.criterion in ("mrmr", "mim"):
                     both = found.groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
@@ -154,18 +141,18 @@ class InfoSelector:
         if task == "continuous" and not isinstance(kind, P.NUMBERS) or not isinstance(kind, P.NUMBERS + P.CATEGORIES):
             raise ValueError(f"nearest neighbours can't use the target {c.target} of type {kind.simpleString()}")
         n_rows = df.count()
-        clock.lap("etapa0")
+        clock.lap(STAGES[0])
         if not names:
             return SelectorModel([], [], [], self.criterion, n_rows, c.target, task, clock.found)
-        spark = df.sparkSession
         x, y = knn.sample_arrays(P.sampled(df, n_rows, c.ksg_subsample, c.seed), names, c.target, task == "continuous")
-        mi = knn.KnnInformations(x, y, c.ksg_k, spark).relevance()
-        short = greedy.ranked(mi)[: c.screen_top_k]
-        clock.lap("etapa1")
-        chosen = self._search(knn.KnnInformations(x[:, short], y, c.ksg_k, spark))
-        clock.lap("etapa3")
+        with knn.KnnInformations(x, y, c.ksg_k, df.sparkSession) as info:
+            mi = info.relevance()
+            short = greedy.ranked(mi)[: c.screen_top_k]
+            clock.lap(STAGES[1])
+            chosen = self._search(info.only(short))
+            clock.lap(STAGES[3])
         picked = [names[i] for i in short]
-        return SelectorModel([picked[i] for i in chosen.places], chosen.scores, [names[i] for i in greedy.ranked(mi)], self.criterion, n_rows, c.target, task, clock.found)
+        return SelectorModel([picked[i] for i in chosen.places], chosen.scores, [(names[i], float(mi[i])) for i in greedy.ranked(mi)], self.criterion, n_rows, c.target, task, clock.found)
 
 
 class JMIMSelector(InfoSelector):

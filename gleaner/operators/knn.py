@@ -10,6 +10,7 @@ bounded memory. On a cluster each pair of variables is one task.
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 
 import numpy as np
@@ -90,25 +91,46 @@ def ksg_cmi(x, y, z, k: int = 10) -> float:
 
 
 class KnnInformations:
-    """Informations of a sample by nearest neighbours, each asked once. With a session, candidates are dealt to tasks."""
+    """Informations of a sample by nearest neighbours, each asked once.
+
+    With a session, candidates are dealt to tasks; the sample, of a bounded number of rows, is sent to the executors
+    once and taken back at the end of the ``with`` block.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray, k: int, spark: SparkSession | None = None):
         self.x, self.y, self.k, self.spark = np.asarray(x, float), np.asarray(y, float), k, spark
+        self.columns = list(range(self.x.shape[1]))
+        self._sent = spark.sparkContext.broadcast((self.x, self.y)) if spark is not None else None
         self._kept: dict[tuple, np.ndarray] = {}
 
+    def __enter__(self) -> KnnInformations:
+        return self
+
+    def __exit__(self, *_) -> None:
+        if self._sent is not None:
+            self._sent.destroy()
+
+    def only(self, columns: list[int]) -> KnnInformations:
+        """The informations of some candidates, on the same sample."""
+        out = copy.copy(self)
+        out.columns, out._kept = [self.columns[i] for i in columns], {}
+        return out
+
     def _each(self, name: tuple, measure: Callable[[np.ndarray, np.ndarray, int], float]) -> np.ndarray:
         if name not in self._kept:
-            n = self.x.shape[1]
-            if self.spark is None:
-                self._kept[name] = np.array([measure(self.x, self.y, i) for i in range(n)])
+            columns, data = self.columns, self._sent
+            if data is None:
+                x = self.x[:, columns]
+                self._kept[name] = np.array([measure(x, self.y, i) for i in range(len(columns))])
             else:
-                data = self.spark.sparkContext.broadcast((self.x, self.y))  # bounded by ksg_subsample rows
 
                 def ask(parts):
+                    x, y = data.value
+                    x = x[:, columns]
                     for p in parts:
-                        yield pd.DataFrame({"i": p.id, "v": [measure(*data.value, int(i)) for i in p.id]})
+                        yield pd.DataFrame({"i": p.id, "v": [measure(x, y, int(i)) for i in p.id]})
 
-                got = self.spark.range(0, n, 1, max(1, n)).mapInPandas(ask, "i long, v double").collect()
+                got = self.spark.range(0, len(columns), 1, max(1, len(columns))).mapInPandas(ask, "i long, v double").collect()
                 self._kept[name] = np.array([r["v"] for r in sorted(got, key=lambda r: r["i"])])
         return self._kept[name]
 

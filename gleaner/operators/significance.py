@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import Protocol
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleaner.config import SelectorConfig
 from gleaner.functions.measures import mutual_information
 from gleaner.functions.special import chi2_tail
 
@@ -79,20 +82,67 @@ class Verdict:
     significant: np.ndarray
 
 
-def judged(kind: str | None, mi: np.ndarray, n: int, freedom: np.ndarray, q: float, permuted=None, tested: int = 0) -> Verdict:
-    """chi2: all features; permutation: the ``tested`` best, others p = 1; None: all are significant.
-
-    ``permuted`` gives the p-values of the features at the given places.
-    """
-    k = len(mi)
-    if kind is None:
-        return Verdict(np.ones(k), np.ones(k, bool))
-    if kind == "chi2":
-        p = np.array([g_pvalue(n, m, int(f)) for m, f in zip(mi, freedom, strict=True)])
-        return Verdict(p, false_discovery_mask(p, q))
-    best = np.argsort(-mi, kind="stable")[: min(tested, k)]
-    p, significant = np.ones(k), np.zeros(k, bool)
-    if len(best):
-        p[best] = permuted(best)
-        significant[best] = false_discovery_mask(p[best], q)
-    return Verdict(p, significant)
+@dataclass
+class Screened:
+    """What a test may ask of stage 1: informations, rows, degrees of freedom, and cells of some features of a sample."""
+
+    mi: np.ndarray
+    n: int
+    freedom: np.ndarray
+    names: list[str]
+    cells: Callable[[list[str], int], DataFrame] | None = None
+
+
+class SignificanceTest(Protocol):
+    """Any object with this method can be given as a selector's ``significance``."""
+
+    def test(self, data: Screened) -> Verdict: ...
+
+
+@dataclass
+class GTest:
+    """G = 2 n MI of every feature, false discoveries controlled over all."""
+
+    q: float = 0.05
+
+    def test(self, data: Screened) -> Verdict:
+        p = np.array([g_pvalue(data.n, m, int(f)) for m, f in zip(data.mi, data.freedom, strict=True)])
+        return Verdict(p, false_discovery_mask(p, self.q))
+
+
+@dataclass
+class PermutationTest:
+    """Permutations for the ``tested`` features of most information, on about ``rows`` rows; p = 1 for the others."""
+
+    q: float = 0.05
+    times: int = 100
+    rows: int = 50_000
+    tested: int = 100
+    seed: int = 42
+
+    def test(self, data: Screened) -> Verdict:
+        best = np.argsort(-data.mi, kind="stable")[: self.tested]
+        p, significant = np.ones(len(data.mi)), np.zeros(len(data.mi), bool)
+        if len(best):
+            some = [data.names[i] for i in best]
+            found = {r["feature"]: r["p"] for r in permutation_pvalues(data.cells(some, self.rows), self.times, self.seed).collect()}
+            p[best] = [found.get(n, 1.0) for n in some]
+            significant[best] = false_discovery_mask(p[best], self.q)
+        return Verdict(p, significant)
+
+
+class NoTest:
+    """Every feature is significant."""
+
+    def test(self, data: Screened) -> Verdict:
+        return Verdict(np.ones(len(data.mi)), np.ones(len(data.mi), bool))
+
+
+def make_significance_test(config: SelectorConfig) -> SignificanceTest:
+    if config.significance is None:
+        return NoTest()
+    if config.significance == "chi2":
+        return GTest(config.fdr_q)
+    if config.significance == "permutation":
+        return PermutationTest(config.fdr_q, config.n_permutations, config.permutation_rows, config.screen_top_k, config.seed)
+    return config.significance
