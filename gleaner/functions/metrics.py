@@ -35,20 +35,33 @@ def r2_score(y, predicted) -> float:
     return float(1 - ((y - predicted) ** 2).sum() / total) if total else 0.0
 
 
-def auc_of_rows(df: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """One row, ``auc``.
+def auc_of_cells(cells: DataFrame, by: list[str] = ()) -> DataFrame:
+    """``auc`` of each group from (*by, s, p, n): by score s, how many rows are positive and how many there are.
 
-    Rows are first counted by distinct score. These are cut into ranges of score; a window runs within each range, and
-    the ranges' totals (one row each) are summed by a second one, so no task has all scores.
+    Scores are cut into ranges; a window runs within each range, and the ranges' totals (one row each) are summed by a
+    second one, so no task has all scores. 0.5 where only one class is there.
     """
-    kinds = df.groupBy(score.alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("n")).withColumn("q", F.col("n") - F.col("p"))
-    ranged = kinds.repartitionByRange(F.col("s")).withColumn("part", F.spark_partition_id())
+    kinds = cells.groupBy(*by, "s").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).withColumn("q", F.col("n") - F.col("p"))
+    ranged = kinds.repartitionByRange(*by, "s").withColumn("part", F.spark_partition_id())
     before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
-    inside = ranged.withColumn("under", F.coalesce(F.sum("q").over(before(Window.partitionBy("part").orderBy("s"))), F.lit(0)))
-    parts = inside.groupBy("part").agg(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
-    parts = parts.withColumn("won", F.col("won") + F.col("p") * F.coalesce(F.sum("q").over(before(Window.orderBy("part"))), F.lit(0)))
-    sums = parts.agg(F.sum("won").alias("won"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
-    return sums.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / F.col("pos") / F.col("neg")).otherwise(F.lit(0.5)).alias("auc"))
+    inside = ranged.withColumn("under", F.coalesce(F.sum("q").over(before(Window.partitionBy(*by, "part").orderBy("s"))), F.lit(0)))
+    parts = inside.groupBy(*by, "part").agg(F.sum(F.col("p") * (F.col("under") + F.col("q") / 2)).alias("won"), F.sum("p").alias("p"), F.sum("q").alias("q"))
+    parts = parts.withColumn("won", F.col("won") + F.col("p") * F.coalesce(F.sum("q").over(before(Window.partitionBy(*by).orderBy("part"))), F.lit(0)))
+    sums = parts.groupBy(*by).agg(F.sum("won").alias("won"), F.sum("p").alias("pos"), F.sum("q").alias("neg"))
+    return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / F.col("pos") / F.col("neg")).otherwise(F.lit(0.5)).alias("auc"))
+
+
+def auc_of_rows(df: DataFrame, positive: Column, score: Column) -> DataFrame:
+    """One row, ``auc``."""
+    return auc_of_cells(df.groupBy(score.alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("n")))
+
+
+def macro_auc_of_rows(df: DataFrame, label: Column, scores: Column) -> DataFrame:
+    """One row, ``auc``: the mean over the labels present (0, 1, ...) of each against the rest; label k's score is item k."""
+    long = df.select(label.cast("int").alias("y"), F.posexplode(scores).alias("k", "s"))
+    cells = long.groupBy("k", "s").agg(F.sum((F.col("y") == F.col("k")).cast("long")).alias("p"), F.count("*").alias("n"))
+    there = df.select(label.cast("int").alias("k")).distinct()
+    return auc_of_cells(cells, ["k"]).join(F.broadcast(there), "k").agg(F.avg("auc").alias("auc"))
 
 
 def r2_of_rows(df: DataFrame, y: Column, predicted: Column) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Any, Protocol
 
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -13,21 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.config import TASKS
-from gleaner.functions.metrics import r2_of_rows
+from gleaner.functions.metrics import auc_of_rows, macro_auc_of_rows, r2_of_rows
 from gleaner.operators.profile import as_text, task_of
 
+#: Older names of the tasks.
 _OLD_NAMES = {"classification": "classifier_multiclass", "regression": "continuous", None: "auto"}
 
 
 class ModelFactory(Protocol):
     """Trains on (features, label) and returns the rows with ``probability`` (a vector) or ``prediction``."""
 
+    name: str
+
     def train(self, df_vec: DataFrame, task: str, label_col: str) -> DataFrame: ...
 
 
 class GbtFactory:
     """Boosted trees; with more than two classes, which Spark's don't know, a random forest."""
 
+    name = "gbt"
+
     def train(self, df_vec: DataFrame, task: str, label_col: str) -> DataFrame:
         from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
         from pyspark.ml.regression import GBTRegressor
@@ -43,7 +47,7 @@ class GbtFactory:
 class _Optional:
     """A backend of another package, imported when used."""
 
-    module, classes, label = "", ("", ""), ""
+    name, module, classes, label = "", "", ("", ""), ""
 
     def train(self, df_vec: DataFrame, task: str, label_col: str) -> DataFrame:
         import importlib
@@ -53,15 +57,15 @@ class _Optional:
 
 
 class XgboostFactory(_Optional):
-    module, classes, label = "xgboost.spark", ("SparkXGBClassifier", "SparkXGBRegressor"), "label_col"
+    name, module, classes, label = "xgboost", "xgboost.spark", ("SparkXGBClassifier", "SparkXGBRegressor"), "label_col"
 
 
 class LightgbmFactory(_Optional):
-    module, classes, label = "synapse.ml.lightgbm", ("LightGBMClassifier", "LightGBMRegressor"), "labelCol"
+    name, module, classes, label = "lightgbm", "synapse.ml.lightgbm", ("LightGBMClassifier", "LightGBMRegressor"), "labelCol"
 
 
 def make_model_factory(name: str) -> ModelFactory:
-    known = {"gbt": GbtFactory, "xgboost": XgboostFactory, "lightgbm": LightgbmFactory}
+    known = {f.name: f for f in (GbtFactory, XgboostFactory, LightgbmFactory)}
     if name not in known:
         raise ValueError(f"the model must be one of {sorted(known)}, not {name!r}")
     return known[name]()
@@ -96,35 +100,27 @@ def _vectors(df: DataFrame, features: list[str], target: str, task: str) -> Data
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(out).select("features", "label")
 
 
-def _auc(rows: DataFrame, label: str, score: str) -> float:
-    if rows.select(label).distinct().limit(2).count() < 2:
-        return 0.5
-    return BinaryClassificationEvaluator(labelCol=label, rawPredictionCol=score, numBins=0).evaluate(rows)
-
-
-def train_and_evaluate(df: DataFrame, features: list[str], target: str, model: Any = "gbt", task: str | None = None) -> float:
+def train_and_evaluate(df: DataFrame, feature_cols: list[str], target_col: str, model: Any = "gbt", task: str | None = None) -> float:
     """AUC (macro for more classes) or R2 of a model on its training rows. Metrics are aggregates: no rows reach the driver."""
-    task = _task(df, target, task)
+    task = _task(df, target_col, task)
     factory = make_model_factory(model) if isinstance(model, str) else model
-    rows = factory.train(_vectors(df, features, target, task), task, "label")
+    rows = factory.train(_vectors(df, list(feature_cols), target_col, task), task, "label")
     if task == "continuous":
         return float(r2_of_rows(rows, F.col("label"), F.col("prediction")).first()[0])
     rows = rows.select("label", vector_to_array("probability").alias("p")).cache()
     try:
         width = rows.select(F.max(F.size("p"))).first()[0] or 0
-        if width == 2:
-            return _auc(rows.select((F.col("label") == 1).cast("double").alias("label"), F.col("p")[1].alias("p")), "label", "p")
-        labels = sorted(r[0] for r in rows.select("label").distinct().collect())  # the classes
-        each = [_auc(rows.select((F.col("label") == k).cast("double").alias("label"), F.col("p")[int(k)].alias("p")), "label", "p") for k in labels]
-        return float(sum(each) / len(each))
+        found = auc_of_rows(rows, F.col("label") == 1, F.col("p")[1]) if width == 2 else macro_auc_of_rows(rows, F.col("label"), F.col("p"))
+        value = found.first()[0]
+        return 0.5 if value is None else float(value)
     finally:
         rows.unpersist()
 
 
-def efficiency_curve(df: DataFrame, order: list[str], target: str, model: Any = "gbt", task: str | None = None) -> list[float]:
-    """The metric of every prefix of ``order``."""
-    task = _task(df, target, task)
-    return [train_and_evaluate(df, order[: k + 1], target, model, task) for k in range(len(order))]
+def efficiency_curve(df: DataFrame, feature_order: list[str], target_col: str, model: Any = "gbt", task: str | None = None) -> list[tuple[int, float]]:
+    """(k, the metric of the first k features) for every prefix of ``feature_order``."""
+    task = _task(df, target_col, task)
+    return [(k, train_and_evaluate(df, list(feature_order[:k]), target_col, model, task)) for k in range(1, len(feature_order) + 1)]
 
 
 @dataclass
@@ -134,23 +130,24 @@ class EvaluationReport:
     metric_selected: float
     metric_all: float
     selected_features: list[str]
-    efficiency_curve: list[float] = field(default_factory=list)
+    efficiency_curve: list[tuple[int, float]] = field(default_factory=list)
 
     def summary(self) -> dict[str, Any]:
+        # fixed values: the keys
         return {
             "model": self.model_name,
             "task": self.task,
             "metric_selected": self.metric_selected,
             "metric_all": self.metric_all,
             "n_selected": len(self.selected_features),
-            "selected_features": list(self.selected_features),
             "efficiency_curve": list(self.efficiency_curve),
         }
 
 
-def report(df: DataFrame, selected: list[str], ranking: list[str], target: str, model: Any = "gbt", task: str | None = None) -> EvaluationReport:
-    """Selected against all features, and the curve along the ranking."""
-    task = _task(df, target, task)
-    every = [c for c in df.columns if c != target]
-    name = model if isinstance(model, str) else type(model).__name__
-    return EvaluationReport(name, task, train_and_evaluate(df, selected, target, model, task), train_and_evaluate(df, every, target, model, task), list(selected), efficiency_curve(df, ranking, target, model, task))
+def report(df: DataFrame, selected_features: list[str], ranking: list[str], target_col: str, model: Any = "gbt", task: str | None = None, all_features: list[str] | None = None) -> EvaluationReport:
+    """Selected against all features (of the table, unless named), and the curve along the ranking."""
+    task = _task(df, target_col, task)
+    every = [c for c in df.columns if c != target_col] if all_features is None else list(all_features)
+    factory = make_model_factory(model) if isinstance(model, str) else model
+    worth = lambda features: train_and_evaluate(df, list(features), target_col, factory, task)
+    return EvaluationReport(getattr(factory, "name", type(factory).__name__), task, worth(selected_features), worth(every), list(selected_features), efficiency_curve(df, ranking, target_col, factory, task))
