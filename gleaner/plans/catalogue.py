@@ -14,14 +14,17 @@ from pyspark.sql import functions as F
 from gleaner import estimator
 from gleaner.config import SelectorConfig
 from gleaner.functions.measures import cmi_of_cells, entropy_of_cells, mi_of_cells
-from gleaner.functions.metrics import auc_of_rows, r2_of_rows
+from gleaner.functions.metrics import auc_of_cells, auc_of_rows, r2_of_rows
 from gleaner.operators import cells as C
 from gleaner.operators import evaluate, greedy
 from gleaner.operators import profile as P
 from gleaner.operators import significance as S
+from gleaner.operators.screening import screen
 from gleaner.sources.tables import benchmark_rows, planted, rows, table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
+#: Least score of a feature in the searches.
+_LEAST = 0.001
 _TARGET = "CAST(l_extendedprice * (1 - l_discount) > 50000 AS INT)"
 _BINS = 10
 
@@ -53,26 +56,38 @@ def _plan(df: DataFrame, missing: str = "drop"):
 
 
 def _coded(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    return _coded_with_sizes(spark, d, *more)[0]
+
+
+def _coded_with_sizes(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, list[int]]:
+    """The example's codes, and the number of codes of each feature; the target has two."""
     df = _lines(spark, d, *more)
     features, _, _ = _plan(df)
-    return df.select(*[P.code_of(df, c).alias(c.name) for c in features], "y", *more)
+    return df.select(*[P.code_of(df, c).alias(c.name) for c in features], "y", *more), [c.n_codes for c in features]
+
+
+def _mi_of(coded: DataFrame) -> DataFrame:
+    return mi_of_cells(C.feature_cells(coded, FEATURES, "y"), ["feature"])
 
 
 def _mi(spark: SparkSession, d: str) -> DataFrame:
-    return mi_of_cells(C.feature_cells(_coded(spark, d), FEATURES, "y"), ["feature"])
+    return _mi_of(_coded(spark, d))
 
 
 def _names(column: str) -> Column:
     return F.array(*[F.lit(f) for f in FEATURES])[F.col(column)]
 
 
-def _cmi(spark: SparkSession, d: str) -> DataFrame:
-    pairs = C.both_ways(C.pair_cells(_coded(spark, d), FEATURES, "y"))
-    return cmi_of_cells(pairs, ["i", "j"], "xi", "y", ["xj"]).select(_names("i").alias("fi"), _names("j").alias("fj"), "cmi")
+def _pairs(coded: DataFrame, sizes: list[int]) -> DataFrame:
+    return C.pair_cells(coded, FEATURES, "y", sizes, 2)
+
 
+def _cmi_of(coded: DataFrame, sizes: list[int]) -> DataFrame:
+    return cmi_of_cells(C.both_ways(_pairs(coded, sizes)), ["i", "j"], "xi", "y", ["xj"]).select(_names("i").alias("fi"), _names("j").alias("fj"), "cmi")
 
-def _pair_mi(spark: SparkSession, d: str) -> DataFrame:
-    pairs = C.both_ways(C.pair_cells(_coded(spark, d), FEATURES, "y")).groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
+
+def _pair_mi_of(coded: DataFrame, sizes: list[int]) -> DataFrame:
+    pairs = C.both_ways(_pairs(coded, sizes)).groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
     return mi_of_cells(pairs, ["i", "j"], "xi", "xj").select(_names("i").alias("fi"), _names("j").alias("fj"), "mi")
 
 
@@ -133,7 +148,7 @@ def mi_all_features(spark, d):
 
 @_query(f"WITH {_FULL} SELECT fi, fj, round(cmi, 9) AS cmi FROM cmi")
 def cmi_one_conditioner(spark, d):
-    return _cmi(spark, d).select("fi", "fj", F.round("cmi", 9).alias("cmi"))
+    return _cmi_of(*_coded_with_sizes(spark, d)).select("fi", "fj", F.round("cmi", 9).alias("cmi"))
 
 
 @_query(
@@ -160,12 +175,12 @@ def crosstab_cells(spark, d):
 
 @_query(f"WITH {_FULL} SELECT fi, fj, xi::INT AS xi, xj::INT AS xj, y, n::BIGINT AS n FROM pairs WHERE {_PLACE.replace('feature', 'fi')} < {_PLACE.replace('feature', 'fj')}")
 def joint_cells(spark, d):
-    return C.pair_cells(_coded(spark, d), FEATURES, "y").select(_names("i").alias("fi"), _names("j").alias("fj"), "xi", "xj", "y", "n")
+    return _pairs(*_coded_with_sizes(spark, d)).select(_names("i").alias("fi"), _names("j").alias("fj"), "xi", "xj", "y", "n")
 
 
 @_query(f"WITH {_FULL} SELECT fi, fj, xi::INT AS xi, xj::INT AS xj, n::BIGINT AS n FROM two WHERE {_PLACE.replace('feature', 'fi')} < {_PLACE.replace('feature', 'fj')}")
 def pair_marginal(spark, d):
-    pairs = C.pair_cells(_coded(spark, d), FEATURES, "y").groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
+    pairs = _pairs(*_coded_with_sizes(spark, d)).groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
     return pairs.select(_names("i").alias("fi"), _names("j").alias("fj"), "xi", "xj", "n")
 
 
@@ -318,13 +333,14 @@ _REST = "feature NOT IN ('l_extendedprice', 'l_discount')"
 
 def _scores(spark, d, criterion: str) -> DataFrame:
     """Scores of the features outside _CHOSEN, once these have been chosen: joins of the small tables of informations."""
-    mi = _mi(spark, d)
+    coded, sizes = _coded_with_sizes(spark, d)
+    mi = _mi_of(coded)
     if criterion in ("mrmr", "mim"):
-        with_chosen = _pair_mi(spark, d).filter(F.col("fj").isin(*_CHOSEN)).groupBy(F.col("fi").alias("feature"))
+        with_chosen = _pair_mi_of(coded, sizes).filter(F.col("fj").isin(*_CHOSEN)).groupBy(F.col("fi").alias("feature"))
         loss = with_chosen.agg((F.avg("mi") if criterion == "mrmr" else F.sum("mi")).alias("loss"))
         out = mi.join(loss, "feature").select("feature", (F.col("mi") - F.col("loss")).alias("score"))
     else:
-        gains = _cmi(spark, d).filter(F.col("fj").isin(*_CHOSEN)).groupBy(F.col("fi").alias("feature"))
+        gains = _cmi_of(coded, sizes).filter(F.col("fj").isin(*_CHOSEN)).groupBy(F.col("fi").alias("feature"))
         out = gains.agg((F.sum("cmi") if criterion == "jmi" else F.min("cmi")).alias("score"))
     return out.filter(~F.col("feature").isin(*_CHOSEN)).select("feature", F.round("score", 9).alias("score"))
 
@@ -374,16 +390,113 @@ SELECT round, f AS feature, round(s, 9) AS score FROM every e WHERE NOT EXISTS (
 )
 def greedy_jmim(spark, d):
     """The search on the example's informations, at most three features, least score 0.001."""
+    return _searched(spark, d, "jmim")
+
+
+def _searched(spark: SparkSession, d: str, criterion: str) -> DataFrame:
+    coded, sizes = _coded_with_sizes(spark, d)
     at = {f: i for i, f in enumerate(FEATURES)}
-    mi, cmi = np.zeros(len(at)), np.zeros((len(at), len(at)))
-    for r in _mi(spark, d).collect():
+    mi, pair, cmi = np.zeros(len(at)), np.zeros((len(at), len(at))), np.zeros((len(at), len(at)))
+    for r in _mi_of(coded).collect():
         mi[at[r["feature"]]] = r["mi"]
-    for r in _cmi(spark, d).collect():
-        cmi[at[r["fi"]], at[r["fj"]]] = r["cmi"]
-    got = greedy.choose(greedy.Matrices(mi, np.zeros_like(cmi), cmi), "jmim", 3, 1e-3)
+    if criterion in ("mrmr", "mim"):
+        for r in _pair_mi_of(coded, sizes).collect():
+            pair[at[r["fi"]], at[r["fj"]]] = r["mi"]
+    elif criterion != "cmim":
+        for r in _cmi_of(coded, sizes).collect():
+            cmi[at[r["fi"]], at[r["fj"]]] = r["cmi"]
+
+    def fixed(some: list[int]) -> np.ndarray:
+        return estimator.CMIMSelector(target="y").fixed_gains(coded, FEATURES, [FEATURES[i] for i in some])
+
+    return _chosen_rows(spark, greedy.choose(greedy.Matrices(mi, pair, cmi, fixed), criterion, 3, _LEAST))
+
+
+def _chosen_rows(spark: SparkSession, got: greedy.Chosen) -> DataFrame:
     return spark.createDataFrame([(k + 1, FEATURES[i], round(s, 9)) for k, (i, s) in enumerate(zip(got.places, got.scores, strict=True))], "round int, feature string, score double")
 
 
+#: Score of later rounds: {chosen} are the rounds before; ``feature`` and ``s`` come out.
+_ROUND = {
+    "mrmr": "SELECT m.feature, m.mi - (SELECT avg(p.mi) FROM pmi p WHERE p.fi = m.feature AND p.fj IN ({chosen})) AS s FROM mi m",
+    "mim": "SELECT m.feature, m.mi - (SELECT sum(p.mi) FROM pmi p WHERE p.fi = m.feature AND p.fj IN ({chosen})) AS s FROM mi m",
+    "jmi": "SELECT fi AS feature, sum(cmi) AS s FROM cmi WHERE fj IN ({chosen}) GROUP BY 1",
+    "cmim": "SELECT feature, s FROM fixed",
+}
+
+
+def _search_sql(criterion: str) -> str:
+    """Three rounds of a search; the best score first, the earliest feature of equals, none below the least score."""
+    chosen = ["SELECT f FROM r1", "SELECT f FROM r1 UNION SELECT f FROM r2"]
+    later = ", ".join(f"g{k + 2} AS ({_ROUND[criterion].format(chosen=c)}), r{k + 2} AS (SELECT feature AS f, s FROM g{k + 2} WHERE feature NOT IN ({c}) ORDER BY s DESC, {_PLACE} LIMIT 1)" for k, c in enumerate(chosen))
+    return f"""WITH {_FULL}, top AS (SELECT feature, row_number() OVER (ORDER BY mi DESC, {_PLACE}) AS k FROM mi),
+z AS (SELECT a.rid, a.x AS z0, b.x AS z1, a.feature AS f0, b.feature AS f1 FROM codes a JOIN codes b USING (rid) WHERE a.feature = (SELECT feature FROM top WHERE k = 1) AND b.feature = (SELECT feature FROM top WHERE k = 2)),
+zc AS (SELECT feature, x, y, CASE WHEN feature = f0 THEN -1 ELSE z0 END AS z0, CASE WHEN feature = f1 THEN -1 ELSE z1 END AS z1, count(*)::DOUBLE AS n FROM codes JOIN z USING (rid) GROUP BY ALL),
+fixed AS (SELECT feature, sum(n / nt * ln(n * nz / (nxz * nyz))) AS s FROM (SELECT *, sum(n) OVER (PARTITION BY feature, z0, z1) AS nz, sum(n) OVER (PARTITION BY feature, x, z0, z1) AS nxz,
+  sum(n) OVER (PARTITION BY feature, y, z0, z1) AS nyz, sum(n) OVER (PARTITION BY feature) AS nt FROM zc) GROUP BY feature),
+r1 AS (SELECT feature AS f, mi AS s FROM mi ORDER BY mi DESC, {_PLACE} LIMIT 1), {later},
+every AS (SELECT 1 AS round, * FROM r1 UNION ALL SELECT 2, * FROM r2 UNION ALL SELECT 3, * FROM r3)
+SELECT round, f AS feature, round(s, 9) AS score FROM every e WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.round <= e.round AND o.s < {_LEAST})"""
+
+
+@_query(_search_sql("mrmr"))
+def greedy_mrmr(spark, d):
+    return _searched(spark, d, "mrmr")
+
+
+@_query(_search_sql("mim"))
+def greedy_mim(spark, d):
+    return _searched(spark, d, "mim")
+
+
+@_query(_search_sql("jmi"))
+def greedy_jmi(spark, d):
+    return _searched(spark, d, "jmi")
+
+
+@_query(_search_sql("cmim"))
+def greedy_cmim(spark, d):
+    """S_m is found by the search: the two features of most information."""
+    return _searched(spark, d, "cmim")
+
+
+def _fitted_example(spark: SparkSession, d: str, criterion: str) -> DataFrame:
+    """The whole of ``fit`` on the example: profile, codes, screening, joint tables, search."""
+    m = estimator.InfoSelector(criterion, target="y", max_features=3, screen_top_k=5, missing="drop", significance=None, min_score=_LEAST, exact_quantiles=True).fit(_lines(spark, d))
+    return spark.createDataFrame([(k + 1, f, round(s, 9)) for k, (f, s) in enumerate(zip(m.selected_features, m.scores_, strict=True))], "round int, feature string, score double")
+
+
+@_query(ORACLE["greedy_jmim"])
+def fit_jmim(spark, d):
+    return _fitted_example(spark, d, "jmim")
+
+
+@_query(_search_sql("mrmr"))
+def fit_mrmr(spark, d):
+    return _fitted_example(spark, d, "mrmr")
+
+
+@_query(_search_sql("cmim"))
+def fit_cmim(spark, d):
+    return _fitted_example(spark, d, "cmim")
+
+
+@_query(
+    f"""WITH {_MI}, g AS (SELECT feature, mi, (SELECT count(*) FROM lineitem) * mi AS h, len(e) + 1 AS m FROM mi JOIN edges USING (feature)),
+p AS (SELECT feature, mi, list_sum(list_transform(range(0, m), lambda i: exp(i * ln(h) - h - lgamma(i + 1)))) AS p FROM g),
+r AS (SELECT *, row_number() OVER (ORDER BY p, {_PLACE}) AS rk, count(*) OVER () AS all_of FROM p), l AS (SELECT *, max(CASE WHEN p <= rk * 0.05::DOUBLE / all_of THEN rk ELSE 0 END) OVER () AS last FROM r)
+SELECT feature, round(mi, 9) AS mi, round(p, 6) AS p, rk <= last AS significant, (row_number() OVER (ORDER BY mi DESC, {_PLACE}))::INT AS rank FROM l"""
+)
+def screening_table(spark, d):
+    """Stage 1 as a table. With a code for missing values the target has three codes: as many pairs of degrees as bins."""
+    df = _lines(spark, d)
+    config = SelectorConfig(target="y", exact_quantiles=True)
+    task = P.task_of(df, "y", config.task)
+    features, target, n = P.codings(df, P.kinds_of(df, config), config, task)
+    found = screen(P.encoded(df, features, target), features, target, config, n)
+    return found.table(spark).select("feature", F.round("mi", 9).alias("mi"), F.round("p", 6).alias("p"), "significant", "rank")
+
+
 # --- model, metrics
 
 
@@ -406,12 +519,12 @@ r AS (SELECT k, c = k AS y, rank() OVER (PARTITION BY k ORDER BY s) + (count(*)
 a AS (SELECT k, (sum(CASE WHEN y THEN rk ELSE 0 END) - sum(y::INT) * (sum(y::INT) + 1) / 2.0) / (sum(y::INT) * (count(*) - sum(y::INT))) AS auc FROM r GROUP BY k) SELECT round(avg(auc), 9) AS auc FROM a"""
 )
 def auc_macro(spark, d):
-    df = table(spark, d, "lineitem").select("l_returnflag", "l_quantity")
-    each = [auc_of_rows(df, F.col("l_returnflag") == r[0], F.col("l_quantity")) for r in df.select("l_returnflag").distinct().collect()]
-    every = each[0]
-    for e in each[1:]:
-        every = every.unionByName(e)
-    return every.agg(F.round(F.avg("auc"), 9).alias("auc"))
+    """One pass: rows are counted by score and flag; only these counts are repeated for each flag against the rest."""
+    counts = table(spark, d, "lineitem").groupBy(F.col("l_quantity").alias("s"), "l_returnflag").agg(F.count("*").alias("n"))
+    flags = counts.agg(F.sort_array(F.collect_set("l_returnflag"))).first()[0]
+    each = counts.withColumn("k", F.explode(F.array(*map(F.lit, flags))))
+    cells = each.groupBy("k", "s").agg(F.sum(F.when(F.col("l_returnflag") == F.col("k"), F.col("n")).otherwise(0)).alias("p"), F.sum("n").alias("n"))
+    return auc_of_cells(cells, ["k"]).agg(F.round(F.avg("auc"), 9).alias("auc"))
 
 
 @_query("WITH b AS (SELECT l_extendedprice AS y, 0.9 * l_extendedprice + 10 AS p FROM lineitem), m AS (SELECT avg(y) AS my FROM b) SELECT round(1 - sum((y - p) ** 2) / sum((y - my) ** 2), 9) AS r2 FROM b, m")
@@ -456,4 +569,4 @@ def ksg_selection(spark, d):
 @_query()
 def efficiency_prefix(spark, d):
     curve = evaluate.efficiency_curve(_lines(spark, d), ["l_extendedprice", "l_discount"], "y")
-    return spark.createDataFrame([(k + 1, float(v)) for k, v in enumerate(curve)], "features int, auc double")
+    return spark.createDataFrame([(k, float(v)) for k, v in curve], "features int, auc double")

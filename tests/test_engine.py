@@ -11,7 +11,9 @@ from gleaner.functions.measures import cmi_of_cells, mi_of_cells
 from gleaner.operators import cells as C
 from gleaner.operators import greedy
 from gleaner.operators import profile as P
-from gleaner.sources.tables import benchmark_rows, planted, read_json, rows, write_csv, write_json
+from gleaner.operators.screening import screen
+from gleaner.operators.significance import Verdict
+from gleaner.sources.tables import benchmark_rows, planted, read_json, read_points, rows, write_csv, write_json
 from gleaner.streaming.counts import start_cells
 
 AND = [{"name": "x0", "role": "informative"}, {"name": "x1", "role": "informative"}, {"name": "x2", "role": "independent"}, {"name": "x3", "role": "redundant", "of": "x0"}]
@@ -40,7 +42,7 @@ def test_nothing_significant(spark):
     rng = np.random.default_rng(3)
     df = rows(spark, {"a": rng.integers(0, 2, 500).tolist(), "y": rng.integers(0, 2, 500).tolist()})
     model = InfoSelector(target="y").fit(df)
-    assert model.selected_features == [] and model.ranking_ == ["a"] and "etapa2" not in model.timings_
+    assert model.selected_features == [] and [n for n, _ in model.ranking_] == ["a"] and "etapa2" not in model.timings_
 
 
 @pytest.mark.parametrize("significance", ["permutation", None])
@@ -150,6 +152,8 @@ def test_neighbour_estimator(spark):
 
 
 class Trivial:
+    name = "trivial"
+
     def train(self, df, task, label):
         if task == "continuous":
             return df.crossJoin(df.agg(F.avg(label).alias("prediction")))
@@ -164,8 +168,15 @@ def test_evaluation(spark, conjunction):
     assert gleaner.train_and_evaluate(df, ["x0"], "y", Trivial()) == 0.5
     assert gleaner.train_and_evaluate(df, ["x0"], "three", Trivial()) == 0.5
     assert gleaner.train_and_evaluate(df, ["x1"], "x0", Trivial(), "regression") == pytest.approx(0, abs=1e-9)
-    report = gleaner.SelectorModel(["x0"], [1.0], ["x0", "x1"], "jmim", 1500, "y", "classifier_binary").report(df.select("x0", "x1", "y"), Trivial())
-    assert report.summary()["efficiency_curve"] == [0.5, 0.5] and report.model_name == "Trivial"
+    report = gleaner.SelectorModel(["x0"], [1.0], [("x0", 0.5), ("x1", 0.4)], "jmim", 1500, "y", "classifier_binary").report(df.select("x0", "x1", "y"), Trivial())
+    assert report.summary()["efficiency_curve"] == [(1, 0.5), (2, 0.5)] and report.model_name == "trivial"
+    assert gleaner.efficiency_curve(df, ["x0", "x1", "x2"], "x3", Trivial(), "continuous") == [(k, pytest.approx(0, abs=1e-9)) for k in (1, 2, 3)]
+    some = gleaner.report(df, selected_features=["x0"], ranking=["x0"], target_col="y", model=Trivial(), all_features=["x0", "x1"])
+    assert (some.task, some.metric_selected, some.metric_all, len(some.efficiency_curve)) == ("classifier_multiclass", 0.5, 0.5, 1)
+    with pytest.raises(ValueError):
+        gleaner.train_and_evaluate(df, ["x0"], "y", Trivial(), "bogus")
+    with pytest.raises(ValueError):
+        gleaner.SelectorModel(["x0"], [], [], "jmim", 0, "y", "auto")
     assert gleaner.train_and_evaluate(df.select("x0", "three"), ["x0"], "three") > 0.9
     assert gleaner.train_and_evaluate(conjunction, ["x0", "x1"], "y") > 0.8
     with pytest.raises(ValueError):
@@ -180,9 +191,108 @@ def test_sinks(spark, tmp_path):
     assert read_json(str(tmp_path / "a.json"), {}) == {"v": 2} and read_json(str(tmp_path / "b.json"), {"v": 0}) == {"v": 0}
     write_csv(spark.range(3), str(tmp_path / "c"))
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).count() == 3
-    for bad in ({"name": "y", "role": "informative"}, {"name": "a", "role": "x"}, {"name": "a", "role": "redundant", "of": "b"}, {"name": "a", "role": "correlated", "agree": 1}):
-        with pytest.raises(ValueError):
-            planted(10, 0, [bad], {"kind": "and", "of": ["a"]})
+    write_json(str(tmp_path / "old.json"), [{"n": 1}])
+    assert read_points(str(tmp_path / "old.json")) == {"meta": {}, "points": [{"n": 1}]} and read_points(str(tmp_path / "none.json")) == {"meta": {}, "points": []}
+
+
+GOOD = {"name": "g", "role": "informative"}
+
+
+@pytest.mark.parametrize(
+    ("features", "target"),
+    [
+        ([{"name": "y", "role": "informative"}], {"kind": "and"}),
+        ([GOOD, GOOD], {"kind": "and"}),
+        ([GOOD, {"name": "a", "role": "x"}], {"kind": "and"}),
+        ([GOOD, {"name": "a", "role": "redundant", "of": "b"}], {"kind": "and"}),
+        ([GOOD, {"name": "a", "role": "redundant", "of": "g", "noise": -1}], {"kind": "and"}),
+        ([GOOD, {"name": "a", "role": "correlated", "agree": 0.5}], {"kind": "and"}),
+        ([{"name": "a", "role": "correlated", "agree": 1}], {"kind": "flip"}),
+        ([GOOD], {"kind": "flip"}),
+        ([GOOD], {"kind": "and", "noise": -0.1}),
+        ([GOOD | {"levels": 0}], {"kind": "and"}),
+        ([{"name": "a", "role": "independent"}], {"kind": "linear"}),
+        ([GOOD], {"kind": "other"}),
+    ],
+)
+def test_what_cannot_be_planted(features, target):
+    with pytest.raises(ValueError):
+        planted(10, 0, features, target)
+    with pytest.raises(ValueError):
+        planted(0, 0, [GOOD], {"kind": "and"})
+
+
+def test_planted_targets():
+    normal = [{"name": f"x{i}", "role": "informative", "levels": 0} for i in range(2)]
+    data = planted(5000, 1, [*normal, {"name": "r", "role": "redundant", "of": "x0", "noise": 0.1}], {"kind": "linear", "thresholds": (-1.0, 1.0)})
+    x0, x1, r = (np.array(data[k]) for k in ("x0", "x1", "r"))
+    assert data["y"] == ((x0 + x1 > -1).astype(int) + (x0 + x1 > 1)).tolist()
+    assert np.std(r - x0) == pytest.approx(0.1, rel=0.1)
+    data = planted(5000, 1, [{"name": "c", "role": "correlated", "agree": 0.8}, {"name": "r", "role": "redundant", "of": "c"}], {"kind": "flip"})
+    assert np.mean(np.array(data["c"]) == data["y"]) == pytest.approx(0.8, abs=0.03) and data["r"] == data["c"]
+
+
+def test_benchmark_copies_go_round(spark):
+    df = benchmark_rows(spark, 200, 8, informative=2, redundant=5)
+    assert df.columns == ["x0", "x1", "r0", "r1", "r2", "r3", "r4", "n0", "y"]
+    assert df.select(F.corr("r2", "x0"), F.corr("r3", "x1")).first() == pytest.approx((1, 1), abs=0.01)
+
+
+def test_dense_pairs_equal_rows_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = {k: [None if v == n - 1 and k != "c" else int(v) for v in rng.integers(0, n, 300)] for k, n in (("a", 4), ("b", 3), ("c", 5), ("y", 3))}
+    df = rows(spark, data).repartition(3)
+    sizes, order = [3, 2, 5], ["i", "j", "xi", "xj", "y", "n"]
+    took = lambda t: sorted(map(tuple, t.select(order).collect()), key=repr)
+    dense = took(C.pair_cells(df, ["a", "b", "c"], "y", sizes, 2))
+    assert dense == took(C.pair_cells(df, ["a", "b", "c"], "y")) and sum(r[-1] for r in dense) == 900
+    monkeypatch.setattr(C, "DENSE_CELLS", 10)
+    assert dense == took(C.pair_cells(df, ["a", "b", "c"], "y", sizes, 2))
+    assert C.pair_cells(df.limit(0), ["a", "b", "c"], "y", sizes, 2).count() == 0
+
+
+def test_exact_quantiles(spark):
+    df = spark.range(1000).select((F.col("id") % 7).alias("few"), F.rand(3).alias("many"), F.lit(None).cast("double").alias("none"), F.when(F.col("id") < 1, 2.5).alias("one"))
+    got = P.exact_quantiles(df.repartition(4), {"few": 10, "many": 4, "none": 3, "one": 2})
+    p = df.toPandas()
+    assert got["few"] == pytest.approx(np.quantile(p["few"], np.arange(1, 10) / 10)) and got["many"] == pytest.approx(np.quantile(p["many"], [0.25, 0.5, 0.75]), abs=1e-12)
+    assert got["none"] == [] and got["one"] == [2.5]
+
+
+def test_screening_and_own_tests(spark, conjunction):
+    config = SelectorConfig(target="y")
+    features, target, n = P.codings(conjunction, P.kinds_of(conjunction, config), config, P.task_of(conjunction, "y"))
+    codes = P.encoded(conjunction, features, target)
+    found = screen(codes, features, target, config, n)
+    rows_of = {r["feature"]: r for r in found.table(spark).collect()}
+    assert sorted(r["rank"] for r in rows_of.values()) == [1, 2, 3, 4] and not rows_of["x2"]["significant"] and rows_of["x0"]["p"] < 1e-6
+    assert [found.names[i] for i in found.candidates] == [n for n, _ in found.ranking() if rows_of[n]["significant"]]
+    assert screen(codes, [], target, config, n).candidates == []
+
+    class OnlyX2:
+        def test(self, data):
+            return Verdict(np.full(len(data.mi), 0.5), np.array([n == "x2" for n in data.names]))
+
+    assert InfoSelector(target="y", significance=OnlyX2(), min_score=0).fit(conjunction).selected_features == ["x2"]
+
+
+def test_candidates_are_trimmed_to_the_budget(conjunction):
+    # numbers 0 and 1 have two bins and a code for missing; so has y: a pair takes 3 * 3 * (1 + 3) cells
+    config = {"target": "y", "significance": None, "min_score": 0.0, "screen_top_k": 400, "max_features": 4}
+    assert len(InfoSelector("jmim", **config).fit(conjunction).selected_features) == 4
+    c = SelectorConfig(target="y")
+    features, target, _ = P.codings(conjunction, P.kinds_of(conjunction, c), c, P.task_of(conjunction, "y"))
+    sizes = [f.n_codes for f in features]
+    many = conjunction.select("*", *[F.col("x2").alias(f"copy{i}") for i in range(8)])
+    k = next(k for k in range(12, 1, -1) if C.budget([sizes[0]] * k, target.n_codes) <= 1000)
+    assert 1 < k < 12 and len(InfoSelector("jmim", max_cache_cells=1000, **(config | {"max_features": 12})).fit(many).selected_features) == k
+
+
+def test_subsample(spark):
+    df = spark.range(5000)
+    assert P.sampled(df, 5000, 5000, 1) is df
+    n = P.sampled(df, 5000, 1000, 1).count()
+    assert 850 < n < 1150 and n == P.sampled(df, 5000, 1000, 1).count()
 
 
 def test_stream_of_cells(spark, tmp_path):
@@ -199,6 +309,6 @@ def test_efficiency_prefix_uses_every_line(spark, monkeypatch):
     from gleaner.plans import catalogue
 
     seen = []
-    monkeypatch.setattr(catalogue.evaluate, "efficiency_curve", lambda df, order, target: seen.append(df.count()) or [0.5] * len(order))
+    monkeypatch.setattr(catalogue.evaluate, "efficiency_curve", lambda df, order, target: seen.append(df.count()) or [(k + 1, 0.5) for k in range(len(order))])
     assert catalogue.QUERIES["efficiency_prefix"](spark, "/root/testdata/sf0.001").count() == 2
     assert seen == [spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()] and seen[0] > 5000
