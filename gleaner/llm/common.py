@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,48 +12,99 @@ from pyspark.sql import functions as F
 
 #: A key with more than this share of all rows is hot; at most 1 / HOT_SHARE keys can be.
 HOT_SHARE = 1e-3
+#: Parts of a hot key's rows.
+SALTS = 256
+#: Bytes of an Arrow batch: rows may hold long texts or whole sets.
+BATCH_BYTES = 16 << 20
+#: Hold while a table is staged: bounded batches, and shuffle files that go when the table is written.
+_WHILE_STAGED = {"spark.sql.execution.arrow.maxBytesPerBatch": str(BATCH_BYTES), "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the one that ``spark.checkpoint.dir`` names, deleted when the session's JVM ends.
 
-    Only where that setting is missing (tests, notebooks) a temporary folder is used.
+    Only a local master may leave that setting out (tests, notebooks); then a temporary folder is used.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="gleaner-")
         spark.sparkContext.setCheckpointDir(base)
     folder = f"{base.rstrip('/')}/gleaner-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    path, system = _hadoop(spark, folder)
+    system.deleteOnExit(path)
     return folder
 
 
+def _hadoop(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+@contextmanager
+def _settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+#: Folders of the tables staged in each scope that is open, innermost last.
+_scopes: list[list[tuple[SparkSession, str]]] = []
+
+
 def staged(df: DataFrame, name: str = "table", **options: str) -> DataFrame:
     """``df`` written once to the shared folder and read back: short lineage that survives lost executors."""
     spark = df.sparkSession
     folder = f"{work_folder(spark)}/{name}"
-    df.write.options(**options).parquet(folder)
-    return spark.read.schema(df.schema).parquet(folder)
+    with _settings(spark, _WHILE_STAGED):
+        df.write.options(**options).parquet(folder)
+    if _scopes:
+        _scopes[-1].append((spark, folder))
+    table = spark.read.schema(df.schema).parquet(folder)
+    table.staged_in = folder
+    return table
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within it, tables are written with at most ``rows`` rows in an Arrow batch: for rows that hold whole sets."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def scratch() -> Iterator[Callable[..., None]]:
+    """Tables staged within are deleted at its end, but for those that it was told to keep."""
+    mine: list[tuple[SparkSession, str]] = []
+    kept: set[str] = set()
+    _scopes.append(mine)
     try:
-        yield
+        yield lambda *tables: kept.update(t.staged_in for t in tables)
     finally:
-        spark.conf.set(name, before)
+        _scopes.remove(mine)
+        for spark, folder in mine:
+            if folder not in kept:
+                _deleted(spark, folder)
+            elif _scopes:
+                _scopes[-1].append((spark, folder))
+
+
+def _deleted(spark: SparkSession, folder: str) -> None:
+    path, system = _hadoop(spark, folder)
+    system.delete(path.getParent(), True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more."""
+    for t in tables:
+        _deleted(t.sparkSession, t.staged_in)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete shuffle files that nothing refers to any more; it does so when the driver collects garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for c in df.columns):
+        mark += "_"
+    return [mark + n for n in names]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,12 +118,15 @@ def partitions(spark: SparkSession) -> int:
 def attach_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
     """Inner join of ``rows`` with their ``groups`` (one row a key; ``size`` counts the key's rows) that no key can skew.
 
-    Keys holding over HOT_SHARE of all rows number at most 1 / HOT_SHARE, whatever the input, so they alone are
-    broadcast; no key of the sort-merge join for the rest has more than that share. Both inputs should be staged.
+    Keys holding over HOT_SHARE of all rows number at most 1 / HOT_SHARE, whatever the input; hashes of these alone reach
+    the driver. Their rows are dealt to SALTS parts, and each part has a copy of the key's group. Both inputs should be staged.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
-    hot = F.col(size) > total * HOT_SHARE
-    held = F.broadcast(groups.filter(hot))
-    return rows.join(held, keys).unionByName(
-        rows.join(held.select(keys), keys, "left_anti").hint("merge").join(groups.filter(~hot).hint("merge"), keys)
-    )
+    name = F.xxhash64(*keys)
+    hot = [r[0] for r in groups.filter(F.col(size) > total * HOT_SHARE).select(name).distinct().collect()] if total >= 1 / HOT_SHARE else []
+    if not hot:
+        return rows.join(groups, keys)
+    (salt,) = unused(rows, "salt")
+    dealt = rows.withColumn(salt, F.when(name.isin(hot), F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0)).cast("int"))
+    copies = F.when(name.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return dealt.join(groups.withColumn(salt, F.explode(copies)), [*keys, salt]).drop(salt)

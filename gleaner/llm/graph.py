@@ -35,3 +35,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if labels is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return labels
+
+
+def contracted(roots: DataFrame, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """``roots`` (node, root) after ``edges`` are added: only edges between different roots are contracted."""
+
+    def moved(table: DataFrame, on: str) -> DataFrame:
+        return table.join(roots.select(F.col("node").alias(on), F.col("root").alias("r")), on, "left").withColumn(on, F.coalesce("r", on)).drop("r")
+
+    nodes = edges.select(F.explode(F.array(a, b)).alias("node")).distinct().join(roots, "node", "left_anti")
+    above = components(moved(moved(edges.select(a, b), a), b), a, b).select(F.col("node").alias("root"), F.col("root").alias("r"))
+    every = roots.unionByName(nodes.select("node", F.col("node").alias("root")))
+    return staged(every.join(above, "root", "left").select("node", F.coalesce("r", "root").alias("root")), "roots")
