@@ -16,7 +16,6 @@ of its own); an empty table gives no sequences.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import documents, staged
-from gleaner.llm.tokens import encoded, ids_of
+from gleaner.llm.tokens import encoded
 
 WINDOW = 4096
 #: Padding that a combination may leave, as a share of the window, before its pieces are laid end to end instead.
@@ -42,21 +41,18 @@ _DOC = "part int, seq long, doc_id long, n_tokens long, rest int, number long, i
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, window: int) -> Iterator[pa.RecordBatch]:
-    part, end, seq = TaskContext.get().partitionId(), struct.pack("<I", end_id), 0
-    narrow = ids_of(path).tokenizer.get_vocab_size() <= 1 << 16 > end_id
+    part, seq = TaskContext.get().partitionId(), 0
     seen = np.zeros(window, np.int64)
-    for names, ids in (x for b in batches for x in encoded(b.column(0), b.column(1), path)):
-        ids = [x + end for x in ids]
-        n = np.array([len(x) // 4 for x in ids], np.int64)
+    for names, flat, n in (x for b in batches for x in encoded(b.column(0), b.column(1), path)):
+        flat, n = np.insert(flat, np.cumsum(n), end_id), n + 1  # each document is followed by the end id
         rest = n % window
         number = np.empty(len(n), np.int64)
         for i, r in enumerate(rest.tolist()):
             number[i] = seen[r]
             seen[r] += 1
-        if narrow:  # half the bytes while they wait
-            ids = [np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in ids]
-        small = pa.array(ids, pa.binary())
-        yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), pa.array(names, pa.int64()), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(number), small], ["part", "seq", "doc_id", "n_tokens", "rest", "number", "ids"])
+        offsets = (np.concatenate([[0], np.cumsum(n)]) * flat.itemsize).astype(np.int64)
+        ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)]).cast(pa.binary())
+        yield pa.record_batch([pa.array(np.full(len(n), part, np.int32)), pa.array(np.arange(seq, seq + len(n))), pa.array(names, pa.int64()), pa.array(n), pa.array(rest.astype(np.int32)), pa.array(number), ids], ["part", "seq", "doc_id", "n_tokens", "rest", "number", "ids"])
         seq += len(n)
 
 
@@ -212,7 +208,7 @@ _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id lon
 def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    coded = staged(rows.mapInArrow(lambda it: _encoded(it, tokenizer, end_id, window), _DOC), "ids", compression="zstd")
+    coded = staged(rows.mapInArrow(lambda it: _encoded(it, tokenizer, end_id, window), _DOC), "ids")
     small = coded.select("part", "rest", F.expr(f"n_tokens div {window}").alias("full"))
     lengths = small.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
     before = Window.partitionBy("rest").orderBy("part")
