@@ -1,12 +1,12 @@
 """Quality classifier: histogram gradient-boosted trees over statistics of a text.
 
-1. ``statistics`` turns each whole text into STATS numbers with vectorised byte counts; no label, language, source or
-   id is among them. They are staged: texts are read once for learning and scoring.
-2. ``fit`` grows BOOSTS trees of depth DEPTH on features cut into BINS quantile bins: at each level one weighted
+1. ``describe`` turns each whole text into STATS numbers with vectorised byte counts; no label, language, source or
+   id is among them.
+2. ``learn`` describes labelled texts; ``fit`` grows BOOSTS trees of depth DEPTH on features cut into BINS quantile bins: at each level one weighted
    histogram of gradients over (node, feature, bin) gives every node's best split. It runs in numpy on at most FIT_ROWS
    labelled rows, those with the least hash of their id: the bound of the sample is a parameter.
 3. Trees are full binary trees flattened into arrays (feature, threshold, leaf); ``Forest.score`` walks all rows of a
-   batch down one level at a time.
+   batch down one level at a time. Texts are described and scored in one pass; no text is shuffled.
 
 Edge cases: a null text counts as empty, and empty texts get a score like any other; labels other than 0 and 1, null
 labels and labels of unknown rows teach nothing; a row with several labels teaches each; without labels of both
@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gleaner.llm.common import documents, staged
 
@@ -89,17 +90,13 @@ def describe(text: bytes) -> list[float]:
     ]
 
 
-def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        x = np.array([describe(t) for t in pc.fill_null(b.column(1), "").cast(pa.large_binary()).to_pylist()], np.float32).reshape(-1, len(STATS))
-        yield pa.record_batch([b.column(0), pa.array(list(x), pa.list_(pa.float32())), *b.columns[2:]], ["id", "x", "row"][: b.num_columns])
+def _table_of(texts: pa.Array) -> np.ndarray:
+    return np.array([describe(t) for t in pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist()], np.float32).reshape(-1, len(STATS))
 
 
-def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """id and x (array of STATS numbers) of every row, staged; with ``row_col``, also row."""
-    more = [F.col(f"`{row_col}`").cast("long").alias("row")] if row_col else []
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"), *more)
-    return staged(rows.mapInArrow(_described, "id long, x array<float>" + (", row long" if more else "")), "statistics")
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(list(_table_of(b.column(2))), pa.list_(pa.float32()))], ["id", "y", "x"])
 
 
 @dataclass
@@ -162,10 +159,15 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     return Forest(np.array(out_f), np.array(out_t), np.array(out_v), base)
 
 
-def learn(stats: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", label_col: str = "quality") -> Forest:
-    """Fits on at most ``rows`` labelled rows whose crc32(id as text) mod 3 is not 1."""
-    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out("id"))
-    sample = stats.join(known, "id").orderBy(F.xxhash64("id"), "id", "y").limit(rows).select("x", "y").toPandas()  # a top-k: no more than ``rows`` leave a task
+def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Forest:
+    """Fits on at most ``rows`` labelled rows whose crc32(id as text) mod 3 is not 1, those with the least hash of their id."""
+    named = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    known = labels.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{label_col}`").cast("int").alias("y")).filter(F.col("y").isin(0, 1) & ~held_out("id")).distinct()
+    order = (F.xxhash64("id"), "id", "y")
+    # ids first, so that only texts of the sample are described; a top-k: no more than ``rows`` leave a task
+    chosen = staged(known.join(named.select("id").distinct(), "id").orderBy(*order).limit(rows), "labelled")
+    known_texts = named.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(_described, "id long, y int, x array<float>")
+    sample = known_texts.orderBy(*order).limit(rows).select("x", "y").toPandas()  # more than ``chosen`` only where ids repeat
     if not len(sample):
         return fit(np.zeros((0, len(STATS)), np.float32), np.zeros(0))
     return fit(np.stack(sample["x"].to_numpy()).astype(np.float32), sample["y"].to_numpy(float))
@@ -175,19 +177,24 @@ def held_out(id_col: str):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
-    """One row a document: id, held_out, score, predicted; with ``row_col``, a key that tells rows with one id apart, also that."""
-    stats = statistics(docs, id_col, text_col, row_col)
-    forest = learn(stats, labels)
+def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", out_col: str = "score", kept: list[str] | None = None) -> DataFrame:
+    """``docs`` (of it, the columns ``kept``) with a score a row, learnt from ``labels`` by id."""
+    forest = learn(docs, labels, id_col=id_col, text_col=text_col)
+    kept = [c for c in kept or docs.columns if c != out_col]
+    rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(STATS))
-            yield pa.record_batch([b.column(0), pa.array(forest.score(x)), *b.columns[2:]], ["id", "score", "row"][: b.num_columns])
+            yield pa.record_batch([*b.columns[1:], pa.array(forest.score(_table_of(b.column(0))))], [*b.schema.names[1:], "score"])
+
+    out = rows.mapInArrow(scored, StructType([*rows.schema.fields[1:], StructField("score", DoubleType())]))
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("score").alias(out_col))
+
 
-    out = stats.mapInArrow(scored, "id long, score double" + (", row long" if row_col else ""))
-    more = [F.col("row").alias(row_col)] if row_col else []
-    return out.select(F.col("id").alias(id_col), held_out("id").alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), *more)
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row a document: id, held_out, score, predicted."""
+    found = with_score(docs.select(f"`{id_col}`", f"`{text_col}`"), labels, id_col, text_col, kept=[id_col])
+    return found.select(id_col, held_out(id_col).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
