@@ -27,8 +27,8 @@ from gleaner.llm.common import attach_group, documents, staged
 
 WINDOW, DIVISOR = 3, 4
 MIN_LINES, MIN_WORDS = 2, 50
-#: Rows to be broadcast at most (some 40 bytes each); with more, texts are shuffled instead.
-BROADCAST_ROWS = 400_000
+#: Bytes to be broadcast at most (some 64 a document and 24 a span); with more, texts are shuffled instead.
+BROADCAST_BYTES = 32 << 20
 
 
 def _words(text: Column) -> Column:
@@ -93,9 +93,9 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`")).alias("digest"), F.col(f"`{text_col}`").alias("text"))
 
 
-def _beside(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
-    """``docs`` (id, digest, ...) joined with one row a document of ``found`` (__id, __digest, ...)."""
-    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+def _beside(docs: DataFrame, found: DataFrame, how: str, spans: str) -> DataFrame:
+    """``docs`` (id, digest, ...) joined with one row a document of ``found`` (__id, __digest, an array ``spans``)."""
+    few = (found.agg(F.sum(64 + 24 * F.size(spans))).first()[0] or 0) <= BROADCAST_BYTES
     same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
     return docs.join(F.broadcast(found) if few else found, same, how).drop("__id", "__digest")
 
@@ -113,7 +113,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wanted = staged(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     held = attach_group(rows, wanted, ["h"], "n")
     held = _by_document(held.select("id", "digest", F.struct("span", "h").alias("hit")).distinct(), "hit")
-    texts = _beside(named, held, "inner").withColumn("__lines", _lines(F.col("text"))).select("id", "digest", "__lines", F.explode("__hits").alias("s"))
+    texts = _beside(named, held, "inner", "__hits").withColumn("__lines", _lines(F.col("text"))).select("id", "digest", "__lines", F.explode("__hits").alias("s"))
     span = F.col("s.span")
     body = F.array_join(F.slice("__lines", _first(span) + 1, _last(span) - _first(span) + 1), "\n")
     texts = staged(texts.select("id", "digest", "s.span", "s.h", body.alias("text")), "texts")
@@ -136,7 +136,7 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gone = _by_document(repeats(docs, id_col, text_col), "span")
     text = F.col(f"`{text_col}`")
     rows = docs.select(F.struct(*[f"`{c}`" for c in kept]).alias("row"), F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text).alias("digest"))
-    hit = _beside(rows, gone, "left")
+    hit = _beside(rows, gone, "left", "__spans")
     hit = hit.withColumn("__gone", F.array_sort(F.array_distinct(F.flatten(F.transform("__spans", lambda x: F.sequence(_first(x), _last(x)))))))
     hit = hit.withColumn("__lines", F.when(F.col("__gone").isNotNull(), _lines(F.col("row")[text_col])))
     hit = hit.withColumn("__left", F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), "__gone"))
