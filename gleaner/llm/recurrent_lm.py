@@ -15,7 +15,8 @@ starts anew with each text; a text's log-likelihood is over all its tokens.
 Learning. All training documents are dealt to shards of SHARD_TOKENS tokens or, with a large lexicon, of as many bytes as the model has. Each learns by back-propagation through WINDOW steps from the common
 start (unigram biases); the models are then averaged, AVERAGED at a time, in rounds of Spark tasks.
 
-Scoring runs on LANES texts side by side, in lanes of nearly equal length, so that long texts don't wait.
+Scoring runs on LANES texts side by side, in lanes of nearly equal length, a window at a time; a lane that ends leaves the
+windows after, so that one very long text costs its own tokens only.
 
 Edge cases: a null text counts as empty: its only token is the end. Null ids count as training. Rows may share ids
 (rows are told apart by id and digest of the text). Without training documents every word is unknown: N = 0, V = 0.
@@ -36,15 +37,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, staged
+from gleaner.llm.common import documents, in_stretches, staged
 
 LEXICON, GROWTH, FREQUENT = 2048, 0.75, 100_000
 STATE, WINDOW, LANES = 24, 32, 512
 SHARD_TOKENS, AVERAGED, RATE = 1_500_000, 16, 0.01
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
 UPDATES = 300
-#: Texts that are Python objects at a time.
-SLICE = 2048
+#: Bytes of text (or one text) whose words are Python objects at a time.
+SLICE = 4 << 20
 #: Kinds of words a worker counts before it hands them on.
 MOST_KINDS = 200_000
 END = b"\n"
@@ -76,6 +77,10 @@ def _lowered(texts: pa.Array) -> list[bytes]:
     return pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_binary()).to_pylist()
 
 
+def _sliced(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    return in_stretches(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), SLICE)
+
+
 def is_held_out(name: int | None) -> bool:
     return name is not None and zlib.crc32(str(name).encode()) % 7 == 2
 
@@ -84,12 +89,12 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of the training texts of each batch."""
     for b in batches:
         found: Counter[bytes] = Counter()
-        for i in range(0, b.num_rows, SLICE):
-            for name, text in zip(b.column(0).slice(i, SLICE).to_pylist(), _lowered(b.column(1).slice(i, SLICE)), strict=True):
+        for i, j in _sliced(b):
+            for name, text in zip(b.column(0).slice(i, j - i).to_pylist(), _lowered(b.column(1).slice(i, j - i)), strict=True):
                 if not is_held_out(name):
                     found.update(words_of(text))
                     found[END] += 1
-            if len(found) > MOST_KINDS or i + SLICE >= b.num_rows:
+            if len(found) > MOST_KINDS or j >= b.num_rows:
                 yield pa.record_batch([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
                 found = Counter()
 
@@ -183,19 +188,28 @@ def _lanes(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return out
 
 
-def _laid(codes: list[np.ndarray], shapes: list[np.ndarray], lanes: list[list[int]], k: int) -> tuple[np.ndarray, ...]:
-    """(steps, lanes) tables: input row, output class base word, shape, whether a text starts, owner (-1: none)."""
-    steps = max(sum(len(codes[i]) for i in lane) for lane in lanes)
-    code = np.full((len(lanes), steps), -1, np.int32)
-    shp, owner, start = np.zeros((len(lanes), steps), np.int32), np.full((len(lanes), steps), -1, np.int32), np.zeros((len(lanes), steps), bool)
-    for j, lane in enumerate(lanes):
-        at = 0
-        for i in lane:
-            n = len(codes[i])
-            code[j, at : at + n], shp[j, at : at + n], owner[j, at : at + n] = codes[i], shapes[i], i
-            start[j, at] = True
-            at += n
-    return code.T, shp.T, owner.T, start.T
+def _windows(codes: list[np.ndarray], shapes: list[np.ndarray], lanes: list[list[int]], window: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(steps, lanes) tables of a window at a time: code, shape, owner (-1: none), whether a text starts.
+
+    Lanes come longest first, and a window has only those that go on: the later ones of the window before have ended.
+    So memory and work follow the tokens, however unequal the texts are.
+    """
+    length = np.array([sum(len(codes[i]) for i in lane) for lane in lanes])
+    lanes = [lanes[j] for j in np.argsort(-length, kind="stable")]
+    length = -np.sort(-length)
+    order = [i for lane in lanes for i in lane]
+    flat = [np.concatenate([x[i] for i in order]) for x in (codes, shapes)]
+    sizes = np.array([len(codes[i]) for i in order])
+    owner = np.repeat(np.array(order, np.int32), sizes)
+    start = np.zeros(len(owner), bool)
+    start[np.cumsum(sizes) - sizes] = True
+    base = np.cumsum(length) - length
+    for t0 in range(0, int(length[0]), window):
+        live = int(np.searchsorted(-length, -t0, "left"))
+        t = np.arange(t0, min(t0 + window, int(length[0])))[:, None]
+        there = t < length[:live]
+        at = np.where(there, base[:live] + t, 0)
+        yield np.where(there, flat[0][at], -1), np.where(there, flat[1][at], 0).astype(np.int32), np.where(there, owner[at], -1), there & start[at]
 
 
 def _with_shapes(lexicon: Lexicon, code: np.ndarray) -> np.ndarray:
@@ -209,39 +223,42 @@ def scored(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     if not codes:
         return np.zeros(0)
     lex, k = model.l, model.l.size
-    code, shp, owner, start = _laid(codes, shapes, _lanes(np.array([len(c) for c in codes]), lanes), k)
-    inside = (code >= 0) & (code < k)
-    out_class = np.where(inside, lex.cls[np.where(inside, code, 0)] if k else 0, lex.classes + shp)
-    rows = np.where(inside, code, k + shp)
+    lanes_of = _lanes(np.array([len(c) for c in codes]), lanes)
     total = np.zeros(len(codes))
-    s = np.zeros((code.shape[1], STATE), np.float32)
-    before = np.full(code.shape[1], k + SHAPES)
-    for t0 in range(0, len(code), WINDOW):
-        t1 = min(len(code), t0 + WINDOW)
-        states = np.empty((t1 - t0, code.shape[1], STATE), np.float32)
-        for t in range(t0, t1):
+    s = np.zeros((len(lanes_of), STATE), np.float32)
+    before = np.full(len(lanes_of), k + SHAPES)
+    for code, shp, owner, start in _windows(codes, shapes, lanes_of, WINDOW):
+        live = code.shape[1]
+        s, before = s[:live], before[:live]
+        inside, out_class, rows = _targets(lex, code, shp)
+        states = np.empty((len(code), live, STATE), np.float32)
+        for t in range(len(code)):
             if start[t].any():
                 s = np.where(start[t][:, None], np.float32(0), s)
                 before = np.where(start[t], k + SHAPES, before)
             s = model.step(model.p["x"][before], s)[0]
-            states[t - t0] = s
+            states[t] = s
             before = rows[t]
-        real = owner[t0:t1].ravel() >= 0
-        p = model.log_probs(states.reshape(-1, STATE)[real], out_class[t0:t1].ravel()[real], np.where(inside[t0:t1], code[t0:t1], -1).ravel()[real])
-        total += np.bincount(owner[t0:t1].ravel()[real], p, len(codes))
+        real = owner.ravel() >= 0
+        p = model.log_probs(states.reshape(-1, STATE)[real], out_class.ravel()[real], np.where(inside, code, -1).ravel()[real])
+        total += np.bincount(owner.ravel()[real], p, len(codes))
     return total
 
 
+def _targets(lex: Lexicon, code: np.ndarray, shp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Whether tokens are in the lexicon, their output classes, and their input rows."""
+    inside = (code >= 0) & (code < lex.size)
+    out_class = np.where(inside, lex.cls[np.where(inside, code, 0)] if lex.size else 0, lex.classes + shp)
+    return inside, out_class, np.where(inside, code, lex.size + shp)
+
+
 def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lanes: int | None = None) -> None:
     """One pass of truncated back-propagation through time over the texts, by Adam; of the tables, rows in use are moved."""
     if not codes:
         return
     lanes = lanes or int(np.clip(sum(map(len, codes)) // (WINDOW * UPDATES), 8, 128))
     lex, k, h = model.l, model.l.size, STATE
-    code, shp, owner, start = _laid(codes, shapes, _lanes(np.array([len(c) for c in codes]), lanes), k)
-    inside = (code >= 0) & (code < k)
-    out_class = np.where(inside, lex.cls[np.where(inside, code, 0)] if k else 0, lex.classes + shp)
-    rows = np.where(inside, code, k + shp)
+    lanes_of = _lanes(np.array([len(c) for c in codes]), lanes)
     m1 = {n: np.zeros_like(v) for n, v in model.p.items()}
     m2 = {n: np.zeros_like(v) for n, v in model.p.items()}
 
@@ -251,12 +268,14 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         m1[name][at], m2[name][at] = a, b
         model.p[name][at] -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
 
-    s, before, done = np.zeros((code.shape[1], h), np.float32), np.full(code.shape[1], k + SHAPES), 0
-    windows = -(-len(code) // WINDOW)
-    for t0 in range(0, len(code), WINDOW):
-        t1, p = min(len(code), t0 + WINDOW), model.p
+    s, before, done = np.zeros((len(lanes_of), h), np.float32), np.full(len(lanes_of), k + SHAPES), 0
+    windows = -(-max(sum(len(codes[i]) for i in lane) for lane in lanes_of) // WINDOW)
+    for code, shp, owner, start in _windows(codes, shapes, lanes_of, WINDOW):
+        p, live = model.p, code.shape[1]
+        s, before = s[:live], before[:live]
+        inside, out_class, rows = _targets(lex, code, shp)
         kept = []
-        for t in range(t0, t1):
+        for t in range(len(code)):
             s = np.where(start[t][:, None], np.float32(0), s)
             before = np.where(start[t], k + SHAPES, before)
             new, z, r, n, gn = model.step(p["x"][before], s)
@@ -267,12 +286,10 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             _, s0, z, r, n, _, _ = kept[i]
             outs.append(n + z * (s0 - n))
         states = np.stack(outs).reshape(-1, h)
-        real = np.flatnonzero(owner[t0:t1].ravel() >= 0)
-        if not len(real):
-            break
+        real = np.flatnonzero(owner.ravel() >= 0)
         done += 1
         rate = RATE * (1 - 0.9 * done / windows) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
-        x, cls, word = states[real], out_class[t0:t1].ravel()[real], np.where(inside[t0:t1], code[t0:t1], -1).ravel()[real]
+        x, cls, word = states[real], out_class.ravel()[real], np.where(inside, code, -1).ravel()[real]
         e = x @ p["c"] + p["cb"]
         e = np.exp(e - e.max(axis=1, keepdims=True))
         e /= e.sum(axis=1, keepdims=True)
@@ -296,7 +313,7 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         full[real] = dx
         full = full.reshape(len(kept), -1, h)
         ds = np.zeros_like(s)
-        inner = np.empty((len(kept), code.shape[1], 3 * h), np.float32)
+        inner = np.empty((len(kept), live, 3 * h), np.float32)
         for i in range(len(kept) - 1, -1, -1):
             b, s0, z, r, n, gn, new_text = kept[i]
             d = full[i] + ds
@@ -380,8 +397,8 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
         shapes: list[np.ndarray] = []
         shard = 0
         for b in batches:
-            for i in range(0, b.num_rows, SLICE):
-                c, s, _ = _texts(start.value, _lowered(b.column(1).slice(i, SLICE)))
+            for i, j in _sliced(b):
+                c, s, _ = _texts(start.value, _lowered(b.column(1).slice(i, j - i)))
                 codes, shapes = codes + c, shapes + s
             shard = b.column(0)[0].as_py() if b.num_rows else shard
         if codes:
@@ -421,18 +438,18 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         m = Model.__new__(Model)
         m.p, m.l = p, lex
         for b in batches:
-            for i in range(0, b.num_rows, SLICE):
-                names = b.column(0).slice(i, SLICE)
-                codes, shapes, words = _texts(lex, _lowered(b.column(1).slice(i, SLICE)))
+            for i, j in _sliced(b):
+                names = b.column(0).slice(i, j - i)
+                codes, shapes, words = _texts(lex, _lowered(b.column(1).slice(i, j - i)))
                 chances = scored(m, codes, shapes) / np.log(10)
                 counted, found, rare = np.zeros(len(codes)), np.zeros(len(codes), np.int64), []
-                for j, (c, s) in enumerate(zip(codes, shapes, strict=True)):
+                for t, (c, s) in enumerate(zip(codes, shapes, strict=True)):
                     frequent = c >= 0
                     plain = lex.log_count[c[frequent]]
-                    counted[j], found[j] = plain.sum(), frequent.sum()
+                    counted[t], found[t] = plain.sum(), frequent.sum()
                     outside = (c < 0) | (c >= lex.size)
-                    chances[j] += lex.log_count[c[outside & frequent]].sum() - lex.log_rest[s[outside]].sum()
-                    rare.append([words[j][q] if q < len(words[j]) else END for q in np.flatnonzero(~frequent).tolist()])
+                    chances[t] += lex.log_count[c[outside & frequent]].sum() - lex.log_rest[s[outside]].sum()
+                    rare.append([words[t][q] if q < len(words[t]) else END for q in np.flatnonzero(~frequent).tolist()])
                 held = [is_held_out(n) for n in names.to_pylist()]
                 n = pa.array([len(c) for c in codes], pa.int64())
                 yield pa.record_batch([names, pa.array(held), n, pa.array(found), pa.array(counted), pa.array(chances), pa.array(rare, pa.list_(pa.binary()))], ["id", "held_out", "n_tokens", "known", "counts", "chances", "rare"])
