@@ -17,9 +17,30 @@ def test_memo_changes_no_id(name, texts):
     assert _ids[name](texts) == _ids[name].whole(texts)
 
 
-def test_memo_stays_bounded(monkeypatch):
-    monkeypatch.setattr("gleaner.llm.tokens.MEMO", 10)
-    ids = Ids(public_tokenizers.path(FILES[1]))
-    texts = [f"word{i} other{i % 3}" for i in range(200)]
+@pytest.mark.parametrize("name", FILES)
+def test_memo_stays_bounded(monkeypatch, name):
+    monkeypatch.setattr("gleaner.llm.tokens.SLOTS", 64)
+    ids = Ids(public_tokenizers.path(name))
+    texts = [f"word{i} other{i % 3} the, {'y' * (i % 90)}" for i in range(200)]
+    for i in range(0, 200, 5):
+        assert ids(texts[i : i + 5]) == ids.whole(texts[i : i + 5])
+        assert ids.memo.entries <= 64 and (ids.memo.one > 0).sum() == ids.memo.entries
+
+
+@pytest.mark.parametrize("name", FILES)
+def test_texts_and_words_longer_than_a_chunk(monkeypatch, name):
+    monkeypatch.setattr("gleaner.llm.tokens.CHUNK", 100)
+    ids = Ids(public_tokenizers.path(name))
+    texts = ["a bc  def\n" * 60, "x" * 350, " " * 230 + "y" * 230 + " z", "short", "", "a\u00a0b " * 40, "é" * 120 + " " * 5]
     assert ids(texts) == ids.whole(texts)
-    assert len(ids.new) + len(ids.old) < 30
+
+
+def test_other_tokenizers_are_asked_for_whole_texts(tmp_path):
+    import json
+
+    with open(public_tokenizers.path(FILES[0])) as f:
+        settings_of = json.load(f)
+    settings_of["pre_tokenizer"]["use_regex"] = False
+    (tmp_path / FILES[1]).write_text(json.dumps(settings_of))  # the name of a file says nothing
+    ids = Ids(str(tmp_path / FILES[1]))
+    assert ids.kind is None and ids(["of the", "of the one"]) == ids.whole(["of the", "of the one"])
