@@ -393,7 +393,7 @@ def greedy_jmim(spark, d):
     return _searched(spark, d, "jmim")
 
 
-def _searched(spark: SparkSession, d: str, criterion: str) -> DataFrame:
+def _searched(spark: SparkSession, d: str, criterion: str, least: float = _LEAST) -> DataFrame:
     coded, sizes = _coded_with_sizes(spark, d)
     at = {f: i for i, f in enumerate(FEATURES)}
     mi, pair, cmi = np.zeros(len(at)), np.zeros((len(at), len(at))), np.zeros((len(at), len(at)))
@@ -409,7 +409,7 @@ def _searched(spark: SparkSession, d: str, criterion: str) -> DataFrame:
     def fixed(some: list[int]) -> np.ndarray:
         return estimator.CMIMSelector(target="y").fixed_gains(coded, FEATURES, [FEATURES[i] for i in some])
 
-    return _chosen_rows(spark, greedy.choose(greedy.Matrices(mi, pair, cmi, fixed), criterion, 3, _LEAST))
+    return _chosen_rows(spark, greedy.choose(greedy.Matrices(mi, pair, cmi, fixed), criterion, 3, least))
 
 
 def _chosen_rows(spark: SparkSession, got: greedy.Chosen) -> DataFrame:
@@ -425,7 +425,7 @@ _ROUND = {
 }
 
 
-def _search_sql(criterion: str) -> str:
+def _search_sql(criterion: str, least: float = _LEAST) -> str:
     """Three rounds of a search; the best score first, the earliest feature of equals, none below the least score."""
     chosen = ["SELECT f FROM r1", "SELECT f FROM r1 UNION SELECT f FROM r2"]
     later = ", ".join(f"g{k + 2} AS ({_ROUND[criterion].format(chosen=c)}), r{k + 2} AS (SELECT feature AS f, s FROM g{k + 2} WHERE feature NOT IN ({c}) ORDER BY s DESC, {_PLACE} LIMIT 1)" for k, c in enumerate(chosen))
@@ -436,17 +436,19 @@ fixed AS (SELECT feature, sum(n / nt * ln(n * nz / (nxz * nyz))) AS s FROM (SELE
   sum(n) OVER (PARTITION BY feature, y, z0, z1) AS nyz, sum(n) OVER (PARTITION BY feature) AS nt FROM zc) GROUP BY feature),
 r1 AS (SELECT feature AS f, mi AS s FROM mi ORDER BY mi DESC, {_PLACE} LIMIT 1), {later},
 every AS (SELECT 1 AS round, * FROM r1 UNION ALL SELECT 2, * FROM r2 UNION ALL SELECT 3, * FROM r3)
-SELECT round, f AS feature, round(s, 9) AS score FROM every e WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.round <= e.round AND o.s < {_LEAST})"""
+SELECT round, f AS feature, round(s, 9) AS score FROM every e WHERE NOT EXISTS (SELECT 1 FROM every o WHERE o.round <= e.round AND o.s < {least})"""
 
 
-@_query(_search_sql("mrmr"))
+@_query(_search_sql("mrmr", -1))
 def greedy_mrmr(spark, d):
-    return _searched(spark, d, "mrmr")
+    """Three rounds, whatever the scores."""
+    return _searched(spark, d, "mrmr", -1)
 
 
-@_query(_search_sql("mim"))
+@_query(_search_sql("mim", -1))
 def greedy_mim(spark, d):
-    return _searched(spark, d, "mim")
+    """Three rounds, whatever the scores."""
+    return _searched(spark, d, "mim", -1)
 
 
 @_query(_search_sql("jmi"))
@@ -502,7 +504,7 @@ def screening_table(spark, d):
 
 @_query(f"SELECT l_extendedprice, l_discount, {_TARGET} AS y FROM lineitem")
 def transform_projection(spark, d):
-    return estimator.SelectorModel(list(_CHOSEN), [], [], "jmim", 0, "y", "auto").transform(_lines(spark, d))
+    return estimator.SelectorModel(list(_CHOSEN), [0.0, 0.0], [], "jmim", 0, "y", "auto").transform(_lines(spark, d))
 
 
 @_query(
