@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -99,6 +100,15 @@ def dropped(*tables: DataFrame) -> None:
         _deleted(t.sparkSession, t.staged_in)
 
 
+def in_stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First place and end of stretches of items that have ``most`` together at most, or are one item."""
+    ends, i = np.cumsum(sizes), 0
+    while i < len(sizes):
+        j = max(i + 1, int(np.searchsorted(ends, (ends[i - 1] if i else 0) + most, "right")))
+        yield i, j
+        i = j
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names like ``names`` that ``df`` doesn't have."""
     mark = "__"
@@ -122,10 +132,9 @@ def attach_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     the driver. Their rows are dealt to SALTS parts, and each part has a copy of the key's group. Both inputs should be staged.
     """
     total = groups.agg(F.sum(size)).first()[0] or 0
-    name = F.xxhash64(*keys)
-    hot = [r[0] for r in groups.filter(F.col(size) > total * HOT_SHARE).select(name).distinct().collect()] if total >= 1 / HOT_SHARE else []
-    if not hot:
-        return rows.join(groups, keys)
+    name, hot = F.xxhash64(*keys), [0]  # never empty: the plan is the same whatever the data
+    if total >= 1 / HOT_SHARE:
+        hot += [r[0] for r in groups.filter(F.col(size) > total * HOT_SHARE).select(name).distinct().collect()]
     (salt,) = unused(rows, "salt")
     dealt = rows.withColumn(salt, F.when(name.isin(hot), F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0)).cast("int"))
     copies = F.when(name.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))

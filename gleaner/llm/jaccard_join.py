@@ -4,30 +4,35 @@ Sketch. The hash space is cut into k blocks; a set's sketch has one 64-bit parit
 that fall into it. A token changes one word only, so the number of words in which two sketches differ is at most the
 size of the symmetric difference: it is a lower bound of it.
 
-Join. Sets with similarity t = NUM / DEN or more differ in at most (|A| + |B|) (1 - t) / (1 + t) tokens, for t = 3/4 a
-third of the smaller set. Sizes are banded by powers of two, with k so that a set's non-empty words outnumber
-that bound: then two similar sets of a band must agree in a non-empty word, and an equi-join on (band, block, word)
-finds them. A set also joins the next band if a similar one could be there. Sets whose non-empty words don't suffice
-("weak", a few in a hundred thousand) also join a finer sketch, where needed one of single tokens, so no link is lost.
+Join. Sets with similarity t = NUM / DEN or more differ in at most (|A| + |B|) (1 - t) / (1 + t) tokens. Sizes are banded
+by powers of two, with k so that the non-empty words of a set outnumber the most tokens D in which a partner of the
+band can differ; a set also joins the next band if a partner could be there. Then two similar sets agree in at least
+(words - D) of the words of either, so by the pigeonhole principle they share one of any D + 1 words of each, taken in
+one global order. The order is by frequency: rare words first. A set's words that no other set has come first of all
+and join nothing; a set with D + 1 of them has no partner and is done. A passage that thousands of documents share is
+frequent, so it brings no pairs. Sets whose words don't outnumber D ("weak", a few in a hundred thousand) also join a
+finer sketch, where needed one of single tokens, so no link is lost.
+
+Frequencies. A task gathers its words in bins of BIN; a bin sends to each slice of the key space a blob of its keys,
+a key that occurs again and again in the bin once, with its count. A slice sums the counts of its keys and answers
+each bin with those that two or more sets have; the bin then picks the D + 1 words of its sets. So two blobs travel
+for each bin and slice instead of a row for each word, and a word that all texts share is one entry a bin.
 
 Verification is on whole sets. Before it, sketches of one parity bit a token (as many bits as twice the set's size)
 drop pairs whose Hamming distance, again a lower bound, already exceeds the bound.
 
-Groups. Sets that are equal are one class. In the group of a sketch word all members are paired with one hub, not with
+Groups. Sets that are equal are one class. In the group of a word all members are paired with one hub, not with
 each other; verified pairs are contracted to components. In groups whose members are still apart, members are paired
 with the hub that has most links so far, for as long as that finds links. What is then still apart is compared
-exactly: in groups up to GROUP, all open pairs. A set agrees with a similar one in at least ``slack`` words of a sketch
-(non-empty words less the bound), so a larger group can be passed over for sets with fewer than slack such groups; of
-the others, members of the smaller components are compared with those of larger ones, in tiles of TILE x SIDE sets
-whose pairs leave the tile only if their parity bits allow a link. No set is left out, and no task holds a group.
+exactly: in groups up to GROUP, all open pairs; in larger ones members of the smaller components with those of larger
+ones, in tiles, first by parity bits, which leave the rows that may have a link, then by whole sets. Only links leave a
+tile, as few as connect what is linked. No set is left out, and no task holds a group.
 
-Scale. A row is emitted for about 0.7 of each distinct shingle: two 64-bit numbers, which is what is shuffled and sorted;
-texts aren't. One word's group can't have more than one in some hundreds of a set's rows, so no key is hot. Only counts
-reach the driver.
+Scale. About 0.7 of each distinct shingle is sent, in some 8 bytes; texts aren't shuffled. Only counts reach the driver.
 
 Edge cases: a null text counts as empty; a text without words has no shingles and no links; shorter texts than WORDS
-words are one shingle. Null or repeated ids are allowed: each row is reported, and links hold between rows. Classes are
-64-bit digests, checked against a second one: should two sets share a digest, the run stops with an error.
+words are one shingle. Null or repeated ids are allowed: each row is reported, and links hold between rows. Sets are
+told apart by 128-bit digests. ``docs`` must give the same rows whenever it is read.
 """
 
 from __future__ import annotations
@@ -37,28 +42,34 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import attach_group, documents, partitions, release, small_batches, staged
-from gleaner.llm.graph import components
+from gleaner.llm.common import attach_group, documents, dropped, partitions, scratch, staged
+from gleaner.llm.graph import components, contracted
 from gleaner.llm.shingles import Sets, in_chunks, mix
 
 NUM, DEN = 75, 100
 #: Band 0 holds sets below LOWEST tokens, joined token by token; band i those from LOWEST * 2^(i-1) on.
 LOWEST, LOAD = 64, 2.4
-#: Largest group whose open pairs are listed; larger ones go by slack and tiles.
+#: Words in a bin of a task, and expected in a slice of the key space.
+BIN, SLICE = 1 << 20, 1 << 20
+#: Largest group whose open pairs are listed; larger ones go by tiles.
 GROUP, TILE, SIDE = 24, 256, 8192
+#: The same where whole sets are compared, in tokens of all sets together.
+TILE_TOKENS, SIDE_TOKENS = 1 << 17, 1 << 21
+#: Keys of a set that are compared to find a pair's smallest common one.
+KEYS = 64
 #: Rounds of new hubs at most, before what is left is compared exactly.
 ROUNDS = 4
 #: Pairs that share a copy of their hub's set when verified.
 HUB = 256
 #: Ids to be broadcast at most (16 bytes each).
 BROADCAST_IDS = 500_000
-#: Pairs in an Arrow batch; each row holds two whole sets.
-BATCH = 200
 
 _U = np.uint64
+_OFTEN = 0xFFFF  # stands for the owners of a key that a bin has several times
 
 
 def bound(a, b):
@@ -93,13 +104,11 @@ def _words(s: Sets, rows: np.ndarray, k: np.ndarray, level: np.ndarray) -> tuple
     at = np.flatnonzero(first)
     word = np.bitwise_xor.reduceat(mix(h + _U(0x9E3779B97F4A7C15)), at) if len(at) else np.zeros(0, np.uint64)
     own = owner[at]
-    key = mix(word + mix(block[at] ^ (level[own].astype(np.uint64) << _U(56))))
-    key = (key & ~_U(255)) | level[own].astype(np.uint64)  # the low byte names the sketch
-    return key, own, np.bincount(own, minlength=len(rows))
+    return mix(word + mix(block[at] ^ (level[own].astype(np.uint64) << _U(56)))), own, np.bincount(own, minlength=len(rows))
 
 
 def _levels(s: Sets, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """All sketches that the sets ``rows`` (non-empty) join: (keys, their sets), and (sets, their sketch, their slack)."""
+    """All sketches that the sets ``rows`` (non-empty) join: (keys, place of their set), and (sets, their words, most that differ)."""
     n = s.sizes[rows]
     own, top = _band(n), _band(_largest_partner(n))
     for which, band in ((np.ones(len(rows), bool), own), (top > own, top)):
@@ -108,11 +117,11 @@ def _levels(s: Sets, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray,
             if not len(sub):
                 break
             k = _blocks(b, 4**step) if step < 3 else np.zeros(len(sub), np.int64)
-            level = b | (step << 5)
-            key, at, found = _words(s, sub, k, level)
-            slack = found - bound(s.sizes[sub], _largest_partner(s.sizes[sub]))
-            yield key, sub[at], sub, level, slack
-            weak = (slack <= 0) & (k > 0)
+            key, at, found = _words(s, sub, k, b | (step << 5))
+            # a partner is of the band at most
+            most = bound(s.sizes[sub], np.minimum(_largest_partner(s.sizes[sub]), LOWEST * 2**b - 1))
+            yield key, at, sub, found, most
+            weak = (found <= most) & (k > 0)
             sub, b = sub[weak], b[weak]
 
 
@@ -126,74 +135,211 @@ def _parity_bits(s: Sets) -> list[bytes | None]:
     return out
 
 
+def _digests(names: np.ndarray) -> pa.Array:
+    """128-bit digests as bytes; null for an empty set."""
+    raw = np.ascontiguousarray(names).tobytes()
+    return pa.array([raw[16 * i : 16 * i + 16] if full else None for i, full in enumerate((names != 0).any(axis=1).tolist())], pa.binary())
+
+
+def _once(s: Sets, names: np.ndarray) -> np.ndarray:
+    """Places of the non-empty sets, each different one once."""
+    rows = np.flatnonzero(s.sizes)
+    if not len(rows):
+        return rows
+    return rows[np.unique(np.ascontiguousarray(names[rows]).view("V16").ravel(), return_index=True)[1]]
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, cls) of every text."""
     for b in batches:
         for ids, s in in_chunks(b.column(0), b.column(1)):
-            one, two = s.names()
-            empty = s.sizes == 0
-            yield pa.record_batch([ids.cast(pa.int64()), pa.array(s.sizes), pa.array(one, mask=empty), pa.array(two, mask=empty)], ["id", "n", "cls", "cls2"])
-
-
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.record_batch([ids.cast(pa.int64()), pa.array(s.sizes), _digests(s.names())], ["id", "n", "cls"])
+
+
+_MESSAGE = "slice int, bin long, low binary, owners binary, often binary"
+
+
+def _six(keys: np.ndarray) -> bytes:
+    """The low 48 bits of keys, as three arrays of 16 bits."""
+    return b"".join((keys >> _U(16 * i)).astype("<u2").tobytes() for i in range(3))
+
+
+def _keys_of(data: bytes) -> np.ndarray:
+    x = np.frombuffer(data, "<u2").reshape(3, -1).astype(np.uint64)
+    return x[0] | x[1] << _U(16) | x[2] << _U(32)
+
+
+class _Bin:
+    """Words of some sets on their way out: keys, whose they are, and of each set its class, words and bound."""
+
+    def __init__(self, name: int):
+        self.name, self.n, self.entries = name, 0, 0
+        self.keys: list[np.ndarray] = []
+        self.owners: list[np.ndarray] = []
+        self.about: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray, at: np.ndarray, cls: np.ndarray, found: np.ndarray, most: np.ndarray) -> None:
+        self.keys.append(keys)
+        self.owners.append((at + self.entries).astype(np.uint32))
+        self.about.append(np.column_stack([cls, found.astype(np.uint64), most.astype(np.uint64)]))
+        self.n, self.entries = self.n + len(keys), self.entries + len(found)
+
+    def sent(self, slices: int) -> Iterator[pa.RecordBatch]:
+        """A row for each slice, and one for the bin itself (slice: minus one, less any slice): its sets and its frequent keys."""
+        keys, owners = np.concatenate(self.keys), np.concatenate(self.owners)
+        part = ((keys >> _U(32)) * _U(slices) >> _U(32)).astype(np.int64)
+        low = keys & _U((1 << 48) - 1)
+        order = np.lexsort((low, part))
+        part, low, owners = part[order], low[order], owners[order]
+        first = np.ones(len(low), bool)
+        first[1:] = (low[1:] != low[:-1]) | (part[1:] != part[:-1])
+        at = np.flatnonzero(first)
+        times = np.diff(np.concatenate([at, [len(low)]]))
+        many = np.repeat(times > 1, times)
+        own = np.concatenate([_full(low[many], part[many]).view(np.uint8), owners[many].view(np.uint8)]).tobytes()
+        part, low, owner = part[at], low[at], np.where(times > 1, _OFTEN, owners[at]).astype("<u2")
+        cut = np.searchsorted(part, np.arange(slices + 1))
+        yield _messages([(-1 - self.name % slices, self.name, np.concatenate(self.about).tobytes(), own, b"")])
+        rows = []
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            i, j = cut[p], cut[p + 1]
+            often = np.flatnonzero(times[i:j] > 1)
+            rows.append((p, self.name, _six(low[i:j]), owner[i:j].tobytes(), np.concatenate([often, times[i:j][often]]).astype("<u4").tobytes()))
+            if len(rows) >= 512:
+                yield _messages(rows)
+                rows = []
+        if rows:
+            yield _messages(rows)
+
+
+def _messages(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["slice", "bin", "low", "owners", "often"])
+
+
+def _full(low: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """The key in a group's name: its low bits and its slice."""
+    return mix(low + mix(np.atleast_1d(part).astype(np.uint64) + _U(1)))
+
+
+def _binned(batches: Iterator[pa.RecordBatch], slices: int) -> Iterator[pa.RecordBatch]:
+    """The words of all texts, as messages to slices."""
+    name = TaskContext.get().partitionId() << 32
+    now = _Bin(name)
     for b in batches:
         for _, s in in_chunks(b.column(0), b.column(1)):
-            cls = s.names()[0]
-            rows = np.flatnonzero(s.sizes)
-            rows = rows[np.unique(cls[rows], return_index=True)[1]]  # a class once
-            for key, at, *_ in _levels(s, rows):
-                yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(cls[at])], ["key", "cls"])
+            names = s.names()
+            rows = _once(s, names)
+            for key, at, sub, found, most in _levels(s, rows):
+                if now.entries + len(sub) >= _OFTEN:
+                    yield from now.sent(slices)
+                    now = _Bin(now.name + 1)
+                now.add(key, at, names[sub], found, most)
+            if now.n >= BIN:
+                yield from now.sent(slices)
+                now = _Bin(now.name + 1)
+    if now.entries:
+        yield from now.sent(slices)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of messages sorted by slice: to each bin those of its keys that occur twice or more, with how often; bins' own rows pass."""
+    now, held = None, []
+
+    def answers() -> Iterator[pa.RecordBatch]:
+        low = np.concatenate([_keys_of(r[1]) for r in held])
+        sizes = np.array([len(r[2]) // 2 for r in held])
+        times = np.ones(len(low), np.int64)
+        for at, r in zip(np.cumsum(sizes) - sizes, held, strict=True):
+            often = np.frombuffer(r[3], "<u4").astype(np.int64)
+            times[at + often[: len(often) // 2]] = often[len(often) // 2 :]
+        order = np.argsort(low, kind="stable")
+        x = low[order]
+        first = np.ones(len(x), bool)
+        first[1:] = x[1:] != x[:-1]
+        at = np.flatnonzero(first)
+        sums = np.add.reduceat(times[order], at)
+        total = np.empty(len(low), np.int64)
+        total[order] = np.repeat(sums, np.diff(np.concatenate([at, [len(low)]])))
+        keep = total > 1
+        cut = np.concatenate([[0], np.cumsum(sizes)])
+        rows = []
+        for i, r in enumerate(held):
+            some = np.flatnonzero(keep[cut[i] : cut[i + 1]])
+            if len(some):
+                rows.append((now, r[0], _full(low[cut[i] + some], now).tobytes(), np.frombuffer(r[2], "<u2")[some].tobytes(), np.minimum(total[cut[i] + some], (1 << 32) - 1).astype("<u4").tobytes()))
+                if len(rows) >= 512:
+                    yield _messages(rows)
+                    rows = []
+        if rows:
+            yield _messages(rows)
 
+    for b in batches:
+        for i, part in enumerate(b.column(0).to_pylist()):
+            if part < 0:
+                yield b.slice(i, 1)
+                continue
+            if part != now and held:
+                yield from answers()
+                held.clear()
+            now = part
+            held.append(tuple(b.column(k)[i].as_py() for k in (1, 2, 3, 4)))
+    if held:
+        yield from answers()
+
+
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of answers sorted by bin: (key, cls) of the words by which each set joins, its rarest."""
+    now, about, own, held = None, b"", b"", []
+
+    def words() -> Iterator[pa.RecordBatch]:
+        sets = np.frombuffer(about, np.uint64).reshape(-1, 4)
+        key, owner, times = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in enumerate((np.uint64, "<u2", "<u4")))
+        often = owner == _OFTEN
+        if often.any():  # whose they are is in the bin's own row
+            n = len(own) // 12
+            mine, whose = np.frombuffer(own[: 8 * n], np.uint64), np.frombuffer(own[8 * n :], np.uint32)
+            k, t = key[often], times[often]
+            order = np.argsort(k)
+            at = order[np.searchsorted(k, mine, sorter=order)]
+            key, owner, times = np.concatenate([key[~often], mine]), np.concatenate([owner[~often].astype(np.uint32), whose]), np.concatenate([times[~often], t[at]])
+        shared = np.bincount(owner, minlength=len(sets))
+        need = np.minimum(shared, (sets[:, 3].astype(np.int64) + 1) - (sets[:, 2].astype(np.int64) - shared))
+        some = need[owner] > 0
+        key, owner, times = key[some], owner[some].astype(np.int64), times[some]
+        order = np.lexsort((key, times, owner))
+        key, owner = key[order], owner[order]
+        start = np.searchsorted(owner, np.arange(len(sets)))
+        keep = np.arange(len(key)) - start[owner] < need[owner]
+        key, owner = key[keep], owner[keep]
+        raw = np.ascontiguousarray(sets[:, :2]).tobytes()
+        cls = pa.array([raw[16 * i : 16 * i + 16] for i in range(len(sets))], pa.binary())
+        for i in range(0, len(key), 1 << 16):
+            yield pa.record_batch([pa.array(key[i : i + (1 << 16)].view(np.int64)), cls.take(pa.array(owner[i : i + (1 << 16)]))], ["key", "cls"])
 
-def _slacks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cls, sketch, slack) of every sketch that a class joins; a weak one counts as slack 1: any word may be the only one."""
     for b in batches:
-        for _, s in in_chunks(b.column(0), b.column(1)):
-            cls = s.names()[0]
-            for _, _, sub, level, slack in _levels(s, np.flatnonzero(s.sizes)):
-                yield pa.record_batch([pa.array(cls[sub]), pa.array(level.astype(np.int64)), pa.array(np.maximum(slack, 1))], ["cls", "sketch", "slack"])
+        for i, name in enumerate(b.column(1).to_pylist()):
+            if name != now:
+                if held:
+                    yield from words()
+                now, about, own, held = name, b"", b"", []
+            row = tuple(b.column(k)[i].as_py() for k in (2, 3, 4))
+            if b.column(0)[i].as_py() < 0:
+                about, own = row[:2]
+            else:
+                held.append(row)
+    if held:
+        yield from words()
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for _, s in in_chunks(b.column(0), b.column(1)):
-            full = np.flatnonzero(s.sizes)
-            full = full[np.unique(s.names()[0][full], return_index=True)[1]]
-            data = [s.hashes[s.at[i] : s.at[i + 1]].tobytes() for i in full]
+            names = s.names()
+            full = _once(s, names)
             bits = _parity_bits(s)
-            yield pa.record_batch([pa.array(s.names()[0][full]), pa.array(s.sizes[full]), pa.array([bits[i] for i in full], pa.binary()), pa.array(data, pa.binary())], ["cls", "n", "bits", "tokens"])
-
-
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, cls): those of keys with two classes or more, once each, with the key's first class as hub."""
-    hub, last, single = None, None, None  # of the key that is going on: its hub and last class; its only row so far
-    for b in batches:
-        if not b.num_rows:
-            continue
-        key, cls = b.column(0).to_numpy(), b.column(1).to_numpy()
-        if single is not None or hub is not None:
-            lead_key, lead_cls = last
-            key, cls = np.concatenate([[lead_key], key]), np.concatenate([[lead_cls], cls])
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (cls[1:] != cls[:-1])
-        carried = single is None and hub is not None  # the first row has been given out
-        key, cls = key[new], cls[new]
-        first = np.ones(len(key), bool)
-        first[1:] = key[1:] != key[:-1]
-        hubs = cls[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]
-        if carried:
-            hubs[key == key[0]] = hub
-        many = np.zeros(len(key), bool)
-        many[1:] |= ~first[1:]
-        many[:-1] |= ~first[1:]
-        if carried:
-            many[0] = False
-        if many.any():
-            yield pa.record_batch([pa.array(key[many]), pa.array(cls[many]), pa.array(hubs[many])], ["key", "cls", "hub"])
-        last = (key[-1], cls[-1])
-        if many[-1] or (carried and len(key) == 1):
-            hub, single = hubs[-1], None
-        else:
-            hub, single = None, True
+            data = [s.hashes[s.at[i] : s.at[i + 1]].tobytes() for i in full]
+            yield pa.record_batch([_digests(names[full]), pa.array(s.sizes[full]), pa.array([bits[i] for i in full], pa.binary()), pa.array(data, pa.binary())], ["cls", "n", "bits", "tokens"])
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +348,14 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         na, nb = b.column("n_a").to_numpy(), b.column("n_b").to_numpy()
         keep = (np.minimum(na, nb) * DEN >= np.maximum(na, nb) * NUM) & (na > 0)
         for i in np.flatnonzero(keep).tolist():
-            x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint8) for c in ("bits_a", "bits_b"))
+            x, y = (np.frombuffer(b.column(c)[i].as_buffer(), np.uint64) for c in ("bits_a", "bits_b"))
             while len(x) > len(y):
                 x = x[: len(x) // 2] ^ x[len(x) // 2 :]
             while len(y) > len(x):
                 y = y[: len(y) // 2] ^ y[len(y) // 2 :]
             keep[i] = int(np.bitwise_count(x ^ y).sum()) <= bound(int(na[i]), int(nb[i]))
-        rows = np.flatnonzero(keep)
-        yield pa.record_batch([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), b.column(2).take(pa.array(rows))], ["a", "b", "shared"])
+        rows = pa.array(np.flatnonzero(keep))
+        yield pa.record_batch([b.column(k).take(rows) for k in range(3)], ["a", "b", "shared"])
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -255,47 +401,106 @@ def _folded(bits: list[bytes], width: int) -> np.ndarray:
     return out
 
 
-def _tile(g: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a tile, one from each side, whose parity bits allow a link and whose components differ."""
+def _near_in(g: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Of a tile: each row of the left with those of the right that its parity bits allow a link with, that are of a
+    greater component, and that don't meet it under a smaller key too."""
     left, right = g[g["left"]], g[~g["left"]]
-    out_a: list[np.ndarray] = []
-    out_b: list[np.ndarray] = []
-    if len(left) and len(right):
-        width = min(map(len, g["bits"]))
-        y, yn = _folded(right["bits"].tolist(), width), right["n"].to_numpy()
-        rank = list(zip(right["members"], right["root"], strict=True))
-        for c, n, members, root, bits in zip(left["cls"], left["n"], left["members"], left["root"], left["bits"], strict=True):
-            far = np.bitwise_count(y ^ _folded([bits], width)).sum(axis=1)
-            ok = (far <= bound(n, yn)) & (np.minimum(n, yn) * DEN >= np.maximum(n, yn) * NUM)
-            hit = [i for i in np.flatnonzero(ok).tolist() if rank[i] > (members, root)]
-            if hit:
-                out_a.append(np.full(len(hit), c, np.int64))
-                out_b.append(right["cls"].to_numpy()[hit])
-    none = [np.zeros(0, np.int64)]
-    return pd.DataFrame({"a": np.concatenate(out_a or none), "b": np.concatenate(out_b or none)})
-
-
-def _tiles(rows: DataFrame, sets: DataFrame) -> DataFrame:
-    """Open pairs within the keys of ``rows`` (key, cls, root, members, m, words, slack) that may be links.
-
-    A pair agrees in ``slack`` of the ``words`` keys of either of its sets, so any words - slack + 1 keys of the one hold
-    the other too: those of the smallest groups are used for the member of the smaller component.
+    if not len(left) or not len(right):
+        return
+    key, width = g["place"].iloc[0], min(map(len, g["bits"]))
+    y, yn = _folded(right["bits"].tolist(), width), right["n"].to_numpy()
+    rank, lists = list(zip(right["members"], right["root"], strict=True)), right["keys"].tolist()
+    for at, n, members, root, bits, keys in zip(left.index, left["n"], left["members"], left["root"], left["bits"], left["keys"], strict=True):
+        far = np.bitwise_count(y ^ _folded([bits], width)).sum(axis=1)
+        ok = (far <= bound(n, yn)) & (np.minimum(n, yn) * DEN >= np.maximum(n, yn) * NUM)
+        before = {k for k in keys if k < key}
+        hit = [i for i in np.flatnonzero(ok).tolist() if rank[i] > (members, root) and before.isdisjoint(lists[i])]
+        if hit:
+            yield at, right.index[hit].to_numpy()
+
+
+def _met(g: pd.DataFrame) -> pd.DataFrame:
+    """Rows of a tile that may have a link in it."""
+    at = {i for one, others in _near_in(g) for i in (one, *others.tolist())}
+    return g.loc[sorted(at), ["place", "cls"]]
+
+
+def _linked(g: pd.DataFrame) -> pd.DataFrame:
+    """Links of a tile, as few as connect what its links connect."""
+    above: dict[bytes, bytes] = {}
+
+    def top(x: bytes) -> bytes:
+        while x in above:
+            x = above[x]
+        return x
+
+    names, roots = g["cls"].to_dict(), g["root"].to_dict()
+    sets = {i: np.frombuffer(x, np.uint64) for i, x in g["tokens"].items()}
+    links = []
+    for i, others in _near_in(g):
+        for j in others.tolist():
+            x, y = top(roots[i]), top(roots[j])
+            if x != y and similar(sets[i], sets[j]):
+                above[x] = y
+                links.append((names[i], names[j]))
+    return pd.DataFrame(links, columns=["a", "b"])
+
+
+def _in_tiles(rows: DataFrame, weight: Column, tile: int, side: int) -> DataFrame:
+    """``rows`` (place, cls, lesser, ...) dealt to tiles (place, i, j), with ``left``.
+
+    The lesser members of a place are its left side, all its members the right one. Both sides are cut into parts of
+    ``tile`` and ``side`` by weight, and each part of the left meets each of the right, so no task holds more than one
+    of each.
     """
-    rank = F.struct("members", "root")
-    top = rows.groupBy("key").agg(F.max(rank).alias("top"))
-    few = F.row_number().over(Window.partitionBy("cls", "sketch").orderBy("m", "key"))
-    left = rows.withColumn("nth", few).filter("nth <= words - slack + 1").join(top, "key").filter(rank < F.col("top")).select("key", "cls", "root", "members")
-    left = staged(left, "left")
-    lefts = left.groupBy("key").agg(F.count("*").alias("lefts"))
-    right = rows.select("key", "cls", "root", "members").join(lefts, "key")
-    size = staged(right.groupBy("key").agg(F.max("lefts").alias("lefts"), F.count("*").alias("rights")), "sizes")
+    size = rows.groupBy("place").agg(F.sum(F.when(F.col("lesser"), weight)).alias("lefts"), F.sum(weight).alias("rights"), F.count("*").alias("m"))
+    held = attach_group(rows, staged(size.filter("lefts is not null"), "sizes"), ["place"], "m").drop("m")
     cut = lambda n, by: F.ceil(F.col(n) / by).cast("int")
     spread = lambda n, by: F.explode(F.sequence(F.lit(0), cut(n, by) - 1))
     mine = lambda n, by: F.pmod(F.xxhash64("cls"), cut(n, by)).cast("int")
-    one = left.join(size, "key").withColumn("i", mine("lefts", TILE)).withColumn("j", spread("rights", SIDE)).withColumn("left", F.lit(True))
-    two = right.drop("lefts").join(size, "key").withColumn("j", mine("rights", SIDE)).withColumn("i", spread("lefts", TILE)).withColumn("left", F.lit(False))
-    both = one.unionByName(two).drop("lefts", "rights").join(sets.select("cls", "n", "bits"), "cls")
-    return both.groupBy("key", "i", "j").applyInPandas(_tile, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    one = held.filter("lesser").withColumn("i", mine("lefts", tile)).withColumn("j", spread("rights", side)).withColumn("left", F.lit(True))
+    two = held.withColumn("j", mine("rights", side)).withColumn("i", spread("lefts", tile)).withColumn("left", F.lit(False))
+    return one.unionByName(two).drop("lefts", "rights", "lesser")
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Where members of large groups meet: (place, cls, root, members, lesser) from rows of key, cls, root, members.
+
+    The greatest component of a key and its other members, the lesser ones, have to be compared, and the lesser ones with
+    each other. Where many keys show the same component's members to the same lesser ones, these meet once, at a place
+    of the component, if that takes fewer comparisons than at the keys.
+    """
+    rank = F.struct("members", "root")
+    tops = staged(rows.groupBy("key").agg(F.max(rank).alias("top"), F.count("*").alias("m")), "tops")
+    marked = attach_group(rows, tops, ["key"], "m").withColumn("lesser", rank < F.col("top")).withColumn("of", F.col("top.root"))
+    marked = staged(marked.select("key", "cls", "root", "members", "lesser", "of"), "marked")
+    sides = marked.groupBy("of", "key").agg(F.count_if("lesser").alias("l"), F.count_if(~F.col("lesser")).alias("r"))
+    by_key = sides.groupBy("of").agg(F.sum(F.col("l") * F.col("r")).alias("at_keys"))
+    once = marked.select("of", "cls", "root", "members", "lesser").distinct()
+    by_component = once.groupBy("of").agg((F.count_if("lesser") * F.count_if(~F.col("lesser"))).alias("at_once"), F.count("*").alias("m"))
+    chosen = staged(by_key.join(by_component, "of").select("of", (F.col("at_once") < F.col("at_keys")).alias("once"), "m"), "chosen")
+    met = attach_group(staged(once, "once"), chosen, ["of"], "m").filter("once").select(F.xxhash64("of").alias("place"), "cls", "root", "members", "lesser")
+    # the rest of a key whose greatest component has gone: the lesser ones, whose greatest component is found anew
+    rest = attach_group(marked, chosen, ["of"], "m").filter("lesser or not once").drop("m", "of", "once", "lesser")
+    anew = staged(rest.groupBy("key").agg(F.max(rank).alias("top"), F.min(rank).alias("low"), F.count("*").alias("m")).filter("low != top").drop("low"), "anew")
+    rest = attach_group(staged(rest, "rest"), anew, ["key"], "m").withColumn("lesser", rank < F.col("top"))
+    return rest.select(F.col("key").alias("place"), "cls", "root", "members", "lesser").unionByName(met)
+
+
+def _links_of_large(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (a, b) that connect members of large groups; ``rows``: key, cls, root, members.
+
+    Members meet at their smallest common place only, as far as their lists of KEYS places tell. By parity bits, rows
+    without a possible link go first; whole sets are sent for the rest.
+    """
+    rows = staged(_placed(rows), "placed")
+    lists = rows.groupBy("cls").agg(F.slice(F.array_sort(F.collect_set("place")), 1, KEYS).alias("keys"))
+    rows = staged(rows.join(lists, "cls").join(sets.select("cls", "n"), "cls"), "open")
+    tiles = _in_tiles(rows, F.lit(1), TILE, SIDE).join(sets.select("cls", "bits"), "cls")
+    met = staged(tiles.groupBy("place", "i", "j").applyInPandas(_met, "place long, cls binary").distinct(), "met")
+    rows = staged(rows.join(met, ["place", "cls"]), "open")
+    tiles = _in_tiles(rows, F.col("n"), TILE_TOKENS, SIDE_TOKENS).join(sets.select("cls", "bits", "tokens"), "cls")
+    return staged(tiles.groupBy("place", "i", "j").applyInPandas(_linked, "a binary, b binary"), "links")
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -303,26 +508,34 @@ def _few(rows: DataFrame) -> DataFrame:
     return rows.alias("x").join(rows.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root"))).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b"))
 
 
-def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def joining_words(docs: DataFrame, words: int) -> DataFrame:
+    """(key, cls) of the words by which classes join, of words that two or more sets have; ``words``: about how many there are."""
+    n = partitions(docs.sparkSession)
+    slices = max(n, -(-words // SLICE))
+    sent = docs.mapInArrow(lambda it: _binned(it, slices), _MESSAGE)
+    sent = sent.repartition(max(n, -(-words // (8 * SLICE))), "slice").sortWithinPartitions("slice")
+    back = sent.mapInArrow(_answered, _MESSAGE)
+    back = back.repartition(max(n, -(-words // (8 * BIN))), "bin").sortWithinPartitions("bin", "slice")
+    return back.mapInArrow(_picked, "key long, cls binary")
+
+
+def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
     """(node, root) of classes with links; ``docs``: id, text; ``classes``: cls, id (one row's id), n."""
     spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.mapInArrow(_keys, "key long, cls long").repartition(n, "key").sortWithinPartitions("key", "cls")
-    shared = staged(rows.mapInArrow(_shared, "key long, cls long, hub long"), "shared")
-    del rows
-    release(spark)  # the largest shuffle is over
+    picked = staged(joining_words(docs, words), "words")
+    keys = picked.groupBy("key").agg(F.min("cls").alias("hub"), F.max("cls").alias("last"), F.count("*").alias("m"))
+    keys = staged(keys.filter("hub != last").drop("last"), "keys")
+    shared = staged(attach_group(picked, keys, ["key"], "m").select("key", "cls", "hub").distinct(), "shared")
+    dropped(picked, keys)
     stars = staged(shared.filter("cls != hub").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "stars")
-    wanted = shared.select("cls").distinct()
-    chosen = staged(classes.join(wanted, "cls").select("id"), "chosen")
-    sets = staged(_chosen(docs, chosen).mapInArrow(_sets, "cls long, n long, bits binary, tokens binary"), "sets")
+    chosen = staged(classes.join(shared.select("cls").distinct(), "cls").select("id"), "chosen")
+    sets = staged(_chosen(docs, chosen).mapInArrow(_sets, "cls binary, n long, bits binary, tokens binary").dropDuplicates(["cls"]), "sets")
 
     def near(pairs: DataFrame) -> DataFrame:
-        with small_batches(spark, BATCH):
-            return staged(_joined(pairs, sets, "bits").mapInArrow(_near, "a long, b long, shared long"), "near")
+        return staged(_joined(pairs, sets, "bits").mapInArrow(_near, "a binary, b binary, shared long"), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        with small_batches(spark, BATCH):
-            return staged(_joined(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified, "a long, b long"), "links")
+        return staged(_joined(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified, "a binary, b binary"), "links")
 
     def rooted(roots: DataFrame, table: DataFrame, on: str, name: str) -> DataFrame:
         return table.join(roots.select(F.col("node").alias(on), F.col("root").alias("r")), on, "left").withColumn(name, F.coalesce("r", on)).drop("r")
@@ -336,8 +549,8 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
     roots = components(links)
     rest = staged(opened(close.join(best, ["a", "b"], "left_anti"), roots), "rest")
     if rest.limit(1).count():
-        links = links.unionByName(verified(rest))
-        roots = components(links)
+        new = verified(rest)
+        links, roots = links.unionByName(new), contracted(roots, new)
     tested = [stars.select("a", "b")]
 
     def untested(pairs: DataFrame) -> DataFrame:
@@ -347,7 +560,7 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
     def apart(rows: DataFrame) -> DataFrame:
         """Rows of words whose members are in different components; with two members the hub's pair was all."""
-        now = rooted(roots, rows, "cls", "root")
+        now = staged(rooted(roots, rows, "cls", "root"), "rooted")
         keys = now.groupBy("key").agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
         keys = staged(keys.filter("m > 2 and low != high").select("key", "m"), "open-keys")
         return staged(attach_group(now.select("key", "cls", "root"), keys, ["key"], "m"), "open")
@@ -366,42 +579,41 @@ def linked_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
         if not new.limit(1).count():
             break
         tested.append(pairs.select("a", "b"))
-        links = links.unionByName(new)
-        roots = components(links)
+        links, roots = links.unionByName(new), contracted(roots, new)
         rows = apart(rows.select("key", "cls"))
-    small, large = rows.filter(f"m <= {GROUP}").drop("m"), rows.filter(f"m > {GROUP}")
-    more = _few(small).distinct()
+    small, large = rows.filter(f"m <= {GROUP}").drop("m"), rows.filter(f"m > {GROUP}").drop("m")
+    more = staged(untested(_few(small).distinct()).withColumn("shared", F.lit(0).cast("long")), "more")
+    new = verified(near(more))
     if large.limit(1).count():
-        sketch = F.pmod("key", F.lit(256)).alias("sketch")
-        busy = staged(large.groupBy("cls", sketch).agg(F.count("*").alias("words")), "busy")
-        ids = busy.select("cls").distinct().join(classes, "cls").select("id")
-        slack = _chosen(docs, staged(ids, "ids")).mapInArrow(_slacks, "cls long, sketch long, slack long").groupBy("cls", "sketch").agg(F.max("slack").alias("slack"))
-        stuck = staged(busy.join(slack, ["cls", "sketch"]).filter("words >= slack"), "stuck")
         members = rooted(roots, classes.select("cls"), "cls", "root").groupBy("root").agg(F.count("*").alias("members"))
-        held = large.select("*", sketch).join(stuck, ["cls", "sketch"]).join(members, "root")
-        more = more.unionByName(_tiles(staged(held, "stuck-rows"), sets)).distinct()
-    more = staged(untested(more).withColumn("shared", F.lit(0).cast("long")), "more")
-    links = links.unionByName(verified(near(more)))
-    return components(links)
+        large = attach_group(large, staged(members, "members"), ["root"], "members")
+        new = new.unionByName(_links_of_large(staged(large, "large"), sets))
+    return contracted(roots, new)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, n_shingles, component_id (least id reachable by links; its own without links)."""
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = staged(docs.mapInArrow(_profile, "id long, n long, cls long, cls2 long"), "profile")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("size"), F.min("cls2").alias("lo"), F.max("cls2").alias("hi"))
-    classes = staged(classes, "classes")
-    if classes.filter("lo != hi").limit(1).count():
-        raise ValueError("two different sets share a 64-bit digest")
-    roots = linked_classes(docs, classes.select("cls", "id", "n"))
-    named = staged(classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "id", "size", F.coalesce("root", "cls").alias("root")), "named")
-    least = staged(named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("classes")), "components")
-    named = staged(attach_group(named, least, ["root"], "classes").select("cls", "size", "component_id"), "classes")
+    with scratch() as keep:
+        rows, named = _named(docs)
+        keep(rows, named)
     full = attach_group(rows.filter("cls is not null").select("id", "n", "cls"), named, ["cls"], "size")
     empty = rows.filter("cls is null").select("id", "n", F.col("id").alias("component_id"))
     return full.select("id", "n", "component_id").unionByName(empty).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
 
 
+def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, n, cls) of each row, and (cls, size, component_id) of each class."""
+    rows = staged(docs.mapInArrow(_profile, "id long, n long, cls binary"), "profile")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("size"))
+    classes = staged(classes, "classes")
+    roots = linked_classes(docs, classes.select("cls", "id", "n"), total)
+    named = staged(classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "id", "size", F.coalesce("root", "cls").alias("root")), "named")
+    least = staged(named.groupBy("root").agg(F.min("id").alias("component_id"), F.count("*").alias("classes")), "components")
+    return rows, staged(attach_group(named, least, ["root"], "classes").select("cls", "size", "component_id"), "named")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 

@@ -1,8 +1,11 @@
 """Sets of hashed word shingles of many texts at once, in numpy.
 
 Texts are lower-cased (A-Z only) and cut at the bytes 0x20 and 0x09 to 0x0D. A word's hash is a polynomial of its
-bytes modulo 2^64, read off a running sum over the whole buffer; a shingle's hash combines its words' hashes. All
+bytes modulo 2^64, read off a running sum over a chunk of text; a shingle's hash combines its words' hashes. All
 hashes are 64 bits and pass a finaliser, so that any of their bits may be used by themselves.
+
+Memory: bytes are handled CHUNK at a time, with tables of that size made once. A longer text is cut at blanks, a longer
+word into parts; what grows with a text is its set alone, 8 bytes a shingle.
 """
 
 from __future__ import annotations
@@ -14,14 +17,25 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 WORDS = 5
-#: Bytes of text handled at a time; a longer text is handled alone.
-CHUNK = 1 << 22
+#: Bytes of text handled at a time.
+CHUNK = 1 << 18
 
 _U = np.uint64
 _M, _C = 0x9E3779B97F4A7C15 | 1, _U(0xD6E8FEB86659FD93)
-_M_INV = pow(_M, -1, 1 << 64)
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+#: A byte's value; A-Z have that of their lower case.
 _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BYTE[65:91] = _BYTE[97:123]
+
+
+def _powers(m: int) -> np.ndarray:
+    t = np.full(CHUNK + 1, m, np.uint64)
+    t[0] = 1
+    return np.multiply.accumulate(t)
+
+
+_UP, _DOWN = _powers(_M), _powers(pow(_M, -1, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -34,14 +48,46 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for i, m in enumerate((_M, _M_INV)):
-            t = np.full(size, m, np.uint64)
-            t[0] = 1
-            _powers[i] = np.multiply.accumulate(t)
-    return _powers
+def _words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of the words of at most CHUNK bytes that end with a blank."""
+    blank = _BLANK[data]
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * _UP[: len(data)], out=total[1:])
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        edge = np.concatenate([[0], edge])
+    start, end = edge[0::2], edge[1::2]
+    return mix((total[end] - total[start]) * _DOWN[start] + (end - start).astype(np.uint64) * _C), start
+
+
+def _long_word(data: np.ndarray) -> np.ndarray:
+    """The hash of one word of any length, a chunk at a time."""
+    total, step = 0, pow(_M, CHUNK, 1 << 64)
+    for i in reversed(range(0, len(data), CHUNK)):
+        part = data[i : i + CHUNK]
+        total = (total * step + int((_BYTE[part] * _UP[: len(part)]).sum())) % (1 << 64)
+    return mix(np.array([total], np.uint64) + np.array([len(data)], np.uint64) * _C)
+
+
+def hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first bytes) of all words of bytes that end with a blank."""
+    if len(data) <= CHUNK:
+        return _words_of(data) if len(data) else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    out, at = [], 0
+    while at < len(data):
+        end = min(len(data), at + CHUNK)
+        blanks = np.flatnonzero(_BLANK[data[at:end]])
+        if len(blanks):
+            end = at + int(blanks[-1]) + 1
+            h, start = _words_of(data[at:end])
+            out.append((h, start + at))
+        else:
+            while not _BLANK[data[end]]:  # the last byte is a blank
+                more = np.flatnonzero(_BLANK[data[end : end + CHUNK]])
+                end = end + int(more[0]) if len(more) else min(len(data) - 1, end + CHUNK)
+            out.append((_long_word(data[at:end]), np.array([at])))
+        at = end
+    return np.concatenate([h for h, _ in out]), np.concatenate([s for _, s in out])
 
 
 class Sets:
@@ -49,23 +95,8 @@ class Sets:
 
     def __init__(self, data: np.ndarray, lengths: np.ndarray, words: int = WORDS):
         """data: the texts' bytes, each followed by one blank; lengths: of the texts with that blank."""
-        n = len(data)
-        blank = (data == 32) | ((data >= 9) & (data <= 13))
-        upper = (data >= 65) & (data <= 90)
-        value = _BYTE[data | (upper.astype(np.uint8) << 5)]
-        up, down = _power_tables(n + 1)
-        value *= up[:n]
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum(value, out=total[1:])
-        edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-        if n and not blank[0]:
-            edge = np.concatenate([[0], edge])
-        start, end = edge[0::2], edge[1::2]
-        h = (total[end] - total[start]) * down[start]
-        h = mix(h + (end - start).astype(np.uint64) * _C)
-        text_end = np.cumsum(lengths)
-        first = np.searchsorted(start, np.concatenate([[0], text_end]))
+        h, start = hashed_words(data)
+        first = np.searchsorted(start, np.concatenate([[0], np.cumsum(lengths)]))
         count = np.diff(first)  # words of each text
         if len(h) >= words:
             s = h[: len(h) - words + 1].copy()
@@ -96,16 +127,16 @@ class Sets:
         self.sizes = sizes
         self.at = np.concatenate([[0], np.cumsum(sizes)])
 
-    def names(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two independent 64-bit digests of each set (0, 0 for an empty one)."""
+    def names(self) -> np.ndarray:
+        """A 128-bit digest of each set as two 64-bit numbers (zeros for an empty one)."""
         full = self.sizes > 0
-        one, two = np.zeros(len(self.sizes), np.uint64), np.zeros(len(self.sizes), np.uint64)
+        out = np.zeros((len(self.sizes), 2), np.uint64)
         if full.any():
             at = self.at[:-1][full]
             x = mix(self.hashes + _C)
-            one[full] = mix(np.bitwise_xor.reduceat(x, at) + self.sizes[full].astype(np.uint64))
-            two[full] = mix(np.add.reduceat(x * x | _U(1), at))
-        return one.view(np.int64), two.view(np.int64)
+            out[full, 0] = mix(np.bitwise_xor.reduceat(x, at) + self.sizes[full].astype(np.uint64))
+            out[full, 1] = mix(np.add.reduceat(x * x | _U(1), at))
+        return out
 
 
 def in_chunks(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, Sets]]:
@@ -117,7 +148,6 @@ def in_chunks(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[pa.Array, Sets]]
     while i < len(raw):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + CHUNK, "right")) - 1)
         lengths = np.diff(offsets[i : j + 1])
-        gaps = np.cumsum(lengths)
-        chunk = np.insert(data[offsets[i] : offsets[j]], gaps, 32) if j - i > 1 else np.append(data[offsets[i] : offsets[j]], np.uint8(32))
+        chunk = np.insert(data[offsets[i] : offsets[j]], np.cumsum(lengths), 32)
         yield ids.slice(i, j - i), Sets(chunk, lengths + 1)
         i = j
