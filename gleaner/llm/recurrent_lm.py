@@ -42,6 +42,8 @@ from gleaner.llm.common import documents, in_stretches, staged
 LEXICON, GROWTH, FREQUENT = 2048, 0.75, 100_000
 STATE, WINDOW, LANES = 24, 32, 512
 SHARD_TOKENS, AVERAGED, RATE = 1_500_000, 16, 0.01
+#: Rows of outputs that are handled at a time, so that they stay in the cache.
+ROWS = 512
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
 UPDATES = 300
 #: Bytes of text (or one text) whose words are Python objects at a time.
@@ -114,9 +116,13 @@ class Lexicon:
         self.size = len(top)
         self.count = np.array([c for _, c in frequent], np.float64)
         self.code = {w: i for i, (w, _) in enumerate(frequent)}
-        # classes of the first words: by falling count, of about equal size
+        # classes of the first words, by falling count: of equal sums of the counts' roots, so that frequent words are in small ones
         self.classes = max(1, int(round(self.size**0.5))) if self.size else 0
-        self.edge = np.linspace(0, self.size, self.classes + 1).astype(int)
+        share = np.cumsum(np.sqrt(self.count[: self.size])) if self.size else np.zeros(1)
+        edge = np.searchsorted(share, share[-1] * np.arange(self.classes + 1) / max(self.classes, 1))
+        edge = np.maximum.accumulate(edge - np.arange(self.classes + 1)) + np.arange(self.classes + 1)  # none is empty
+        self.edge = np.minimum(edge, self.size - self.classes + np.arange(self.classes + 1))
+        self.edge[0], self.edge[-1] = 0, self.size
         self.cls = np.repeat(np.arange(self.classes), np.diff(self.edge))
         total = np.zeros(SHAPES)
         for s, (c, w) in shapes.items():
@@ -161,21 +167,31 @@ class Model:
 
     def log_probs(self, states: np.ndarray, out_class: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(word | class) for each row (word -1: P(class) only)."""
-        e = states @ self.p["c"] + self.p["cb"]
-        top = e.max(axis=1)
-        total = e[np.arange(len(e)), out_class] - top - np.log(np.exp(e - top[:, None]).sum(axis=1))
-        total = total.astype(np.float64)
-        order = np.argsort(np.where(word >= 0, out_class, self.l.outputs), kind="stable")
-        at = np.searchsorted(np.where(word >= 0, out_class, self.l.outputs)[order], np.arange(self.l.classes + 1))
+        total = np.empty(len(states))
+        for i in range(0, len(states), ROWS):
+            e = states[i : i + ROWS] @ self.p["c"]
+            e += self.p["cb"]
+            e -= e.max(axis=1, keepdims=True)
+            total[i : i + ROWS] = e[np.arange(len(e)), out_class[i : i + ROWS]]
+            total[i : i + ROWS] -= np.log(np.exp(e, out=e).sum(axis=1))
+        order, at = self.by_class(out_class, word)
         for c in range(self.l.classes):
             rows = order[at[c] : at[c + 1]]
             if len(rows):
                 lo, hi = self.l.edge[c], self.l.edge[c + 1]
-                f = states[rows] @ self.p["w"][lo:hi].T + self.p["wb"][lo:hi]
-                m = f.max(axis=1)
-                total[rows] += f[np.arange(len(rows)), word[rows] - lo] - m - np.log(np.exp(f - m[:, None]).sum(axis=1))
+                f = states[rows] @ self.p["w"][lo:hi].T
+                f += self.p["wb"][lo:hi]
+                f -= f.max(axis=1, keepdims=True)
+                total[rows] += f[np.arange(len(rows)), word[rows] - lo]
+                total[rows] -= np.log(np.exp(f, out=f).sum(axis=1))
         return total
 
+    def by_class(self, out_class: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows of words in the lexicon in the order of their classes, and where each class begins."""
+        rows = np.flatnonzero(word >= 0)
+        rows = rows[np.argsort(out_class[rows], kind="stable")]
+        return rows, np.searchsorted(out_class[rows], np.arange(self.l.classes + 1))
+
 
 def _lanes(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     """Texts dealt to lanes so that the lanes' total lengths are nearly equal: longest first, to the shortest lane."""
@@ -263,10 +279,23 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     m2 = {n: np.zeros_like(v) for n, v in model.p.items()}
 
     def move(name: str, at: slice | np.ndarray, v: np.ndarray) -> None:
-        a, b = m1[name][at], m2[name][at]
-        a, b = a + 0.1 * (v - a), b + 0.001 * (v * v - b)
-        m1[name][at], m2[name][at] = a, b
-        model.p[name][at] -= (rate * a / (np.sqrt(b) + 1e-8)).astype(np.float32)
+        a, b, p = m1[name][at], m2[name][at], model.p[name]
+        step = v - a
+        step *= np.float32(0.1)
+        a += step
+        np.multiply(v, v, out=step)
+        step -= b
+        step *= np.float32(0.001)
+        b += step
+        np.sqrt(b, out=step)
+        step += np.float32(1e-8)
+        np.divide(a, step, out=step)
+        step *= np.float32(rate)
+        if isinstance(at, slice):
+            p[at] -= step
+        else:  # a and b are copies
+            m1[name][at], m2[name][at] = a, b
+            p[at] -= step
 
     s, before, done = np.zeros((len(lanes_of), h), np.float32), np.full(len(lanes_of), k + SHAPES), 0
     windows = -(-max(sum(len(codes[i]) for i in lane) for lane in lanes_of) // WINDOW)
@@ -290,24 +319,32 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         done += 1
         rate = RATE * (1 - 0.9 * done / windows) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
         x, cls, word = states[real], out_class.ravel()[real], np.where(inside, code, -1).ravel()[real]
-        e = x @ p["c"] + p["cb"]
-        e = np.exp(e - e.max(axis=1, keepdims=True))
-        e /= e.sum(axis=1, keepdims=True)
-        e[np.arange(len(e)), cls] -= 1
         scale = np.float32(1 / len(real))
-        e *= scale
-        g = {"c": x.T @ e, "cb": e.sum(axis=0), "u": np.zeros_like(p["u"])}
-        dx = e @ p["c"].T
-        for c in np.unique(cls[word >= 0]).tolist():
-            some = np.flatnonzero((cls == c) & (word >= 0))
-            lo, hi = lex.edge[c], lex.edge[c + 1]
-            f = x[some] @ p["w"][lo:hi].T + p["wb"][lo:hi]
-            f = np.exp(f - f.max(axis=1, keepdims=True))
-            f /= f.sum(axis=1, keepdims=True)
-            f[np.arange(len(some)), word[some] - lo] -= 1
-            f *= scale
+        g = {"c": np.zeros_like(p["c"]), "cb": np.zeros_like(p["cb"]), "u": np.zeros_like(p["u"])}
+        dx = np.empty_like(x)
+        for i in range(0, len(x), ROWS):
+            some = x[i : i + ROWS]
+            e = some @ p["c"]
+            e += p["cb"]
+            e -= e.max(axis=1, keepdims=True)
+            np.exp(e, out=e)
+            e *= scale / e.sum(axis=1, keepdims=True)
+            e[np.arange(len(e)), cls[i : i + ROWS]] -= scale
+            g["c"] += some.T @ e
+            g["cb"] += e.sum(axis=0)
+            dx[i : i + ROWS] = e @ p["c"].T
+        order, at = model.by_class(cls, word)
+        for c in np.flatnonzero(np.diff(at)).tolist():
+            some = order[at[c] : at[c + 1]]
+            lo, hi, xs = lex.edge[c], lex.edge[c + 1], x[some]
+            f = xs @ p["w"][lo:hi].T
+            f += p["wb"][lo:hi]
+            f -= f.max(axis=1, keepdims=True)
+            np.exp(f, out=f)
+            f *= scale / f.sum(axis=1, keepdims=True)
+            f[np.arange(len(some)), word[some] - lo] -= scale
             dx[some] += f @ p["w"][lo:hi]
-            move("w", slice(lo, hi), f.T @ x[some])
+            move("w", slice(lo, hi), f.T @ xs)
             move("wb", slice(lo, hi), f.sum(axis=0))
         full = np.zeros_like(states)
         full[real] = dx
