@@ -3,15 +3,19 @@
 import hashlib
 import math
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gleaner.llm import shingles as module_of_sets
 from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, packing, piece_codec, pii, quality, recurrent_lm, token_store
 
 BYTES, WORDS, PIECES = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"))
@@ -51,12 +55,23 @@ def test_store(odd_docs, odd_rows, no_docs):
 
 @pytest.mark.parametrize("lengths", [[1], [3] * 1000, list(range(700)), [0, 0, 5, 0], [1, 100_000, 1]])
 def test_elias_fano_selects(lengths):
-    data = token_store.encode_shard(list(range(len(lengths))), [b"\1\0\0\0" * n for n in lengths])
-    s = token_store.Shard(data)
-    assert s.ends().tolist() == np.cumsum(lengths).tolist() == [s.end(k) for k in range(len(lengths))]
-    assert [len(s.document(k)) for k in range(len(lengths))] == lengths
-    bits = (len(data) - 4 * sum(lengths) - 9 * len(lengths) - 48) * 8
-    assert bits <= len(lengths) * (2 + math.log2(sum(lengths) / len(lengths) + 1)) + 256 + 32 * (len(lengths) // token_store.SAMPLE)
+    names = [None] * (len(lengths) // 3) + [7 + k * k for k in range(len(lengths) - len(lengths) // 3)]
+    for kind in ("u2", "u4"):
+        s = token_store.Shard(token_store.encode_shard(names, [np.ones(n + 1, kind) for n in lengths]))
+        assert [s.end(k) for k in range(len(lengths))] == np.cumsum(np.array(lengths) + 1).tolist()
+        assert [len(s.document(k)) for k in range(len(lengths))] == [n + 1 for n in lengths]
+        assert [s.name(k) for k in range(len(lengths))] == names
+    x = np.cumsum(lengths)
+    n = len(x)
+    assert 8 * len(token_store.elias_fano(x)) <= n * (2 + math.log2(x[-1] / n + 1)) + 256 + 24 * 8 + 32 * (n // token_store.SAMPLE)
+
+
+def test_store_of_one_very_common_id(spark):
+    docs = spark.createDataFrame([(None, f"text {i % 7}") for i in range(300)] + [(5, "same")] * 300, "doc_id long, text string")
+    store = token_store.write_store(docs.repartition(4), BYTES, 0)
+    got = sorted(token_store.digest(store).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in got] == [None] * 300 + [5] * 300 and len({r["part"] for r in store.collect()}) > 2
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
 
 
 # 2
@@ -108,6 +123,36 @@ def test_forest_learns_and_walks():
     assert f.score(x[:5]) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-12)
 
 
+def test_forest_equals_naive_trees(monkeypatch):
+    for name, v in (("BOOSTS", 3), ("DEPTH", 2), ("BINS", 8)):
+        monkeypatch.setattr(quality, name, v)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.random((120, 3)), 2).astype(np.float32)
+    y = (x[:, 0] + 0.3 * rng.random(120) > 0.6).astype(float)
+    base = math.log(y.mean() / (1 - y.mean()))
+    cuts = np.quantile(x, np.linspace(0, 1, 9)[1:-1], axis=0).astype(np.float32)
+    total = np.full(len(y), base)
+    for _ in range(3):
+        p = 1 / (1 + np.exp(-total))
+        g, h = y - p, p * (1 - p)
+        worth = lambda r: g[r].sum() ** 2 / (h[r].sum() + quality.L2)
+        nodes = [np.arange(len(y))]
+        for _ in range(2):
+            split = []
+            for r in nodes:
+                best, sides = 1e-9, (r, r[:0])
+                for f in range(3):
+                    for t in cuts[:, f]:
+                        left, right = r[x[r, f] <= t], r[x[r, f] > t]
+                        if min(len(left), len(right)) >= quality.LEAST and worth(left) + worth(right) - worth(r) > best + 1e-12:
+                            best, sides = worth(left) + worth(right) - worth(r), (left, right)
+                split += sides
+            nodes = split
+        for r in nodes:
+            total[r] += quality.RATE * g[r].sum() / (h[r].sum() + quality.L2)
+    assert quality.fit(x, y).score(x) == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-9)
+
+
 @pytest.mark.parametrize("size", [512, 513, 1000, 1023, 1024, 1500])
 def test_windows_see_the_end_of_a_text(size):
     text = b"a" * (size - 300) + b"#" * 100 + b"A" * 100 + b"|" * 100
@@ -220,17 +265,97 @@ def test_chances_sum_to_one_and_lanes_change_nothing():
     assert recurrent_lm.scored(model, codes, shapes).sum() > before
 
 
-def test_gradients_follow_differences():
-    lexicon = recurrent_lm.Lexicon([(f"w{i}".encode(), 9 - i) for i in range(8)] + [(b"\n", 1)], 50, 9, {})
-    texts = [b" ".join([b"w1 w2 w3"] * 300)] * 8
+def naive_score(model, codes, shapes):
+    """The same chances, a token at a time, in double precision."""
+    p, lex, h = {n: v.astype(float) for n, v in model.p.items()}, model.l, recurrent_lm.STATE
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    s, before, total = np.zeros(h), lex.size + recurrent_lm.SHAPES, 0.0
+    for c, shape in zip(codes.tolist(), shapes.tolist(), strict=True):
+        x, g = p["x"][before], s @ p["u"]
+        z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
+        s = (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :]) + z * s
+        inside = 0 <= c < lex.size
+        e = s @ p["c"] + p["cb"]
+        total += e[lex.cls[c] if inside else lex.classes + shape] - np.log(np.exp(e).sum())
+        if inside:
+            lo, hi = lex.edge[lex.cls[c]], lex.edge[lex.cls[c] + 1]
+            f = p["w"][lo:hi] @ s + p["wb"][lo:hi]
+            total += f[c - lo] - np.log(np.exp(f).sum())
+        before = c if inside else lex.size + shape
+    return total
+
+
+def small_model():
+    lexicon = recurrent_lm.Lexicon([(f"w{i}".encode(), 9 - i) for i in range(8)] + [(b"\n", 1)], 50, 12, {0: (3, 2)})
+    rng = np.random.default_rng(2)
+    texts = [b" ".join(f"w{i}".encode() for i in rng.integers(0, 11, n)) for n in (1, 200, 5, 0, 63, 64, 7)]
     codes, shapes, _ = recurrent_lm._texts(lexicon, texts)
+    return recurrent_lm.Model(lexicon), codes, shapes
+
+
+def test_scores_equal_a_token_at_a_time():
+    model, codes, shapes = small_model()
+    recurrent_lm.learnt(model, codes, shapes, lanes=3)
+    want = [naive_score(model, c, s) for c, s in zip(codes, shapes, strict=True)]
+    for lanes in (1, 3, 50):
+        assert recurrent_lm.scored(model, codes, shapes, lanes).tolist() == pytest.approx(want, rel=1e-4)
+
+
+def test_first_step_follows_differences():
+    """The optimiser's first step goes against the sign of the loss's slope: here the slope is taken by differences."""
+    start, codes, shapes = small_model()
+    codes, shapes = [codes[5][:20]], [shapes[5][:20]]  # one window
+    moved = recurrent_lm.Model(start.l)
+    moved.p = {n: v.copy() for n, v in start.p.items()}
+    recurrent_lm.learnt(moved, codes, shapes, lanes=1)
+    rng, checked = np.random.default_rng(0), 0
+    for name, v in start.p.items():
+        for at in rng.integers(0, v.size, 25):
+            slope = []
+            for d in (1e-3, -1e-3):
+                p = {n: x.astype(float) for n, x in start.p.items()}
+                p[name].ravel()[at] += d
+                m = recurrent_lm.Model.__new__(recurrent_lm.Model)
+                m.p, m.l = p, start.l
+                slope.append(naive_score(m, codes[0], shapes[0]))
+            slope = (slope[0] - slope[1]) / 2e-3 / len(codes[0])
+            if abs(slope) > 1e-4:
+                step = moved.p[name].ravel()[at] - v.ravel()[at]
+                assert np.sign(step) == np.sign(slope), (name, at)
+                checked += 1
+    assert checked > 40
+
+
+def test_a_sequence_that_repeats_is_learnt():
+    lexicon = recurrent_lm.Lexicon([(f"w{i}".encode(), 9 - i) for i in range(8)] + [(b"\n", 1)], 50, 9, {})
+    codes, shapes, _ = recurrent_lm._texts(lexicon, [b" ".join([b"w1 w2 w3"] * 300)] * 8)
     model = recurrent_lm.Model(lexicon)
     for _ in range(12):
         recurrent_lm.learnt(model, codes, shapes, lanes=8)
-    # a sequence that repeats is learnt: far above the best that a model without memory can do
+    # far above the best that a model without memory can do
     assert recurrent_lm.scored(model, codes[:1], shapes[:1])[0] / len(codes[0]) > -0.6
 
 
+def test_windows_follow_the_tokens():
+    rng = np.random.default_rng(1)
+    codes = [rng.integers(0, 9, n).astype(np.int32) for n in (5000, *[7] * 400)]
+    lanes = recurrent_lm._lanes(np.array([len(c) for c in codes]), 64)
+    seen, cells = [[] for _ in codes], 0
+    for code, shp, owner, start in recurrent_lm._windows(codes, codes, lanes, 32):
+        cells += code.size
+        for j in range(code.shape[1]):
+            for t in range(len(code)):
+                if owner[t, j] >= 0:
+                    assert start[t, j] == (not seen[owner[t, j]])
+                    seen[owner[t, j]].append(code[t, j])
+    assert all(s == c.tolist() for s, c in zip(seen, codes, strict=True)) and cells < 5000 + 64 * 64 + 7 * 400
+
+
+def test_held_out_texts_are_likelier_than_by_counts(spark):
+    got = recurrent_lm.query(spark, "/root/testdata/sf0.001").filter("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert got[0] > got[1]
+
+
 def test_every_training_document_is_learnt_from(spark):
     lexicon = recurrent_lm.Lexicon([(b"\n", 40)] + [(f"w{i}".encode(), 1) for i in range(40)], 80, 41, {})
     docs = spark.createDataFrame([(i, f"w{i} w{i}") for i in range(40)], "id long, text string")
@@ -307,6 +432,72 @@ def test_line_dedup_keeps_one_of_a_line_that_repeats_itself(spark):
     assert (got[0]["text"], got[0]["removed_lines"]) == (f"{line}\n{line}", 5)
 
 
+def chained(*values):
+    """Spark's xxhash64 of a string, or of numbers (None is passed over)."""
+    seed = 42
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=seed)
+    return seed - (seed >> 63 << 64)
+
+
+def brute_line_dedup(rows):
+    """(id, text, removed lines, stretches of them) by the rule, in plain loops."""
+    docs = {(n, chained(t), t) for n, t in rows if t is not None}
+    found = defaultdict(list)
+    for n, digest, text in docs:
+        lines = text.split("\n")
+        words = [len(x.split()) for x in lines]
+        hashes = [chained(x) for x in lines]
+        spans = set()
+        for i in range(len(lines)):
+            if words[i]:  # the shortest span of 50 words from this line on, and up to it
+                total = np.cumsum(words[i:])
+                if total[-1] >= 50:
+                    spans.add((i, i + int(np.argmax(total >= 50))))
+                total = np.cumsum(words[i::-1])
+                if total[-1] >= 50:
+                    spans.add((i - int(np.argmax(total >= 50)), i))
+        begin = 0
+        for i in range(len(lines)):
+            rolling = chained(hashes[i], *(hashes[i - k] if i >= k else None for k in (1, 2)))
+            if words[i] >= 50 or i + 1 == len(lines) or words[i + 1] >= 50 or rolling % 4 == 0:
+                if i > begin:
+                    spans.add((begin, i))
+                begin = i + 1
+        for a, z in spans:
+            found["\n".join(lines[a : z + 1])].append((n is not None, n or 0, digest, a, z))
+    gone = defaultdict(set)
+    for places in found.values():
+        one, *more = sorted(places)
+        for known, n, digest, a, z in more:
+            if (known, n, digest) == one[:3]:
+                a = max(a, one[4] + 1)
+            gone[n if known else None, digest] |= set(range(a, z + 1))
+    out = []
+    for n, text in rows:
+        off = gone[n, chained(text)] if text is not None else set()
+        left = "\n".join(x for i, x in enumerate(text.split("\n")) if i not in off) if off else text
+        out.append((n, left, len(off), sum(i - 1 not in off for i in off)))
+    return out
+
+
+def test_line_dedup_equals_brute_force(spark, odd_docs, odd_rows):
+    rng = np.random.default_rng(11)
+    lines = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(int(rng.integers(0, 30)))) for _ in range(60)] + ["", " ", "long " * 55]
+    rows = list(odd_rows)
+    for k in range(80):
+        a, n = (int(rng.integers(0, m)) for m in (50, 12))
+        rows.append((1000 + k, "\n".join(lines[i] for i in [*rng.integers(0, 63, 8), *range(a, a + n), *rng.integers(0, 63, 5)])))
+    docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(rows[len(odd_rows) :], "doc_id long, text string"))
+    for most in (1 << 25, 0):  # broadcast, or shuffled
+        line_dedup.BROADCAST_BYTES = most
+        got = line_dedup.without_repeats(docs).collect()
+        assert kept(map(tuple, got)) == kept(brute_line_dedup(rows))
+    line_dedup.BROADCAST_BYTES = 1 << 25
+    assert sum(r["removed_lines"] for r in got) > 200
+
+
 # 8
 
 
@@ -337,18 +528,19 @@ def components(rows):
 @pytest.mark.parametrize("sizes", [None, (2, 4, 8, 0)])
 def test_near_duplicates(monkeypatch, odd_docs, odd_rows, no_docs, sizes):
     if sizes:  # all groups are large, there are no rounds of hubs: tiles have to find every link
-        for name, v in zip(("GROUP", "TILE", "SIDE", "ROUNDS"), sizes, strict=True):
+        for name, v in zip(("GROUP", "TILE", "SIDE", "ROUNDS", "TILE_TOKENS", "SIDE_TOKENS", "KEYS"), (*sizes, 300, 900, 2), strict=True):
             monkeypatch.setattr(jaccard_join, name, v)
     assert kept(map(tuple, jaccard_join.near_duplicates(odd_docs).collect())) == kept(components(odd_rows))
     assert jaccard_join.near_duplicates(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("size", [40, 60, 70, 300, 2000])
-def test_sketches_agree_wherever_sets_are_similar(size):
-    import pyarrow as pa
+def sets_of(texts):
+    raw = [t.encode() + b" " for t in texts]
+    return module_of_sets.Sets(np.frombuffer(b"".join(raw), np.uint8), np.array(list(map(len, raw))))
 
-    from gleaner.llm.shingles import Sets, in_chunks
 
+@pytest.mark.parametrize("size", [40, 60, 70, 300, 2000])
+def test_sketches_agree_wherever_sets_are_similar(size):
     rng = np.random.default_rng(size)
     words = [f"w{i}" for i in rng.integers(0, 1 << 40, size + 4)]
     texts = [" ".join(words)]
@@ -357,17 +549,46 @@ def test_sketches_agree_wherever_sets_are_similar(size):
         for i in rng.integers(0, len(some), max(1, size // 35)):
             some[i] = f"v{rng.integers(0, 1 << 40)}"
         texts.append(" ".join(some[: len(some) - int(rng.integers(0, 1 + size // 8))]))
-    ((_, s),) = in_chunks(pa.array(range(len(texts))), pa.array(texts))
-    assert isinstance(s, Sets)
+    s = sets_of(texts)
     keys = defaultdict(set)
-    for key, at, *_ in jaccard_join._levels(s, np.arange(len(texts))):
-        for k, i in zip(key.tolist(), at.tolist(), strict=True):
+    for key, at, sub, *_ in jaccard_join._levels(s, np.arange(len(texts))):
+        for k, i in zip(key.tolist(), sub[at].tolist(), strict=True):
             keys[i].add(k)
     sets = [set(s.hashes[s.at[i] : s.at[i + 1]].tolist()) for i in range(len(texts))]
     similar = [(i, j) for i in range(len(texts)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])]
     assert similar and all(keys[i] & keys[j] for i, j in similar)
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_near_duplicates_of_families(monkeypatch, spark, small):
+    """Families of near copies around the threshold, with a passage that all texts share, against brute force."""
+    if small:  # many bins and slices, large groups at once
+        for name, v in (("BIN", 500), ("SLICE", 700), ("GROUP", 3), ("TILE", 8), ("SIDE", 16)):
+            monkeypatch.setattr(jaccard_join, name, v)
+    rng = np.random.default_rng(9)
+    word = lambda: f"w{rng.integers(0, 5000)}"
+    passage = [word() for _ in range(30)]
+    rows = []
+    for family in range(12):
+        base = [word() for _ in range(int(rng.integers(20, 220)))]
+        for _ in range(14):
+            text = [w if rng.random() > rng.choice([0.0, 0.02, 0.035, 0.05]) else word() for w in base]
+            text = text[: len(text) - int(rng.integers(0, 1 + len(text) // 6))]
+            rows.append((len(rows), " ".join(text + passage * int(rng.integers(0, 2)))))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert kept(map(tuple, jaccard_join.near_duplicates(docs).collect())) == kept(components(rows))
+
+
+def test_long_texts_and_words_are_hashed_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("".join(rng.choice(list("aBc"), int(n))) for n in rng.choice([1, 5, 40, 3000], 300)), "x" * 5000, "", "  a" * 700, "A b C d E f"]
+    whole = sets_of(texts)
+    monkeypatch.setattr(module_of_sets, "CHUNK", 1000)
+    pieces = [s for _, s in module_of_sets.in_chunks(pa.array(range(5)), pa.array(texts))]
+    assert len(pieces) > 1 and np.concatenate([s.hashes for s in pieces]).tolist() == whole.hashes.tolist()
+    assert np.concatenate([s.sizes for s in pieces]).tolist() == whole.sizes.tolist() == [len(shingles(t)) for t in texts]
+
+
 # 9
 
 
@@ -397,12 +618,52 @@ def test_pii(spark, odd_docs, odd_rows, no_docs):
     for name, text in rows:
         spans = plain_spans(text)
         want.append((name, *(sum(s.startswith(k) for s in spans) for k in pii.PLAIN), hashlib.sha256(",".join(spans).encode()).hexdigest()))
-    assert kept(tuple(r)[:6] for r in got) == kept(want)
+    assert kept((r["doc_id"], *(r[f"n_{k}"] for k in pii.PLAIN), r["base_sha256"]) for r in got) == kept(want)
+    assert all(r["n_spans"] == sum(r[f"n_{k}"] for k in pii.KINDS) == len(r["scores"].split(",")) - (not r["scores"]) for r in got)
     spans = {r["doc_id"]: r["spans"] for r in got}
     assert spans[204].count("iban") == 2 and spans[204].count("card") == 1
     assert pii.digest(no_docs).count() == 0
 
 
+def test_pii_work_grows_with_the_text_only(spark):
+    import time
+
+    def took(n):
+        docs = spark.createDataFrame([(1, "é x@y.co, " * n)], "doc_id long, text string")
+        began = time.time()
+        assert pii.digest(docs).first()["n_email"] == n
+        assert pii.redacted(docs).first()["text"] == "é [EMAIL], " * n
+        return time.time() - began
+
+    took(10)
+    assert took(100_000) < 30  # with a look-up from the text's start for each span it takes minutes
+
+
+def test_secrets(spark):
+    good = ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "AKIA" + "Q7RS2TUV" * 2, "ghp_" + "aB3dE5gH7jK9" * 3]
+    bad = ["0" * 40, "abcabcabc0" * 4, "1234567890" * 4, good[0] + "x", "x_" + good[0], good[0][:31]]
+    docs = spark.createDataFrame([(i, f'the token = "{t}" here') for i, t in enumerate(good + bad)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_secret"], r["scores"]) for r in pii.digest(docs).collect()}
+    assert [got[i][0] for i in range(9)] == [1, 1, 1] + [0] * 6 and got[0][1] == "70"
+
+
+def test_redaction_across_blocks(monkeypatch, spark):
+    import random
+
+    monkeypatch.setattr(pii, "_BLOCK", 7)
+    rng = random.Random(5)
+    rows = [(i, "".join(rng.choice(["a@b.co", "1.2.3.4", "🙂é", " ", "x y z ", "+1 234 567 890 12"]) for _ in range(rng.randint(0, 40)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spans = {r["doc_id"]: sorted((s["start"], -s["end"], s["kind"]) for s in r["pii"]) for r in pii.with_pii(docs).collect()}
+    for r in pii.redacted(docs).collect():
+        text, out, far = dict(rows)[r["doc_id"]], "", 0
+        for start, end, kind in spans[r["doc_id"]]:
+            if start >= far:
+                out += text[far:start] + f"[{kind.upper()}]"
+            far = max(far, -end)
+        assert r["text"] == out + text[far:]
+
+
 def test_redaction_and_scores(spark):
     docs = spark.createDataFrame([(1, "my card 4111111111111111, see 10.0.0.1@x.co"), (2, None), (3, "nothing")], "doc_id long, text string").withColumn("pii", F.lit(1))
     assert {r["doc_id"]: r["text"] for r in pii.redacted(docs).collect()} == {1: "my card [CARD], see [EMAIL]", 2: None, 3: "nothing"}
@@ -413,7 +674,12 @@ def test_redaction_and_scores(spark):
 # 10
 
 
-def test_near_vectors(spark):
+@pytest.mark.parametrize("tile", [1024, 3])
+def test_near_vectors(monkeypatch, spark, tile):
+    monkeypatch.setattr(embedding_join, "TILE", tile)
+    monkeypatch.setattr(embedding_join, "SIDE", 2 * tile - 1)
+    monkeypatch.setattr(embedding_join, "_PAIRS", 50)
+    monkeypatch.setattr(embedding_join, "_CELLS", 40)
     rng = np.random.default_rng(6)
     base = rng.standard_normal((6, 16))
     rows = []
@@ -441,3 +707,22 @@ def test_near_vectors(spark):
         want.append((rows[i][0], sum(link[i]), root, rows[i][0] == root))
     assert kept(map(tuple, embedding_join.near_vectors(df).collect())) == kept(want)
     assert embedding_join.near_vectors(df.limit(0)).count() == 0
+
+
+def test_rows_leave_the_tiles_of_a_dense_group_not_pairs(spark):
+    """300 vectors that are all linked with each other: each is reported once a tile, however many pairs there are."""
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(64)
+    rows = [(k, (base + rng.standard_normal(64) * 0.01).tolist(), 0) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = embedding_join.near_vectors(df).collect()
+    assert {(r["n_links"], r["component_id"]) for r in got} == {(299, 0)}
+    with embedding_join.scratch():
+        seen = []
+        real = embedding_join.components
+        embedding_join.components = lambda edges: seen.append(edges.count()) or real(edges)
+        try:
+            embedding_join.near_vectors(df)
+        finally:
+            embedding_join.components = real
+    assert seen[0] < 300 * 8 * 9

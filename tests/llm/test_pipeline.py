@@ -1,6 +1,7 @@
 """Each stage against brute force over all that its predecessor kept."""
 
 import re
+from pathlib import Path
 
 import corpus_pipeline
 from gleaner.llm import quality
@@ -66,3 +67,21 @@ def test_stages_on_null_and_repeated_ids(spark, odd_docs, tmp_path):
     want = [min((rows[k][0] for k in g if rows[k][0] is not None), default=None) for g in groups.values()]
     assert kept(n for n, _ in got) == kept(want)
     assert all(row in rows for row in got)
+
+
+def test_stages_on_an_empty_table_and_other_columns(spark, odd_docs, no_docs, tmp_path):
+    spark.createDataFrame([(k, k % 2) for k in range(0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, no_docs, str(tmp_path)).count() == 0
+        plain, more = odd_docs.select(*corpus_pipeline.COLUMNS), odd_docs.withColumn("__row", odd_docs["doc_id"] * 0).withColumn("__pii", odd_docs["doc_id"])
+        out = [stage(spark, d, str(tmp_path)) for d in (plain, more)]
+        assert out[0].columns == out[1].columns and kept(map(tuple, out[0].collect())) == kept(map(tuple, out[1].collect())), name
+
+
+def test_run_leaves_only_its_result(spark, odd_docs, tmp_path):
+    odd_docs.select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, int(k != 40)) for k in range(100)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    before = {p.name for p in folder.iterdir()}
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 50 and len({p.name for p in folder.iterdir()} - before) == 1
