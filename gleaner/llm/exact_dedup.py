@@ -2,11 +2,13 @@
 
 1. Each task digests its texts (A-Z lowered) and emits one row a document: a 64-bit key, the SHA-256, the document's
    id and the label of its run. These rows are written to the shared folder; texts are read once and never shuffled.
-2. Runs are merged in rounds of FAN_IN. In a round the run labels d0, d1, ... of one parent send their sorted entries
-   to it (a radix-FAN_IN binomial tree), cut into ranges of the key, so that a round has many small tasks whatever the
-   number of runs. A task merges its runs in key order as they stream by and keeps one entry a text: the id that stays
-   and the number of rows. Equal keys count as equal texts only when their SHA-256 agree: every level verifies
-   what it merges. A text that a third of all rows share is one entry a run from the first level on.
+2. A task makes its rows sorted runs of RUN entries at most, one entry a text: key, SHA-256, the id that stays and the
+   number of rows. Runs are merged in rounds of FAN_IN. In a round the run labels d0, d1, ... of one parent send their
+   runs to it (a radix-FAN_IN binomial tree), cut into ranges of the key, so that a round has many small tasks whatever
+   the number of runs. A run's range travels as one blob of sorted entries; a task lays the blobs of a parent and range
+   end to end, merges them (a stable merge sort finds the runs and merges these) and keeps one entry a text. Equal keys
+   count as equal texts only when their SHA-256 agree: every level verifies what it merges. A text that a third of all
+   rows share is one entry a run from the first level on.
 3. Each document's row is joined with its text's entry; texts with very many rows are joined apart (``attach_group``).
 
 Edge cases: a null text counts as empty; empty texts are equal. A null id never stays while its group has another.
@@ -27,15 +29,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import attach_group, documents, partitions, staged
+from gleaner.llm.common import attach_group, documents, freed, partitions, staged
 
 #: Run labels, and how many of them one parent merges in a round: two rounds for any number of partitions.
 RUNS, FAN_IN = 256, 16
-#: Ranges of the key in which runs are exchanged (the key's top bits).
-RANGE_BITS = 12
+#: Entries of a run at most, and of a range of the key about.
+RUN, RANGE = 1 << 18, 1 << 16
 
 _ROW = "id long, key long, sha binary, run int"
-_ENTRY = "run int, key long, sha binary, best long, n long"
+_BLOB = "run int, part int, entries binary"
+#: What an entry holds: 64-bit key, SHA-256, the id that stays, rows.
+_ENTRY = np.dtype([("key", "<u8"), ("sha", "<u8", 4), ("best", "<i8"), ("n", "<i8")])
 
 
 def normalised(text: pa.Array) -> pa.Array:
@@ -52,66 +56,97 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0).cast(pa.int64()), pa.array(key), sha, pa.array(np.full(len(texts), run, np.int32))], ["id", "key", "sha", "run"])
 
 
-def _as_entries(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.RecordBatch]:
-    """Level 0: each batch becomes a sorted run with one entry a text."""
-    none = np.iinfo(np.int64).max * -sign
+def merge(entries: np.ndarray, sign: int) -> np.ndarray:
+    """Runs of entries laid end to end as one run: ascending keys, one entry a text."""
+    entries = entries[np.argsort(entries["key"], kind="stable")]
+    same_key = entries["key"][1:] == entries["key"][:-1]
+    same = same_key & (entries["sha"][1:] == entries["sha"][:-1]).all(axis=1)
+    if (same_key & ~same).any():  # different texts with one key
+        entries = entries[np.lexsort((*entries["sha"].T[::-1], entries["key"]))]
+        same = (entries["key"][1:] == entries["key"][:-1]) & (entries["sha"][1:] == entries["sha"][:-1]).all(axis=1)
+    at = np.flatnonzero(np.concatenate([[True], ~same])) if len(entries) else np.zeros(0, np.int64)
+    out = entries[at]
+    if len(at):
+        out["best"] = (np.minimum if sign < 0 else np.maximum).reduceat(entries["best"], at)
+        out["n"] = np.add.reduceat(entries["n"], at)
+    return out
+
+
+def _blobs(run: int, entries: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
+    """A run as one row a range of the key: its first ``bits`` bits."""
+    cut = np.searchsorted(entries["key"], (np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else [])
+    pieces = [(i, x.tobytes()) for i, x in enumerate(np.split(entries, cut)) if len(x)]
+    if pieces:
+        yield pa.record_batch([pa.array([run] * len(pieces), pa.int32()), pa.array([i for i, _ in pieces], pa.int32()), pa.array([x for _, x in pieces], pa.binary())], ["run", "part", "entries"])
+
+
+def _as_runs(batches: Iterator[pa.RecordBatch], sign: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """Level 0: the rows of a task as sorted runs."""
+    none, held, size, run = np.iinfo(np.int64).max * -sign, [], 0, TaskContext.get().partitionId() % RUNS
     for b in batches:
-        if b.num_rows:
-            ids = b.column(0).fill_null(none).to_numpy(zero_copy_only=False)
-            key, run = b.column(1).to_numpy(), b.column(3).to_numpy()
-            words = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint64).reshape(-1, 4)
-            order = np.lexsort((*words.T[::-1], key, run))
-            yield from _collapse(run[order], key[order], words[order], ids[order], np.ones(len(key), np.int64), sign)
-
-
-def _collapse(run, key, words, best, n, sign) -> Iterator[pa.RecordBatch]:
-    """One entry for each stretch of equal (run, key, SHA-256) in sorted entries."""
-    new = np.ones(len(key), bool)
-    new[1:] = (run[1:] != run[:-1]) | (key[1:] != key[:-1]) | (words[1:] != words[:-1]).any(axis=1)
-    at = np.flatnonzero(new)
-    pick = (np.minimum if sign < 0 else np.maximum).reduceat(best, at)
-    sha = np.ascontiguousarray(words[at]).tobytes()
-    shas = pa.array([sha[i : i + 32] for i in range(0, len(sha), 32)], pa.binary())
-    yield pa.record_batch([pa.array(run[at].astype(np.int32)), pa.array(key[at]), shas, pa.array(pick), pa.array(np.add.reduceat(n, at))], ["run", "key", "sha", "best", "n"])
-
-
-def _merge(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.RecordBatch]:
-    """Merges sorted runs as they stream by; the last text of a batch waits for the next batch."""
-    held = None
+        new = np.zeros(b.num_rows, _ENTRY)
+        new["best"] = b.column(0).fill_null(none).to_numpy(zero_copy_only=False)
+        new["key"] = b.column(1).to_numpy().view(np.uint64)
+        new["sha"] = np.frombuffer(b"".join(b.column(2).to_pylist()), "<u8").reshape(-1, 4)
+        new["n"] = 1
+        held.append(new)
+        size += len(new)
+        if size >= RUN:
+            yield from _blobs(run, merge(np.concatenate(held), sign), bits)
+            held, size = [], 0
+    if size:
+        yield from _blobs(run, merge(np.concatenate(held), sign), bits)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], sign: int) -> Iterator[pa.RecordBatch]:
+    """Merges the blobs of each run and range, from rows sorted by these."""
+    now, held = None, []
+
+    def out() -> pa.RecordBatch:
+        entries = merge(np.concatenate([np.frombuffer(x, _ENTRY) for x in held]), sign)
+        return pa.record_batch([pa.array([now[0]], pa.int32()), pa.array([now[1]], pa.int32()), pa.array([entries.tobytes()], pa.binary())], ["run", "part", "entries"])
+
+    for b in batches:
+        for run, part, entries in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if now != (run, part) and held:
+                yield out()
+                held = []
+            now = (run, part)
+            held.append(entries)
+    if held:
+        yield out()
+
+
+def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The root run's entries as rows."""
     for b in batches:
-        if not b.num_rows:
-            continue
-        run, key, best, n = (b.column(i).to_numpy() for i in (0, 1, 3, 4))
-        words = np.frombuffer(b"".join(b.column(2).to_pylist()), dtype=np.uint64).reshape(-1, 4)
-        if held is not None:
-            run, key, best, n = (np.concatenate(p) for p in zip(held[0], (run, key, best, n), strict=True))
-            words = np.concatenate([held[1], words])
-        (out,) = _collapse(run, key, words, best, n, sign)
-        last = out.slice(out.num_rows - 1)
-        held = (tuple(last.column(i).to_numpy() for i in (0, 1, 3, 4)), np.frombuffer(last.column(2)[0].as_py(), dtype=np.uint64).reshape(1, 4))
-        if out.num_rows > 1:
-            yield out.slice(0, out.num_rows - 1)
-    if held is not None:
-        yield last
+        for data in b.column(2):
+            x = np.frombuffer(data.as_py(), _ENTRY)
+            sha = np.ascontiguousarray(x["sha"]).tobytes()
+            shas = pa.array([sha[i : i + 32] for i in range(0, len(sha), 32)], pa.binary())
+            yield pa.record_batch([pa.array(x["key"].view(np.int64)), shas, pa.array(x["best"]), pa.array(x["n"])], ["key", "sha", "best", "n"])
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One staged row a document: id, key, sha, run."""
-    return staged(docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(_digests, _ROW), "digests")
+    return staged(docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")).mapInArrow(freed(_digests), _ROW), "digests")
 
 
 def merged(rows: DataFrame, keep: str = "min") -> DataFrame:
     """The root run: one entry (key, sha, best, n) for each text of ``digests``."""
     sign = {"min": -1, "max": 1}[keep]
-    runs = rows.mapInArrow(lambda it: _as_entries(it, sign), _ENTRY)
+    bits = min(16, max(0, rows.count() // RANGE).bit_length())
+    runs = rows.mapInArrow(freed(lambda it: _as_runs(it, sign, bits)), _BLOB)
     left = RUNS
     while left > 1:
         left = -(-left // FAN_IN)
-        ranged = runs.withColumn("run", F.expr(f"run div {FAN_IN}").cast("int")).withColumn("range", F.shiftrightunsigned("key", 64 - RANGE_BITS))
-        sent = ranged.repartition(partitions(rows.sparkSession), "run", "range").sortWithinPartitions("run", "key", "sha").drop("range")
-        runs = sent.mapInArrow(lambda it: _merge(it, sign), _ENTRY)
+        sent = runs.withColumn("run", F.expr(f"run div {FAN_IN}").cast("int"))
+        sent = sent.repartition(partitions(rows.sparkSession), "run", "part").sortWithinPartitions("run", "part")
+        if left > 1:
+            runs = sent.mapInArrow(freed(lambda it: _merged(it, sign)), _BLOB)
     none = (2**63 - 1) * -sign
-    return staged(runs.select("key", "sha", F.when(F.col("best") != none, F.col("best")).alias("best"), "n"), "merged")
+    found = sent.mapInArrow(freed(lambda it: _listed(_merged(it, sign))), "key long, sha binary, best long, n long")
+    return staged(found.select("key", "sha", F.when(F.col("best") != none, F.col("best")).alias("best"), "n"), "merged")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
