@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
+from typing import Any
 
 import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +104,36 @@ def dropped(*tables: DataFrame) -> None:
         _deleted(t.sparkSession, t.staged_in)
 
 
+#: What a Python worker keeps from task to task of a stage: (stage, thing) by name.
+_kept: dict[tuple, tuple[int, Any]] = {}
+
+
+def _stage() -> int:
+    task = TaskContext.get()
+    return task.stageId() if task else -1
+
+
+def kept_in_worker(name: tuple, make: Callable[[], Any]) -> Any:
+    """A thing that is dear to make, such as a tokenizer with its memo, made once for all tasks of a stage in a worker."""
+    _kept[name] = (_stage(), _kept[name][1] if name in _kept else make())
+    return _kept[name][1]
+
+
+def freed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``work`` on a task's batches in a worker that is kept for other tasks: what it kept for other stages goes before,
+    and free memory is given back after."""
+
+    def run(batches: Iterator) -> Iterator:
+        for name in [n for n, (stage, _) in _kept.items() if stage != _stage()]:
+            del _kept[name]
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def in_stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """First place and end of stretches of items that have ``most`` together at most, or are one item."""
     ends, i = np.cumsum(sizes), 0

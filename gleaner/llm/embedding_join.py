@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import attach_group, scratch, staged
+from gleaner.llm.common import attach_group, freed, scratch, staged
 from gleaner.llm.graph import components
 from gleaner.llm.shingles import mix
 
@@ -254,12 +254,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
 def _named(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     """(id, cls, ...) of each row, and (cls, size, n_links, component_id) of each class."""
     budget = 2 - 2 * cosine
-    rows = staged(vectors.mapInArrow(_prepared, _ROW), "vectors")
+    rows = staged(vectors.mapInArrow(freed(_prepared), _ROW), "vectors")
     full = rows.filter("cls is not null")
     classes = staged(full.groupBy("cls").agg(F.min("id").alias("id"), F.count("*").alias("size")), "classes")
     shapes = staged(full.select("cls", "label", "unit", "vector").dropDuplicates(["cls"]), "shapes")
 
-    places = staged(shapes.select("label", "cls", "unit").mapInArrow(lambda it: _places(it, budget), _PLACE), "places")
+    places = staged(shapes.select("label", "cls", "unit").mapInArrow(freed(lambda it: _places(it, budget)), _PLACE), "places")
     full_places = places.groupBy("place").agg(F.count_if("home").alias("filed"), F.count("*").alias("rows"), F.min("cls").alias("lo"), F.max("cls").alias("hi"))
     full_places = staged(full_places.filter("filed > 0 and filed < rows and lo < hi").select("place", "filed", "rows"), "filed")
     across, down = F.ceil(F.col("filed") / TILE).cast("int"), F.ceil((F.col("rows") - F.col("filed")) / SIDE).cast("int")
@@ -267,11 +267,11 @@ def _named(vectors: DataFrame, cosine: float) -> tuple[DataFrame, DataFrame]:
     tiles = F.when(F.col("home"), F.sequence(mine(across) * down, mine(across) * down + down - 1)).otherwise(F.sequence(mine(down), (across - 1) * down + mine(down), down))
     met = attach_group(places, full_places, ["place"], "rows").withColumn("tile", F.explode(tiles)).drop("filed", "rows")
     met = met.repartition(F.col("place"), F.col("tile")).sortWithinPartitions("place", "tile")
-    near = staged(met.mapInArrow(_near_rows, "place long, tile int, block int, home boolean, cls binary"), "near")
+    near = staged(met.mapInArrow(freed(_near_rows), "place long, tile int, block int, home boolean, cls binary"), "near")
 
     with_vectors = near.join(shapes.select("cls", "vector"), "cls").join(classes.select("cls", "size"), "cls")
     with_vectors = with_vectors.repartition(F.col("place"), F.col("tile")).sortWithinPartitions("place", "tile")
-    found = staged(with_vectors.mapInArrow(lambda it: _linked_rows(it, cosine), "cls binary, others long, root binary"), "linked")
+    found = staged(with_vectors.mapInArrow(freed(lambda it: _linked_rows(it, cosine)), "cls binary, others long, root binary"), "linked")
     roots = components(found.select(F.col("cls").alias("a"), F.col("root").alias("b")))
 
     degree = found.groupBy("cls").agg(F.sum("others").alias("others"))

@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import attach_group, documents, dropped, partitions, scratch, staged
+from gleaner.llm.common import attach_group, documents, dropped, freed, partitions, scratch, staged
 from gleaner.llm.graph import components, contracted
 from gleaner.llm.shingles import Sets, in_chunks, mix
 
@@ -54,7 +54,7 @@ NUM, DEN = 75, 100
 #: Band 0 holds sets below LOWEST tokens, joined token by token; band i those from LOWEST * 2^(i-1) on.
 LOWEST, LOAD = 64, 2.4
 #: Words in a bin of a task, and expected in a slice of the key space.
-BIN, SLICE = 1 << 20, 1 << 20
+BIN, SLICE = 1 << 19, 1 << 19
 #: Largest group whose open pairs are listed; larger ones go by tiles.
 GROUP, TILE, SIDE = 24, 256, 8192
 #: The same where whole sets are compared, in tokens of all sets together.
@@ -165,8 +165,12 @@ def _six(keys: np.ndarray) -> bytes:
 
 
 def _keys_of(data: bytes) -> np.ndarray:
-    x = np.frombuffer(data, "<u2").reshape(3, -1).astype(np.uint64)
-    return x[0] | x[1] << _U(16) | x[2] << _U(32)
+    low, middle, high = np.frombuffer(data, "<u2").reshape(3, -1)
+    x = high.astype(np.uint64)
+    for part in (middle, low):
+        x <<= _U(16)
+        x |= part
+    return x
 
 
 class _Bin:
@@ -512,11 +516,11 @@ def joining_words(docs: DataFrame, words: int) -> DataFrame:
     """(key, cls) of the words by which classes join, of words that two or more sets have; ``words``: about how many there are."""
     n = partitions(docs.sparkSession)
     slices = max(n, -(-words // SLICE))
-    sent = docs.mapInArrow(lambda it: _binned(it, slices), _MESSAGE)
-    sent = sent.repartition(max(n, -(-words // (8 * SLICE))), "slice").sortWithinPartitions("slice")
-    back = sent.mapInArrow(_answered, _MESSAGE)
-    back = back.repartition(max(n, -(-words // (8 * BIN))), "bin").sortWithinPartitions("bin", "slice")
-    return back.mapInArrow(_picked, "key long, cls binary")
+    sent = docs.mapInArrow(freed(lambda it: _binned(it, slices)), _MESSAGE)
+    sent = sent.repartition(max(n, -(-words // (16 * SLICE))), "slice").sortWithinPartitions("slice")
+    back = sent.mapInArrow(freed(_answered), _MESSAGE)
+    back = back.repartition(max(n, -(-words // (16 * BIN))), "bin").sortWithinPartitions("bin", "slice")
+    return back.mapInArrow(freed(_picked), "key long, cls binary")
 
 
 def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame:
@@ -529,13 +533,13 @@ def linked_classes(docs: DataFrame, classes: DataFrame, words: int) -> DataFrame
     dropped(picked, keys)
     stars = staged(shared.filter("cls != hub").groupBy(F.col("hub").alias("a"), F.col("cls").alias("b")).agg(F.count("*").alias("shared")), "stars")
     chosen = staged(classes.join(shared.select("cls").distinct(), "cls").select("id"), "chosen")
-    sets = staged(_chosen(docs, chosen).mapInArrow(_sets, "cls binary, n long, bits binary, tokens binary").dropDuplicates(["cls"]), "sets")
+    sets = staged(_chosen(docs, chosen).mapInArrow(freed(_sets), "cls binary, n long, bits binary, tokens binary").dropDuplicates(["cls"]), "sets")
 
     def near(pairs: DataFrame) -> DataFrame:
-        return staged(_joined(pairs, sets, "bits").mapInArrow(_near, "a binary, b binary, shared long"), "near")
+        return staged(_joined(pairs, sets, "bits").mapInArrow(freed(_near), "a binary, b binary, shared long"), "near")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return staged(_joined(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(_verified, "a binary, b binary"), "links")
+        return staged(_joined(pairs, sets, "tokens").select("a", "b", "tokens_a", "tokens_b").mapInArrow(freed(_verified), "a binary, b binary"), "links")
 
     def rooted(roots: DataFrame, table: DataFrame, on: str, name: str) -> DataFrame:
         return table.join(roots.select(F.col("node").alias(on), F.col("root").alias("r")), on, "left").withColumn(name, F.coalesce("r", on)).drop("r")
@@ -604,7 +608,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _named(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(id, n, cls) of each row, and (cls, size, component_id) of each class."""
-    rows = staged(docs.mapInArrow(_profile, "id long, n long, cls binary"), "profile")
+    rows = staged(docs.mapInArrow(freed(_profile), "id long, n long, cls binary"), "profile")
     total = rows.agg(F.sum("n")).first()[0] or 0
     classes = rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count("*").alias("size"))
     classes = staged(classes, "classes")

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, staged
+from gleaner.llm.common import documents, freed, staged
 from gleaner.llm.tokens import encoded
 
 WINDOW = 4096
@@ -203,12 +203,16 @@ def _pieces(batches: Iterator[pa.RecordBatch], placed: np.ndarray, laid: np.ndar
 
 
 _PIECE = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+_DIGEST = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32)."""
+def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
+    """Pieces with their ids: doc_id, start, length, doc_tokens, sequence_id, offset, ids (little-endian uint32).
+
+    With ``digests`` (then in the same tasks) the pieces' checksums stand for their ids: ids_crc32.
+    """
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    coded = staged(rows.mapInArrow(lambda it: _encoded(it, tokenizer, end_id, window), _DOC), "ids")
+    coded = staged(rows.mapInArrow(freed(lambda it: _encoded(it, tokenizer, end_id, window)), _DOC), "ids")
     small = coded.select("part", "rest", F.expr(f"n_tokens div {window}").alias("full"))
     lengths = small.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum("full").alias("full"))
     before = Window.partitionBy("rest").orderBy("part")
@@ -227,7 +231,9 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, window: int = WINDOW, id_
     ranks = coded.select("part", "seq", "rest", "number").join(bases, ["part", "rest"]).select("part", "seq", (F.col("number") + F.col("base")).alias("rank"))
     ranks = ranks.join(fulls, ["part", "seq"], "left").select("part", "seq", "rank", F.coalesce("fulls", F.lit(0)).alias("fulls"))
     ranked = coded.join(ranks, ["part", "seq"]).select("doc_id", "n_tokens", "rest", "rank", "fulls", "ids")
-    return ranked.mapInArrow(lambda it: _pieces(it, placed, laid, window), _PIECE)
+    if digests:
+        return ranked.mapInArrow(freed(lambda it: _with_crc(_pieces(it, placed, laid, window))), _DIGEST)
+    return ranked.mapInArrow(freed(lambda it: _pieces(it, placed, laid, window)), _PIECE)
 
 
 def _with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -236,14 +242,10 @@ def _with_crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), b.column(1), b.column(2), crc, *(b.column(i) for i in (3, 4, 5))], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
 
-def digest(pieces: DataFrame) -> DataFrame:
-    return pieces.mapInArrow(_with_crc, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
-
-
 def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
-    return digest(pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2))
+    return pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2, digests=True)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, in_stretches
+from gleaner.llm.common import documents, freed, in_stretches, kept_in_worker
 from gleaner.llm.tokens import CHUNK, Memo, gathered, hashed
 
 DROPOUT, SEED = 0.1, 17
@@ -352,14 +352,9 @@ def _stretches(start: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int]]
         i = j
 
 
-_kept: dict[tuple, Codec] = {}
-
-
 def codec(path: str, dropout: float = DROPOUT, seed: int = SEED) -> Codec:
-    """The codec of this Python worker; workers are reused, and so is its memo."""
-    if (path, dropout, seed) not in _kept:
-        _kept[path, dropout, seed] = Codec(path, dropout, seed)
-    return _kept[path, dropout, seed]
+    """The codec of this Python worker, with its memo."""
+    return kept_in_worker(("codec", path, dropout, seed), lambda: Codec(path, dropout, seed))
 
 
 def _binary(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -368,19 +363,22 @@ def _binary(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arr
     return pa.Array.from_buffers(large, len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))]).cast(kind)
 
 
-def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and ids (binary, little-endian uint32) of every text."""
+def _encoded(batches: Iterator[pa.RecordBatch], c: Codec) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = pc.fill_null(b.column(1), "")
+        for i, j in in_stretches(pc.binary_length(texts).to_numpy(zero_copy_only=False), CHUNK):
+            ids, counts = c.arrays(texts.slice(i, j - i).to_pylist())
+            yield pa.record_batch([b.column(0).slice(i, j - i), _binary(ids.astype("<u4"), counts, pa.binary())], ["id", "ids"])
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(model, dropout, seed)
-        for b in batches:
-            texts = pc.fill_null(b.column(1), "")
-            for i, j in in_stretches(pc.binary_length(texts).to_numpy(zero_copy_only=False), CHUNK):
-                ids, counts = c.arrays(texts.slice(i, j - i).to_pylist())
-                yield pa.record_batch([b.column(0).slice(i, j - i), _binary(ids.astype("<u4"), counts, pa.binary())], ["id", "ids"])
 
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string"))
-    return rows.mapInArrow(coded, "id long, ids binary").select(F.col("id").alias(id_col), "ids")
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string"))
+
+
+def encode(docs: DataFrame, model: str, dropout: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id and ids (binary, little-endian uint32) of every text."""
+    coded = _rows(docs, id_col, text_col).mapInArrow(freed(lambda it: _encoded(it, codec(model, dropout, seed))), "id long, ids binary")
+    return coded.select(F.col("id").alias(id_col), "ids")
 
 
 def _ids_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -402,7 +400,7 @@ def decode(coded: DataFrame, model: str, id_col: str = "doc_id", ids_col: str =
                 yield pa.record_batch([b.column(0).slice(i, n), _binary(*c.decode_all(ids, counts), pa.string())], ["id", "text"])
 
     rows = coded.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{ids_col}`"))
-    return rows.mapInArrow(texts, "id long, text string").select(F.col("id").alias(id_col), "text")
+    return rows.mapInArrow(freed(texts), "id long, text string").select(F.col("id").alias(id_col), "text")
 
 
 def digest(docs: DataFrame, model: str) -> DataFrame:
@@ -410,14 +408,14 @@ def digest(docs: DataFrame, model: str) -> DataFrame:
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
+        for b in _encoded(batches, c):
             for i, n, ids, counts in _ids_in(b.column(1)):
                 at = np.concatenate([[0], np.cumsum(counts)]).tolist()
                 crc = pa.array([zlib.crc32(ids[x:y]) for x, y in zip(at[:-1], at[1:], strict=True)], pa.int64())
                 text = _binary(*c.decode_all(ids, counts), pa.string())
                 yield pa.record_batch([b.column(0).slice(i, n), pa.array(counts), crc, text], ["doc_id", "n_tokens", "ids_crc32", "text"])
 
-    found = encode(docs, model).mapInArrow(both, "doc_id long, n_tokens long, ids_crc32 long, text string")
+    found = _rows(docs, "doc_id", "text").mapInArrow(freed(both), "doc_id long, n_tokens long, ids_crc32 long, text string")
     return found.select("doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256"))
 
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gleaner.llm.common import documents, staged
+from gleaner.llm.common import documents, freed, in_stretches, staged
 
 FIT_ROWS = 60_000
 BOOSTS, DEPTH, BINS, RATE, L2, LEAST = 80, 4, 64, 0.15, 2.0, 5
@@ -37,6 +37,8 @@ STATS = (
     "line_words", "distinct_words", "top_word", "distinct_lines", "top_line", "short_words", "packed", "capital_words", "end_dot_lines", "marked_words", "long_words",
     "entropy", "pair_repeat", "worst_mark_window", "worst_upper_window", "worst_pipe_window",
 )
+#: Bytes of texts (or one text) that are Python objects at a time.
+SLICE = 1 << 20
 #: Bytes of a window whose worst share of marks counts.
 PIECE = 512
 
@@ -94,8 +96,15 @@ def _table_of(texts: pa.Array) -> np.ndarray:
     return np.array([describe(t) for t in pc.fill_null(texts, "").cast(pa.large_binary()).to_pylist()], np.float32).reshape(-1, len(STATS))
 
 
+def _sliced(b: pa.RecordBatch, texts: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with a bounded number of bytes in a column of texts."""
+    sizes = pc.fill_null(pc.binary_length(b.column(texts)), 0).to_numpy(zero_copy_only=False)
+    for i, j in in_stretches(sizes, SLICE):
+        yield b.slice(i, j - i)
+
+
 def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in (x for whole in batches for x in _sliced(whole, 2)):
         yield pa.record_batch([b.column(0), b.column(1), pa.array(list(_table_of(b.column(2))), pa.list_(pa.float32()))], ["id", "y", "x"])
 
 
@@ -166,7 +175,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, id_col: str
     order = (F.xxhash64("id"), "id", "y")
     # ids first, so that only texts of the sample are described; a top-k: no more than ``rows`` leave a task
     chosen = staged(known.join(named.select("id").distinct(), "id").orderBy(*order).limit(rows), "labelled")
-    known_texts = named.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(_described, "id long, y int, x array<float>")
+    known_texts = named.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(freed(_described), "id long, y int, x array<float>")
     sample = known_texts.orderBy(*order).limit(rows).select("x", "y").toPandas()  # more than ``chosen`` only where ids repeat
     if not len(sample):
         return fit(np.zeros((0, len(STATS)), np.float32), np.zeros(0))
@@ -184,10 +193,10 @@ def with_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     rows = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)])
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in _sliced(whole, 0)):
             yield pa.record_batch([*b.columns[1:], pa.array(forest.score(_table_of(b.column(0))))], [*b.schema.names[1:], "score"])
 
-    out = rows.mapInArrow(scored, StructType([*rows.schema.fields[1:], StructField("score", DoubleType())]))
+    out = rows.mapInArrow(freed(scored), StructType([*rows.schema.fields[1:], StructField("score", DoubleType())]))
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], F.col("score").alias(out_col))
 
 

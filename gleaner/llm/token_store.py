@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, partitions, staged
+from gleaner.llm.common import documents, freed, partitions, staged
 from gleaner.llm.tokens import crc32, encoded
 
 MAGIC, SAMPLE = 0x32454647, 256
@@ -161,7 +161,7 @@ def write_store(docs: DataFrame, tokenizer: str, end_id: int, id_col: str = "doc
     order = (F.asc_nulls_first("id"), F.asc("head"), F.asc("row"))
     rows = rows.select("id", "text", F.substring("text", 1, PREFIX).alias("head"), F.monotonically_increasing_id().alias("row"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select("id", "text")
-    shards = ordered.mapInArrow(lambda it: _shards(it, tokenizer, end_id, shard_ids), _SHARD)
+    shards = ordered.mapInArrow(freed(lambda it: _shards(it, tokenizer, end_id, shard_ids)), _SHARD)
     if folder is None:
         return staged(shards, "token-store")
     shards.write.parquet(folder)
@@ -194,7 +194,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def digest(store: DataFrame) -> DataFrame:
     """Each document's place, length and checksum, read back from the store's shards (which don't move)."""
-    found = store.select("part", "seq", "shard").mapInArrow(_digest, _DIGEST)
+    found = store.select("part", "seq", "shard").mapInArrow(freed(_digest), _DIGEST)
     return found.join(bases(store), ["part", "seq"]).select("doc_id", (F.col("start") + F.col("base")).alias("start"), "n_tokens", "ids_crc32")
 
 

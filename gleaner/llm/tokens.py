@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from gleaner.llm.common import kept_in_worker
+
 #: Slots of the memo (some 30 bytes each); once FULL of them are taken, units that weren't met again go.
 SLOTS, FULL = 1 << 21, 0.6
 #: Bytes of text handled at a time; longer texts are cut between units.
@@ -53,9 +55,10 @@ _CUT_WORDS = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\
 _BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
 
 
-def _kind(settings: dict) -> str | None:
+def _kind(tokenizer) -> str | None:
     """How a tokenizer's texts may be cut: words, bytes, or not at all."""
-    normal, before = settings.get("normalizer"), settings.get("pre_tokenizer") or {}
+    normal, before = (json.loads(part.__getstate__()) if part is not None else None for part in (tokenizer.normalizer, tokenizer.pre_tokenizer))
+    before = before or {}
     if normal == _NORMAL_WORDS and before.get("type") == "Sequence" and before["pretokenizers"][:1] == [_CUT_WORDS]:
         return "words" if [x.get("use_regex") for x in before["pretokenizers"][1:]] == [False] else None
     return "bytes" if normal is None and _BYTE_LEVEL.items() <= before.items() else None
@@ -174,13 +177,11 @@ class Ids:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        with open(path, encoding="utf-8") as f:
-            settings = json.load(f)
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = _kind(settings)
+        self.kind = _kind(self.tokenizer)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self._code = "H" if self.width == 2 else "I"
-        self.marks = [t["content"] for t in settings.get("added_tokens") or []]
+        self.marks = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo = Memo(f"u{self.width}")
         # where a unit begins (its first token has the blank) or a word ends
         tokens = self.tokenizer.get_vocab()
@@ -385,11 +386,6 @@ def crc32(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4", copy=False))
 
 
-_kept: dict[str, Ids] = {}
-
-
 def ids_of(path: str) -> Ids:
-    """The tokenizer of this Python worker; workers are reused, and so is its memo."""
-    if path not in _kept:
-        _kept[path] = Ids(path)
-    return _kept[path]
+    """The tokenizer of this Python worker, with its memo."""
+    return kept_in_worker(("ids", path), lambda: Ids(path))
