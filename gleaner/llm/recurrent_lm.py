@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, in_stretches, staged
+from gleaner.llm.common import documents, freed, in_stretches, staged
 
 LEXICON, GROWTH, FREQUENT = 2048, 0.75, 100_000
 STATE, WINDOW, LANES = 24, 32, 512
@@ -272,7 +272,7 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     """One pass of truncated back-propagation through time over the texts, by Adam; of the tables, rows in use are moved."""
     if not codes:
         return
-    lanes = lanes or int(np.clip(sum(map(len, codes)) // (WINDOW * UPDATES), 8, 128))
+    lanes = lanes or int(np.clip(sum(map(len, codes)) // (WINDOW * UPDATES), 8, LANES))
     lex, k, h = model.l, model.l.size, STATE
     lanes_of = _lanes(np.array([len(c) for c in codes]), lanes)
     m1 = {n: np.zeros_like(v) for n, v in model.p.items()}
@@ -394,7 +394,7 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
             break
     found = counts.filter(F.col("n") >= least).toPandas()
     frequent = sorted(zip(map(bytes, found["word"]), found["n"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
-    sums = counts.mapInArrow(_shape_sums, "shape long, n long, kinds long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()
+    sums = counts.mapInArrow(freed(_shape_sums), "shape long, n long, kinds long").groupBy("shape").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect()
     shapes = {r["shape"]: [r["n"], r["kinds"]] for r in sums}
     for w, c in frequent[: lexicon_size(kinds)]:
         s = shapes[_shape(w)]
@@ -446,11 +446,11 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
     kind = "shard long, weight double, model binary"
     dealt = mine.select(F.pmod(F.xxhash64("text", "id"), F.lit(shards)).alias("shard"), "text", "id")
     dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("text")).select("shard", "text")
-    models = staged(dealt.mapInArrow(learn, kind), "models")
+    models = staged(dealt.mapInArrow(freed(learn), kind), "models")
     while shards > 1:
         shards = -(-shards // AVERAGED)
         grouped = models.withColumn("shard", F.expr(f"shard div {AVERAGED}")).repartition(shards, "shard").sortWithinPartitions("shard", "weight")
-        models = staged(grouped.mapInArrow(_averaged, kind), "models")
+        models = staged(grouped.mapInArrow(freed(_averaged), kind), "models")
     left = models.collect()  # one model, or the few that a group's tasks left
     for p in _averaged(iter([pa.record_batch([pa.array([0] * len(left), pa.int64()), pa.array([r["weight"] for r in left]), pa.array([bytes(r["model"]) for r in left], pa.binary())], ["shard", "weight", "model"])])):
         with np.load(io.BytesIO(p.column(2)[0].as_py())) as f:
@@ -465,7 +465,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
     docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    counts = staged(docs.mapInArrow(_counted, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = staged(docs.mapInArrow(freed(_counted), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     lexicon = lexicon_of(counts)
     model = train(docs, lexicon)
     known = sc.broadcast((lexicon, model.p))
@@ -491,7 +491,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 n = pa.array([len(c) for c in codes], pa.int64())
                 yield pa.record_batch([names, pa.array(held), n, pa.array(found), pa.array(counted), pa.array(chances), pa.array(rare, pa.list_(pa.binary()))], ["id", "held_out", "n_tokens", "known", "counts", "chances", "rare"])
 
-    rows = staged(docs.mapInArrow(each, _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
+    rows = staged(docs.mapInArrow(freed(each), _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("word")).groupBy("word", "row").agg(F.count("*").alias("times"))
     sums = rare.join(counts, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("more_known"))
     out = rows.drop("rare").join(sums, "row", "left").withColumn("more", F.coalesce("more", F.lit(0.0)))
