@@ -91,6 +91,23 @@ def test_exact_dedup(odd_docs, odd_rows, no_docs, keep):
     assert exact_dedup.exact_dedup(no_docs).count() == 0
 
 
+def test_runs_of_texts_with_one_key_are_told_apart():
+    x = np.zeros(7, exact_dedup._ENTRY)
+    x["key"], x["best"], x["n"] = [5, 9, 5, 5, 1, 9, 5], [4, 8, 3, 2, 7, 6, 1], 1
+    x["sha"][:, 3] = [1, 0, 2, 1, 0, 0, 2]
+    got = exact_dedup.merge(x, -1)
+    assert [(int(r["key"]), int(r["sha"][3]), int(r["best"]), int(r["n"])) for r in got] == [(1, 0, 7, 1), (5, 1, 2, 2), (5, 2, 1, 2), (9, 0, 6, 2)]
+    assert exact_dedup.merge(got, -1).tobytes() == got.tobytes() and len(exact_dedup.merge(x[:0], 1)) == 0
+
+
+@pytest.mark.parametrize("keep", ["max", "min"])
+def test_exact_dedup_by_small_runs_and_ranges(monkeypatch, odd_docs, odd_rows, keep):
+    want = kept(map(tuple, exact_dedup.exact_dedup(odd_docs, keep=keep).collect()))
+    for name, v in (("RUN", 5), ("RANGE", 4), ("FAN_IN", 2)):
+        monkeypatch.setattr(exact_dedup, name, v)
+    assert kept(map(tuple, exact_dedup.exact_dedup(odd_docs, keep=keep).collect())) == want
+
+
 # 3
 
 
@@ -205,7 +222,7 @@ def checked_packing(rows, pieces, window):
 
 @pytest.mark.parametrize("window", [4096, 64])
 def test_packing(odd_docs, odd_rows, no_docs, window):
-    pieces = packing.digest(packing.pack(odd_docs, WORDS, 2, window)).collect()
+    pieces = packing.pack(odd_docs, WORDS, 2, window, digests=True).collect()
     assert checked_packing(odd_rows, pieces, window) < window + len({p["sequence_id"] for p in pieces}) * window * packing.SLACK
     assert packing.packed(no_docs).count() == 0
 

@@ -5,7 +5,7 @@ from pathlib import Path
 
 import corpus_pipeline
 from gleaner.llm import quality
-from gleaner.llm.common import staged
+from gleaner.llm.common import staged, work_folder
 
 from .test_operators import components, kept, low
 
@@ -81,7 +81,9 @@ def test_stages_on_an_empty_table_and_other_columns(spark, odd_docs, no_docs, tm
 def test_run_leaves_only_its_result(spark, odd_docs, tmp_path):
     odd_docs.select(*corpus_pipeline.COLUMNS).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, int(k != 40)) for k in range(100)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    folder = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
-    before = {p.name for p in folder.iterdir()}
+    staged(odd_docs.select("doc_id"), "first")  # from the second table on, all are in one folder
+    folder = Path(work_folder(spark).removeprefix("file:")).parent
+    there = lambda: {p.name for p in folder.glob("gleaner-*")}
+    before = there()
     out = corpus_pipeline.run(spark, str(tmp_path))
-    assert out.count() > 50 and len({p.name for p in folder.iterdir()} - before) == 1
+    assert out.count() > 50 and len(there() - before) == 1
