@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir), works on all of docs and returns the columns of documents (the last: pieces of
 sequences). ``run`` writes each stage's result to the shared folder and reads it back for the next; what a stage staged
-for itself is deleted when its result is written.
+for itself, and its input, are deleted when its result is written.
 
 Decisions are about rows. A stage that drops copies stages its input with a number for each row and judges by that, so
 rows with a null id, and different texts under one id, have each a fate of their own. Of a group of equal or near-equal
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact_dedup, jaccard_join, packing, pii, quality
-from gleaner.llm.common import documents, scratch, staged
+from gleaner.llm.common import documents, dropped, scratch, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Row numbers to be broadcast at most (8 bytes each).
@@ -99,9 +99,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES:
         with scratch() as keep:
             docs = staged(stage(spark, docs, sf_dir), name)
             keep(docs)
+        if before is not None:
+            dropped(before)
+        before = docs
     return docs
