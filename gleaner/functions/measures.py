@@ -62,11 +62,13 @@ def cmi_of_cells(cells: DataFrame, by: list[str], x: str, y: str, given: list[st
 
     The sum of n ln(n nz / (nxz nyz)) is that of n ln n over the cells and over their margins z, less that over xz and yz.
     All four come from one grouped sum over grouping sets, so nothing is sorted and no task has all cells of a group.
+    Terms are added as decimals: the result doesn't depend on their order, equal columns have equal informations, and
+    what cancels is 0.
     """
     by, given = list(by), list(given)
     every = [*by, *given, x, y]
     margins = [every, every[:-1], [*by, *given, y], [*by, *given]]
     sums = cells.groupingSets([[F.col(c) for c in m] for m in margins], *every).agg(F.sum(F.col(n).cast("double")).alias("__n"), F.grouping_id().alias("__g"))
-    part = F.col("__n") * F.log("__n")
+    part = (F.col("__n") * F.log("__n")).cast("decimal(38,18)")
     total = sums.groupBy(*by).agg(F.sum(F.when(F.col("__g").isin(0, 3), part).otherwise(-part)).alias("__s"), F.sum(F.when(F.col("__g") == 0, F.col("__n"))).alias("__t"))
-    return total.select(*by, (F.col("__s") / F.col("__t")).alias(name))
+    return total.select(*by, (F.col("__s").cast("double") / F.col("__t")).alias(name))

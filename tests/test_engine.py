@@ -288,6 +288,15 @@ def test_candidates_are_trimmed_to_the_budget(conjunction):
     assert 1 < k < 12 and len(InfoSelector("jmim", max_cache_cells=1000, **(config | {"max_features": 12})).fit(many).selected_features) == k
 
 
+def test_equal_columns_have_equal_informations(spark):
+    rng = np.random.default_rng(12)
+    data = {"a": rng.integers(0, 9, 3000).tolist(), "b": rng.integers(0, 9, 3000).tolist()}
+    data |= {"c": data["a"], "d": data["b"], "y": ((np.array(data["a"]) + np.array(data["b"])) % 5).tolist()}
+    df = rows(spark, data).repartition(7)
+    cmi = {(r["i"], r["j"]): r["cmi"] for r in cmi_of_cells(C.both_ways(C.pair_cells(df, list("abcd"), "y")), ["i", "j"], "xi", "y", ["xj"]).collect()}
+    assert cmi[0, 2] == cmi[2, 0] == cmi[1, 3] == 0 and cmi[0, 1] == cmi[0, 3] == cmi[2, 1] == cmi[2, 3]
+
+
 def test_subsample(spark):
     df = spark.range(5000)
     assert P.sampled(df, 5000, 5000, 1) is df
