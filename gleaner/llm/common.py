@@ -124,16 +124,23 @@ def freed(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator
     and free memory is given back after."""
 
     def run(batches: Iterator) -> Iterator:
-        for name in [n for n, (stage, _) in _kept.items() if stage != _stage()]:
-            del _kept[name]
+        if others := [n for n, (stage, _) in _kept.items() if stage != _stage()]:
+            for name in others:
+                del _kept[name]
+            _give_back()
         yield from work(batches)
-        pa.default_memory_pool().release_unused()
-        with suppress(AttributeError, OSError):  # not every C library can
-            ctypes.CDLL(None).malloc_trim(0)
+        _give_back()
 
     return run
 
 
+def _give_back() -> None:
+    """Free memory to the system."""
+    pa.default_memory_pool().release_unused()
+    with suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def in_stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """First place and end of stretches of items that have ``most`` together at most, or are one item."""
     ends, i = np.cumsum(sizes), 0
