@@ -46,7 +46,9 @@ SHARD_TOKENS, AVERAGED, RATE = 1_500_000, 16, 0.01
 ROWS = 512
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
 UPDATES = 300
-#: Bytes of text (or one text) whose words are Python objects at a time.
+#: Logits are shifted where one is larger than this or smaller than its negative (float32 ends at 88).
+FAR = 60
+#: Bytes of text (or one text) whose words are objects at a time.
 SLICE = 4 << 20
 #: Kinds of words a worker counts before it hands them on.
 MOST_KINDS = 200_000
@@ -75,8 +77,17 @@ def _shape(token: bytes) -> int:
     return 52 if token == END else shape(token)
 
 
-def _lowered(texts: pa.Array) -> list[bytes]:
-    return pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_binary()).to_pylist()
+def _lowered(texts: pa.Array) -> pa.Array:
+    return pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_binary())
+
+
+def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has (binary, lowered), and the words of all."""
+    parts = pc.ascii_split_whitespace(texts.view(pa.large_string()))
+    words = parts.flatten().view(pa.large_binary())
+    full = pc.greater(pc.binary_length(words), 0)
+    at = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])[parts.offsets.to_numpy() - parts.offsets[0].as_py()]
+    return np.diff(at), words.filter(full)
 
 
 def _sliced(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
@@ -92,10 +103,13 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         found: Counter[bytes] = Counter()
         for i, j in _sliced(b):
-            for name, text in zip(b.column(0).slice(i, j - i).to_pylist(), _lowered(b.column(1).slice(i, j - i)), strict=True):
-                if not is_held_out(name):
-                    found.update(words_of(text))
-                    found[END] += 1
+            mine = pa.array([not is_held_out(name) for name in b.column(0).slice(i, j - i).to_pylist()], pa.bool_())
+            some = _lowered(b.column(1).slice(i, j - i)).filter(mine)
+            if len(some):
+                kinds = pc.value_counts(_split(some)[1])
+                for word, n in zip(kinds.field(0).to_pylist(), kinds.field(1).to_pylist(), strict=True):
+                    found[word] += n
+                found[END] += len(some)
             if len(found) > MOST_KINDS or j >= b.num_rows:
                 yield pa.record_batch([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
                 found = Counter()
@@ -136,10 +150,23 @@ class Lexicon:
         self.log_rest = np.log10(self.rest)
         self.shapes = np.array([_shape(w) for w, _ in frequent], np.int16)
 
-    def coded(self, words: list[bytes]) -> np.ndarray:
-        """Place of each word among the frequent ones, or -1 - shape."""
-        get = self.code.get
-        return np.array([c if (c := get(w, -1)) >= 0 else -1 - shape(w) for w in words] + [self.code.get(END, -1 - 52)], np.int32)
+    def coded(self, words: pa.Array) -> np.ndarray:
+        """Place of each word among the frequent ones, or -1 - shape; each kind is looked up once."""
+        kinds, get = words.dictionary_encode(), self.code.get
+        codes = np.array([c if (c := get(w, -1)) >= 0 else -1 - shape(w) for w in kinds.dictionary.to_pylist()], np.int32)
+        return codes[kinds.indices.to_numpy()] if len(words) else codes
+
+
+def bounded(e: np.ndarray) -> np.ndarray:
+    """Logits whose exponentials, and the sums of those in a row, neither overflow nor vanish; few models need a shift."""
+    if e.size and max(e.max(), -e.min()) > FAR:
+        e -= e.max(axis=1, keepdims=True)
+    return e
+
+
+def _and_one(x: np.ndarray) -> np.ndarray:
+    """``x`` with a column of ones, by which a product with a bias below (or beside) its weights adds it."""
+    return np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1)
 
 
 class Model:
@@ -167,11 +194,10 @@ class Model:
 
     def log_probs(self, states: np.ndarray, out_class: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(word | class) for each row (word -1: P(class) only)."""
-        total = np.empty(len(states))
+        total, c1 = np.empty(len(states)), np.vstack([self.p["c"], self.p["cb"]])
+        states = _and_one(states)
         for i in range(0, len(states), ROWS):
-            e = states[i : i + ROWS] @ self.p["c"]
-            e += self.p["cb"]
-            e -= e.max(axis=1, keepdims=True)
+            e = bounded(states[i : i + ROWS] @ c1)
             total[i : i + ROWS] = e[np.arange(len(e)), out_class[i : i + ROWS]]
             total[i : i + ROWS] -= np.log(np.exp(e, out=e).sum(axis=1))
         order, at = self.by_class(out_class, word)
@@ -179,9 +205,9 @@ class Model:
             rows = order[at[c] : at[c + 1]]
             if len(rows):
                 lo, hi = self.l.edge[c], self.l.edge[c + 1]
-                f = states[rows] @ self.p["w"][lo:hi].T
+                f = states[rows, :STATE] @ self.p["w"][lo:hi].T
                 f += self.p["wb"][lo:hi]
-                f -= f.max(axis=1, keepdims=True)
+                f = bounded(f)
                 total[rows] += f[np.arange(len(rows)), word[rows] - lo]
                 total[rows] -= np.log(np.exp(f, out=f).sum(axis=1))
         return total
@@ -275,6 +301,9 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     lanes = lanes or int(np.clip(sum(map(len, codes)) // (WINDOW * UPDATES), 8, LANES))
     lex, k, h = model.l, model.l.size, STATE
     lanes_of = _lanes(np.array([len(c) for c in codes]), lanes)
+    # weights lie in one array with their biases while they are learnt
+    whole = model.p
+    model.p = {"x": whole["x"], "u": whole["u"], "c": np.vstack([whole["c"], whole["cb"]]), "w": np.hstack([whole["w"], whole["wb"][:, None]])}
     m1 = {n: np.zeros_like(v) for n, v in model.p.items()}
     m2 = {n: np.zeros_like(v) for n, v in model.p.items()}
 
@@ -318,36 +347,37 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         real = np.flatnonzero(owner.ravel() >= 0)
         done += 1
         rate = RATE * (1 - 0.9 * done / windows) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
-        x, cls, word = states[real], out_class.ravel()[real], np.where(inside, code, -1).ravel()[real]
+        x, cls, word = _and_one(states[real]), out_class.ravel()[real], np.where(inside, code, -1).ravel()[real]
         scale = np.float32(1 / len(real))
-        g = {"c": np.zeros_like(p["c"]), "cb": np.zeros_like(p["cb"]), "u": np.zeros_like(p["u"])}
+        g = {"c": np.zeros_like(p["c"]), "u": np.zeros_like(p["u"])}
         dx = np.empty_like(x)
-        for i in range(0, len(x), ROWS):
+        for i in range(0, len(x), ROWS):  # a row's share of its sum comes last, so that it meets STATE numbers and not all outputs
             some = x[i : i + ROWS]
-            e = some @ p["c"]
-            e += p["cb"]
-            e -= e.max(axis=1, keepdims=True)
+            e = bounded(some @ p["c"])
             np.exp(e, out=e)
-            e *= scale / e.sum(axis=1, keepdims=True)
-            e[np.arange(len(e)), cls[i : i + ROWS]] -= scale
-            g["c"] += some.T @ e
-            g["cb"] += e.sum(axis=0)
-            dx[i : i + ROWS] = e @ p["c"].T
+            total = e.sum(axis=1)
+            e[np.arange(len(e)), cls[i : i + ROWS]] -= total
+            share = (scale / total)[:, None]
+            g["c"] += (some * share).T @ e
+            np.multiply(e @ p["c"].T, share, out=dx[i : i + ROWS])
         order, at = model.by_class(cls, word)
+        x, within, ds_word = x[order], word[order], np.empty((len(order), h + 1), np.float32)
+        within -= lex.edge[cls[order]]
+        each = np.arange(len(order))
         for c in np.flatnonzero(np.diff(at)).tolist():
-            some = order[at[c] : at[c + 1]]
-            lo, hi, xs = lex.edge[c], lex.edge[c + 1], x[some]
-            f = xs @ p["w"][lo:hi].T
-            f += p["wb"][lo:hi]
-            f -= f.max(axis=1, keepdims=True)
+            i, j = at[c], at[c + 1]
+            lo, hi = lex.edge[c], lex.edge[c + 1]
+            some, w = x[i:j], p["w"][lo:hi]
+            f = bounded(some @ w.T)
             np.exp(f, out=f)
-            f *= scale / f.sum(axis=1, keepdims=True)
-            f[np.arange(len(some)), word[some] - lo] -= scale
-            dx[some] += f @ p["w"][lo:hi]
-            move("w", slice(lo, hi), f.T @ xs)
-            move("wb", slice(lo, hi), f.sum(axis=0))
+            total = f.sum(axis=1)
+            f[each[: j - i], within[i:j]] -= total
+            share = (scale / total)[:, None]
+            np.multiply(f @ w, share, out=ds_word[i:j])
+            move("w", slice(lo, hi), f.T @ (some * share))
+        dx[order] += ds_word
         full = np.zeros_like(states)
-        full[real] = dx
+        full[real] = dx[:, :h]
         full = full.reshape(len(kept), -1, h)
         ds = np.zeros_like(s)
         inner = np.empty((len(kept), live, 3 * h), np.float32)
@@ -367,12 +397,16 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         move("x", used[order][at], np.add.reduceat(inner.reshape(-1, 3 * h)[order], at, axis=0))
         for name, v in g.items():
             move(name, slice(None), v)
+    p = model.p
+    model.p = whole | {"c": p["c"][:-1].copy(), "cb": p["c"][-1].copy(), "w": p["w"][:, :-1].copy(), "wb": p["w"][:, -1].copy()}
 
 
-def _texts(lexicon: Lexicon, texts: list[bytes]) -> tuple[list[np.ndarray], list[np.ndarray], list[list[bytes]]]:
-    words = [words_of(t) for t in texts]
-    codes = [lexicon.coded(w) for w in words]
-    return codes, [_with_shapes(lexicon, c) for c in codes], words
+def _texts(lexicon: Lexicon, texts: list[bytes] | pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
+    """Codes and shapes of each text's words and its end; the words of all, without ends."""
+    n, words = _split(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_binary()))
+    codes = np.insert(lexicon.coded(words), np.cumsum(n), np.int32(lexicon.code.get(END, -1 - 52)))
+    cut = np.cumsum(n + 1)[:-1]
+    return np.split(codes, cut), np.split(_with_shapes(lexicon, codes), cut), words
 
 
 def _shape_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -479,17 +513,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 names = b.column(0).slice(i, j - i)
                 codes, shapes, words = _texts(lex, _lowered(b.column(1).slice(i, j - i)))
                 chances = scored(m, codes, shapes) / np.log(10)
-                counted, found, rare = np.zeros(len(codes)), np.zeros(len(codes), np.int64), []
-                for t, (c, s) in enumerate(zip(codes, shapes, strict=True)):
-                    frequent = c >= 0
-                    plain = lex.log_count[c[frequent]]
-                    counted[t], found[t] = plain.sum(), frequent.sum()
-                    outside = (c < 0) | (c >= lex.size)
-                    chances[t] += lex.log_count[c[outside & frequent]].sum() - lex.log_rest[s[outside]].sum()
-                    rare.append([words[t][q] if q < len(words[t]) else END for q in np.flatnonzero(~frequent).tolist()])
-                held = [is_held_out(n) for n in names.to_pylist()]
-                n = pa.array([len(c) for c in codes], pa.int64())
-                yield pa.record_batch([names, pa.array(held), n, pa.array(found), pa.array(counted), pa.array(chances), pa.array(rare, pa.list_(pa.binary()))], ["id", "held_out", "n_tokens", "known", "counts", "chances", "rare"])
+                n = np.array([len(c) for c in codes])
+                c, s, owner = np.concatenate(codes), np.concatenate(shapes), np.repeat(np.arange(len(n)), n)
+                frequent, outside = c >= 0, (c < 0) | (c >= lex.size)
+                plain = lex.log_count[np.maximum(c, 0)] * frequent if len(lex.log_count) else np.zeros(len(c))
+                counted, found = np.bincount(owner, plain, len(n)), np.bincount(owner, frequent, len(n)).astype(np.int64)
+                chances += np.bincount(owner, np.where(outside, plain - lex.log_rest[s], 0), len(n))
+                # of the words that aren't frequent; a text's end is the last of its tokens
+                at = np.flatnonzero(~frequent)
+                ends = np.cumsum(n) - 1
+                words = pa.concat_arrays([words, pa.array([END], pa.large_binary())]).take(pa.array(np.where(at == ends[owner[at]], len(words), at - owner[at])))
+                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(n)))]), pa.int32()), words.cast(pa.binary()))
+                held = [is_held_out(name) for name in names.to_pylist()]
+                yield pa.record_batch([names, pa.array(held), pa.array(n, pa.int64()), pa.array(found), pa.array(counted), pa.array(chances), rare], ["id", "held_out", "n_tokens", "known", "counts", "chances", "rare"])
 
     rows = staged(docs.mapInArrow(freed(each), _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("word")).groupBy("word", "row").agg(F.count("*").alias("times"))
