@@ -13,7 +13,7 @@ So the chances of all words and one unknown a class sum to 1. The state is a GRU
 starts anew with each text; a text's log-likelihood is over all its tokens.
 
 Learning. All training documents are dealt to shards of SHARD_TOKENS tokens or, with a large lexicon, of as many bytes as the model has. Each learns by back-propagation through WINDOW steps from the common
-start (unigram biases); the models are then averaged, AVERAGED at a time, in rounds of Spark tasks.
+start (unigram biases); the models are then averaged by Spark tasks, each piece of PIECE numbers by itself.
 
 Scoring runs on LANES texts side by side, in lanes of nearly equal length, a window at a time; a lane that ends leaves the
 windows after, so that one very long text costs its own tokens only.
@@ -25,8 +25,6 @@ Edge cases: a null text counts as empty: its only token is the end. Null ids cou
 from __future__ import annotations
 
 import heapq
-import io
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,11 +35,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import documents, freed, in_stretches, staged
+from gleaner.llm.common import documents, dropped, freed, in_stretches, partitions, staged
 
 LEXICON, GROWTH, FREQUENT = 2048, 0.75, 100_000
 STATE, WINDOW, LANES = 24, 32, 512
-SHARD_TOKENS, AVERAGED, RATE = 1_500_000, 16, 0.01
+SHARD_TOKENS, RATE = 1_500_000, 0.01
+#: Numbers of a model in a row, so that no row, and no sort of them, grows with the model.
+PIECE = 1 << 15
 #: Rows of outputs that are handled at a time, so that they stay in the cache.
 ROWS = 512
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
@@ -54,16 +54,11 @@ SLICE = 4 << 20
 MOST_KINDS = 200_000
 END = b"\n"
 
-_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
 #: Shapes: last byte a-z by length (short, long), and digits, marks, bytes beyond ASCII.
 SHAPES = 2 * 26 + 6
 
 
-def words_of(text: bytes) -> list[bytes]:
-    return _WORD.findall(text)
-
-
 def shape(word: bytes) -> int:
     last = word[-1] - 97
     long = len(word) > 7
@@ -179,11 +174,6 @@ class Model:
         self.p = {"x": normal(k + SHAPES + 1, 3 * h), "u": normal(h, 3 * h), "c": normal(h, lexicon.outputs), "cb": lexicon.class_bias.astype(np.float32), "w": normal(k, h), "wb": lexicon.word_bias.astype(np.float32)}
         self.l = lexicon
 
-    def dumped(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, **self.p)
-        return out.getvalue()
-
     def step(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
         h = STATE
         g = s @ self.p["u"]
@@ -436,19 +426,32 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     return Lexicon(frequent, tokens or 0, kinds, {k: tuple(v) for k, v in shapes.items()})
 
 
+def _pieces(p: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+    """A model's numbers in its parameters' order, PIECE at a time, as views."""
+    for v in p.values():
+        flat = v.reshape(-1)
+        for i in range(0, len(flat), PIECE):
+            yield flat[i : i + PIECE]
+
+
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The mean of all models of the task, by their weights."""
-    total, weight, group = None, 0.0, 0
+    """Of rows sorted by piece: the mean of each over all models, by their weights."""
+    now, total, weight = None, np.zeros(0), 0.0
+
+    def mean() -> pa.RecordBatch:
+        return pa.record_batch([pa.array([now], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["piece", "numbers"])
+
     for b in batches:
-        for g, w, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-            with np.load(io.BytesIO(data.as_py())) as f:
-                p = {n: f[n].astype(np.float64) * w for n in f.files}
-            total = p if total is None else {n: total[n] + p[n] for n in total}
-            weight, group = weight + w, g
-    if total is not None:
-        out = io.BytesIO()
-        np.savez(out, **{n: (v / weight).astype(np.float32) for n, v in total.items()})
-        yield pa.record_batch([pa.array([group], pa.int64()), pa.array([weight], pa.float64()), pa.array([out.getvalue()], pa.binary())], ["shard", "weight", "model"])
+        for piece, w, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+            x = np.frombuffer(data.as_buffer(), np.float32)
+            if piece != now:
+                if now is not None:
+                    yield mean()
+                now, total, weight = piece, np.zeros(len(x)), 0.0
+            total += x * np.float64(w)
+            weight += w
+    if now is not None:
+        yield mean()
 
 
 def train(docs: DataFrame, lexicon: Lexicon) -> Model:
@@ -475,20 +478,22 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
         if codes:
             m = Model(start.value)
             learnt(m, codes, shapes)
-            yield pa.record_batch([pa.array([shard], pa.int64()), pa.array([float(sum(map(len, codes)))], pa.float64()), pa.array([m.dumped()], pa.binary())], ["shard", "weight", "model"])
+            weight = pa.array([float(sum(map(len, codes)))], pa.float64())
+            for k, x in enumerate(_pieces(m.p)):
+                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([shard], pa.int64()), weight, pa.array([x.tobytes()], pa.binary())], ["piece", "shard", "weight", "numbers"])
 
-    kind = "shard long, weight double, model binary"
     dealt = mine.select(F.pmod(F.xxhash64("text", "id"), F.lit(shards)).alias("shard"), "text", "id")
-    dealt = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "id", F.xxhash64("text")).select("shard", "text")
-    models = staged(dealt.mapInArrow(freed(learn), kind), "models")
-    while shards > 1:
-        shards = -(-shards // AVERAGED)
-        grouped = models.withColumn("shard", F.expr(f"shard div {AVERAGED}")).repartition(shards, "shard").sortWithinPartitions("shard", "weight")
-        models = staged(grouped.mapInArrow(freed(_averaged), kind), "models")
-    left = models.collect()  # one model, or the few that a group's tasks left
-    for p in _averaged(iter([pa.record_batch([pa.array([0] * len(left), pa.int64()), pa.array([r["weight"] for r in left]), pa.array([bytes(r["model"]) for r in left], pa.binary())], ["shard", "weight", "model"])])):
-        with np.load(io.BytesIO(p.column(2)[0].as_py())) as f:
-            model.p = {n: f[n] for n in f.files}
+    # by number, not by its hash, which gave some tasks several shards and others none
+    dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", F.xxhash64("text")).select("shard", "text")
+    # small row groups: readers and writers hold one at a time
+    models = staged(dealt.mapInArrow(freed(learn), "piece long, shard long, weight double, numbers binary"), "models", **{"parquet.block.size": str(8 << 20)})
+    sorted_pieces = models.repartition(partitions(docs.sparkSession), "piece").sortWithinPartitions("piece", "shard")
+    mean = staged(sorted_pieces.mapInArrow(freed(_averaged), "piece long, numbers binary"), "mean", **{"parquet.block.size": str(8 << 20)})
+    places = list(_pieces(model.p))
+    for r in mean.toLocalIterator():
+        places[r["piece"]][:] = np.frombuffer(r["numbers"], np.float32)
+    dropped(models, mean)
+    start.unpersist()
     return model
 
 

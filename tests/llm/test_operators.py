@@ -382,6 +382,32 @@ def test_every_training_document_is_learnt_from(spark):
         assert moved[lexicon.code[f"w{i}".encode()]] == (zlib.crc32(str(i).encode()) % 7 != 2)
 
 
+def test_each_shard_learns_by_itself_and_models_travel_in_pieces(spark, monkeypatch):
+    tables, staged = {}, recurrent_lm.staged
+
+    def seen(df, name="table", **options):
+        out = staged(df, name, **options)
+        if name == "models":
+            tables["pieces"] = out.select("piece", "shard", "weight", F.length("numbers").alias("size")).collect()
+            tables["numbers"] = {(r["piece"], r["shard"]): np.frombuffer(r["numbers"], np.float32) for r in out.collect()}
+        return out
+
+    monkeypatch.setattr(recurrent_lm, "staged", seen)
+    monkeypatch.setattr(recurrent_lm, "SHARD_TOKENS", 4000)
+    words = [(f"w{i}".encode(), 9) for i in range(900)]
+    lexicon = recurrent_lm.Lexicon([*words, (b"\n", 3000)], 90_000, 901, {})
+    docs = spark.range(6000).select("id", F.concat_ws(" ", *[F.concat(F.lit("w"), (F.col("id") * k % 900).cast("string")) for k in range(1, 41)]).alias("text"))
+    model = recurrent_lm.train(docs, lexicon)
+    chars = docs.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 7 != 2).agg(F.sum(F.length("text") + 1)).first()[0]
+    shards = -(-chars // max(24_000, sum(v.nbytes for v in model.p.values())))
+    assert shards > 1 and len({r["shard"] for r in tables["pieces"]}) == shards
+    assert max(r["size"] for r in tables["pieces"]) <= 4 * recurrent_lm.PIECE < sum(v.nbytes for v in model.p.values())
+    weight = {r["shard"]: r["weight"] for r in tables["pieces"]}
+    for piece, got in enumerate(recurrent_lm._pieces(model.p)):
+        want = sum(w * tables["numbers"][piece, s].astype(float) for s, w in weight.items()) / sum(weight.values())
+        assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_lexicon_grows_with_the_vocabulary(spark):
     for kinds in (3_000, 60_000, 200_000):
         counts = spark.range(kinds).select(F.encode(F.concat(F.lit("w"), "id"), "utf-8").alias("word"), (kinds - F.col("id")).alias("n"))
