@@ -16,12 +16,13 @@ as empty and stays null.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm import exact_dedup, jaccard_join, packing, pii, quality
-from gleaner.llm.common import documents, dropped, scratch, staged
+from gleaner.llm.common import collected, documents, dropped, scratch, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Row numbers to be broadcast at most (8 bytes each).
@@ -86,12 +87,23 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs)
 
 
+def _after_others(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage`` on executors that have given back what the stages before it took."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        collected(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality", good_quality),
-    ("exact_dedup", distinct_texts),
-    ("near_dedup", without_near_duplicates),
-    ("pii", without_pii),
-    ("packing", packed),
+    ("quality", _after_others(good_quality)),
+    ("exact_dedup", _after_others(distinct_texts)),
+    ("near_dedup", _after_others(without_near_duplicates)),
+    ("pii", _after_others(without_pii)),
+    ("packing", _after_others(packed)),
 ]
 
 #: A learnt classifier and a tokenizer can't be said in SQL; tests compare each stage with brute force.

@@ -141,6 +141,16 @@ def _give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def collected(spark: SparkSession) -> None:
+    """Collects the executors' heaps, so that what earlier work left of them, and of native buffers, goes back to the system.
+
+    A heap grows with the garbage of what ran in it and is given back by a full collection only. One task a core, which all
+    begin at once on idle executors; a task that comes twice to one executor, or never, changes no result.
+    """
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def in_stretches(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
     """First place and end of stretches of items that have ``most`` together at most, or are one item."""
     ends, i = np.cumsum(sizes), 0

@@ -87,3 +87,13 @@ def test_run_leaves_only_its_result(spark, odd_docs, tmp_path):
     before = there()
     out = corpus_pipeline.run(spark, str(tmp_path))
     assert out.count() > 50 and len(there() - before) == 1
+
+
+def test_each_stage_gives_back_the_heap_of_those_before(spark, no_docs, tmp_path):
+    spark.createDataFrame([(k, k % 2) for k in range(0)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    full = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if re.search("Old|MarkSweep", b.getName()))
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        stage(spark, no_docs, str(tmp_path))
+        assert full() > before, name
