@@ -44,6 +44,8 @@ SHARD_TOKENS, RATE = 1_500_000, 0.01
 PIECE = 1 << 15
 #: Rows of outputs that are handled at a time, so that they stay in the cache.
 ROWS = 512
+#: Tokens whose outputs are scored together.
+TOGETHER = 1 << 15
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
 UPDATES = 300
 #: Logits are shifted where one is larger than this or smaller than its negative (float32 ends at 88).
@@ -184,22 +186,25 @@ class Model:
 
     def log_probs(self, states: np.ndarray, out_class: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(word | class) for each row (word -1: P(class) only)."""
-        total, c1 = np.empty(len(states)), np.vstack([self.p["c"], self.p["cb"]])
-        states = _and_one(states)
+        total, sums = np.empty(len(states)), np.empty(len(states), np.float32)
+        c1, ones = np.vstack([self.p["c"], self.p["cb"]]), np.ones(self.l.outputs, np.float32)
         for i in range(0, len(states), ROWS):
-            e = bounded(states[i : i + ROWS] @ c1)
+            e = bounded(_and_one(states[i : i + ROWS]) @ c1)
             total[i : i + ROWS] = e[np.arange(len(e)), out_class[i : i + ROWS]]
-            total[i : i + ROWS] -= np.log(np.exp(e, out=e).sum(axis=1))
+            np.dot(np.exp(e, out=e), ones, out=sums[i : i + ROWS])
+        total -= np.log(sums)
         order, at = self.by_class(out_class, word)
-        for c in range(self.l.classes):
-            rows = order[at[c] : at[c + 1]]
-            if len(rows):
-                lo, hi = self.l.edge[c], self.l.edge[c + 1]
-                f = states[rows, :STATE] @ self.p["w"][lo:hi].T
-                f += self.p["wb"][lo:hi]
-                f = bounded(f)
-                total[rows] += f[np.arange(len(rows)), word[rows] - lo]
-                total[rows] -= np.log(np.exp(f, out=f).sum(axis=1))
+        x, within, each = states[order], word[order] - self.l.edge[out_class[order]], np.arange(len(order))
+        picked, sums = np.empty(len(order)), np.empty(len(order), np.float32)
+        for c in np.flatnonzero(np.diff(at)).tolist():
+            i, j = at[c], at[c + 1]
+            lo, hi = self.l.edge[c], self.l.edge[c + 1]
+            f = x[i:j] @ self.p["w"][lo:hi].T
+            f += self.p["wb"][lo:hi]
+            f = bounded(f)
+            picked[i:j] = f[each[: j - i], within[i:j]]
+            np.sum(np.exp(f, out=f), axis=1, out=sums[i:j])
+        total[order] += picked - np.log(sums)
         return total
 
     def by_class(self, out_class: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -259,6 +264,15 @@ def scored(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     total = np.zeros(len(codes))
     s = np.zeros((len(lanes_of), STATE), np.float32)
     before = np.full(len(lanes_of), k + SHAPES)
+    waiting: list[tuple[np.ndarray, ...]] = []  # outputs need no order: those of windows with few lanes wait for others
+    n = 0
+
+    def outputs() -> None:
+        if waiting:
+            owner, *some = (np.concatenate(x) for x in zip(*waiting, strict=True))
+            total[:] += np.bincount(owner, model.log_probs(*some), len(codes))
+            waiting.clear()
+
     for code, shp, owner, start in _windows(codes, shapes, lanes_of, WINDOW):
         live = code.shape[1]
         s, before = s[:live], before[:live]
@@ -271,9 +285,13 @@ def scored(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             s = model.step(model.p["x"][before], s)[0]
             states[t] = s
             before = rows[t]
-        real = owner.ravel() >= 0
-        p = model.log_probs(states.reshape(-1, STATE)[real], out_class.ravel()[real], np.where(inside, code, -1).ravel()[real])
-        total += np.bincount(owner.ravel()[real], p, len(codes))
+        real = np.flatnonzero(owner.ravel() >= 0)
+        waiting.append((owner.ravel()[real], states.reshape(-1, STATE)[real], out_class.ravel()[real], np.where(inside, code, -1).ravel()[real]))
+        n += len(real)
+        if n >= TOGETHER:
+            outputs()
+            n = 0
+    outputs()
     return total
 
 
@@ -500,6 +518,32 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
 _SCORED = "id long, held_out boolean, n_tokens long, known long, counts double, chances double, rare array<binary>"
 
 
+def _of_batch(m: Model, b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Scores and words that aren't frequent of a batch of (id, text).
+
+    Words are split a slice at a time; all texts are scored side by side, so that the longest runs along with many others.
+    """
+    lex = m.l
+    parts = [(b.column(0).slice(i, j - i), *_texts(lex, _lowered(b.column(1).slice(i, j - i)))) for i, j in _sliced(b)]
+    every = scored(m, [c for x in parts for c in x[1]], [s for x in parts for s in x[2]]) / np.log(10)
+    ends = np.cumsum([len(x[1]) for x in parts])
+    for (names, codes, shapes, words), end in zip(parts, ends.tolist(), strict=True):
+        chances = every[end - len(codes) : end]
+        n = np.array([len(c) for c in codes])
+        c, s, owner = np.concatenate(codes), np.concatenate(shapes), np.repeat(np.arange(len(n)), n)
+        frequent, outside = c >= 0, (c < 0) | (c >= lex.size)
+        plain = lex.log_count[np.maximum(c, 0)] * frequent if len(lex.log_count) else np.zeros(len(c))
+        counted, found = np.bincount(owner, plain, len(n)), np.bincount(owner, frequent, len(n)).astype(np.int64)
+        chances += np.bincount(owner, np.where(outside, plain - lex.log_rest[s], 0), len(n))
+        # of the words that aren't frequent; a text's end is the last of its tokens
+        at = np.flatnonzero(~frequent)
+        last = np.cumsum(n) - 1
+        words = pa.concat_arrays([words, pa.array([END], pa.large_binary())]).take(pa.array(np.where(at == last[owner[at]], len(words), at - owner[at])))
+        rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(n)))]), pa.int32()), words.cast(pa.binary()))
+        held = [is_held_out(name) for name in names.to_pylist()]
+        yield pa.record_batch([names, pa.array(held), pa.array(n, pa.int64()), pa.array(found), pa.array(counted), pa.array(chances), rare], ["id", "held_out", "n_tokens", "known", "counts", "chances", "rare"])
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     sc = docs.sparkSession.sparkContext
@@ -514,23 +558,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
         m = Model.__new__(Model)
         m.p, m.l = p, lex
         for b in batches:
-            for i, j in _sliced(b):
-                names = b.column(0).slice(i, j - i)
-                codes, shapes, words = _texts(lex, _lowered(b.column(1).slice(i, j - i)))
-                chances = scored(m, codes, shapes) / np.log(10)
-                n = np.array([len(c) for c in codes])
-                c, s, owner = np.concatenate(codes), np.concatenate(shapes), np.repeat(np.arange(len(n)), n)
-                frequent, outside = c >= 0, (c < 0) | (c >= lex.size)
-                plain = lex.log_count[np.maximum(c, 0)] * frequent if len(lex.log_count) else np.zeros(len(c))
-                counted, found = np.bincount(owner, plain, len(n)), np.bincount(owner, frequent, len(n)).astype(np.int64)
-                chances += np.bincount(owner, np.where(outside, plain - lex.log_rest[s], 0), len(n))
-                # of the words that aren't frequent; a text's end is the last of its tokens
-                at = np.flatnonzero(~frequent)
-                ends = np.cumsum(n) - 1
-                words = pa.concat_arrays([words, pa.array([END], pa.large_binary())]).take(pa.array(np.where(at == ends[owner[at]], len(words), at - owner[at])))
-                rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner[at], minlength=len(n)))]), pa.int32()), words.cast(pa.binary()))
-                held = [is_held_out(name) for name in names.to_pylist()]
-                yield pa.record_batch([names, pa.array(held), pa.array(n, pa.int64()), pa.array(found), pa.array(counted), pa.array(chances), rare], ["id", "held_out", "n_tokens", "known", "counts", "chances", "rare"])
+            yield from _of_batch(m, b)
 
     rows = staged(docs.mapInArrow(freed(each), _SCORED).withColumn("row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("row", F.explode("rare").alias("word")).groupBy("word", "row").agg(F.count("*").alias("times"))

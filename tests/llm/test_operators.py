@@ -318,6 +318,35 @@ def test_scores_equal_a_token_at_a_time():
         assert recurrent_lm.scored(model, codes, shapes, lanes).tolist() == pytest.approx(want, rel=1e-4)
 
 
+def test_outputs_of_windows_with_few_lanes_are_scored_together(monkeypatch):
+    model, codes, shapes = small_model()
+    rng = np.random.default_rng(3)
+    codes, shapes = [*codes, rng.integers(0, 8, 5000).astype(np.int32)], [*shapes, np.zeros(5000, np.int16)]
+    rows, log_probs = [], recurrent_lm.Model.log_probs
+    monkeypatch.setattr(recurrent_lm.Model, "log_probs", lambda self, states, *more: rows.append(len(states)) or log_probs(self, states, *more))
+    for together, calls in ((1 << 15, 1), (2000, 3)):
+        monkeypatch.setattr(recurrent_lm, "TOGETHER", together)
+        rows.clear()
+        got = recurrent_lm.scored(model, codes, shapes)
+        assert len(rows) == calls and sum(rows) == sum(map(len, codes))
+        assert got.tolist() == pytest.approx([naive_score(model, c, s) for c, s in zip(codes, shapes, strict=True)], rel=1e-4)
+
+
+def test_slices_of_a_batch_are_scored_side_by_side(monkeypatch):
+    model, _, _ = small_model()
+    texts = ["w1 w2 other", None, "", "w3 " * 70, "unseen W1\tw99", "w4 w4"]
+    batch = pa.record_batch([pa.array([5, None, 7, 8, 8, 9], pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    calls, scored = [], recurrent_lm.scored
+    monkeypatch.setattr(recurrent_lm, "scored", lambda *x: calls.append(len(x[1])) or scored(*x))
+    whole = pa.Table.from_batches(recurrent_lm._of_batch(model, batch)).to_pydict()
+    monkeypatch.setattr(recurrent_lm, "SLICE", 12)
+    parts = list(recurrent_lm._of_batch(model, batch))
+    assert len(parts) > 2 and calls == [6, 6]
+    got = pa.Table.from_batches(parts).to_pydict()
+    assert got.pop("chances") == pytest.approx(whole.pop("chances"), rel=1e-5) and got == whole
+    assert list(recurrent_lm._of_batch(model, batch.slice(0, 0))) == []
+
+
 def test_first_step_follows_differences():
     """The optimiser's first step goes against the sign of the loss's slope: here the slope is taken by differences."""
     start, codes, shapes = small_model()
