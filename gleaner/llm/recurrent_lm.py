@@ -6,9 +6,10 @@ Tokens are the words of a text, A-Z lowered, and one end. Counts cover all train
    documents by a join on the word; only sums come back.
 
 Model. P(token | text so far) = P(class | state) P(token | class, state). The most frequent tokens, kinds ** GROWTH of
-them (LEXICON at least), fall into classes of like frequency, as many as the square root of their number, with a
+them (LEXICON at least), fall into classes of like frequency, CLASSES times the square root of their number, with a
 softmax inside the class. All other words fall into SHAPES classes by how they are
 written; inside such a class the chance of a word is (c + 1) / (sum of (c + 1) + 1), the last 1 for words never seen.
+More than UNGROUPED classes are factored once more: P(class | state) = P(group | state) P(class | group, state).
 So the chances of all words and one unknown a class sum to 1. The state is a GRU's, carried from window to window, and
 starts anew with each text; a text's log-likelihood is over all its tokens.
 
@@ -26,8 +27,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,22 +38,28 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import documents, dropped, freed, in_stretches, partitions, staged
 
 LEXICON, GROWTH, FREQUENT = 2048, 0.75, 100_000
+#: Classes, as a multiple of the root of the lexicon's size: the fewer, the larger, but the less calls there are.
+CLASSES = 0.6
 STATE, WINDOW, LANES = 24, 32, 512
 SHARD_TOKENS, RATE = 1_500_000, 0.01
 #: Numbers of a model in a row, so that no row, and no sort of them, grows with the model.
 PIECE = 1 << 15
-#: Rows of outputs that are handled at a time, so that they stay in the cache.
-ROWS = 512
+#: Outputs (rows by classes) that are handled at a time, so that they stay in the cache; rows of inputs that are moved at a time.
+CELLS, ROWS = 1 << 16, 512
+#: Classes up to which one softmax over all of them costs less than groups.
+UNGROUPED = 128
+#: Uses of an input in a window from which its slopes are summed by themselves.
+OFTEN = 16
 #: Tokens whose outputs are scored together.
-TOGETHER = 1 << 15
+TOGETHER = 1 << 16
 #: Steps of the optimiser that a shard makes at least before it uses more lanes.
 UPDATES = 300
-#: Logits are shifted where one is larger than this or smaller than its negative (float32 ends at 88).
-FAR = 60
+#: Logits are shifted where the exponentials of a row sum to more than this, or less than its inverse (float32 ends at 3e38).
+FAR = 1e30
 #: Bytes of text (or one text) whose words are objects at a time.
 SLICE = 4 << 20
-#: Kinds of words a worker counts before it hands them on.
-MOST_KINDS = 200_000
+#: Frequent words that are sought in arrays; the others one at a time, so that no table of all is made for each slice.
+SOUGHT = 1 << 18
 END = b"\n"
 
 _LETTERS = b"abcdefghijklmnopqrstuvwxyz"
@@ -74,6 +80,17 @@ def _shape(token: bytes) -> int:
     return 52 if token == END else shape(token)
 
 
+def _shapes(words: pa.Array) -> np.ndarray:
+    """The shapes of many words, or ends (large binary)."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    at = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    last = np.frombuffer(words.buffers()[2], np.uint8)[at[1:] - 1].astype(np.int64)
+    long = np.diff(at) > 7
+    rest = np.select([last == END[0], (last >= 48) & (last < 58), last < 128], [0, 0, 2], 4)
+    return np.where((last >= 97) & (last < 123), (last - 97) * 2, 52 + rest) + long
+
+
 def _lowered(texts: pa.Array) -> pa.Array:
     return pc.ascii_lower(pc.fill_null(texts, "")).cast(pa.large_binary())
 
@@ -87,8 +104,8 @@ def _split(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.diff(at), words.filter(full)
 
 
-def _sliced(b: pa.RecordBatch) -> Iterator[tuple[int, int]]:
-    return in_stretches(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), SLICE)
+def _sliced(b: pa.RecordBatch, most: int | None = None) -> Iterator[tuple[int, int]]:
+    return in_stretches(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False), most or SLICE)
 
 
 def is_held_out(name: int | None) -> bool:
@@ -98,18 +115,13 @@ def is_held_out(name: int | None) -> bool:
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of the training texts of each batch."""
     for b in batches:
-        found: Counter[bytes] = Counter()
-        for i, j in _sliced(b):
+        for i, j in _sliced(b, 2 * SLICE):
             mine = pa.array([not is_held_out(name) for name in b.column(0).slice(i, j - i).to_pylist()], pa.bool_())
             some = _lowered(b.column(1).slice(i, j - i)).filter(mine)
             if len(some):
                 kinds = pc.value_counts(_split(some)[1])
-                for word, n in zip(kinds.field(0).to_pylist(), kinds.field(1).to_pylist(), strict=True):
-                    found[word] += n
-                found[END] += len(some)
-            if len(found) > MOST_KINDS or j >= b.num_rows:
-                yield pa.record_batch([pa.array(list(found.keys()), pa.binary()), pa.array(list(found.values()), pa.int64())], ["word", "n"])
-                found = Counter()
+                words, n = pa.concat_arrays([kinds.field(0), pa.array([END], pa.large_binary())]), pa.concat_arrays([kinds.field(1), pa.array([len(some)], pa.int64())])
+                yield pa.record_batch([words.cast(pa.binary()), n], ["word", "n"])
 
 
 def lexicon_size(kinds: int) -> int:
@@ -117,6 +129,15 @@ def lexicon_size(kinds: int) -> int:
     return max(LEXICON, int(kinds**GROWTH))
 
 
+def _parted(weight: np.ndarray, parts: int) -> np.ndarray:
+    """Edges of stretches with nearly equal sums of weights, none of them empty."""
+    share, each = np.cumsum(weight) if len(weight) else np.zeros(1), np.arange(parts + 1)
+    edge = np.searchsorted(share, share[-1] * each / max(parts, 1))
+    edge = np.minimum(np.maximum.accumulate(edge - each) + each, len(weight) - parts + each)
+    edge[0], edge[-1] = 0, len(weight)
+    return edge
+
+
 class Lexicon:
     """The frequent words with their counts, the classes, and what must be known of all other words."""
 
@@ -126,14 +147,11 @@ class Lexicon:
         top = frequent[: lexicon_size(kinds)]
         self.size = len(top)
         self.count = np.array([c for _, c in frequent], np.float64)
+        self.sought = pa.array([w for w, _ in frequent[:SOUGHT]], pa.large_binary())
         self.code = {w: i for i, (w, _) in enumerate(frequent)}
         # classes of the first words, by falling count: of equal sums of the counts' roots, so that frequent words are in small ones
-        self.classes = max(1, int(round(self.size**0.5))) if self.size else 0
-        share = np.cumsum(np.sqrt(self.count[: self.size])) if self.size else np.zeros(1)
-        edge = np.searchsorted(share, share[-1] * np.arange(self.classes + 1) / max(self.classes, 1))
-        edge = np.maximum.accumulate(edge - np.arange(self.classes + 1)) + np.arange(self.classes + 1)  # none is empty
-        self.edge = np.minimum(edge, self.size - self.classes + np.arange(self.classes + 1))
-        self.edge[0], self.edge[-1] = 0, self.size
+        self.classes = max(1, int(round(CLASSES * self.size**0.5))) if self.size else 0
+        self.edge = _parted(np.sqrt(self.count[: self.size]), self.classes)
         self.cls = np.repeat(np.arange(self.classes), np.diff(self.edge))
         total = np.zeros(SHAPES)
         for s, (c, w) in shapes.items():
@@ -142,6 +160,11 @@ class Lexicon:
         self.outputs = self.classes + SHAPES
         mass = np.concatenate([np.add.reduceat(self.count[: self.size], self.edge[:-1]) if self.size else np.zeros(0), self.rest])
         self.class_bias = np.log(mass / mass.sum())
+        # the same of classes: many fall into groups
+        self.groups = int(round(self.outputs**0.5)) if self.outputs > UNGROUPED else 1
+        self.group_edge = _parted(np.sqrt(mass), self.groups)
+        self.group = np.repeat(np.arange(self.groups), np.diff(self.group_edge))
+        self.group_bias = np.log(np.add.reduceat(mass, self.group_edge[:-1]) / mass.sum())
         self.word_bias = np.log(self.count[: self.size] / mass[self.cls]) if self.size else np.zeros(0)
         self.log_count = np.log10(self.count + 1)
         self.log_rest = np.log10(self.rest)
@@ -149,16 +172,26 @@ class Lexicon:
 
     def coded(self, words: pa.Array) -> np.ndarray:
         """Place of each word among the frequent ones, or -1 - shape; each kind is looked up once."""
-        kinds, get = words.dictionary_encode(), self.code.get
-        codes = np.array([c if (c := get(w, -1)) >= 0 else -1 - shape(w) for w in kinds.dictionary.to_pylist()], np.int32)
+        kinds = words.dictionary_encode()
+        codes = pc.fill_null(pc.index_in(kinds.dictionary, value_set=self.sought), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        missed = np.flatnonzero(codes < 0)
+        if len(self.code) > len(self.sought):
+            codes[missed] = [self.code.get(w, -1) for w in kinds.dictionary.take(pa.array(missed)).to_pylist()]
+            missed = np.flatnonzero(codes < 0)
+        codes[missed] = -1 - _shapes(kinds.dictionary)[missed]
         return codes[kinds.indices.to_numpy()] if len(words) else codes
 
 
-def bounded(e: np.ndarray) -> np.ndarray:
-    """Logits whose exponentials, and the sums of those in a row, neither overflow nor vanish; few models need a shift."""
-    if e.size and max(e.max(), -e.min()) > FAR:
-        e -= e.max(axis=1, keepdims=True)
-    return e
+def exponentials(logits: Callable[[], np.ndarray], ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Exponentials of logits and their sums by row; where those would overflow or vanish, less each row's largest, which comes third."""
+    f = logits()
+    total = np.exp(f, out=f) @ ones
+    if total.min() > 1 / FAR and total.max() < FAR:
+        return f, total, None
+    f = logits()
+    most = f.max(axis=1)
+    f -= most[:, None]
+    return np.exp(f, out=f), f @ ones, most
 
 
 def _and_one(x: np.ndarray) -> np.ndarray:
@@ -174,44 +207,90 @@ class Model:
         k = lexicon.size
         normal = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.p = {"x": normal(k + SHAPES + 1, 3 * h), "u": normal(h, 3 * h), "c": normal(h, lexicon.outputs), "cb": lexicon.class_bias.astype(np.float32), "w": normal(k, h), "wb": lexicon.word_bias.astype(np.float32)}
+        if lexicon.groups > 1:
+            self.p |= {"g": normal(lexicon.groups, h), "gb": lexicon.group_bias.astype(np.float32)}
         self.l = lexicon
 
     def step(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
         h = STATE
         g = s @ self.p["u"]
-        zr = 1 / (1 + np.exp(-(x[:, : 2 * h] + g[:, : 2 * h])))
+        zr = x[:, : 2 * h] + g[:, : 2 * h]
+        zr *= np.float32(0.5)  # 1 / (1 + exp(-x)) by way of tanh
+        np.tanh(zr, out=zr)
+        zr *= np.float32(0.5)
+        zr += np.float32(0.5)
         z, r = zr[:, :h], zr[:, h:]
-        n = np.tanh(x[:, 2 * h :] + r * g[:, 2 * h :])
-        return n + z * (s - n), z, r, n, g[:, 2 * h :]
-
+        n = r * g[:, 2 * h :]
+        n += x[:, 2 * h :]
+        np.tanh(n, out=n)
+        new = s - n
+        new *= z
+        new += n
+        return new, z, r, n, g[:, 2 * h :]
+
+    @np.errstate(over="ignore")  # see exponentials
     def log_probs(self, states: np.ndarray, out_class: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Natural log of P(class) P(word | class) for each row (word -1: P(class) only)."""
-        total, sums = np.empty(len(states)), np.empty(len(states), np.float32)
-        c1, ones = np.vstack([self.p["c"], self.p["cb"]]), np.ones(self.l.outputs, np.float32)
-        for i in range(0, len(states), ROWS):
-            e = bounded(_and_one(states[i : i + ROWS]) @ c1)
-            total[i : i + ROWS] = e[np.arange(len(e)), out_class[i : i + ROWS]]
-            np.dot(np.exp(e, out=e), ones, out=sums[i : i + ROWS])
-        total -= np.log(sums)
-        order, at = self.by_class(out_class, word)
-        x, within, each = states[order], word[order] - self.l.edge[out_class[order]], np.arange(len(order))
-        picked, sums = np.empty(len(order)), np.empty(len(order), np.float32)
-        for c in np.flatnonzero(np.diff(at)).tolist():
-            i, j = at[c], at[c + 1]
-            lo, hi = self.l.edge[c], self.l.edge[c + 1]
-            f = x[i:j] @ self.p["w"][lo:hi].T
-            f += self.p["wb"][lo:hi]
-            f = bounded(f)
-            picked[i:j] = f[each[: j - i], within[i:j]]
-            np.sum(np.exp(f, out=f), axis=1, out=sums[i:j])
-        total[order] += picked - np.log(sums)
+        """Natural log of P(class) P(word | class) for each row (word -1: P(class) only); P(class) = P(group) P(class | group)."""
+        lex = self.l
+        order, of_group, of_class = self.by_class(out_class)
+        x, cls = states[order], out_class[order]
+        chances = np.zeros(len(x))
+
+        def add(w: np.ndarray, bias: np.ndarray, at: list[int], edge: np.ndarray, out: np.ndarray) -> None:
+            n = at[-1]
+            ones, picked, sums = np.ones(len(w), np.float32), np.empty(n), np.empty(n)
+            for i, j, lo, hi in _blocks(at, edge, CELLS):
+
+                def logits() -> np.ndarray:
+                    f = x[i:j] @ w[lo:hi].T  # noqa: B023
+                    f += bias[lo:hi]  # noqa: B023
+                    picked[i:j] = f.reshape(-1)[np.arange(-lo, f.size - lo, hi - lo) + out[i:j]]  # noqa: B023
+                    return f
+
+                _, total, most = exponentials(logits, ones[: hi - lo])
+                sums[i:j] = np.log(total) if most is None else np.log(total) + most
+            chances[:n] += picked - sums
+
+        if lex.groups > 1:
+            add(self.p["g"], self.p["gb"], [0, len(x)], np.array([0, lex.groups]), lex.group[cls])
+        add(np.ascontiguousarray(self.p["c"].T), self.p["cb"], of_group, lex.group_edge, cls)
+        if lex.size:
+            add(self.p["w"], self.p["wb"], of_class, lex.edge, word[order[: of_class[-1]]])
+        total = np.empty(len(x))
+        total[order] = chances
         return total
 
-    def by_class(self, out_class: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Rows of words in the lexicon in the order of their classes, and where each class begins."""
-        rows = np.flatnonzero(word >= 0)
-        rows = rows[np.argsort(out_class[rows], kind="stable")]
-        return rows, np.searchsorted(out_class[rows], np.arange(self.l.classes + 1))
+    def by_class(self, out_class: np.ndarray) -> tuple[np.ndarray, list[int], list[int]]:
+        """The rows in the order of their classes, and where each group and each class of words begins and ends."""
+        order = np.argsort(out_class.astype(np.int16 if self.l.outputs < 1 << 15 else np.int32), kind="stable")
+        cls = out_class[order]
+        return order, np.searchsorted(cls, self.l.group_edge).tolist(), np.searchsorted(cls, np.arange(self.l.classes + 1)).tolist()
+
+
+def _blocks(at: list[int], edge: np.ndarray, cells: int) -> Iterator[tuple[int, int, int, int]]:
+    """Of stretches that have rows: some of the rows (so many cells, or one row), and where their outputs lie."""
+    edges = edge.tolist()
+    for c in np.flatnonzero(np.diff(at)).tolist():
+        some = max(1, cells // (edges[c + 1] - edges[c]))
+        for i in range(at[c], at[c + 1], some):
+            yield i, min(i + some, at[c + 1]), edges[c], edges[c + 1]
+
+
+def _sums(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys, and the sum of the rows of each."""
+    order = np.argsort(key, kind="stable")
+    key, x = key[order], np.take(x, order, axis=0)
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    n = np.diff(np.r_[at, len(key)])
+    out = x[at]
+    few = np.flatnonzero((n > 1) & (n < OFTEN))
+    for k in range(1, OFTEN - 1):  # the second rows of all, then the third
+        few = few[n[few] > k]
+        out[few] += x[at[few] + k]
+    ones = np.ones(int(n.max()), x.dtype)
+    for i in np.flatnonzero(n >= OFTEN).tolist():
+        np.dot(ones[: n[i]], x[at[i] : at[i] + n[i]], out=out[i])
+    return key[at], out
 
 
 def _lanes(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -302,6 +381,7 @@ def _targets(lex: Lexicon, code: np.ndarray, shp: np.ndarray) -> tuple[np.ndarra
     return inside, out_class, np.where(inside, code, lex.size + shp)
 
 
+@np.errstate(over="ignore")  # see exponentials
 def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lanes: int | None = None) -> None:
     """One pass of truncated back-propagation through time over the texts, by Adam; of the tables, rows in use are moved."""
     if not codes:
@@ -311,28 +391,35 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     lanes_of = _lanes(np.array([len(c) for c in codes]), lanes)
     # weights lie in one array with their biases while they are learnt
     whole = model.p
-    model.p = {"x": whole["x"], "u": whole["u"], "c": np.vstack([whole["c"], whole["cb"]]), "w": np.hstack([whole["w"], whole["wb"][:, None]])}
+    model.p = {"x": whole["x"], "u": whole["u"], "c": np.vstack([whole["c"], whole["cb"]]).T.copy(), "w": np.hstack([whole["w"], whole["wb"][:, None]])}
+    if lex.groups > 1:
+        model.p["g"] = np.hstack([whole["g"], whole["gb"][:, None]])
+    # Adam's moments: of slopes, and of their squares, ten times as large and never 0
     m1 = {n: np.zeros_like(v) for n, v in model.p.items()}
-    m2 = {n: np.zeros_like(v) for n, v in model.p.items()}
+    m2 = {n: np.full_like(v, 1e-15) for n, v in model.p.items()}
 
     def move(name: str, at: slice | np.ndarray, v: np.ndarray) -> None:
+        """A step of Adam; v: a tenth of the slopes."""
         a, b, p = m1[name][at], m2[name][at], model.p[name]
-        step = v - a
-        step *= np.float32(0.1)
-        a += step
-        np.multiply(v, v, out=step)
-        step -= b
-        step *= np.float32(0.001)
-        b += step
-        np.sqrt(b, out=step)
-        step += np.float32(1e-8)
-        np.divide(a, step, out=step)
-        step *= np.float32(rate)
-        if isinstance(at, slice):
-            p[at] -= step
-        else:  # a and b are copies
+        a *= np.float32(0.9)
+        a += v
+        v *= v
+        b *= np.float32(0.999)
+        b += v
+        np.sqrt(b, out=v)
+        np.divide(a, v, out=v)
+        v *= np.float32(rate * 10**0.5)
+        if not isinstance(at, slice):  # a and b are copies
             m1[name][at], m2[name][at] = a, b
-            p[at] -= step
+        p[at] -= v
+
+    ones = np.ones(max(lex.size, lex.outputs), np.float32)
+
+    def slopes(name: str, lo: int, hi: int, some: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the softmax over rows lo to hi: the logits' slopes but for a row's share, which comes last, so that it meets STATE numbers and not all outputs."""
+        f, total, _ = exponentials(lambda: some @ model.p[name][lo:hi].T, ones[: hi - lo])
+        f.reshape(-1)[np.arange(-lo, f.size - lo, hi - lo) + out] -= total
+        return f, (scale / total)[:, None]
 
     s, before, done = np.zeros((len(lanes_of), h), np.float32), np.full(len(lanes_of), k + SHAPES), 0
     windows = -(-max(sum(len(codes[i]) for i in lane) for lane in lanes_of) // WINDOW)
@@ -340,73 +427,73 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         p, live = model.p, code.shape[1]
         s, before = s[:live], before[:live]
         inside, out_class, rows = _targets(lex, code, shp)
-        kept = []
+        kept, states = [], np.empty((len(code), live, h), np.float32)
         for t in range(len(code)):
-            s = np.where(start[t][:, None], np.float32(0), s)
-            before = np.where(start[t], k + SHAPES, before)
-            new, z, r, n, gn = model.step(p["x"][before], s)
-            kept.append((before, s, z, r, n, gn, start[t]))
+            if (new_text := start[t].any()):
+                s = np.where(start[t][:, None], np.float32(0), s)
+                before = np.where(start[t], k + SHAPES, before)
+            new, z, r, n, gn = model.step(np.take(p["x"], before, axis=0), s)
+            kept.append((before, s, z, r, n, gn, start[t] if new_text else None))
+            states[t] = new
             s, before = new, rows[t]
-        outs = []
-        for i in range(len(kept)):
-            _, s0, z, r, n, _, _ = kept[i]
-            outs.append(n + z * (s0 - n))
-        states = np.stack(outs).reshape(-1, h)
+        states = states.reshape(-1, h)
         real = np.flatnonzero(owner.ravel() >= 0)
         done += 1
         rate = RATE * (1 - 0.9 * done / windows) * (1 - 0.999**done) ** 0.5 / (1 - 0.9**done)
-        x, cls, word = _and_one(states[real]), out_class.ravel()[real], np.where(inside, code, -1).ravel()[real]
-        scale = np.float32(1 / len(real))
-        g = {"c": np.zeros_like(p["c"]), "u": np.zeros_like(p["u"])}
-        dx = np.empty_like(x)
-        for i in range(0, len(x), ROWS):  # a row's share of its sum comes last, so that it meets STATE numbers and not all outputs
-            some = x[i : i + ROWS]
-            e = bounded(some @ p["c"])
-            np.exp(e, out=e)
-            total = e.sum(axis=1)
-            e[np.arange(len(e)), cls[i : i + ROWS]] -= total
-            share = (scale / total)[:, None]
-            g["c"] += (some * share).T @ e
-            np.multiply(e @ p["c"].T, share, out=dx[i : i + ROWS])
-        order, at = model.by_class(cls, word)
-        x, within, ds_word = x[order], word[order], np.empty((len(order), h + 1), np.float32)
-        within -= lex.edge[cls[order]]
-        each = np.arange(len(order))
-        for c in np.flatnonzero(np.diff(at)).tolist():
-            i, j = at[c], at[c + 1]
-            lo, hi = lex.edge[c], lex.edge[c + 1]
-            some, w = x[i:j], p["w"][lo:hi]
-            f = bounded(some @ w.T)
-            np.exp(f, out=f)
-            total = f.sum(axis=1)
-            f[each[: j - i], within[i:j]] -= total
-            share = (scale / total)[:, None]
-            np.multiply(f @ w, share, out=ds_word[i:j])
-            move("w", slice(lo, hi), f.T @ (some * share))
-        dx[order] += ds_word
+        scale = np.float32(0.1 / len(real))
+        order, of_group, of_class = model.by_class(out_class.ravel()[real])
+        real = real[order]
+        x, cls, word = _and_one(states[real]), out_class.ravel()[real], code.ravel()[real]
+        g = {n: np.zeros_like(p[n]) for n in p.keys() & {"c", "g", "u"}}
+        dx = np.zeros_like(x)
+        for name, at, edge, out in (("g", [0, len(x)], np.array([0, lex.groups]), lex.group[cls]), ("c", of_group, lex.group_edge, cls)):
+            if name in p:
+                for i, j, lo, hi in _blocks(at, edge, CELLS):
+                    f, share = slopes(name, lo, hi, x[i:j], out[i:j])
+                    dx[i:j] += (f @ p[name][lo:hi]) * share
+                    g[name][lo:hi] += f.T @ (x[i:j] * share)
+        for i, j, lo, hi in _blocks(of_class, lex.edge, len(x) * max(lex.size, 1)):
+            f, share = slopes("w", lo, hi, x[i:j], word[i:j])
+            dx[i:j] += (f @ p["w"][lo:hi]) * share
+            move("w", slice(lo, hi), f.T @ (x[i:j] * share))
         full = np.zeros_like(states)
         full[real] = dx[:, :h]
         full = full.reshape(len(kept), -1, h)
         ds = np.zeros_like(s)
-        inner = np.empty((len(kept), live, 3 * h), np.float32)
+        inner, dg = np.empty((len(kept), live, 3 * h), np.float32), np.empty((live, 3 * h), np.float32)
         for i in range(len(kept) - 1, -1, -1):
             b, s0, z, r, n, gn, new_text = kept[i]
             d = full[i] + ds
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (s0 - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
+            keep = 1 - z
+            dn = d * keep
+            slope = n * n
+            np.subtract(1, slope, out=slope)
+            dn *= slope
+            keep *= z
+            keep *= d
+            keep *= s0 - n
+            dg[:, :h] = keep
+            np.subtract(1, r, out=slope)
+            slope *= r
+            slope *= gn
+            slope *= dn
+            dg[:, h : 2 * h] = slope
+            np.multiply(dn, r, out=dg[:, 2 * h :])
             inner[i, :, : 2 * h], inner[i, :, 2 * h :] = dg[:, : 2 * h], dn
             g["u"] += s0.T @ dg
-            ds = np.where(new_text[:, None], np.float32(0), d * z + dg @ p["u"].T)
-        used = np.concatenate([x[0] for x in kept])
-        order = np.argsort(used, kind="stable")
-        at = np.flatnonzero(np.r_[True, np.diff(used[order]) != 0])
-        move("x", used[order][at], np.add.reduceat(inner.reshape(-1, 3 * h)[order], at, axis=0))
+            d *= z
+            d += dg @ p["u"].T
+            ds = d if new_text is None else np.where(new_text[:, None], np.float32(0), d)
+        used, moved = _sums(inner.reshape(-1, 3 * h), np.concatenate([x[0] for x in kept]))
+        for i in range(0, len(used), ROWS):
+            move("x", used[i : i + ROWS], moved[i : i + ROWS])
         for name, v in g.items():
             move(name, slice(None), v)
     p = model.p
-    model.p = whole | {"c": p["c"][:-1].copy(), "cb": p["c"][-1].copy(), "w": p["w"][:, :-1].copy(), "wb": p["w"][:, -1].copy()}
+    back = {"c": p["c"][:, :-1].T.copy(), "cb": p["c"][:, -1].copy(), "w": p["w"][:, :-1].copy(), "wb": p["w"][:, -1].copy()}
+    if lex.groups > 1:
+        back |= {"g": p["g"][:, :-1].copy(), "gb": p["g"][:, -1].copy()}
+    model.p = whole | back
 
 
 def _texts(lexicon: Lexicon, texts: list[bytes] | pa.Array) -> tuple[list[np.ndarray], list[np.ndarray], pa.Array]:
@@ -420,7 +507,7 @@ def _texts(lexicon: Lexicon, texts: list[bytes] | pa.Array) -> tuple[list[np.nda
 def _shape_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if b.num_rows:
-            shapes = np.fromiter((_shape(w) for w in b.column(0).to_pylist()), np.int64, b.num_rows)
+            shapes = _shapes(b.column(0).cast(pa.large_binary()))
             n = np.bincount(shapes, b.column(1).to_numpy().astype(float), SHAPES).astype(np.int64)
             yield pa.record_batch([pa.array(np.arange(SHAPES)), pa.array(n), pa.array(np.bincount(shapes, minlength=SHAPES))], ["shape", "n", "kinds"])
 

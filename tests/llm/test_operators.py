@@ -382,6 +382,113 @@ def test_a_sequence_that_repeats_is_learnt():
     assert recurrent_lm.scored(model, codes[:1], shapes[:1])[0] / len(codes[0]) > -0.6
 
 
+def grouped_model(monkeypatch):
+    """A model whose classes fall into groups."""
+    monkeypatch.setattr(recurrent_lm, "UNGROUPED", 20)
+    model, codes, shapes = small_model()
+    assert 1 < model.l.groups < model.l.outputs and model.p["g"].shape == (model.l.groups, recurrent_lm.STATE)
+    return model, codes, shapes
+
+
+def naive_grouped(model, codes, shapes):
+    """As naive_score, where P(class) = P(group) P(class | group): the sum over all classes gives way to that over the group's."""
+    p, lex, h = {n: v.astype(float) for n, v in model.p.items()}, model.l, recurrent_lm.STATE
+    total, plain = naive_score(model, codes, shapes), 0.0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    s, before = np.zeros(h), lex.size + recurrent_lm.SHAPES
+    for c, shape in zip(codes.tolist(), shapes.tolist(), strict=True):
+        x, g = p["x"][before], s @ p["u"]
+        z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
+        s = (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :]) + z * s
+        inside = 0 <= c < lex.size
+        e, f = s @ p["c"] + p["cb"], p["g"] @ s + p["gb"]
+        group = np.searchsorted(lex.group_edge, lex.cls[c] if inside else lex.classes + shape, "right") - 1
+        plain += np.log(np.exp(e).sum()) - np.log(np.exp(e[lex.group_edge[group] : lex.group_edge[group + 1]]).sum()) + f[group] - np.log(np.exp(f).sum())
+        before = c if inside else lex.size + shape
+    return total + plain
+
+
+def test_chances_of_grouped_classes(monkeypatch):
+    model, codes, shapes = grouped_model(monkeypatch)
+    recurrent_lm.learnt(model, codes, shapes, lanes=3)
+    for lanes in (1, 50):
+        assert recurrent_lm.scored(model, codes, shapes, lanes).tolist() == pytest.approx([naive_grouped(model, c, s) for c, s in zip(codes, shapes, strict=True)], rel=1e-4)
+    lex, state = model.l, np.random.default_rng(1).standard_normal((1, recurrent_lm.STATE)).astype(np.float32)
+    p = [np.exp(model.log_probs(state, np.array([c]), np.array([w]))[0]) for w, c in enumerate(lex.cls)]
+    p += [np.exp(model.log_probs(state, np.array([lex.classes + s]), np.array([-1]))[0]) for s in range(recurrent_lm.SHAPES)]
+    assert sum(p) == pytest.approx(1, abs=1e-4)
+
+
+def test_first_step_of_grouped_classes_follows_differences(monkeypatch):
+    start, codes, shapes = grouped_model(monkeypatch)
+    codes, shapes = [codes[5][:20]], [shapes[5][:20]]
+    moved = recurrent_lm.Model(start.l)
+    recurrent_lm.learnt(moved, codes, shapes, lanes=1)
+    rng, checked = np.random.default_rng(0), dict.fromkeys(start.p, 0)
+    for name, v in start.p.items():
+        for at in rng.integers(0, v.size, 25):
+            slope = []
+            for d in (1e-3, -1e-3):
+                m = recurrent_lm.Model.__new__(recurrent_lm.Model)
+                m.l, m.p = start.l, {n: x.astype(float) for n, x in start.p.items()}
+                m.p[name].ravel()[at] += d
+                slope.append(naive_grouped(m, codes[0], shapes[0]))
+            slope = (slope[0] - slope[1]) / 2e-3 / len(codes[0])
+            if abs(slope) > 1e-4:
+                assert np.sign(moved.p[name].ravel()[at] - v.ravel()[at]) == np.sign(slope), (name, at)
+                checked[name] += 1
+    assert min(checked[n] for n in ("c", "cb", "g", "gb", "w", "u")) > 0
+
+
+def test_a_token_meets_few_outputs():
+    """Of a large lexicon, a token's softmaxes have fewer outputs than there are classes."""
+    n = 30_000
+    lexicon = recurrent_lm.Lexicon([(f"w{i}".encode(), 10**6 // (i + 1) + 1) for i in range(4 * n)], 10**7, int(n ** (4 / 3)), {})
+    model = recurrent_lm.Model(lexicon)
+    rng, cells, exp = np.random.default_rng(4), [], np.exp
+    word = (lexicon.size ** rng.random(4000)).astype(np.int32) - 1
+    class Numpy:  # counts what exponentials are taken of
+        def __getattr__(self, name):
+            return (lambda x, **more: cells.append(np.size(x)) or exp(x, **more)) if name == "exp" else getattr(np, name)
+    real, recurrent_lm.np = recurrent_lm.np, Numpy()
+    try:
+        model.log_probs(np.zeros((len(word), recurrent_lm.STATE), np.float32), lexicon.cls[word], word)
+    finally:
+        recurrent_lm.np = real
+    assert sum(cells) / len(word) < lexicon.outputs
+
+
+def test_far_logits_of_any_sign():
+    model, codes, shapes = small_model()
+    for name, by in (("cb", 200), ("wb", -200), ("w", 300)):
+        model.p[name] = model.p[name] * np.float32(300) if name == "w" else model.p[name] + np.float32(by)
+    model.p["cb"][0] -= 400  # a class that hardly ever comes
+    got = recurrent_lm.scored(model, codes, shapes)
+    assert np.isfinite(got).all() and got.tolist() == pytest.approx([naive_score(model, c, s) for c, s in zip(codes, shapes, strict=True)], rel=1e-3)
+    recurrent_lm.learnt(model, codes, shapes, lanes=3)
+    assert all(np.isfinite(v).all() for v in model.p.values())
+
+
+def test_words_are_coded_in_arrays_as_one_at_a_time(monkeypatch):
+    words = [b"a", b"z9", b"longer-word.", "\u00e9".encode(), b"eightzzz", b"sevenzz", b"\n", b"7", b"x\x00", b"_"]
+    frequent = [(w, 20 - i) for i, w in enumerate(words[:4])]
+    asked = [*words[:6], *words[7:], b"a", b"eightzzz"]
+    assert recurrent_lm._shapes(pa.array([b"cut off", *words], pa.large_binary()).slice(1)).tolist() == [recurrent_lm._shape(w) for w in words]
+    for sought in (1 << 18, 2, 0):
+        monkeypatch.setattr(recurrent_lm, "SOUGHT", sought)
+        lexicon = recurrent_lm.Lexicon(frequent, 100, 9, {})
+        assert lexicon.coded(pa.array(asked, pa.large_binary())).tolist() == [lexicon.code.get(w, -1 - recurrent_lm.shape(w)) for w in asked]
+        assert lexicon.coded(pa.array([], pa.large_binary())).tolist() == []
+
+
+def test_sums_of_rows_by_key():
+    rng = np.random.default_rng(5)
+    for n in (1, 7, 2000):
+        key, x = (rng.pareto(0.7, n) * 2).astype(int) % 300, rng.standard_normal((n, 3))
+        keys, sums = recurrent_lm._sums(x, key)
+        assert keys.tolist() == sorted(set(key.tolist())) and sums == pytest.approx(np.array([x[key == k].sum(axis=0) for k in keys]))
+
+
 def test_windows_follow_the_tokens():
     rng = np.random.default_rng(1)
     codes = [rng.integers(0, 9, n).astype(np.int32) for n in (5000, *[7] * 400)]
