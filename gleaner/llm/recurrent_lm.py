@@ -6,7 +6,7 @@ Tokens are the words of a text, A-Z lowered, and one end. Counts cover all train
    documents by a join on the word; only sums come back.
 
 Model. P(token | text so far) = P(class | state) P(token | class, state). The most frequent tokens, kinds ** GROWTH of
-them (LEXICON at least), fall into classes of like frequency, CLASSES times the square root of their number, with a
+them (LEXICON at least), fall into classes of like frequency, as many as the square root of their number, with a
 softmax inside the class. All other words fall into SHAPES classes by how they are
 written; inside such a class the chance of a word is (c + 1) / (sum of (c + 1) + 1), the last 1 for words never seen.
 More than UNGROUPED classes are factored once more: P(class | state) = P(group | state) P(class | group, state).
@@ -38,8 +38,6 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import documents, dropped, freed, in_stretches, partitions, staged
 
 LEXICON, GROWTH, FREQUENT = 2048, 0.75, 100_000
-#: Classes, as a multiple of the root of the lexicon's size: the fewer, the larger, but the less calls there are.
-CLASSES = 0.6
 STATE, WINDOW, LANES = 24, 32, 512
 SHARD_TOKENS, RATE = 1_500_000, 0.01
 #: Numbers of a model in a row, so that no row, and no sort of them, grows with the model.
@@ -48,6 +46,8 @@ PIECE = 1 << 15
 CELLS, ROWS = 1 << 16, 512
 #: Classes up to which one softmax over all of them costs less than groups.
 UNGROUPED = 128
+#: Words of a lexicon that are moved together.
+MOVED = 2048
 #: Uses of an input in a window from which its slopes are summed by themselves.
 OFTEN = 16
 #: Tokens whose outputs are scored together.
@@ -150,7 +150,7 @@ class Lexicon:
         self.sought = pa.array([w for w, _ in frequent[:SOUGHT]], pa.large_binary())
         self.code = {w: i for i, (w, _) in enumerate(frequent)}
         # classes of the first words, by falling count: of equal sums of the counts' roots, so that frequent words are in small ones
-        self.classes = max(1, int(round(CLASSES * self.size**0.5))) if self.size else 0
+        self.classes = max(1, int(round(self.size**0.5))) if self.size else 0
         self.edge = _parted(np.sqrt(self.count[: self.size]), self.classes)
         self.cls = np.repeat(np.arange(self.classes), np.diff(self.edge))
         total = np.zeros(SHAPES)
@@ -219,14 +219,14 @@ class Model:
         np.tanh(zr, out=zr)
         zr *= np.float32(0.5)
         zr += np.float32(0.5)
-        z, r = zr[:, :h], zr[:, h:]
-        n = r * g[:, 2 * h :]
+        z, r, gn = zr[:, :h].copy(), zr[:, h:].copy(), g[:, 2 * h :].copy()  # whole arrays are quicker than columns
+        n = r * gn
         n += x[:, 2 * h :]
         np.tanh(n, out=n)
         new = s - n
         new *= z
         new += n
-        return new, z, r, n, g[:, 2 * h :]
+        return new, z, r, n, gn
 
     @np.errstate(over="ignore")  # see exponentials
     def log_probs(self, states: np.ndarray, out_class: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -414,6 +414,7 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         p[at] -= v
 
     ones = np.ones(max(lex.size, lex.outputs), np.float32)
+    slope = np.empty((max(MOVED, int(np.diff(lex.edge).max(initial=0))), h + 1), np.float32)
 
     def slopes(name: str, lo: int, hi: int, some: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of the softmax over rows lo to hi: the logits' slopes but for a row's share, which comes last, so that it meets STATE numbers and not all outputs."""
@@ -452,10 +453,24 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
                     f, share = slopes(name, lo, hi, x[i:j], out[i:j])
                     dx[i:j] += (f @ p[name][lo:hi]) * share
                     g[name][lo:hi] += f.T @ (x[i:j] * share)
+        n = of_class[-1]  # rows of the lexicon's words come first
+        shares, back = np.empty(n, np.float32), np.empty((n, h + 1), np.float32)
+        own = (np.arange(n) - np.array(of_class)[cls[:n]]) * np.diff(lex.edge)[cls[:n]] + word[:n] - lex.edge[cls[:n]]
+        first = last = 0
         for i, j, lo, hi in _blocks(of_class, lex.edge, len(x) * max(lex.size, 1)):
-            f, share = slopes("w", lo, hi, x[i:j], word[i:j])
-            dx[i:j] += (f @ p["w"][lo:hi]) * share
-            move("w", slice(lo, hi), f.T @ (x[i:j] * share))
+            if lo != last or hi - first > len(slope):  # words of adjoining classes are moved together
+                move("w", slice(first, last), slope[: last - first])
+                first = lo
+            last = hi
+            some, w = x[i:j], p["w"][lo:hi]
+            f, total, _ = exponentials(lambda: some @ w.T, ones[: hi - lo])  # noqa: B023
+            f.reshape(-1)[own[i:j]] -= total
+            np.dot(f, w, out=back[i:j])
+            share = np.divide(scale, total, out=shares[i:j])
+            np.dot(f.T, some * share[:, None], out=slope[lo - first : hi - first])
+        move("w", slice(first, last), slope[: last - first])
+        back *= shares[:, None]
+        dx[:n] += back
         full = np.zeros_like(states)
         full[real] = dx[:, :h]
         full = full.reshape(len(kept), -1, h)
@@ -466,18 +481,18 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             d = full[i] + ds
             keep = 1 - z
             dn = d * keep
-            slope = n * n
-            np.subtract(1, slope, out=slope)
-            dn *= slope
+            more = n * n
+            np.subtract(1, more, out=more)
+            dn *= more
             keep *= z
             keep *= d
             keep *= s0 - n
             dg[:, :h] = keep
-            np.subtract(1, r, out=slope)
-            slope *= r
-            slope *= gn
-            slope *= dn
-            dg[:, h : 2 * h] = slope
+            np.subtract(1, r, out=more)
+            more *= r
+            more *= gn
+            more *= dn
+            dg[:, h : 2 * h] = more
             np.multiply(dn, r, out=dg[:, 2 * h :])
             inner[i, :, : 2 * h], inner[i, :, 2 * h :] = dg[:, : 2 * h], dn
             g["u"] += s0.T @ dg
