@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, packing, piece_codec, pii, quality, recurrent_lm, token_store
+from gleaner.llm import embedding_join, exact_dedup, jaccard_join, line_dedup, line_rules, packing, periodic_runs, piece_codec, pii, quality, recurrent_lm, resampling, token_store
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jaccard_join": jaccard_join.query,
         "op9_pii": pii.query,
         "op10_embedding_join": embedding_join.query,
+        "op11_periodic_runs": periodic_runs.query,
+        "op12_resampling": resampling.query,
+        "op13_line_rules": line_rules.query,
     }
 
 
@@ -30,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": jaccard_join.ORACLE_SQL,
         "op9_pii": pii.oracle_sql(),
         "op10_embedding_join": embedding_join.ORACLE_SQL,
+        "op13_line_rules": line_rules.ORACLE_SQL,
     }
