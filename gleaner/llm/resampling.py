@@ -117,13 +117,19 @@ def scored(docs: DataFrame, target: DataFrame, id_col: str = "doc_id", text_col:
 _KEY = ("-score - 1", "CASE WHEN id IS NULL THEN 1 ELSE 0 END", "coalesce(id, 0)", "place")
 
 
-def _digits() -> list[str]:
-    """The key's digits as SQL, from the highest on; a signed part has its top bit turned over."""
+def _digits(rows: DataFrame) -> list[str]:
+    """The key's digits as SQL, from the highest on, without those before the first in which a part's least and largest value differ.
+
+    A signed part has its top bit turned over, so that digits are in the order of the values.
+    """
+    ends = rows.agg(*[f(f"k{i}").alias(f"{f.__name__}{i}") for i in range(len(_KEY)) for f in (F.min, F.max)]).first()
     out = []
-    for part, signed, bits in ((0, True, 64), (1, False, DIGIT), (2, True, 64), (3, False, 64)):
-        for low in range(bits - DIGIT, -1, -DIGIT):
-            digit = f"shiftrightunsigned(k{part}, {low}) & {(1 << DIGIT) - 1}"
-            out.append(f"({digit}) ^ {1 << DIGIT - 1}" if signed and low == bits - DIGIT else digit)
+    for i in range(len(_KEY)):
+        low, high = ends[2 * i], ends[2 * i + 1]
+        bits = 0 if low is None else ((low ^ high) & (1 << 64) - 1).bit_length()
+        for at in range(-(-bits // DIGIT) * DIGIT - DIGIT, -1, -DIGIT):
+            digit = f"shiftrightunsigned(k{i}, {at}) & {(1 << DIGIT) - 1}"
+            out.append(f"({digit}) ^ {1 << DIGIT - 1}" if at == 64 - DIGIT else digit)
     return out
 
 
@@ -135,7 +141,7 @@ def kth_key(rows: DataFrame, k: int) -> Column:
     within, under = F.lit(True), F.lit(False)
     if k <= 0:
         return under
-    for digit in _digits():
+    for digit in _digits(rows):
         d = F.expr(digit).cast("int")
         counts = sorted((r["d"], r["n"]) for r in rows.filter(within).groupBy(d.alias("d")).agg(F.count("*").alias("n")).collect())
         for value, n in counts:
