@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.config import SelectorConfig
-from gleaner.functions.measures import cmi_of_cells, mi_of_cells
+from gleaner.functions.measures import cmi_of_cells
 from gleaner.operators import cells as C
 from gleaner.operators import evaluate, greedy, knn
 from gleaner.operators import profile as P
@@ -88,7 +88,7 @@ class InfoSelector:
                 return SelectorModel([], [], screening.ranking(), self.criterion, n_rows, c.target, task, clock.found)
             picked = [features[i] for i in short]
             sample = P.sampled(codes, n_rows, c.subsample, c.seed)
-            info = self._matrices(sample, picked, target, screening.mi[short])
+            info = self._matrices(sample, picked, target, screening.mi[short], min(n_rows, c.subsample))
             clock.lap(STAGES[2])
             chosen = self._search(info)
             clock.lap(STAGES[3])
@@ -96,21 +96,15 @@ class InfoSelector:
         finally:
             codes.unpersist()
 
-    def _matrices(self, sample: DataFrame, codings: list[P.Coding], target: P.Coding, mi: np.ndarray) -> greedy.Matrices:
+    def _matrices(self, sample: DataFrame, codings: list[P.Coding], target: P.Coding, mi: np.ndarray, rows: int) -> greedy.Matrices:
         picked, k = [c.name for c in codings], len(codings)
         pair, cmi = np.zeros((k, k)), np.zeros((k, k))
         if k > 1 and self.criterion != "cmim" or self.config.cmim_approx:
-            found = C.pair_cells(sample, picked, target.name, [c.n_codes for c in codings], target.n_codes).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                if self.criterion in ("mrmr", "mim"):
-                    both = found.groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n"))
-                    for r in mi_of_cells(both, ["i", "j"], "xi", "xj").collect():
-                        pair[r["i"], r["j"]] = pair[r["j"], r["i"]] = r["mi"]
-                else:
-                    for r in cmi_of_cells(C.both_ways(found), ["i", "j"], "xi", "y", ["xj"]).collect():
-                        cmi[r["i"], r["j"]] = r["cmi"]
-            finally:
-                found.unpersist()
+            sizes = [c.n_codes for c in codings]
+            for r in C.pair_informations(sample, picked, target.name, sizes, target.n_codes, rows).collect():
+                i, j = r["i"], r["j"]
+                pair[i, j] = pair[j, i] = r["mi"]
+                cmi[i, j], cmi[j, i] = r["gain_i"], r["gain_j"]
 
         def fixed(some: list[int]) -> np.ndarray:
             return self.fixed_gains(sample, picked, [picked[i] for i in some])

@@ -1,15 +1,15 @@
-"""Contingency cells of coded columns, always by one grouped count whose partial sums precede the shuffle."""
+"""Contingency cells of coded columns: by one grouped count whose partial sums precede the shuffle, or (pairs) in tiles."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.pair_tables import pair_cells, pair_informations
+
+__all__ = ["both_ways", "budget", "dense", "feature_cells", "given_cells", "pair_cells", "pair_informations"]
+
 
 def _q(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
@@ -24,51 +24,6 @@ def feature_cells(codes: DataFrame, features: list[str], target: str) -> DataFra
     return counts.select(names[F.col("i")].alias("feature"), "x", "y", "n")
 
 
-#: Cells of all pairs that a task may count in a dense table (8 bytes each).
-DENSE_CELLS = 8_000_000
-
-
-def pair_cells(codes: DataFrame, features: list[str], target: str, sizes: list[int] | None = None, target_size: int = 0) -> DataFrame:
-    """(i, j, xi, xj, y, n) of every pair i < j (places in ``features``) and the target, in one pass.
-
-    With ``sizes`` (codes of each feature) and ``target_size``, and if the tables of all pairs are small, each task counts
-    in dense tables over all its rows and gives out what is there once; else a row is made for each pair of each row.
-    """
-    if sizes and sum((n + 1) * (sum(sizes[:i]) + i) for i, n in enumerate(sizes)) * (target_size + 1) <= DENSE_CELLS:
-        return _dense_pairs(codes, features, target, sizes, target_size)
-    a = codes.select(F.col(_q(target)).alias("y"), F.array(*[F.col(_q(f)) for f in features]).alias("a"))
-    one = a.select("y", "a", F.posexplode("a").alias("i", "xi"))
-    two = one.select("y", "i", "xi", F.posexplode(F.slice("a", F.col("i") + 2, len(features))).alias("k", "xj"))
-    return two.groupBy("i", (F.col("i") + F.col("k") + 1).alias("j"), "xi", "xj", "y").agg(F.count("*").alias("n"))
-
-
-def _dense_pairs(codes: DataFrame, features: list[str], target: str, sizes: list[int], target_size: int) -> DataFrame:
-    wide = [n + 1 for n in (*sizes, target_size)]  # the last code stands for null
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables: dict[tuple[int, int], np.ndarray] = {}
-        for b in batches:
-            x = [pc.fill_null(c, n - 1).to_numpy(zero_copy_only=False).astype(np.int64) for c, n in zip(b.columns, wide, strict=True)]
-            for j in range(1, len(features)):
-                low = x[j] * wide[-1] + x[-1]
-                for i in range(j):
-                    found = np.bincount(x[i] * (wide[j] * wide[-1]) + low, minlength=wide[i] * wide[j] * wide[-1])
-                    if (i, j) in tables:
-                        tables[i, j] += found
-                    else:
-                        tables[i, j] = found
-        for (i, j), t in tables.items():
-            at = np.flatnonzero(t)
-            codes_of = np.unravel_index(at, (wide[i], wide[j], wide[-1]))
-            out = [pa.array(np.full(len(at), k, np.int32)) for k in (i, j)]
-            out += [pa.array(c.astype(np.int32), mask=c == n - 1) for c, n in zip(codes_of, (wide[i], wide[j], wide[-1]), strict=True)]
-            yield pa.record_batch([*out, pa.array(t[at])], ["i", "j", "xi", "xj", "y", "n"])
-
-    ints = codes.select(*[F.col(_q(c)).cast("int").alias(f"c{k}") for k, c in enumerate((*features, target))])
-    parts = ints.mapInArrow(counted, "i int, j int, xi int, xj int, y int, n long")
-    return parts.groupBy("i", "j", "xi", "xj", "y").agg(F.sum("n").alias("n"))
-
-
 def given_cells(codes: DataFrame, features: list[str], target: str, given: list[str]) -> DataFrame:
     """(feature, x, y, z0.., n) of every feature against the target and the columns ``given``, in one pass."""
     z = [F.col(_q(g)).alias(f"z{i}") for i, g in enumerate(given)]

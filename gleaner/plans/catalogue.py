@@ -184,6 +184,49 @@ def pair_marginal(spark, d):
     return pairs.select(_names("i").alias("fi"), _names("j").alias("fj"), "xi", "xj", "n")
 
 
+_WIDER = [*FEATURES, "l_suppkey", "l_partkey", "l_orderkey"]
+_REVENUE = "l_extendedprice * (1 - l_discount)"
+_WIDER_PAIRS = f"""base AS (SELECT row_number() OVER () AS rid, {", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in _WIDER)}, {_REVENUE} AS y FROM lineitem),
+long AS (SELECT rid, feature, v FROM base UNPIVOT (v FOR feature IN ({", ".join(_WIDER)}, y))),
+marks AS (SELECT feature, q, list_sort(list_distinct(list_concat([lo, hi], q))) AS m FROM (SELECT feature, min(v) AS lo, max(v) AS hi, quantile_cont(v, [{_LEVELS}]) AS q FROM long GROUP BY feature)),
+edges AS (SELECT feature, {_RULE.format(b=_BINS)} AS e FROM marks),
+codes AS (SELECT rid, feature, len(list_filter(e, lambda t: v >= t))::INT AS x FROM long JOIN edges USING (feature)),
+pairs AS (SELECT a.feature AS fi, b.feature AS fj, a.x AS xi, b.x AS xj, y.x AS y, count(*) AS n FROM codes a JOIN codes b USING (rid) JOIN codes y USING (rid)
+  WHERE y.feature = 'y' AND list_position({_WIDER}, a.feature) < list_position({_WIDER}, b.feature) GROUP BY ALL)"""
+
+
+def _wider(spark: SparkSession, d: str) -> tuple[DataFrame, list[int], int, int]:
+    """Codes of eight features and of a continuous target in ten bins, their numbers of codes, and the number of rows."""
+    df = table(spark, d, "lineitem").select(*_WIDER, F.expr(_REVENUE).alias("y"))
+    config = SelectorConfig(target="y", task="continuous", missing="drop")
+    features, target, n = P.codings(df, dict.fromkeys(_WIDER, "numeric"), config, config.task, exact=True)
+    return P.encoded(df, features, target, "drop"), [c.n_codes for c in features], target.n_codes, n
+
+
+def _wider_name(column: str) -> Column:
+    return F.array(*map(F.lit, _WIDER))[F.col(column)]
+
+
+@_query(f"WITH {_WIDER_PAIRS} SELECT fi, fj, xi, xj, y, n FROM pairs")
+def joint_cells_many(spark, d):
+    """Joint tables of more features and a binned target, in tiles."""
+    codes, sizes, target_size, n = _wider(spark, d)
+    cells = C.pair_cells(codes, _WIDER, "y", sizes, target_size, n)
+    return cells.select(_wider_name("i").alias("fi"), _wider_name("j").alias("fj"), "xi", "xj", "y", "n")
+
+
+@_query(
+    f"""WITH {_WIDER_PAIRS}, w AS (SELECT fi, fj, n::DOUBLE AS n, sum(n) OVER (PARTITION BY fi, fj) AS nt, sum(n) OVER (PARTITION BY fi, fj, xi) AS ni, sum(n) OVER (PARTITION BY fi, fj, xj) AS nj, sum(n) OVER (PARTITION BY fi, fj, xi, xj) AS nij,
+  sum(n) OVER (PARTITION BY fi, fj, xi, y) AS niy, sum(n) OVER (PARTITION BY fi, fj, xj, y) AS njy FROM pairs)
+SELECT fi, fj, round(sum(n / nt * ln(nij * nt / (ni * nj))), 9) AS mi, round(sum(n / nt * ln(n * nj / (nij * njy))), 9) AS gain_i, round(sum(n / nt * ln(n * ni / (nij * niy))), 9) AS gain_j FROM w GROUP BY fi, fj"""
+)
+def joint_informations_many(spark, d):
+    """Informations of the same pairs, from the tables in the tasks."""
+    codes, sizes, target_size, n = _wider(spark, d)
+    found = C.pair_informations(codes, _WIDER, "y", sizes, target_size, n)
+    return found.select(_wider_name("i").alias("fi"), _wider_name("j").alias("fj"), *[F.round(c, 9).alias(c) for c in ("mi", "gain_i", "gain_j")])
+
+
 @_query("SELECT count(DISTINCT m) + max(CASE WHEN m IS NULL THEN 1 ELSE 0 END) AS n FROM (SELECT nullif(o_orderstatus, 'F') AS m FROM orders)")
 def distinct_target(spark, d):
     df = table(spark, d, "orders").select(F.nullif(F.col("o_orderstatus"), F.lit("F")).alias("m"))

@@ -1,15 +1,18 @@
 import datetime
+import itertools
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql import types
 
 import gleaner
 from gleaner import InfoSelector, SelectorConfig, conditional_mi, mutual_information
 from gleaner.functions.measures import cmi_of_cells, mi_of_cells
 from gleaner.operators import cells as C
 from gleaner.operators import greedy
+from gleaner.operators import pair_tables as T
 from gleaner.operators import profile as P
 from gleaner.operators.screening import screen
 from gleaner.operators.significance import Verdict
@@ -99,7 +102,7 @@ def test_categories(spark):
     assert x.codes["0"] == 0 and len(x.codes) == 50 and x.other_code == 50 and x.missing_code == 51
     assert coded.filter("x = 50").count() == sum(61 - i for i in range(50, 60))
     when = datetime.datetime(2020, 1, 2, 3, 4, 5)
-    kinds = T.StructType([T.StructField("d", T.DateType()), T.StructField("t", T.TimestampType()), T.StructField("n", T.TimestampNTZType()), T.StructField("b", T.BooleanType()), T.StructField("y", T.LongType())])
+    kinds = types.StructType([types.StructField("d", types.DateType()), types.StructField("t", types.TimestampType()), types.StructField("n", types.TimestampNTZType()), types.StructField("b", types.BooleanType()), types.StructField("y", types.LongType())])
     df = spark.createDataFrame([(when.date(), when, when, True, 0), (None, None, None, None, 1)], kinds)
     assert [list(c.codes) for c in _coding(df)[0]] == [["2020-01-02"], ["2020-01-02 03:04:05"], ["2020-01-02 03:04:05"], ["true"]]
 
@@ -238,17 +241,64 @@ def test_benchmark_copies_go_round(spark):
     assert df.select(F.corr("r2", "x0"), F.corr("r3", "x1")).first() == pytest.approx((1, 1), abs=0.01)
 
 
-def test_dense_pairs_equal_rows_of_pairs(spark, monkeypatch):
+def _plain_cells(data, names):
+    """Counts by (i, j, xi, xj, y) of rows given as columns."""
+    found = Counter()
+    for i, j in itertools.combinations(range(len(names)), 2):
+        found.update(zip(itertools.repeat(i), itertools.repeat(j), data[names[i]], data[names[j]], data["y"]))
+    return sorted(((*k, n) for k, n in found.items()), key=repr)
+
+
+@pytest.mark.parametrize("cells", [None, 200, 60, 1])
+@pytest.mark.parametrize("shard", [1 << 22, 100])
+def test_tiled_pairs_equal_plain_counts(spark, monkeypatch, cells, shard):
+    monkeypatch.setattr(T, "SHARD_ROWS", shard)
+    monkeypatch.setattr(T, "BATCH", 64)
     rng = np.random.default_rng(5)
-    data = {k: [None if v == n - 1 and k != "c" else int(v) for v in rng.integers(0, n, 300)] for k, n in (("a", 4), ("b", 3), ("c", 5), ("y", 3))}
-    df = rows(spark, data).repartition(3)
-    sizes, order = [3, 2, 5], ["i", "j", "xi", "xj", "y", "n"]
-    took = lambda t: sorted(map(tuple, t.select(order).collect()), key=repr)
-    dense = took(C.pair_cells(df, ["a", "b", "c"], "y", sizes, 2))
-    assert dense == took(C.pair_cells(df, ["a", "b", "c"], "y")) and sum(r[-1] for r in dense) == 900
-    monkeypatch.setattr(C, "DENSE_CELLS", 10)
-    assert dense == took(C.pair_cells(df, ["a", "b", "c"], "y", sizes, 2))
-    assert C.pair_cells(df.limit(0), ["a", "b", "c"], "y", sizes, 2).count() == 0
+    data = {k: [None if v == n - 1 and k != "c" else int(v) for v in rng.integers(0, n, 300)] for k, n in (("a", 4), ("b", 3), ("c", 5), ("d", 300), ("y", 3))}
+    df, names = rows(spark, data).repartition(3), ["a", "b", "c", "d"]
+    took = lambda t: sorted(map(tuple, t.select("i", "j", "xi", "xj", "y", "n").collect()), key=repr)
+    want = _plain_cells(data, names)
+    assert took(C.pair_cells(df, names, "y", [3, 2, 5, 299], 2, block_cells=cells)) == want == took(C.pair_cells(df, names, "y", block_cells=cells))
+    assert C.pair_cells(df.limit(0), names, "y", [3, 2, 5, 299], 2).count() == 0 == C.pair_cells(df, ["a"], "y").count()
+    found = C.pair_informations(df, names, "y", [3, 2, 5, 299], 2, block_cells=cells).collect()
+    pairs = C.both_ways(C.pair_cells(df, names, "y")).cache()
+    cmi = {(r["i"], r["j"]): r["cmi"] for r in cmi_of_cells(pairs, ["i", "j"], "xi", "y", ["xj"]).collect()}
+    mi = {(r["i"], r["j"]): r["mi"] for r in mi_of_cells(pairs.groupBy("i", "j", "xi", "xj").agg(F.sum("n").alias("n")), ["i", "j"], "xi", "xj").collect()}
+    assert len(found) == 6
+    for r in found:
+        assert (r["mi"], r["gain_i"], r["gain_j"]) == pytest.approx((mi[r["i"], r["j"]], cmi[r["i"], r["j"]], cmi[r["j"], r["i"]]), abs=1e-12)
+
+
+@pytest.mark.parametrize(("k", "target_size", "tasks"), [(2, 2, 8), (5, 2, 8), (100, 11, 8), (200, 11, 64), (30, 3, 1)])
+def test_blocks_hold_every_pair_once_within_their_cells(k, target_size, tasks):
+    rng = np.random.default_rng(k)
+    sizes = rng.integers(2, 52, k).tolist()
+    tiles = T.Tiles(sizes, target_size, tasks, T.BLOCK_CELLS)
+    pairs = [p for a, b in tiles.blocks for p in tiles.pairs(a, b)]
+    assert sorted(pairs) == list(itertools.combinations(range(k), 2))
+    assert all(sum(tiles.cells(*p) for p in tiles.pairs(a, b)) <= T.BLOCK_CELLS for a, b in tiles.blocks)
+    assert len(tiles.blocks) >= min(tasks, k * (k - 1) // 2)
+
+
+@pytest.mark.parametrize("k", [100, 200])
+def test_many_candidates_with_a_binned_target(spark, k):
+    """More than 8 million cells; no row is repeated for a pair."""
+    n = 3000
+    df = spark.range(n).select(*[(F.xxhash64("id", F.lit(i)) % 11 + 11).cast("int").alias(f"f{i}") for i in range(k)], (F.col("id") % 11).cast("int").alias("y"))
+    df = df.select(*[(F.col(f"f{i}") % 11).alias(f"f{i}") for i in range(k)], "y").cache()
+    names = [f"f{i}" for i in range(k)]
+    assert sum(12 * 12 * 12 for _ in itertools.combinations(range(k), 2)) > 8_000_000
+    found = C.pair_informations(df, names, "y", [11] * k, 11, n)
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["i"], r["j"]): r for r in found.collect()}
+    assert len(got) == k * (k - 1) // 2
+    p = df.toPandas()
+    for i, j in [(0, 1), (3, k - 1), (k // 2, k // 2 + 1), (k - 2, k - 1)]:
+        table = np.histogramdd(p[[f"f{i}", "y", f"f{j}"]].to_numpy(), [np.arange(12)] * 3)[0]
+        assert got[i, j]["gain_i"] == pytest.approx(conditional_mi(table), abs=1e-12)
+        assert got[i, j]["gain_j"] == pytest.approx(conditional_mi(table.transpose(2, 1, 0)), abs=1e-12)
+        assert got[i, j]["mi"] == pytest.approx(mutual_information(table.sum(axis=1)), abs=1e-12)
 
 
 def test_exact_quantiles(spark):
@@ -295,6 +345,9 @@ def test_equal_columns_have_equal_informations(spark):
     df = rows(spark, data).repartition(7)
     cmi = {(r["i"], r["j"]): r["cmi"] for r in cmi_of_cells(C.both_ways(C.pair_cells(df, list("abcd"), "y")), ["i", "j"], "xi", "y", ["xj"]).collect()}
     assert cmi[0, 2] == cmi[2, 0] == cmi[1, 3] == 0 and cmi[0, 1] == cmi[0, 3] == cmi[2, 1] == cmi[2, 3]
+    for r in C.pair_informations(df, list("abcd"), "y").collect():
+        cmi[r["i"], r["j"]], cmi[r["j"], r["i"]] = r["gain_i"], r["gain_j"]
+    assert cmi[0, 2] == cmi[2, 0] == cmi[1, 3] == 0 and cmi[0, 1] == cmi[0, 3] == cmi[2, 1] == cmi[2, 3]
 
 
 def test_subsample(spark):
