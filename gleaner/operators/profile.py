@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.config import SelectorConfig
+from gleaner.operators.categories import top_values
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGERS = NUMBERS[:4]
@@ -191,10 +192,13 @@ def codings(df: DataFrame, kinds: dict[str, str], config: SelectorConfig, task:
     words = [n for n, k in kinds.items() if k == "categorical"] + ([config.target] if target_kind == "categorical" else [])
     values: dict[str, list[str]] = {n: [] for n in words}
     if words:
-        # the cut is pushed below the window: no column's values are all sorted
-        top = category_counts(df, words).filter((F.col("place") <= config.max_categories + 1) | (F.col("feature") == config.target))
-        for r in sorted(top.collect(), key=lambda r: r["place"]):
-            values[r["feature"]].append(r["value"])
+        texts = df.select(*[as_text(df, n).alias(n) for n in words])
+        # of the target, all values are classes; of a feature, only the most frequent are told apart
+        found = top_values(texts.select(*[_col(n) for n in words if n != config.target]), config.max_categories + 1)
+        values |= {n: [v for v, _ in some] for n, some in found.items()}
+        if config.target in words:
+            counts = texts.groupBy(_col(config.target).alias("value")).agg(F.count("*").alias("n")).filter("value is not null")
+            values[config.target] = [r["value"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["value"]))]
     keep_missing = config.missing == "category"
 
     def coding(name: str, kind: str) -> Coding:

@@ -5,6 +5,7 @@ The running example is ``lineitem``: five numbers in decile bins, and the target
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +20,7 @@ from gleaner.operators import cells as C
 from gleaner.operators import evaluate, greedy
 from gleaner.operators import profile as P
 from gleaner.operators import significance as S
+from gleaner.operators.categories import top_values
 from gleaner.operators.screening import screen
 from gleaner.sources.tables import benchmark_rows, planted, rows, table
 
@@ -284,6 +286,20 @@ def string_index(spark, d):
     return counts.select("value", "n", (F.col("place") - 1).alias("code"))
 
 
+_WIDE = ("text", "source", "lang", "doc_id", "passage")
+
+
+@_query(
+    f"""WITH d AS (SELECT text, source, lang, doc_id::VARCHAR AS doc_id, split_part(text, '.', 1) AS passage FROM documents), l AS (SELECT feature, v FROM d UNPIVOT (v FOR feature IN ({", ".join(_WIDE)}))),
+c AS (SELECT feature, v, count(*) AS n FROM l GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY feature ORDER BY n DESC, v) AS place FROM c) SELECT feature, place::INT AS place, md5(v) AS value, n FROM r WHERE place <= 51"""
+)
+def wide_categories(spark, d):
+    """The 51 first values of columns of which some have a value a row: whole texts, ids, first sentences."""
+    df = table(spark, d, "documents").select("text", "source", "lang", F.col("doc_id").cast("string").alias("doc_id"), F.substring_index("text", ".", 1).alias("passage"))
+    found = top_values(df, 51)
+    return spark.createDataFrame([(c, k + 1, hashlib.md5(v.encode()).hexdigest(), n) for c in _WIDE for k, (v, n) in enumerate(found[c])], "feature string, place int, value string, n long")
+
+
 @_query("SELECT greatest(4, least(20, round(log2(count(*)))))::INT AS bins FROM lineitem")
 def auto_bins(spark, d):
     return spark.createDataFrame([(P.bins_for(table(spark, d, "lineitem").count(), "auto"),)], "bins int")
