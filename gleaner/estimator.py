@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gleaner.config import SelectorConfig
 from gleaner.functions.measures import cmi_of_cells
 from gleaner.operators import cells as C
-from gleaner.operators import evaluate, greedy, knn
+from gleaner.operators import evaluate, greedy, neighbours
 from gleaner.operators import profile as P
 from gleaner.operators.screening import screen
 
@@ -138,8 +138,8 @@ class InfoSelector:
         clock.lap(STAGES[0])
         if not names:
             return SelectorModel([], [], [], self.criterion, n_rows, c.target, task, clock.found)
-        x, y = knn.sample_arrays(P.sampled(df, n_rows, c.ksg_subsample, c.seed), names, c.target, task == "continuous")
-        with knn.KnnInformations(x, y, c.ksg_k, df.sparkSession) as info:
+        sample = P.sampled(df, n_rows, c.ksg_subsample, c.seed)
+        with neighbours.KnnInformations(sample, names, c.target, task == "continuous", c.ksg_k) as info:
             mi = info.relevance()
             short = greedy.ranked(mi)[: c.screen_top_k]
             clock.lap(STAGES[1])

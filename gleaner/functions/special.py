@@ -47,3 +47,11 @@ def digamma_table(n: int) -> np.ndarray:
     """digamma(0..n); entry 0 is not a number."""
     steps = np.concatenate([[-_EULER], 1 / np.arange(1, max(n, 1))])
     return np.concatenate([[np.nan], np.cumsum(steps)])[: n + 1]
+
+
+def digamma(n: np.ndarray) -> np.ndarray:
+    """digamma of whole numbers from 1 on: sums below 64, the asymptotic series from there on."""
+    n = np.asarray(n)
+    x = np.maximum(n, 64).astype(float)
+    far = np.log(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6)
+    return np.where(n < 64, digamma_table(64)[np.minimum(n, 63)], far)

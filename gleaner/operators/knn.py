@@ -3,23 +3,18 @@
 I = mean(digamma(k) + ln n - digamma(n_a) - digamma(n_b)), at least 0: the radius of a point is the Euclidean distance
 to its k-th neighbour in the joint space, n_a and n_b count the points within it in each marginal, itself included.
 
-Neighbours are searched in strips: points are sorted by one coordinate, a block of points looks at a strip around it and
-widens it until the strip's border is farther than the k-th neighbour. That takes far fewer than n^2 distances and
-bounded memory. On a cluster each pair of variables is one task.
+Neighbours and counts come from k-d trees (``kdtree``), in memory that follows the points. Of tables, ``neighbours`` measures many
+pairs at once.
 """
 
 from __future__ import annotations
 
-import copy
-from collections.abc import Callable
+import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.functions.special import digamma_table
-
-_BLOCK, _STRIP = 128, 256
+from gleaner.functions.special import digamma
+from gleaner.operators.kdtree import Tree
 
 
 def _two(a) -> np.ndarray:
@@ -27,48 +22,29 @@ def _two(a) -> np.ndarray:
     return a[:, None] if a.ndim == 1 else a
 
 
-def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    return np.sqrt(sum((x[:, None, i] - y[None, :, i]) ** 2 for i in range(x.shape[1])))
-
-
 def kth_distance(points: np.ndarray, k: int) -> np.ndarray:
     """Distance of each point to its k-th neighbour, itself not counted."""
-    axis = int(points.var(axis=0).argmax())
-    order = np.argsort(points[:, axis], kind="stable")
-    p, n = points[order], len(points)
-    out = np.empty(n)
-    for i in range(0, n, _BLOCK):
-        block, wide = p[i : i + _BLOCK], _STRIP
-        while True:
-            lo, hi = max(0, i - wide), min(n, i + len(block) + wide)
-            d = _distances(block, p[lo:hi])
-            far = np.partition(d, min(k, d.shape[1] - 1), axis=1)[:, min(k, d.shape[1] - 1)]
-            left = np.inf if lo == 0 else block[:, axis] - p[lo, axis]
-            right = np.inf if hi == n else p[hi - 1, axis] - block[:, axis]
-            if (far <= np.minimum(left, right)).all():
-                break
-            wide *= 2
-        out[order[i : i + _BLOCK]] = far
-    return out
+    return Tree(points, max(32, 2 * (k + 2))).nearest(min(k + 1, len(points)))[:, -1]
 
 
 def within(points: np.ndarray, radius: np.ndarray) -> np.ndarray:
     """How many points, itself included, lie within each point's radius."""
-    if points.shape[1] == 1:
-        x = np.sort(points[:, 0])
-        v = points[:, 0]
-        # the same subtraction as in the distance decides at the border
-        lo, hi = np.searchsorted(x, v - radius, "left"), np.searchsorted(x, v + radius, "right")
-        return hi - lo
-    order = np.argsort(points[:, 0], kind="stable")
-    p, r = points[order], radius[order]
-    out = np.empty(len(p), np.int64)
-    for i in range(0, len(p), _BLOCK):
-        block, reach = p[i : i + _BLOCK], r[i : i + _BLOCK]
-        lo = np.searchsorted(p[:, 0], (block[:, 0] - reach).min(), "left")
-        hi = np.searchsorted(p[:, 0], (block[:, 0] + reach).max(), "right")
-        out[order[i : i + _BLOCK]] = (_distances(block, p[lo:hi]) <= reach[:, None]).sum(axis=1)
-    return np.maximum(out, 1)
+    if points.shape[1] > 1:
+        return Tree(points).count(radius)
+    v = points[:, 0]
+    x = np.sort(v)
+    lo, hi = np.searchsorted(x, v - radius, "left"), np.searchsorted(x, v + radius, "right")
+    # v - radius is rounded: the differences decide at the border
+    for at, step in ((lo, -1), (hi, 1)):
+        while True:
+            side = np.minimum(np.maximum(at - (step < 0), 0), len(x) - 1)
+            more = (np.abs(x[side] - v) <= radius) & ((at > 0) if step < 0 else (at < len(x)))
+            back = np.minimum(np.maximum(at - (step > 0), 0), len(x) - 1)
+            less = (np.abs(x[back] - v) > radius) & ~more
+            if not (more | less).any():
+                break
+            at += np.where(more, step, np.where(less, -step, 0))
+    return hi - lo
 
 
 def ksg_mi(a, b, k: int = 10) -> float:
@@ -77,8 +53,9 @@ def ksg_mi(a, b, k: int = 10) -> float:
     if n <= k + 1:
         return 0.0
     radius = kth_distance(np.hstack([a, b]), k)
-    psi = digamma_table(n)
-    return max(0.0, float(psi[k] + np.log(n) - (psi[np.maximum(within(a, radius), 1)] + psi[np.maximum(within(b, radius), 1)]).mean()))
+    # exactly rounded: the order of the points changes nothing
+    total = math.fsum(np.concatenate([digamma(within(a, radius)), digamma(within(b, radius))]).tolist())
+    return max(0.0, float(digamma(np.array([k]))[0]) + math.log(n) - total / n)
 
 
 def ksg_cmi(x, y, z, k: int = 10) -> float:
@@ -88,71 +65,3 @@ def ksg_cmi(x, y, z, k: int = 10) -> float:
         return ksg_mi(x, y, k)
     z = _two(z)
     return ksg_mi(np.hstack([_two(x), z]), y, k) - ksg_mi(z, y, k)
-
-
-class KnnInformations:
-    """Informations of a sample by nearest neighbours, each asked once.
-
-    With a session, candidates are dealt to tasks; the sample, of a bounded number of rows, is sent to the executors
-    once and taken back at the end of the ``with`` block.
-    """
-
-    def __init__(self, x: np.ndarray, y: np.ndarray, k: int, spark: SparkSession | None = None):
-        self.x, self.y, self.k, self.spark = np.asarray(x, float), np.asarray(y, float), k, spark
-        self.columns = list(range(self.x.shape[1]))
-        self._sent = spark.sparkContext.broadcast((self.x, self.y)) if spark is not None else None
-        self._kept: dict[tuple, np.ndarray] = {}
-
-    def __enter__(self) -> KnnInformations:
-        return self
-
-    def __exit__(self, *_) -> None:
-        if self._sent is not None:
-            self._sent.destroy()
-
-    def only(self, columns: list[int]) -> KnnInformations:
-        """The informations of some candidates, on the same sample."""
-        out = copy.copy(self)
-        out.columns, out._kept = [self.columns[i] for i in columns], {}
-        return out
-
-    def _each(self, name: tuple, measure: Callable[[np.ndarray, np.ndarray, int], float]) -> np.ndarray:
-        if name not in self._kept:
-            columns, data = self.columns, self._sent
-            if data is None:
-                x = self.x[:, columns]
-                self._kept[name] = np.array([measure(x, self.y, i) for i in range(len(columns))])
-            else:
-
-                def ask(parts):
-                    x, y = data.value
-                    x = x[:, columns]
-                    for p in parts:
-                        yield pd.DataFrame({"i": p.id, "v": [measure(x, y, int(i)) for i in p.id]})
-
-                got = self.spark.range(0, len(columns), 1, max(1, len(columns))).mapInPandas(ask, "i long, v double").collect()
-                self._kept[name] = np.array([r["v"] for r in sorted(got, key=lambda r: r["i"])])
-        return self._kept[name]
-
-    def relevance(self) -> np.ndarray:
-        k = self.k
-        return self._each(("y",), lambda x, y, i: ksg_mi(x[:, i], y, k))
-
-    def redundancy(self, s: int) -> np.ndarray:
-        k = self.k
-        return self._each(("s", s), lambda x, y, i: ksg_mi(x[:, i], x[:, s], k))
-
-    def gain(self, s: int) -> np.ndarray:
-        k = self.k
-        return self._each(("g", s), lambda x, y, i: ksg_cmi(x[:, i], y, x[:, s], k))
-
-    def gain_given(self, fixed: list[int]) -> np.ndarray:
-        k = self.k
-        return self._each(("f", *fixed), lambda x, y, i: ksg_cmi(x[:, i], y, x[:, [f for f in fixed if f != i]], k))
-
-
-def sample_arrays(df: DataFrame, features: list[str], target: str, numeric_target: bool) -> tuple[np.ndarray, np.ndarray]:
-    """A bounded sample's features and target; a class target becomes its place among the sorted classes. Rows with nulls go."""
-    p = df.select(*[f"`{f}`" for f in features], f"`{target}`").dropna().toPandas()
-    y = p[target].to_numpy(float) if numeric_target else np.unique(p[target].astype(str) if p[target].dtype == object else p[target], return_inverse=True)[1]
-    return p[features].to_numpy(float), np.asarray(y, float)

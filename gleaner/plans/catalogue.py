@@ -17,7 +17,7 @@ from gleaner.config import SelectorConfig
 from gleaner.functions.measures import cmi_of_cells, entropy_of_cells, mi_of_cells
 from gleaner.functions.metrics import auc_of_cells, auc_of_rows, r2_of_rows
 from gleaner.operators import cells as C
-from gleaner.operators import evaluate, greedy
+from gleaner.operators import evaluate, greedy, neighbours
 from gleaner.operators import profile as P
 from gleaner.operators import significance as S
 from gleaner.operators.categories import top_values
@@ -621,10 +621,51 @@ def benchmark_recovery(spark, d):
     return _fitted(spark, benchmark_rows(spark, 20_000, 25), max_features=20, screen_top_k=200)
 
 
-@_query()
+_AXES, _NEAR = [f"x{i}" for i in range(6)], 10
+
+
+def _ksg_sql(requests: dict[str, tuple[list[str], list[str]]]) -> str:
+    """Tables ``pts`` and ``ksg`` (name, v) of the informations of some columns of ``pts``: every distance is taken."""
+    far = lambda columns: "sqrt(" + " + ".join(f"(p.{c} - q.{c}) * (p.{c} - q.{c})" for c in columns) + ")"
+    each = [
+        f"""SELECT '{name}' AS name, rid, count(*) FILTER (da <= r) AS na, count(*) FILTER (db <= r) AS nb FROM (SELECT *, max(CASE WHEN rk = {_NEAR} + 1 THEN dj END) OVER (PARTITION BY rid) AS r
+  FROM (SELECT p.rid, {far(a)} AS da, {far(b)} AS db, {far([*a, *b])} AS dj, row_number() OVER (PARTITION BY p.rid ORDER BY {far([*a, *b])}) AS rk FROM pts p, pts q)) GROUP BY rid"""
+        for name, (a, b) in requests.items()
+    ]
+    return f"""pts AS (SELECT row_number() OVER () AS rid, {", ".join(f"embedding[{i + 1}]::DOUBLE AS x{i}" for i in range(len(_AXES)))}, embedding[1]::DOUBLE + 0.5::DOUBLE * embedding[2]::DOUBLE + 0.3::DOUBLE * embedding[7]::DOUBLE AS y FROM embeddings),
+psi AS (SELECT n, -0.57721566490153286061 + coalesce(sum(1.0::DOUBLE / (n - 1)) FILTER (n > 1) OVER (ORDER BY n), 0) AS psi FROM range(1, (SELECT count(*) + 1 FROM embeddings)) t(n)),
+counts AS ({" UNION ALL ".join(each)}),
+ksg AS (SELECT name, greatest(0, (SELECT psi FROM psi WHERE n = {_NEAR}) + ln(count(*)) - avg(a.psi + b.psi)) AS v FROM counts JOIN psi a ON na = a.n JOIN psi b ON nb = b.n GROUP BY name)"""
+
+
+def _axes(spark: SparkSession, d: str) -> DataFrame:
+    df = table(spark, d, "embeddings")
+    x = [F.col("embedding")[i].cast("double") for i in range(7)]
+    return df.select(*[c.alias(n) for c, n in zip(x, _AXES, strict=False)], (x[0] + 0.5 * x[1] + 0.3 * x[6]).alias("y"))
+
+
+_GAINS = {f"{x}+{z}": ([x, z], ["y"]) for x in _AXES for z in _AXES if x != z}
+
+
+@_query(f"WITH {_ksg_sql({x: ([x], ['y']) for x in _AXES} | {'x0+x1': (['x0', 'x1'], ['y']), 'x2, x3': (['x2'], ['x3'])})} SELECT name, round(v, 9) AS information FROM ksg")
+def ksg_informations(spark, d):
+    """By nearest neighbours: each axis and a sum of three, two axes and that sum, two axes of one another."""
+    df = _axes(spark, d).persist()
+    requests = {x: ((x,), ("y",)) for x in _AXES} | {"x0+x1": (("x0", "x1"), ("y",)), "x2, x3": (("x2",), ("x3",))}
+    found = neighbours.informations(df, df.count(), list(requests.values()), _NEAR)
+    df.unpersist()
+    return spark.createDataFrame([(n, round(v, 9)) for n, v in zip(requests, found, strict=True)], "name string, information double")
+
+
+@_query(
+    f"""WITH {_ksg_sql({x: ([x], ["y"]) for x in _AXES} | _GAINS)}, one AS (SELECT name, v FROM ksg WHERE name NOT LIKE '%+%' ORDER BY v DESC, name LIMIT 1),
+two AS (SELECT split_part(k.name, '+', 1) AS name, k.v - one.v AS v FROM ksg k, one WHERE split_part(k.name, '+', 2) = one.name ORDER BY v DESC, name LIMIT 1)
+SELECT 1 AS place, name AS feature, round(v, 9) AS score FROM one WHERE v >= 0.0001 UNION ALL SELECT 2, name, round(v, 9) FROM two WHERE v >= 0.0001 AND (SELECT v FROM one) >= 0.0001"""
+)
 def ksg_selection(spark, d):
-    features = [{"name": f"x{i}", "role": "informative", "levels": 0} for i in range(3)]
-    return _fitted(spark, rows(spark, planted(2000, 0, features, {"kind": "linear", "weights": {"x0": 1, "x1": 1}, "noise": 0.1})), estimator="ksg", max_features=2, screen_top_k=5)
+    """A whole search by nearest neighbours: the axis that tells most of a sum of three, and the one that adds most to it."""
+    found = _fitted(spark, _axes(spark, d), estimator="ksg", max_features=2, screen_top_k=6)
+    return found.withColumn("score", F.round("score", 9))
 
 
 @_query()
