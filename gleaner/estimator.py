@@ -138,7 +138,7 @@ class InfoSelector:
         clock.lap(STAGES[0])
         if not names:
             return SelectorModel([], [], [], self.criterion, n_rows, c.target, task, clock.found)
-        sample = P.sampled(df, n_rows, c.ksg_subsample, c.seed)
+        sample = P.sampled(df.select(*[P._col(n) for n in (*names, c.target)]), n_rows, c.ksg_subsample, c.seed)
         with neighbours.KnnInformations(sample, names, c.target, task == "continuous", c.ksg_k) as info:
             mi = info.relevance()
             short = greedy.ranked(mi)[: c.screen_top_k]

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from gleaner.config import SelectorConfig
 from gleaner.operators.categories import top_values
+from gleaner.operators.sampling import bottom_k, row_hash
 
 NUMBERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 INTEGERS = NUMBERS[:4]
@@ -244,5 +245,5 @@ def encoded(df: DataFrame, features: list[Coding], target: Coding, missing: str
 
 
 def sampled(df: DataFrame, n_rows: int, most: int, seed: int) -> DataFrame:
-    """``df``, or a seeded Bernoulli sample of about ``most`` rows if it has more."""
-    return df if n_rows <= most else df.sample(False, most / n_rows, seed)
+    """``df``, or if it has more than ``most`` rows, exactly ``most`` of them: the same ones however they are laid out."""
+    return df if n_rows <= most else bottom_k(df, row_hash(df, seed), most)

@@ -21,6 +21,7 @@ from gleaner.operators import evaluate, greedy, neighbours
 from gleaner.operators import profile as P
 from gleaner.operators import significance as S
 from gleaner.operators.categories import top_values
+from gleaner.operators.sampling import bottom_k
 from gleaner.operators.screening import screen
 from gleaner.sources.tables import benchmark_rows, planted, rows, table
 
@@ -305,6 +306,17 @@ def auto_bins(spark, d):
     return spark.createDataFrame([(P.bins_for(table(spark, d, "lineitem").count(), "auto"),)], "bins int")
 
 
+@_query(
+    """WITH h AS (SELECT l_orderkey, l_linenumber, l_quantity, ('0x' || substr(md5('42|' || l_orderkey || '|' || l_linenumber || '|' || l_quantity::BIGINT), 1, 15))::BIGINT AS k FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_quantity FROM h ORDER BY k, l_orderkey, l_linenumber, l_quantity LIMIT (SELECT count(*) // 7 FROM lineitem)"""
+)
+def subsample(spark, d):
+    """A seventh of the rows, exactly, by a keyed hash that SQL has too."""
+    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
+    key = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("42"), "l_orderkey", "l_linenumber", F.col("l_quantity").cast("long"))), 1, 15), 16, 10)
+    return bottom_k(df, key, df.count() // 7)
+
+
 _TASKS = (("lineitem", "l_linenumber"), ("lineitem", "l_returnflag"), ("lineitem", "l_quantity"), ("lineitem", "l_orderkey"), ("lineitem", "l_shipdate"), ("customer", "c_nationkey"), ("embeddings", "label"))
 
 

@@ -14,6 +14,7 @@ from gleaner.operators import cells as C
 from gleaner.operators import greedy
 from gleaner.operators import pair_tables as T
 from gleaner.operators import profile as P
+from gleaner.operators.sampling import bottom_k
 from gleaner.operators.screening import screen
 from gleaner.operators.significance import Verdict
 from gleaner.sources.tables import benchmark_rows, planted, read_json, read_points, rows, write_csv, write_json
@@ -351,10 +352,21 @@ def test_equal_columns_have_equal_informations(spark):
 
 
 def test_subsample(spark):
-    df = spark.range(5000)
+    df = spark.range(5000).withColumn("v", F.col("id") % 7)
     assert P.sampled(df, 5000, 5000, 1) is df
-    n = P.sampled(df, 5000, 1000, 1).count()
-    assert 850 < n < 1150 and n == P.sampled(df, 5000, 1000, 1).count()
+    took = lambda d, seed=1: sorted(map(tuple, P.sampled(d, 5000, 1000, seed).collect()))
+    assert len(took(df)) == 1000 and took(df) == took(df.repartition(7)) == took(df.repartitionByRange(3, F.desc("id"))) != took(df, 2)
+
+
+@pytest.mark.parametrize(("k", "key"), [(0, "a"), (7, "a"), (334, "-a"), (600, "xxhash64(a, b)"), (999, "5"), (2000, "a")])
+def test_bottom_k_equals_sorting(spark, k, key):
+    """A third of the rows are one row, nulls and repeated rows among the others."""
+    data = [(7, "same")] * 334 + [(i % 50, None if i % 3 else f"b{i % 20}") for i in range(666)]
+    df = spark.createDataFrame(data, "a int, b string")
+    keyed = df.select("a", "b", F.expr(key).cast("long").alias("k")).collect()
+    want = sorted(((r["a"], r["b"]) for r in sorted(keyed, key=lambda r: (r["k"], r["a"], r["b"] is not None, r["b"] or ""))[:k]), key=repr)
+    for some in (df.repartition(6), df.coalesce(1)):
+        assert sorted(map(tuple, bottom_k(some, F.expr(key), k).collect()), key=repr) == want
 
 
 def test_stream_of_cells(spark, tmp_path):
