@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from multiprocessing.pool import ThreadPool
 from typing import Any, Protocol
 
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -100,27 +102,74 @@ def _vectors(df: DataFrame, features: list[str], target: str, task: str) -> Data
     return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(out).select("features", "label")
 
 
+#: Trainings that run side by side.
+PARALLEL = 4
+
+
+class Trainings:
+    """Models of some features of a table each. The table is indexed and assembled once, and kept by the executors until the end of the ``with`` block.
+
+    Subsets are sliced from the vectors, in the order asked for. Up to ``parallel`` trainings run side by side, each in a thread of its own and in a
+    pool of its own where the session schedules fairly.
+    """
+
+    def __init__(self, df: DataFrame, features: list[str], target: str, model: Any = "gbt", task: str | None = None, parallel: int = PARALLEL):
+        self.task, self.parallel = _task(df, target, task), max(1, parallel)
+        self.factory = make_model_factory(model) if isinstance(model, str) else model
+        self.place = {f: i for i, f in enumerate(dict.fromkeys(features))}
+        self.vectors = _vectors(df, list(self.place), target, self.task).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def __enter__(self) -> Trainings:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.vectors.unpersist()
+
+    def worth(self, features: list[str]) -> float:
+        """AUC (macro for more classes) or R2 of a model on its training rows. Metrics are aggregates: no rows reach the driver."""
+        sliced = self.vectors
+        if (at := [self.place[f] for f in features]) != list(range(len(self.place))):
+            sliced = VectorSlicer(inputCol="features", outputCol="some", indices=at).transform(self.vectors).select(F.col("some").alias("features"), "label")
+        rows = self.factory.train(sliced, self.task, "label")
+        if self.task == "continuous":
+            return float(r2_of_rows(rows, F.col("label"), F.col("prediction")).first()[0])
+        rows = rows.select("label", vector_to_array("probability").alias("p")).cache()
+        try:
+            width = rows.select(F.max(F.size("p"))).first()[0] or 0
+            found = auc_of_rows(rows, F.col("label") == 1, F.col("p")[1]) if width == 2 else macro_auc_of_rows(rows, F.col("label"), F.col("p"))
+            value = found.first()[0]
+            return 0.5 if value is None else float(value)
+        finally:
+            rows.unpersist()
+
+    def all_of(self, subsets: list[list[str]]) -> list[float]:
+        """The worth of each subset; equal ones are trained once."""
+        kinds = list(dict.fromkeys(map(tuple, subsets)))
+        spark = self.vectors.sparkSession
+
+        def task(k: int) -> float:
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"training {k % self.parallel}")
+            return self.worth(list(kinds[k]))
+
+        with ThreadPool(min(self.parallel, max(1, len(kinds)))) as pool:
+            found = dict(zip(kinds, pool.map(inheritable_thread_target(spark)(task), range(len(kinds)), chunksize=1), strict=True))
+        return [found[tuple(s)] for s in subsets]
+
+
 def train_and_evaluate(df: DataFrame, feature_cols: list[str], target_col: str, model: Any = "gbt", task: str | None = None) -> float:
-    """AUC (macro for more classes) or R2 of a model on its training rows. Metrics are aggregates: no rows reach the driver."""
-    task = _task(df, target_col, task)
-    factory = make_model_factory(model) if isinstance(model, str) else model
-    rows = factory.train(_vectors(df, list(feature_cols), target_col, task), task, "label")
-    if task == "continuous":
-        return float(r2_of_rows(rows, F.col("label"), F.col("prediction")).first()[0])
-    rows = rows.select("label", vector_to_array("probability").alias("p")).cache()
-    try:
-        width = rows.select(F.max(F.size("p"))).first()[0] or 0
-        found = auc_of_rows(rows, F.col("label") == 1, F.col("p")[1]) if width == 2 else macro_auc_of_rows(rows, F.col("label"), F.col("p"))
-        value = found.first()[0]
-        return 0.5 if value is None else float(value)
-    finally:
-        rows.unpersist()
-
-
-def efficiency_curve(df: DataFrame, feature_order: list[str], target_col: str, model: Any = "gbt", task: str | None = None) -> list[tuple[int, float]]:
+    """AUC (macro for more classes) or R2 of a model on its training rows."""
+    with Trainings(df, list(feature_cols), target_col, model, task) as trainings:
+        return trainings.worth(list(feature_cols))
+
+
+def efficiency_curve(df: DataFrame, feature_order: list[str], target_col: str, model: Any = "gbt", task: str | None = None, parallel: int = PARALLEL) -> list[tuple[int, float]]:
     """(k, the metric of the first k features) for every prefix of ``feature_order``."""
-    task = _task(df, target_col, task)
-    return [(k, train_and_evaluate(df, list(feature_order[:k]), target_col, model, task)) for k in range(1, len(feature_order) + 1)]
+    order = list(feature_order)
+    if not order:
+        return []
+    with Trainings(df, order, target_col, model, task, parallel) as trainings:
+        found = trainings.all_of([order[:k] for k in range(1, len(order) + 1)])
+    return list(enumerate(found, 1))
 
 
 @dataclass
@@ -144,10 +193,10 @@ class EvaluationReport:
         }
 
 
-def report(df: DataFrame, selected_features: list[str], ranking: list[str], target_col: str, model: Any = "gbt", task: str | None = None, all_features: list[str] | None = None) -> EvaluationReport:
-    """Selected against all features (of the table, unless named), and the curve along the ranking."""
-    task = _task(df, target_col, task)
+def report(df: DataFrame, selected_features: list[str], ranking: list[str], target_col: str, model: Any = "gbt", task: str | None = None, all_features: list[str] | None = None, parallel: int = PARALLEL) -> EvaluationReport:
+    """Selected against all features (of the table, unless named), and the curve along the ranking: all from one assembled table."""
     every = [c for c in df.columns if c != target_col] if all_features is None else list(all_features)
-    factory = make_model_factory(model) if isinstance(model, str) else model
-    worth = lambda features: train_and_evaluate(df, list(features), target_col, factory, task)
-    return EvaluationReport(getattr(factory, "name", type(factory).__name__), task, worth(selected_features), worth(every), list(selected_features), efficiency_curve(df, ranking, target_col, factory, task))
+    chosen, order = list(selected_features), list(ranking)
+    with Trainings(df, [*every, *chosen, *order], target_col, model, task, parallel) as t:
+        selected, whole, *curve = t.all_of([chosen, every, *(order[:k] for k in range(1, len(order) + 1))])
+        return EvaluationReport(getattr(t.factory, "name", type(t.factory).__name__), t.task, selected, whole, chosen, list(enumerate(curve, 1)))
