@@ -23,7 +23,7 @@ from gleaner.operators import significance as S
 from gleaner.operators.categories import top_values
 from gleaner.operators.sampling import bottom_k
 from gleaner.operators.screening import screen
-from gleaner.sources.tables import benchmark_rows, planted, rows, table
+from gleaner.sources.tables import table
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 #: Least score of a feature in the searches.
@@ -352,15 +352,17 @@ def g_pvalue_two_degrees(spark, d):
     return spark.createDataFrame([(round(S.g_pvalue(n, mi, 2), 9),)], "p double")
 
 
-_P = ((0, 0.01), (1, 0.03), (2, 0.04), (3, 0.9), (4, 0.002), (5, 0.03), (6, 0.0004))
+_CHANCE = "pow((p_partkey * 7919 % 10007 + 1) / 10008.0{double}, 4)"
 
 
 @_query(
-    f"""WITH v(feature, p) AS (VALUES {", ".join(f"({i}, {p}::DOUBLE)" for i, p in _P)}), r AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS rk, count(*) OVER () AS m FROM v),
-k AS (SELECT *, max(CASE WHEN p <= rk * 0.05::DOUBLE / m THEN rk ELSE 0 END) OVER () AS last FROM r) SELECT feature, p, rk <= last AS significant FROM k"""
+    f"""WITH v AS (SELECT p_partkey AS feature, {_CHANCE.format(double="::DOUBLE")} AS p FROM part), r AS (SELECT *, row_number() OVER (ORDER BY p, feature) AS rk, count(*) OVER () AS m FROM v),
+k AS (SELECT *, max(CASE WHEN p <= rk * 0.05::DOUBLE / m THEN rk ELSE 0 END) OVER () AS last FROM r) SELECT feature, round(p, 9) AS p, rk <= last AS significant FROM k"""
 )
 def bh_mask(spark, d):
-    return S.with_discoveries(spark.createDataFrame(list(_P), "feature int, p double")).select("feature", "p", "significant")
+    """False discoveries among as many p-values as there are parts, spread by the parts' keys."""
+    chances = table(spark, d, "part").select(F.col("p_partkey").alias("feature"), F.expr(_CHANCE.format(double="D")).alias("p"))
+    return S.with_discoveries(chances).select("feature", F.round("p", 9).alias("p"), "significant")
 
 
 @_query(f"WITH {_CELLS}, o AS (SELECT max(n) AS observed FROM cells) SELECT round((1 + sum(CASE WHEN n >= (SELECT observed FROM o) / 2 THEN 1 ELSE 0 END)) / (1 + count(*))::DOUBLE, 9) AS p FROM cells")
@@ -618,19 +620,33 @@ def fit_lineitem(spark, d):
     return _fitted(spark, table(spark, d, "lineitem").drop("l_orderkey").withColumn("y", F.expr(_TARGET)), max_features=5, screen_top_k=10)
 
 
-def _example(spark):
-    features = [{"name": "x0", "role": "informative"}, {"name": "x1", "role": "informative"}, {"name": "x2", "role": "independent"}, {"name": "x3", "role": "redundant", "of": "x0"}]
-    return rows(spark, planted(4000, 0, features, {"kind": "and", "of": ["x0", "x1"], "noise": 0.1}), as_strings=True)
+_PLANTED = {"x0": "l_partkey % 2", "x1": "l_suppkey % 2", "x2": "l_linenumber % 2", "x3": "l_partkey % 2"}
+#: x0 and x1, turned over in a tenth of the rows.
+_BOTH = "CASE WHEN (l_orderkey * 7 + l_linenumber) % 10 = 0 THEN 1 - (l_partkey % 2) * (l_suppkey % 2) ELSE (l_partkey % 2) * (l_suppkey % 2) END"
 
 
-@_query()
+@_query(
+    f"""WITH base AS (SELECT row_number() OVER () AS rid, {_BOTH} AS y, {", ".join(f"{e} AS {n}" for n, e in _PLANTED.items())} FROM lineitem),
+long AS (SELECT rid, y, feature, x FROM base UNPIVOT (x FOR feature IN ({", ".join(_PLANTED)}))), cells AS (SELECT feature, x, y, count(*)::DOUBLE AS n FROM long GROUP BY ALL),
+one AS (SELECT feature, sum(n / nt * ln(n * nt / (nx * ny))) AS v FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS nt, sum(n) OVER (PARTITION BY feature, x) AS nx, sum(n) OVER (PARTITION BY feature, y) AS ny FROM cells) GROUP BY feature ORDER BY round(v, 12) DESC, feature LIMIT 1),
+three AS (SELECT a.feature, a.x, a.y, z.x AS z, count(*)::DOUBLE AS n FROM long a JOIN long z USING (rid) WHERE z.feature = (SELECT feature FROM one) AND a.feature <> z.feature GROUP BY ALL),
+two AS (SELECT feature, sum(n / nt * ln(n * nz / (nx * ny))) AS v FROM (SELECT *, sum(n) OVER (PARTITION BY feature) AS nt, sum(n) OVER (PARTITION BY feature, z) AS nz, sum(n) OVER (PARTITION BY feature, x, z) AS nx, sum(n) OVER (PARTITION BY feature, y, z) AS ny FROM three) GROUP BY feature ORDER BY round(v, 12) DESC, feature LIMIT 1)
+SELECT 1 AS place, feature, round(v, 9) AS score FROM one UNION ALL SELECT 2, feature, round(v, 9) FROM two"""
+)
 def planted_recovery(spark, d):
-    return _fitted(spark, _example(spark))
+    """Two parts of a conjunction among a copy and an independent feature, planted in the lines."""
+    df = table(spark, d, "lineitem").select(*[F.expr(e).alias(n) for n, e in _PLANTED.items()], F.expr(_BOTH).alias("y"))
+    return _fitted(spark, df, max_features=2, screen_top_k=4).withColumn("score", F.round("score", 9))
 
 
 @_query()
 def benchmark_recovery(spark, d):
-    return _fitted(spark, benchmark_rows(spark, 20_000, 25), max_features=20, screen_top_k=200)
+    """Five informative axes of the embeddings, copies of two of them, and twenty others; the target is the five's sum with noise."""
+    axis = lambda i: F.col("embedding")[i].cast("double")
+    good, others = [axis(i).alias(f"x{i}") for i in range(5)], [axis(i).alias(f"n{i}") for i in range(5, 25)]
+    copies = [(axis(i) + 0.01 * axis(30 + i)).alias(f"r{i}") for i in range(2)]
+    y = (sum(axis(i) for i in range(5)) + 0.5 * axis(40) > 0).cast("long").alias("y")
+    return _fitted(spark, table(spark, d, "embeddings").select(*good, *copies, *others, y), max_features=20, screen_top_k=200)
 
 
 _AXES, _NEAR = [f"x{i}" for i in range(6)], 10

@@ -192,17 +192,23 @@ def test_evaluation(spark, conjunction):
 
 def test_sliced_trainings_equal_trainings_of_their_own(spark, monkeypatch):
     """Numbers, texts and a date; the table is assembled once, models are the same."""
+    from pyspark.ml.classification import GBTClassifier
+
     from gleaner.operators import evaluate as E
 
+    class Small:
+        def train(self, df, task, label):
+            return GBTClassifier(labelCol=label, maxBins=64, maxIter=2, seed=42).fit(df).transform(df)
+
     rng = np.random.default_rng(4)
     data = [(float(a), "uvw"[int(b)], datetime.date(2020, 1, 1 + int(c)), float(d), int(a + b + 0.3 * d > 1)) for a, b, c, d in zip(rng.standard_normal(600), rng.integers(0, 3, 600), rng.integers(0, 5, 600), rng.standard_normal(600))]
     df = spark.createDataFrame(data, "a double, b string, c date, d double, y int").repartition(3).cache()
     assembled = []
     real = E._vectors
     monkeypatch.setattr(E, "_vectors", lambda df, features, *rest: assembled.append(list(features)) or real(df, features, *rest))
-    found = gleaner.report(df, ["b", "a"], ["a", "b", "d"], "y", parallel=3)
+    found = gleaner.report(df, ["b", "a"], ["a", "b", "d"], "y", Small(), parallel=3)
     assert assembled == [["a", "b", "c", "d"]]
-    alone = [gleaner.train_and_evaluate(df, some, "y") for some in (["b", "a"], ["a", "b", "c", "d"], ["a"], ["a", "b"], ["a", "b", "d"])]
+    alone = [gleaner.train_and_evaluate(df, some, "y", Small()) for some in (["b", "a"], ["a", "b", "c", "d"], ["a"], ["a", "b"], ["a", "b", "d"])]
     assert [found.metric_selected, found.metric_all, *(v for _, v in found.efficiency_curve)] == pytest.approx(alone, abs=1e-12)
     assert [k for k, _ in found.efficiency_curve] == [1, 2, 3] and alone[4] > alone[2]
     assert gleaner.efficiency_curve(df, [], "y") == []
