@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,18 +46,20 @@ def screen(codes: DataFrame, features: list[P.Coding], target: P.Coding, config:
         return Screening([], np.zeros(0), np.zeros(0), np.zeros(0, bool), [], n_rows)
     cells = C.feature_cells(codes, names, target.name).cache()
     try:
-        found = {r["feature"]: r["mi"] for r in mi_of_cells(cells, ["feature"]).collect()}
-        mi = np.array([found.get(n, 0.0) for n in names])
-        if config.freedom == "table":
-            freedom = np.array([(f.n_codes - 1) * (target.n_codes - 1) for f in features])
-        else:
-            there = {r["feature"]: (r["x"] - 1) * (r["y"] - 1) for r in cells.groupBy("feature").agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).collect()}
-            freedom = np.array([there.get(n, 0) for n in names])
+        return screen_cells(cells, features, target, config, n_rows, lambda some, rows: C.feature_cells(P.sampled(codes, n_rows, rows, config.seed), some, target.name))
     finally:
         cells.unpersist()
 
-    def of_sample(some: list[str], rows: int) -> DataFrame:
-        return C.feature_cells(P.sampled(codes, n_rows, rows, config.seed), some, target.name)
 
+def screen_cells(cells: DataFrame, features: list[P.Coding], target: P.Coding, config: SelectorConfig, n_rows: int, of_sample: Callable[[list[str], int], DataFrame]) -> Screening:
+    """Screens features by their cells (feature, x, y, n); ``of_sample`` gives the cells of some of them over about so many rows."""
+    names = [f.name for f in features]
+    found = {r["feature"]: r["mi"] for r in mi_of_cells(cells, ["feature"]).collect()}
+    mi = np.array([found.get(n, 0.0) for n in names])
+    if config.freedom == "table":
+        freedom = np.array([(f.n_codes - 1) * (target.n_codes - 1) for f in features])
+    else:
+        there = {r["feature"]: (r["x"] - 1) * (r["y"] - 1) for r in cells.groupBy("feature").agg(F.count_distinct("x").alias("x"), F.count_distinct("y").alias("y")).collect()}
+        freedom = np.array([there.get(n, 0) for n in names])
     verdict = S.make_significance_test(config).test(S.Screened(mi, n_rows, freedom, names, of_sample))
     return Screening(names, mi, verdict.p, verdict.significant, greedy.shortlist(mi, verdict.significant, config.screen_top_k), n_rows)

@@ -6,6 +6,8 @@ The running example is ``lineitem``: five numbers in decile bins, and the target
 from __future__ import annotations
 
 import hashlib
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -24,6 +26,7 @@ from gleaner.operators.categories import top_values
 from gleaner.operators.sampling import bottom_k
 from gleaner.operators.screening import screen
 from gleaner.sources.tables import table
+from gleaner.streaming.counts import StoredCounts
 
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
 #: Least score of a feature in the searches.
@@ -546,6 +549,21 @@ def fit_jmim(spark, d):
     return _fitted_example(spark, d, "jmim")
 
 
+@_query(ORACLE["greedy_jmim"])
+def fit_stream(spark, d):
+    """The same search from counts that a stream of the lines has stored."""
+    df = _lines(spark, d)
+    config = {"max_features": 3, "screen_top_k": 5, "missing": "drop", "significance": None, "min_score": _LEAST}
+    features, target, _ = _plan(df)
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gleaner-")
+    folder = f"{base.rstrip('/')}/counts-{uuid.uuid4().hex}"
+    counts = StoredCounts(spark, f"{folder}/cells", features, target, **config)
+    lines = spark.readStream.schema(table(spark, d, "lineitem").schema).parquet(f"{d}/lineitem*.parquet")
+    counts.start(lines.select(*FEATURES, F.expr(_TARGET).alias("y")), f"{folder}/progress", availableNow=True).awaitTermination()
+    m = counts.model()
+    return spark.createDataFrame([(k + 1, f, round(s, 9)) for k, (f, s) in enumerate(zip(m.selected_features, m.scores_, strict=True))], "round int, feature string, score double")
+
+
 @_query(_search_sql("mrmr"))
 def fit_mrmr(spark, d):
     return _fitted_example(spark, d, "mrmr")

@@ -18,7 +18,6 @@ from gleaner.operators.sampling import bottom_k
 from gleaner.operators.screening import screen
 from gleaner.operators.significance import Verdict
 from gleaner.sources.tables import benchmark_rows, planted, read_json, read_points, rows, write_csv, write_json
-from gleaner.streaming.counts import start_cells
 
 AND = [{"name": "x0", "role": "informative"}, {"name": "x1", "role": "informative"}, {"name": "x2", "role": "independent"}, {"name": "x3", "role": "redundant", "of": "x0"}]
 
@@ -393,16 +392,6 @@ def test_bottom_k_equals_sorting(spark, k, key):
         assert sorted(map(tuple, bottom_k(some, F.expr(key), k).collect()), key=repr) == want
 
 
-def test_stream_of_cells(spark, tmp_path):
-    data = spark.range(100).select((F.col("id") % 3).cast("int").alias("a"), (F.col("id") % 2).cast("int").alias("y"))
-    data.write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(data.schema).parquet(str(tmp_path / "in"))
-    q = start_cells(stream, ["a"], "y", "running_cells", str(tmp_path / "cp"))
-    q.processAllAvailable()
-    q.stop()
-    assert spark.table("running_cells").agg(F.sum("n")).first()[0] == 100
-
-
 def test_efficiency_prefix_uses_every_line(spark, monkeypatch):
     from gleaner.plans import catalogue
 
