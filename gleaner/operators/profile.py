@@ -182,15 +182,22 @@ def category_counts(df: DataFrame, names: list[str]) -> DataFrame:
     return counts.withColumn("place", F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), "value")))
 
 
+def bins_of(kinds: dict[str, str], config: SelectorConfig, task: str, n_rows: int) -> dict[str, int]:
+    """Bins of each numeric column, the target's among them if it is continuous. ``n_rows`` counts where bins are "auto"."""
+    bins = {n: bins_for(n_rows, config.bins) for n, k in kinds.items() if k == "numeric"}
+    return bins | ({config.target: config.bins_target} if task == "continuous" else {})
+
+
+def words_of(kinds: dict[str, str], config: SelectorConfig, task: str) -> list[str]:
+    """The categorical columns, the target last if it is a class."""
+    return [n for n, k in kinds.items() if k == "categorical"] + ([] if task == "continuous" else [config.target])
+
+
 def codings(df: DataFrame, kinds: dict[str, str], config: SelectorConfig, task: str, exact: bool = False) -> tuple[list[Coding], Coding, int]:
     """Codings of the features and the target, and the number of rows."""
-    target_kind = "numeric" if task == "continuous" else "categorical"
-    b = bins_for(df.count() if config.bins == "auto" else 0, config.bins)
-    bins = {n: b for n, k in kinds.items() if k == "numeric"}
-    if target_kind == "numeric":
-        bins[config.target] = config.bins_target
+    bins = bins_of(kinds, config, task, df.count() if config.bins == "auto" else 0)
     stats, n_rows = number_stats(df, bins, exact or config.exact_quantiles)
-    words = [n for n, k in kinds.items() if k == "categorical"] + ([config.target] if target_kind == "categorical" else [])
+    words = words_of(kinds, config, task)
     values: dict[str, list[str]] = {n: [] for n in words}
     if words:
         texts = df.select(*[as_text(df, n).alias(n) for n in words])
@@ -200,6 +207,11 @@ def codings(df: DataFrame, kinds: dict[str, str], config: SelectorConfig, task:
         if config.target in words:
             counts = texts.groupBy(_col(config.target).alias("value")).agg(F.count("*").alias("n")).filter("value is not null")
             values[config.target] = [r["value"] for r in sorted(counts.collect(), key=lambda r: (-r["n"], r["value"]))]
+    return *codings_of(stats, values, bins, kinds, config, task), n_rows
+
+
+def codings_of(stats: dict[str, tuple], values: dict[str, list[str]], bins: dict[str, int], kinds: dict[str, str], config: SelectorConfig, task: str) -> tuple[list[Coding], Coding]:
+    """Codings by (least, largest, inner quantiles) of numbers and by the first values of categories (of the target, all)."""
     keep_missing = config.missing == "category"
 
     def coding(name: str, kind: str) -> Coding:
@@ -219,7 +231,7 @@ def codings(df: DataFrame, kinds: dict[str, str], config: SelectorConfig, task:
         c.n_codes = max(c.n_codes, 1)
         return c
 
-    return [coding(n, k) for n, k in kinds.items()], coding(config.target, target_kind), n_rows
+    return [coding(n, k) for n, k in kinds.items()], coding(config.target, "numeric" if task == "continuous" else "categorical")
 
 
 def code_of(df: DataFrame, c: Coding) -> Column:
