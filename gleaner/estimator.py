@@ -32,6 +32,8 @@ class SelectorModel:
     target: str
     task: str
     timings_: dict[str, float] = field(default_factory=dict)
+    #: How the selected columns were coded (not of nearest neighbours, which take numbers as they are).
+    codings_: dict[str, P.Coding] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if len(self.selected_features) != len(self.scores_):
@@ -92,7 +94,8 @@ class InfoSelector:
             clock.lap(STAGES[2])
             chosen = self._search(info)
             clock.lap(STAGES[3])
-            return SelectorModel([picked[i].name for i in chosen.places], chosen.scores, screening.ranking(), self.criterion, n_rows, c.target, task, clock.found)
+            coded = {picked[i].name: picked[i] for i in chosen.places}
+            return SelectorModel(list(coded), chosen.scores, screening.ranking(), self.criterion, n_rows, c.target, task, clock.found, coded)
         finally:
             codes.unpersist()
 
