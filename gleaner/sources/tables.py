@@ -25,7 +25,7 @@ def rows(spark: SparkSession, data: dict[str, list], target: str = "y", as_strin
 ROLES, TARGETS = ("informative", "independent", "redundant", "correlated"), ("and", "linear", "flip")
 
 
-def _checked(n: int, features: list[dict[str, Any]], target: dict[str, Any]) -> list[str]:
+def checked(n: int, features: list[dict[str, Any]], target: dict[str, Any]) -> list[str]:
     """Refuses structures that can't be planted; gives the names of the informative features."""
     names = [f["name"] for f in features]
     kind, good = target["kind"], [f for f in features if f["role"] == "informative"]
@@ -61,7 +61,7 @@ def planted(n: int, seed: int, features: list[dict[str, Any]], target: dict[str,
     informative features, by ``weights`` if given, plus normal noise of the width ``noise``; with ``thresholds``, how many
     of them it exceeds); flip (0 or 1 at random).
     """
-    good = _checked(n, features, target)
+    good = checked(n, features, target)
     rng = np.random.default_rng(seed)
     noise = target.get("noise", 0)
     y = rng.integers(0, 2, n) if target["kind"] == "flip" else None
