@@ -15,7 +15,8 @@
 
 Only DataFrame functions are used. Edge cases: a null text stays null; empty lines are lines like others; the first
 occurrence (least id, nulls first, then a digest of the text, then place) stays, also within one text. Ids may repeat:
-rows are told apart by id and digest; rows equal in both are one document whose copies are treated alike.
+rows are told apart by id and digest; rows equal in both are one document whose copies are treated alike. Further columns are kept; ``removed_lines``
+and ``removed_chunks`` of the input are replaced by the new ones.
 """
 
 from __future__ import annotations

@@ -12,7 +12,8 @@ for each of its positions (a match begins where its run begins, or where the las
 just what the plain forms in ``PLAIN`` match; tests compare the two.
 
 Edge cases: a null or empty text has no spans; a null id is returned as null; other columns are ignored; rows with
-the same id or text are reported each on its own.
+the same id or text are reported each on its own. ``with_pii`` and ``redacted`` keep further columns; the former replaces one
+that is named like its result.
 """
 
 from __future__ import annotations

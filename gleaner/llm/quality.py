@@ -11,6 +11,7 @@
 Edge cases: a null text counts as empty, and empty texts get a score like any other; labels other than 0 and 1, null
 labels and labels of unknown rows teach nothing; a row with several labels teaches each; without labels of both
 kinds the score is the share of label 1 (0.5 without any). A null id is scored, and never learnt from.
+``with_score`` keeps further columns, and replaces one that is named like its result; ``classify`` ignores them.
 """
 
 from __future__ import annotations
