@@ -182,16 +182,72 @@ class Lexicon:
         return codes[kinds.indices.to_numpy()] if len(words) else codes
 
 
-def exponentials(logits: Callable[[], np.ndarray], ones: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
-    """Exponentials of logits and their sums by row; where those would overflow or vanish, less each row's largest, which comes third."""
-    f = logits()
-    total = np.exp(f, out=f) @ ones
-    if total.min() > 1 / FAR and total.max() < FAR:
-        return f, total, None
-    f = logits()
-    most = f.max(axis=1)
-    f -= most[:, None]
-    return np.exp(f, out=f), f @ ones, most
+class Softmaxes:
+    """Rows of outputs, each over the stretch of ``edge`` that it is in; rows come by stretch, ``at`` says where each begins."""
+
+    def __init__(self, x: np.ndarray, w: np.ndarray, at: list[int], edge: np.ndarray, out: np.ndarray):
+        """Logits are x @ w.T, the last column of both being ones and biases; out: the output that came, of all outputs."""
+        n, width = np.diff(at), np.diff(edge)
+        self.x, self.w = x, w
+        self.edge, self.at = edge.tolist(), at
+        self.begin = np.concatenate([[0], np.cumsum(np.repeat(width, n))])
+        self.own = self.begin[:-1] + out - np.repeat(edge[:-1], n)
+        self.space = np.empty(0, np.float32)
+
+    def parts(self, cells: int, rows: bool = True) -> Iterator[list[tuple[int, int, int, int]]]:
+        """Blocks (rows, and where their outputs lie) that follow one another, so many cells at a time, or one block. Small ones
+        share the calls that need no table. ``rows``: a stretch's rows may be cut into several blocks."""
+        some: list[tuple[int, int, int, int]] = []
+        n = 0
+        for c in np.flatnonzero(np.diff(self.at)).tolist():
+            lo, hi, last = self.edge[c], self.edge[c + 1], self.at[c + 1]
+            step = max(1, cells // (hi - lo)) if rows else last
+            for i in range(self.at[c], last, step):
+                j = min(i + step, last)
+                if some and n + (j - i) * (hi - lo) > cells:
+                    yield some
+                    some, n = [], 0
+                some.append((i, j, lo, hi))
+                n += (j - i) * (hi - lo)
+        if some:
+            yield some
+
+    def exponentials(self, blocks: list[tuple[int, int, int, int]]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """A table of each block, the sums by row, the logits of what came, and where these lie in ``space``.
+
+        Where exponentials would overflow or vanish, all is less each row's largest logit.
+        """
+        i, j = blocks[0][0], blocks[-1][1]
+        start = int(self.begin[i])
+        size = int(self.begin[j]) - start
+        if len(self.space) < size:
+            self.space = np.empty(size, np.float32)
+        flat, begin, own, tables = self.space[:size], self.begin[i:j] - start, self.own[i:j] - start, []
+        n = 0
+        for a, b, lo, hi in blocks:
+            tables.append(flat[n : n + (b - a) * (hi - lo)].reshape(b - a, hi - lo))
+            n += tables[-1].size
+
+        def fill() -> None:
+            for (a, b, lo, hi), f in zip(blocks, tables, strict=True):
+                np.dot(self.x[a:b], self.w[lo:hi].T, out=f)
+
+        fill()
+        picked = flat[own]
+        total = np.add.reduceat(np.exp(flat, out=flat), begin)
+        if not (total.min() > 1 / FAR and total.max() < FAR):
+            fill()
+            most = np.maximum.reduceat(flat, begin)
+            flat -= np.repeat(most, np.diff(self.begin[i : j + 1]))
+            picked -= most
+            total = np.add.reduceat(np.exp(flat, out=flat), begin)
+        return tables, total, picked, own
+
+    def slopes(self, blocks: list[tuple[int, int, int, int]], scale: np.float32) -> tuple[list[np.ndarray], np.ndarray]:
+        """The logits' slopes but for a row's share, which comes last, so that it meets STATE numbers and not all outputs."""
+        tables, total, _, own = self.exponentials(blocks)
+        self.space[own] -= total
+        return tables, (scale / total)[:, None]
 
 
 def _and_one(x: np.ndarray) -> np.ndarray:
@@ -228,34 +284,25 @@ class Model:
         new += n
         return new, z, r, n, gn
 
-    @np.errstate(over="ignore")  # see exponentials
+    @np.errstate(over="ignore")  # see Softmaxes.exponentials
     def log_probs(self, states: np.ndarray, out_class: np.ndarray, word: np.ndarray) -> np.ndarray:
         """Natural log of P(class) P(word | class) for each row (word -1: P(class) only); P(class) = P(group) P(class | group)."""
         lex = self.l
         order, of_group, of_class = self.by_class(out_class)
-        x, cls = states[order], out_class[order]
+        x, cls = _and_one(states[order]), out_class[order]
         chances = np.zeros(len(x))
 
-        def add(w: np.ndarray, bias: np.ndarray, at: list[int], edge: np.ndarray, out: np.ndarray) -> None:
-            n = at[-1]
-            ones, picked, sums = np.ones(len(w), np.float32), np.empty(n), np.empty(n)
-            for i, j, lo, hi in _blocks(at, edge, CELLS):
-
-                def logits() -> np.ndarray:
-                    f = x[i:j] @ w[lo:hi].T  # noqa: B023
-                    f += bias[lo:hi]  # noqa: B023
-                    picked[i:j] = f.reshape(-1)[np.arange(-lo, f.size - lo, hi - lo) + out[i:j]]  # noqa: B023
-                    return f
-
-                _, total, most = exponentials(logits, ones[: hi - lo])
-                sums[i:j] = np.log(total) if most is None else np.log(total) + most
-            chances[:n] += picked - sums
+        def add(w: np.ndarray, at: list[int], edge: np.ndarray, out: np.ndarray) -> None:
+            rows = Softmaxes(x, w, at, edge, out)
+            for blocks in rows.parts(CELLS):
+                _, total, picked, _ = rows.exponentials(blocks)
+                chances[blocks[0][0] : blocks[-1][1]] += picked - np.log(total)
 
         if lex.groups > 1:
-            add(self.p["g"], self.p["gb"], [0, len(x)], np.array([0, lex.groups]), lex.group[cls])
-        add(np.ascontiguousarray(self.p["c"].T), self.p["cb"], of_group, lex.group_edge, cls)
+            add(np.column_stack([self.p["g"], self.p["gb"]]), [0, len(x)], np.array([0, lex.groups]), lex.group[cls])
+        add(np.column_stack([self.p["c"].T, self.p["cb"]]), of_group, lex.group_edge, cls)
         if lex.size:
-            add(self.p["w"], self.p["wb"], of_class, lex.edge, word[order[: of_class[-1]]])
+            add(np.column_stack([self.p["w"], self.p["wb"]]), of_class, lex.edge, word[order[: of_class[-1]]])
         total = np.empty(len(x))
         total[order] = chances
         return total
@@ -267,15 +314,6 @@ class Model:
         return order, np.searchsorted(cls, self.l.group_edge).tolist(), np.searchsorted(cls, np.arange(self.l.classes + 1)).tolist()
 
 
-def _blocks(at: list[int], edge: np.ndarray, cells: int) -> Iterator[tuple[int, int, int, int]]:
-    """Of stretches that have rows: some of the rows (so many cells, or one row), and where their outputs lie."""
-    edges = edge.tolist()
-    for c in np.flatnonzero(np.diff(at)).tolist():
-        some = max(1, cells // (edges[c + 1] - edges[c]))
-        for i in range(at[c], at[c + 1], some):
-            yield i, min(i + some, at[c + 1]), edges[c], edges[c + 1]
-
-
 def _sums(x: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The different keys, and the sum of the rows of each."""
     order = np.argsort(key, kind="stable")
@@ -381,7 +419,7 @@ def _targets(lex: Lexicon, code: np.ndarray, shp: np.ndarray) -> tuple[np.ndarra
     return inside, out_class, np.where(inside, code, lex.size + shp)
 
 
-@np.errstate(over="ignore")  # see exponentials
+@np.errstate(over="ignore")  # see Softmaxes.exponentials
 def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lanes: int | None = None) -> None:
     """One pass of truncated back-propagation through time over the texts, by Adam; of the tables, rows in use are moved."""
     if not codes:
@@ -413,15 +451,8 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             m1[name][at], m2[name][at] = a, b
         p[at] -= v
 
-    ones = np.ones(max(lex.size, lex.outputs), np.float32)
     slope = np.empty((max(MOVED, int(np.diff(lex.edge).max(initial=0))), h + 1), np.float32)
 
-    def slopes(name: str, lo: int, hi: int, some: np.ndarray, out: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the softmax over rows lo to hi: the logits' slopes but for a row's share, which comes last, so that it meets STATE numbers and not all outputs."""
-        f, total, _ = exponentials(lambda: some @ model.p[name][lo:hi].T, ones[: hi - lo])
-        f.reshape(-1)[np.arange(-lo, f.size - lo, hi - lo) + out] -= total
-        return f, (scale / total)[:, None]
-
     s, before, done = np.zeros((len(lanes_of), h), np.float32), np.full(len(lanes_of), k + SHAPES), 0
     windows = -(-max(sum(len(codes[i]) for i in lane) for lane in lanes_of) // WINDOW)
     for code, shp, owner, start in _windows(codes, shapes, lanes_of, WINDOW):
@@ -449,27 +480,32 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         dx = np.zeros_like(x)
         for name, at, edge, out in (("g", [0, len(x)], np.array([0, lex.groups]), lex.group[cls]), ("c", of_group, lex.group_edge, cls)):
             if name in p:
-                for i, j, lo, hi in _blocks(at, edge, CELLS):
-                    f, share = slopes(name, lo, hi, x[i:j], out[i:j])
-                    dx[i:j] += (f @ p[name][lo:hi]) * share
-                    g[name][lo:hi] += f.T @ (x[i:j] * share)
+                soft = Softmaxes(x, p[name], at, edge, out)
+                for blocks in soft.parts(CELLS):
+                    tables, share = soft.slopes(blocks, scale)
+                    first = blocks[0][0]
+                    shared = x[first : blocks[-1][1]] * share
+                    for (i, j, lo, hi), f in zip(blocks, tables, strict=True):
+                        dx[i:j] += (f @ p[name][lo:hi]) * share[i - first : j - first]
+                        g[name][lo:hi] += f.T @ shared[i - first : j - first]
         n = of_class[-1]  # rows of the lexicon's words come first
-        shares, back = np.empty(n, np.float32), np.empty((n, h + 1), np.float32)
-        own = (np.arange(n) - np.array(of_class)[cls[:n]]) * np.diff(lex.edge)[cls[:n]] + word[:n] - lex.edge[cls[:n]]
-        first = last = 0
-        for i, j, lo, hi in _blocks(of_class, lex.edge, len(x) * max(lex.size, 1)):
-            if lo != last or hi - first > len(slope):  # words of adjoining classes are moved together
-                move("w", slice(first, last), slope[: last - first])
-                first = lo
-            last = hi
-            some, w = x[i:j], p["w"][lo:hi]
-            f, total, _ = exponentials(lambda: some @ w.T, ones[: hi - lo])  # noqa: B023
-            f.reshape(-1)[own[i:j]] -= total
-            np.dot(f, w, out=back[i:j])
-            share = np.divide(scale, total, out=shares[i:j])
-            np.dot(f.T, some * share[:, None], out=slope[lo - first : hi - first])
-        move("w", slice(first, last), slope[: last - first])
-        back *= shares[:, None]
+        soft = Softmaxes(x[:n], p["w"], of_class, lex.edge, word[:n])
+        shares, back = np.empty((n, 1), np.float32), np.empty((n, h + 1), np.float32)
+        begun = ended = 0
+        for blocks in soft.parts(CELLS, rows=False):
+            tables, share = soft.slopes(blocks, scale)
+            first = blocks[0][0]
+            shares[first : blocks[-1][1]] = share
+            shared = x[first : blocks[-1][1]] * share
+            for (i, j, lo, hi), f in zip(blocks, tables, strict=True):
+                np.dot(f, p["w"][lo:hi], out=back[i:j])
+                if lo != ended or hi - begun > len(slope):  # words of adjoining classes are moved together, when all that read them are done
+                    move("w", slice(begun, ended), slope[: ended - begun])
+                    begun = lo
+                ended = hi
+                np.dot(f.T, shared[i - first : j - first], out=slope[lo - begun : hi - begun])
+        move("w", slice(begun, ended), slope[: ended - begun])
+        back *= shares
         dx[:n] += back
         full = np.zeros_like(states)
         full[real] = dx[:, :h]
