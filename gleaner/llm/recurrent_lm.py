@@ -9,12 +9,14 @@ Model. P(token | text so far) = P(class | state) P(token | class, state). The mo
 them (LEXICON at least), fall into classes of like frequency, as many as the square root of their number, with a
 softmax inside the class. All other words fall into SHAPES classes by how they are
 written; inside such a class the chance of a word is (c + 1) / (sum of (c + 1) + 1), the last 1 for words never seen.
-More than UNGROUPED classes are factored once more: P(class | state) = P(group | state) P(class | group, state).
+Classes are factored once more: P(class | state) = P(group | state) P(class | group, state).
 So the chances of all words and one unknown a class sum to 1. The state is a GRU's, carried from window to window, and
 starts anew with each text; a text's log-likelihood is over all its tokens.
 
 Learning. All training documents are dealt to shards of SHARD_TOKENS tokens or, with a large lexicon, of as many bytes as the model has. Each learns by back-propagation through WINDOW steps from the common
-start (unigram biases); the models are then averaged by Spark tasks, each piece of PIECE numbers by itself.
+start (unigram biases); the models are then averaged by Spark tasks, each piece of PIECE numbers by itself. A row of the
+tables of inputs and of words weighs as many tokens as moved it in a shard (as input, or of its class), all else the shard's
+tokens: what few shards learnt of a rare word isn't thinned out by those that never met it.
 
 Scoring runs on LANES texts side by side, in lanes of nearly equal length, a window at a time; a lane that ends leaves the
 windows after, so that one very long text costs its own tokens only.
@@ -44,8 +46,6 @@ SHARD_TOKENS, RATE = 1_500_000, 0.01
 PIECE = 1 << 15
 #: Outputs (rows by classes) that are handled at a time, so that they stay in the cache; rows of inputs that are moved at a time.
 CELLS, ROWS = 1 << 16, 512
-#: Classes up to which one softmax over all of them costs less than groups.
-UNGROUPED = 128
 #: Words of a lexicon that are moved together.
 MOVED = 2048
 #: Uses of an input in a window from which its slopes are summed by themselves.
@@ -160,8 +160,8 @@ class Lexicon:
         self.outputs = self.classes + SHAPES
         mass = np.concatenate([np.add.reduceat(self.count[: self.size], self.edge[:-1]) if self.size else np.zeros(0), self.rest])
         self.class_bias = np.log(mass / mass.sum())
-        # the same of classes: many fall into groups
-        self.groups = int(round(self.outputs**0.5)) if self.outputs > UNGROUPED else 1
+        # the same of classes, which fall into groups
+        self.groups = int(round(self.outputs**0.5))
         self.group_edge = _parted(np.sqrt(mass), self.groups)
         self.group = np.repeat(np.arange(self.groups), np.diff(self.group_edge))
         self.group_bias = np.log(np.add.reduceat(mass, self.group_edge[:-1]) / mass.sum())
@@ -263,8 +263,7 @@ class Model:
         k = lexicon.size
         normal = lambda *s: (rng.standard_normal(s) * 0.1).astype(np.float32)
         self.p = {"x": normal(k + SHAPES + 1, 3 * h), "u": normal(h, 3 * h), "c": normal(h, lexicon.outputs), "cb": lexicon.class_bias.astype(np.float32), "w": normal(k, h), "wb": lexicon.word_bias.astype(np.float32)}
-        if lexicon.groups > 1:
-            self.p |= {"g": normal(lexicon.groups, h), "gb": lexicon.group_bias.astype(np.float32)}
+        self.p |= {"g": normal(lexicon.groups, h), "gb": lexicon.group_bias.astype(np.float32)}
         self.l = lexicon
 
     def step(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -298,8 +297,7 @@ class Model:
                 _, total, picked, _ = rows.exponentials(blocks)
                 chances[blocks[0][0] : blocks[-1][1]] += picked - np.log(total)
 
-        if lex.groups > 1:
-            add(np.column_stack([self.p["g"], self.p["gb"]]), [0, len(x)], np.array([0, lex.groups]), lex.group[cls])
+        add(np.column_stack([self.p["g"], self.p["gb"]]), [0, len(x)], np.array([0, lex.groups]), lex.group[cls])
         add(np.column_stack([self.p["c"].T, self.p["cb"]]), of_group, lex.group_edge, cls)
         if lex.size:
             add(np.column_stack([self.p["w"], self.p["wb"]]), of_class, lex.edge, word[order[: of_class[-1]]])
@@ -429,9 +427,7 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
     lanes_of = _lanes(np.array([len(c) for c in codes]), lanes)
     # weights lie in one array with their biases while they are learnt
     whole = model.p
-    model.p = {"x": whole["x"], "u": whole["u"], "c": np.vstack([whole["c"], whole["cb"]]).T.copy(), "w": np.hstack([whole["w"], whole["wb"][:, None]])}
-    if lex.groups > 1:
-        model.p["g"] = np.hstack([whole["g"], whole["gb"][:, None]])
+    model.p = {"x": whole["x"], "u": whole["u"], "c": np.vstack([whole["c"], whole["cb"]]).T.copy(), "w": np.hstack([whole["w"], whole["wb"][:, None]]), "g": np.hstack([whole["g"], whole["gb"][:, None]])}
     # Adam's moments: of slopes, and of their squares, ten times as large and never 0
     m1 = {n: np.zeros_like(v) for n, v in model.p.items()}
     m2 = {n: np.full_like(v, 1e-15) for n, v in model.p.items()}
@@ -476,18 +472,17 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         order, of_group, of_class = model.by_class(out_class.ravel()[real])
         real = real[order]
         x, cls, word = _and_one(states[real]), out_class.ravel()[real], code.ravel()[real]
-        g = {n: np.zeros_like(p[n]) for n in p.keys() & {"c", "g", "u"}}
+        g = {n: np.zeros_like(p[n]) for n in ("c", "g", "u")}
         dx = np.zeros_like(x)
         for name, at, edge, out in (("g", [0, len(x)], np.array([0, lex.groups]), lex.group[cls]), ("c", of_group, lex.group_edge, cls)):
-            if name in p:
-                soft = Softmaxes(x, p[name], at, edge, out)
-                for blocks in soft.parts(CELLS):
-                    tables, share = soft.slopes(blocks, scale)
-                    first = blocks[0][0]
-                    shared = x[first : blocks[-1][1]] * share
-                    for (i, j, lo, hi), f in zip(blocks, tables, strict=True):
-                        dx[i:j] += (f @ p[name][lo:hi]) * share[i - first : j - first]
-                        g[name][lo:hi] += f.T @ shared[i - first : j - first]
+            soft = Softmaxes(x, p[name], at, edge, out)
+            for blocks in soft.parts(CELLS):
+                tables, share = soft.slopes(blocks, scale)
+                first = blocks[0][0]
+                shared = x[first : blocks[-1][1]] * share
+                for (i, j, lo, hi), f in zip(blocks, tables, strict=True):
+                    dx[i:j] += (f @ p[name][lo:hi]) * share[i - first : j - first]
+                    g[name][lo:hi] += f.T @ shared[i - first : j - first]
         n = of_class[-1]  # rows of the lexicon's words come first
         soft = Softmaxes(x[:n], p["w"], of_class, lex.edge, word[:n])
         shares, back = np.empty((n, 1), np.float32), np.empty((n, h + 1), np.float32)
@@ -542,8 +537,7 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             move(name, slice(None), v)
     p = model.p
     back = {"c": p["c"][:, :-1].T.copy(), "cb": p["c"][:, -1].copy(), "w": p["w"][:, :-1].copy(), "wb": p["w"][:, -1].copy()}
-    if lex.groups > 1:
-        back |= {"g": p["g"][:, :-1].copy(), "gb": p["g"][:, -1].copy()}
+    back |= {"g": p["g"][:, :-1].copy(), "gb": p["g"][:, -1].copy()}
     model.p = whole | back
 
 
@@ -582,29 +576,45 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     return Lexicon(frequent, tokens or 0, kinds, {k: tuple(v) for k, v in shapes.items()})
 
 
-def _pieces(p: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
-    """A model's numbers in its parameters' order, PIECE at a time, as views."""
-    for v in p.values():
-        flat = v.reshape(-1)
-        for i in range(0, len(flat), PIECE):
-            yield flat[i : i + PIECE]
+def _met(lex: Lexicon, codes: list[np.ndarray], shapes: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """How many tokens moved each row of the tables that ``learnt`` moves by rows: inputs, and words (by their class)."""
+    code, shp, ends = np.concatenate(codes), np.concatenate(shapes), np.cumsum([len(c) for c in codes]) - 1
+    inside, _, rows = _targets(lex, code, shp)
+    # a text's first input is the start, its last token is no input
+    inputs = np.bincount(rows, minlength=lex.size + SHAPES + 1) - np.bincount(rows[ends], minlength=lex.size + SHAPES + 1)
+    inputs[-1] += len(ends)
+    words = np.bincount(lex.cls[code[inside]], minlength=lex.classes)[lex.cls] if lex.size else np.zeros(0)
+    return {"x": inputs, "w": words, "wb": words}
+
+
+def _pieces(p: dict[str, np.ndarray]) -> Iterator[tuple[str, int, np.ndarray]]:
+    """A model's numbers in its parameters' order, PIECE at most at a time and whole rows, as views: parameter, first row, rows."""
+    for name, v in p.items():
+        step = max(1, PIECE // (v[:1].size or 1))
+        for i in range(0, len(v), step):
+            yield name, i, v[i : i + step]
+
+
+#: The weight of a row that no token of a shard moved: without others, the row stays as it began.
+UNMOVED = 1e-6
 
 
 def _averaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by piece: the mean of each over all models, by their weights."""
-    now, total, weight = None, np.zeros(0), 0.0
+    """Of rows sorted by piece: the mean of each of its rows over all models, by the rows' weights."""
+    now, total, weight = None, np.zeros((0, 0)), np.zeros(0)
 
     def mean() -> pa.RecordBatch:
-        return pa.record_batch([pa.array([now], pa.int64()), pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())], ["piece", "numbers"])
+        return pa.record_batch([pa.array([now], pa.int64()), pa.array([(total / weight[:, None]).astype(np.float32).tobytes()], pa.binary())], ["piece", "numbers"])
 
     for b in batches:
-        for piece, w, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
-            x = np.frombuffer(data.as_buffer(), np.float32)
+        for piece, w, data in zip(b.column(0).to_pylist(), b.column(2), b.column(3), strict=True):
+            w = np.frombuffer(w.as_buffer(), np.float64)
+            x = np.frombuffer(data.as_buffer(), np.float32).reshape(len(w), -1)
             if piece != now:
                 if now is not None:
                     yield mean()
-                now, total, weight = piece, np.zeros(len(x)), 0.0
-            total += x * np.float64(w)
+                now, total, weight = piece, np.zeros(x.shape), np.zeros(len(w))
+            total += x * w[:, None]
             weight += w
     if now is not None:
         yield mean()
@@ -629,25 +639,27 @@ def train(docs: DataFrame, lexicon: Lexicon) -> Model:
         for b in batches:
             for i, j in _sliced(b):
                 c, s, _ = _texts(start.value, _lowered(b.column(1).slice(i, j - i)))
-                codes, shapes = codes + c, shapes + s
+                codes.extend(c)
+                shapes.extend(s)
             shard = b.column(0)[0].as_py() if b.num_rows else shard
         if codes:
             m = Model(start.value)
             learnt(m, codes, shapes)
-            weight = pa.array([float(sum(map(len, codes)))], pa.float64())
-            for k, x in enumerate(_pieces(m.p)):
-                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([shard], pa.int64()), weight, pa.array([x.tobytes()], pa.binary())], ["piece", "shard", "weight", "numbers"])
+            met, every = _met(start.value, codes, shapes), float(sum(map(len, codes)))
+            for k, (name, first, x) in enumerate(_pieces(m.p)):
+                weight = np.maximum(met[name][first : first + len(x)], UNMOVED) if name in met else np.full(len(x), every)
+                yield pa.record_batch([pa.array([k], pa.int64()), pa.array([shard], pa.int64()), pa.array([weight.astype(np.float64).tobytes()], pa.binary()), pa.array([x.tobytes()], pa.binary())], ["piece", "shard", "weights", "numbers"])
 
     dealt = mine.select(F.pmod(F.xxhash64("text", "id"), F.lit(shards)).alias("shard"), "text", "id")
     # by number, not by its hash, which gave some tasks several shards and others none
     dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard", "id", F.xxhash64("text")).select("shard", "text")
     # small row groups: readers and writers hold one at a time
-    models = staged(dealt.mapInArrow(freed(learn), "piece long, shard long, weight double, numbers binary"), "models", **{"parquet.block.size": str(8 << 20)})
+    models = staged(dealt.mapInArrow(freed(learn), "piece long, shard long, weights binary, numbers binary"), "models", **{"parquet.block.size": str(8 << 20)})
     sorted_pieces = models.repartition(partitions(docs.sparkSession), "piece").sortWithinPartitions("piece", "shard")
     mean = staged(sorted_pieces.mapInArrow(freed(_averaged), "piece long, numbers binary"), "mean", **{"parquet.block.size": str(8 << 20)})
-    places = list(_pieces(model.p))
+    places = [x for _, _, x in _pieces(model.p)]
     for r in mean.toLocalIterator():
-        places[r["piece"]][:] = np.frombuffer(r["numbers"], np.float32)
+        places[r["piece"]][:] = np.frombuffer(r["numbers"], np.float32).reshape(places[r["piece"]].shape)
     dropped(models, mean)
     start.unpersist()
     return model

@@ -292,8 +292,10 @@ def naive_score(model, codes, shapes):
         z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
         s = (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :]) + z * s
         inside = 0 <= c < lex.size
-        e = s @ p["c"] + p["cb"]
-        total += e[lex.cls[c] if inside else lex.classes + shape] - np.log(np.exp(e).sum())
+        e, q = s @ p["c"] + p["cb"], p["g"] @ s + p["gb"]
+        out = lex.cls[c] if inside else lex.classes + shape
+        group = np.searchsorted(lex.group_edge, out, "right") - 1  # P(class) = P(group) P(class | group)
+        total += q[group] - np.log(np.exp(q).sum()) + e[out] - np.log(np.exp(e[lex.group_edge[group] : lex.group_edge[group + 1]]).sum())
         if inside:
             lo, hi = lex.edge[lex.cls[c]], lex.edge[lex.cls[c] + 1]
             f = p["w"][lo:hi] @ s + p["wb"][lo:hi]
@@ -354,7 +356,7 @@ def test_first_step_follows_differences():
     moved = recurrent_lm.Model(start.l)
     moved.p = {n: v.copy() for n, v in start.p.items()}
     recurrent_lm.learnt(moved, codes, shapes, lanes=1)
-    rng, checked = np.random.default_rng(0), 0
+    rng, checked = np.random.default_rng(0), dict.fromkeys(start.p, 0)
     for name, v in start.p.items():
         for at in rng.integers(0, v.size, 25):
             slope = []
@@ -368,8 +370,8 @@ def test_first_step_follows_differences():
             if abs(slope) > 1e-4:
                 step = moved.p[name].ravel()[at] - v.ravel()[at]
                 assert np.sign(step) == np.sign(slope), (name, at)
-                checked += 1
-    assert checked > 40
+                checked[name] += 1
+    assert sum(checked.values()) > 40 and min(checked[n] for n in ("c", "cb", "g", "gb", "w", "u")) > 0
 
 
 def test_a_sequence_that_repeats_is_learnt():
@@ -382,64 +384,16 @@ def test_a_sequence_that_repeats_is_learnt():
     assert recurrent_lm.scored(model, codes[:1], shapes[:1])[0] / len(codes[0]) > -0.6
 
 
-def grouped_model(monkeypatch):
-    """A model whose classes fall into groups."""
-    monkeypatch.setattr(recurrent_lm, "UNGROUPED", 20)
+def test_chances_of_grouped_classes_sum_to_one():
     model, codes, shapes = small_model()
     assert 1 < model.l.groups < model.l.outputs and model.p["g"].shape == (model.l.groups, recurrent_lm.STATE)
-    return model, codes, shapes
-
-
-def naive_grouped(model, codes, shapes):
-    """As naive_score, where P(class) = P(group) P(class | group): the sum over all classes gives way to that over the group's."""
-    p, lex, h = {n: v.astype(float) for n, v in model.p.items()}, model.l, recurrent_lm.STATE
-    total, plain = naive_score(model, codes, shapes), 0.0
-    sigmoid = lambda x: 1 / (1 + np.exp(-x))
-    s, before = np.zeros(h), lex.size + recurrent_lm.SHAPES
-    for c, shape in zip(codes.tolist(), shapes.tolist(), strict=True):
-        x, g = p["x"][before], s @ p["u"]
-        z, r = sigmoid(x[:h] + g[:h]), sigmoid(x[h : 2 * h] + g[h : 2 * h])
-        s = (1 - z) * np.tanh(x[2 * h :] + r * g[2 * h :]) + z * s
-        inside = 0 <= c < lex.size
-        e, f = s @ p["c"] + p["cb"], p["g"] @ s + p["gb"]
-        group = np.searchsorted(lex.group_edge, lex.cls[c] if inside else lex.classes + shape, "right") - 1
-        plain += np.log(np.exp(e).sum()) - np.log(np.exp(e[lex.group_edge[group] : lex.group_edge[group + 1]]).sum()) + f[group] - np.log(np.exp(f).sum())
-        before = c if inside else lex.size + shape
-    return total + plain
-
-
-def test_chances_of_grouped_classes(monkeypatch):
-    model, codes, shapes = grouped_model(monkeypatch)
     recurrent_lm.learnt(model, codes, shapes, lanes=3)
-    for lanes in (1, 50):
-        assert recurrent_lm.scored(model, codes, shapes, lanes).tolist() == pytest.approx([naive_grouped(model, c, s) for c, s in zip(codes, shapes, strict=True)], rel=1e-4)
     lex, state = model.l, np.random.default_rng(1).standard_normal((1, recurrent_lm.STATE)).astype(np.float32)
     p = [np.exp(model.log_probs(state, np.array([c]), np.array([w]))[0]) for w, c in enumerate(lex.cls)]
     p += [np.exp(model.log_probs(state, np.array([lex.classes + s]), np.array([-1]))[0]) for s in range(recurrent_lm.SHAPES)]
     assert sum(p) == pytest.approx(1, abs=1e-4)
 
 
-def test_first_step_of_grouped_classes_follows_differences(monkeypatch):
-    start, codes, shapes = grouped_model(monkeypatch)
-    codes, shapes = [codes[5][:20]], [shapes[5][:20]]
-    moved = recurrent_lm.Model(start.l)
-    recurrent_lm.learnt(moved, codes, shapes, lanes=1)
-    rng, checked = np.random.default_rng(0), dict.fromkeys(start.p, 0)
-    for name, v in start.p.items():
-        for at in rng.integers(0, v.size, 25):
-            slope = []
-            for d in (1e-3, -1e-3):
-                m = recurrent_lm.Model.__new__(recurrent_lm.Model)
-                m.l, m.p = start.l, {n: x.astype(float) for n, x in start.p.items()}
-                m.p[name].ravel()[at] += d
-                slope.append(naive_grouped(m, codes[0], shapes[0]))
-            slope = (slope[0] - slope[1]) / 2e-3 / len(codes[0])
-            if abs(slope) > 1e-4:
-                assert np.sign(moved.p[name].ravel()[at] - v.ravel()[at]) == np.sign(slope), (name, at)
-                checked[name] += 1
-    assert min(checked[n] for n in ("c", "cb", "g", "gb", "w", "u")) > 0
-
-
 def test_a_token_meets_few_outputs():
     """Of a large lexicon, a token's softmaxes have fewer outputs than there are classes."""
     n = 30_000
@@ -524,8 +478,8 @@ def test_each_shard_learns_by_itself_and_models_travel_in_pieces(spark, monkeypa
     def seen(df, name="table", **options):
         out = staged(df, name, **options)
         if name == "models":
-            tables["pieces"] = out.select("piece", "shard", "weight", F.length("numbers").alias("size")).collect()
-            tables["numbers"] = {(r["piece"], r["shard"]): np.frombuffer(r["numbers"], np.float32) for r in out.collect()}
+            tables["pieces"] = out.select("piece", "shard", F.length("numbers").alias("size")).collect()
+            tables["numbers"] = {(r["piece"], r["shard"]): (np.frombuffer(r["weights"]), np.frombuffer(r["numbers"], np.float32)) for r in out.collect()}
         return out
 
     monkeypatch.setattr(recurrent_lm, "staged", seen)
@@ -538,10 +492,45 @@ def test_each_shard_learns_by_itself_and_models_travel_in_pieces(spark, monkeypa
     shards = -(-chars // max(24_000, sum(v.nbytes for v in model.p.values())))
     assert shards > 1 and len({r["shard"] for r in tables["pieces"]}) == shards
     assert max(r["size"] for r in tables["pieces"]) <= 4 * recurrent_lm.PIECE < sum(v.nbytes for v in model.p.values())
-    weight = {r["shard"]: r["weight"] for r in tables["pieces"]}
-    for piece, got in enumerate(recurrent_lm._pieces(model.p)):
-        want = sum(w * tables["numbers"][piece, s].astype(float) for s, w in weight.items()) / sum(weight.values())
-        assert got == pytest.approx(want, abs=1e-6)
+    shards = {r["shard"] for r in tables["pieces"]}
+    for piece, (_, _, got) in enumerate(recurrent_lm._pieces(model.p)):
+        some = [tables["numbers"][piece, n] for n in shards]
+        want = sum(w[:, None] * x.reshape(len(w), -1) for w, x in some) / sum(w for w, _ in some)[:, None]
+        assert got.reshape(want.shape) == pytest.approx(want, abs=1e-6)
+
+
+def test_rows_weigh_as_many_tokens_as_moved_them():
+    model, codes, shapes = small_model()
+    lex = model.l
+    met = recurrent_lm._met(lex, codes, shapes)
+    inputs, classes = Counter(), Counter()
+    for c, s in zip(codes, shapes, strict=True):
+        before = lex.size + recurrent_lm.SHAPES
+        for code, shape in zip(c.tolist(), s.tolist(), strict=True):
+            inputs[before] += 1
+            before = code if 0 <= code < lex.size else lex.size + shape
+            classes[lex.cls[code] if 0 <= code < lex.size else None] += 1
+    assert met["x"].tolist() == [inputs[i] for i in range(lex.size + recurrent_lm.SHAPES + 1)]
+    assert met["w"].tolist() == [classes[c] for c in lex.cls]
+    start = {n: v.copy() for n, v in model.p.items()}
+    recurrent_lm.learnt(model, codes, shapes)
+    for name in ("x", "w"):  # what no token moved is where it began
+        assert (model.p[name][met[name] == 0] == start[name][met[name] == 0]).all()
+
+
+def test_a_word_of_one_shard_is_not_thinned_out_by_others(spark, monkeypatch):
+    """The input of a word that one of many shards has moves about as far as if that shard were all."""
+    words = [(f"w{i}".encode(), 400 - i) for i in range(60)]
+    lexicon = recurrent_lm.Lexicon([*words, (b"\n", 300)], 60_000, 61, {})
+    rows = [(i, " ".join(f"w{(i * 7 + k * k) % 59}" for k in range(60))) for i in range(4000)]
+    rows[3] = (3, "w59 w1 " * 40)
+    docs = spark.createDataFrame(rows, "id long, text string")
+    start, at = recurrent_lm.Model(lexicon).p["x"], lexicon.code[b"w59"]
+    moved = []
+    for tokens in (recurrent_lm.SHARD_TOKENS, 1500):
+        monkeypatch.setattr(recurrent_lm, "SHARD_TOKENS", tokens)
+        moved.append(np.abs(recurrent_lm.train(docs, lexicon).p["x"][at] - start[at]).sum())
+    assert zlib.crc32(b"3") % 7 != 2 and 0.4 < moved[1] / moved[0] < 2.5, moved
 
 
 def test_lexicon_grows_with_the_vocabulary(spark):
