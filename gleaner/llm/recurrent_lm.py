@@ -578,7 +578,7 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
 
 def _met(lex: Lexicon, codes: list[np.ndarray], shapes: list[np.ndarray]) -> dict[str, np.ndarray]:
     """How many tokens moved each row of the tables that ``learnt`` moves by rows: inputs, and words (by their class)."""
-    code, shp, ends = np.concatenate(codes), np.concatenate(shapes), np.cumsum([len(c) for c in codes]) - 1
+    code, shp, ends = np.concatenate(codes), np.concatenate(shapes).astype(np.int32), np.cumsum([len(c) for c in codes]) - 1
     inside, _, rows = _targets(lex, code, shp)
     # a text's first input is the start, its last token is no input
     inputs = np.bincount(rows, minlength=lex.size + SHAPES + 1) - np.bincount(rows[ends], minlength=lex.size + SHAPES + 1)

@@ -545,6 +545,7 @@ def test_lexicon_grows_with_the_vocabulary(spark):
     model = recurrent_lm.Model(large)
     before = recurrent_lm.scored(model, codes, shapes).sum()
     recurrent_lm.learnt(model, codes, shapes)
+    assert recurrent_lm._met(large, codes, shapes)["x"].sum() == sum(map(len, codes))
     assert large.size == 40_001 and before < recurrent_lm.scored(model, codes, shapes).sum() < 0
 
 
