@@ -176,8 +176,8 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def attach_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """Inner join of ``rows`` with their ``groups`` (one row a key; ``size`` counts the key's rows) that no key can skew.
+def attach_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, how: str = "inner") -> DataFrame:
+    """Inner or left join of ``rows`` with their ``groups`` (one row a key; ``size`` counts the key's rows) that no key can skew.
 
     Keys holding over HOT_SHARE of all rows number at most 1 / HOT_SHARE, whatever the input; hashes of these alone reach
     the driver. Their rows are dealt to SALTS parts, and each part has a copy of the key's group. Both inputs should be staged.
@@ -189,4 +189,4 @@ def attach_group(rows: DataFrame, groups: DataFrame, keys: list[str], size: str)
     (salt,) = unused(rows, "salt")
     dealt = rows.withColumn(salt, F.when(name.isin(hot), F.monotonically_increasing_id() % SALTS).otherwise(F.lit(0)).cast("int"))
     copies = F.when(name.isin(hot), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    return dealt.join(groups.withColumn(salt, F.explode(copies)), [*keys, salt]).drop(salt)
+    return dealt.join(groups.withColumn(salt, F.explode(copies)), [*keys, salt], how).drop(salt)

@@ -28,8 +28,10 @@ from gleaner.llm.common import attach_group, documents, staged
 
 WINDOW, DIVISOR = 3, 4
 MIN_LINES, MIN_WORDS = 2, 50
-#: Bytes to be broadcast at most (some 64 a document and 24 a span); with more, texts are shuffled instead.
+#: Bytes to be broadcast at most (some 64 a document and 24 a span); with more, a filter of FILTER_BITS is sent instead.
 BROADCAST_BYTES = 32 << 20
+#: Bits of that filter, 32 MB whatever the input: only texts that it lets through are shuffled.
+FILTER_BITS = 1 << 28
 
 
 def _words(text: Column) -> Column:
@@ -95,25 +97,45 @@ def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _beside(docs: DataFrame, found: DataFrame, how: str, spans: str) -> DataFrame:
-    """``docs`` (id, digest, ...) joined with one row a document of ``found`` (__id, __digest, an array ``spans``)."""
+    """``docs`` (id, digest, ...) joined with one row a document of ``found`` (__id, __digest, __n, an array ``spans``).
+
+    ``__n`` counts the document's equal rows. Where ``found`` is too large to be broadcast, rows whose bit isn't set stay
+    where they are, and of the others those of one document are dealt to several tasks if they are very many.
+    """
     few = (found.agg(F.sum(64 + 24 * F.size(spans))).first()[0] or 0) <= BROADCAST_BYTES
-    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
-    return docs.join(F.broadcast(found) if few else found, same, how).drop("__id", "__digest")
+    if few:
+        same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("digest") == F.col("__digest"))
+        return docs.join(F.broadcast(found.drop("__n")), same, how).drop("__id", "__digest")
+    bits = found.select(_bit(F.col("__id"), F.col("__digest")).alias("bit"))
+    bits = bits.groupBy(F.bitmap_bucket_number("bit").alias("__block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("__bits"))
+    place = F.bitmap_bit_position(_bit(F.col("id"), F.col("digest")))
+    byte = F.conv(F.hex(F.substring("__bits", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    seen = docs.withColumn("__block", F.bitmap_bucket_number(_bit(F.col("id"), F.col("digest")))).join(F.broadcast(staged(bits, "filter")), "__block", "left")
+    seen = seen.withColumn("__maybe", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("__block", "__bits")
+    maybe = seen.filter("__maybe").drop("__maybe").withColumns({"__known": F.col("id").isNotNull(), "__id": F.coalesce("id", F.lit(0)), "__digest": F.col("digest")})
+    keyed = found.withColumns({"__known": F.col("__id").isNotNull(), "__id": F.coalesce("__id", F.lit(0))})
+    met = attach_group(maybe, keyed, ["__known", "__id", "__digest"], "__n", how).drop("__known", "__id", "__digest", "__n")
+    return met if how == "inner" else met.unionByName(seen.filter("not __maybe").drop("__maybe"), allowMissingColumns=True)
+
+
+def _bit(key: Column, digest: Column) -> Column:
+    return F.pmod(F.xxhash64(key, digest), F.lit(FILTER_BITS)) + 1  # bitmaps count from 1
 
 
 def _by_document(rows: DataFrame, column: str) -> DataFrame:
-    """(__id, __digest, __<column>s): all values of a column in one row a document, staged."""
-    return staged(rows.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest")).agg(F.collect_list(column).alias(f"__{column}s")), "documents")
+    """(__id, __digest, __n, __<column>s) of rows (id, digest, ``column``, n): all values of a document in one row, staged."""
+    every = rows.groupBy(F.col("id").alias("__id"), F.col("digest").alias("__digest"))
+    return staged(every.agg(F.max("n").alias("__n"), F.collect_list(column).alias(f"__{column}s")), "documents")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, digest, span) of all lines to be removed, staged."""
+    """(id, digest, span, n) of all lines to be removed, staged; ``n`` counts the rows with that id and digest, at least."""
     named = _named(docs, id_col, text_col)
     cut = staged(with_spans(named, "text", "spans").select("id", "digest", "spans"), "spans")
     rows = cut.select("id", "digest", F.explode("spans").alias("s")).select("id", "digest", "s.span", "s.h")
     wanted = staged(rows.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1"), "repeated")
     held = attach_group(rows, wanted, ["h"], "n")
-    held = _by_document(held.select("id", "digest", F.struct("span", "h").alias("hit")).distinct(), "hit")
+    held = _by_document(held.groupBy("id", "digest", F.struct("span", "h").alias("hit")).agg(F.count("*").alias("n")), "hit")
     texts = _beside(named, held, "inner", "__hits").withColumn("__lines", _lines(F.col("text"))).select("id", "digest", "__lines", F.explode("__hits").alias("s"))
     span = F.col("s.span")
     body = F.array_join(F.slice("__lines", _first(span) + 1, _last(span) - _first(span) + 1), "\n")
@@ -128,7 +150,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = gone.filter(~here.eqNullSafe(F.col("first")))
     within = F.col("id").eqNullSafe(F.col("first.id")) & (F.col("digest") == F.col("first.digest"))
     begin = F.when(within, F.greatest(_first(F.col("span")), _last(F.col("first.span")) + 1)).otherwise(_first(F.col("span")))
-    return staged(gone.select("id", "digest", _span(begin, _last(F.col("span"))).alias("span")).distinct(), "removed")
+    return staged(gone.groupBy("id", "digest", _span(begin, _last(F.col("span"))).alias("span")).agg(F.count("*").alias("n")), "removed")
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -651,7 +651,7 @@ def brute_line_dedup(rows):
     return out
 
 
-def test_line_dedup_equals_brute_force(spark, odd_docs, odd_rows):
+def test_line_dedup_equals_brute_force(spark, monkeypatch, odd_docs, odd_rows):
     rng = np.random.default_rng(11)
     lines = [" ".join(f"w{rng.integers(0, 400)}" for _ in range(int(rng.integers(0, 30)))) for _ in range(60)] + ["", " ", "long " * 55]
     rows = list(odd_rows)
@@ -659,14 +659,26 @@ def test_line_dedup_equals_brute_force(spark, odd_docs, odd_rows):
         a, n = (int(rng.integers(0, m)) for m in (50, 12))
         rows.append((1000 + k, "\n".join(lines[i] for i in [*rng.integers(0, 63, 8), *range(a, a + n), *rng.integers(0, 63, 5)])))
     docs = odd_docs.select("doc_id", "text").union(spark.createDataFrame(rows[len(odd_rows) :], "doc_id long, text string"))
-    for most in (1 << 25, 0):  # broadcast, or shuffled
-        line_dedup.BROADCAST_BYTES = most
+    for most, bits in ((1 << 25, 1 << 28), (0, 1 << 28), (0, 64)):  # broadcast; filtered and shuffled; a filter that lets through most
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", most)
+        monkeypatch.setattr(line_dedup, "FILTER_BITS", bits)
         got = line_dedup.without_repeats(docs).collect()
         assert kept(map(tuple, got)) == kept(brute_line_dedup(rows))
-    line_dedup.BROADCAST_BYTES = 1 << 25
     assert sum(r["removed_lines"] for r in got) > 200
 
 
+def test_line_dedup_of_a_hot_row_beyond_broadcast(spark, monkeypatch):
+    """A third of all rows are one document, without an id; texts without repeats stay out of the shuffle."""
+    monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", 0)
+    passage = "\n".join(" ".join(f"p{i}x{k}" for k in range(20)) for i in range(3))
+    rows = [(None, f"{passage}\nend")] * 700 + [(i, f"own {i}\n{passage}") for i in range(700)] + [(i, f"alone {i}") for i in range(700, 1400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = line_dedup.without_repeats(docs)
+    assert kept(map(tuple, got.collect())) == kept(brute_line_dedup(rows))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "strategy=broadcast" in plan
+
+
 # 8
 
 
