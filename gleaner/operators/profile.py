@@ -7,9 +7,15 @@ then turns every column into small integers.
 from __future__ import annotations
 
 import math
+import struct
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
+from operator import and_
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,6 +31,9 @@ CATEGORIES = (T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.Timest
 FEW_CLASSES = 20
 #: Accuracy of approximate quantiles (relative error of the rank: one over it).
 ACCURACY = 10_000
+#: Bits of a number's key that the first round of exact quantiles counts, and each later one; rows that a task holds before it counts them.
+FIRST_DIGIT, DIGIT = 14, 10
+_HELD = 1 << 17
 
 
 @dataclass
@@ -133,45 +142,117 @@ def number_stats(df: DataFrame, bins: dict[str, int], exact: bool = False) -> tu
     return {n: (row[i + 1]["lo"], row[i + 1]["hi"], quantiles[n]) for i, n in enumerate(bins)}, row["rows"]
 
 
+def _ordered(values: pa.Array) -> np.ndarray:
+    """The numbers that are there as unsigned 64-bit keys in the same order."""
+    bits = (values.drop_null().to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _number(key: int) -> float:
+    """The number of a key."""
+    u = key ^ (1 << 63)
+    return struct.unpack("<d", (u if u < 1 << 63 else u ^ ((1 << 63) - 1)).to_bytes(8, "little"))[0]
+
+
+class _Digits:
+    """How many of a column's keys that begin with one of some prefixes go on with each digit, and the only key there if there is one."""
+
+    def __init__(self, prefixes: list[int], taken: int, bits: int):
+        self.prefixes, self.taken, self.bits = np.array(prefixes, np.uint64), taken, bits
+        size = max(1, len(prefixes)) << bits
+        self.n, self.key, self.several = np.zeros(size, np.int64), np.zeros(size, np.uint64), np.zeros(size, bool)
+
+    def add(self, keys: np.ndarray) -> None:
+        keys.sort()
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        count, keys = np.diff(first, append=len(keys)), keys[first]
+        digit = keys >> np.uint64(64 - self.taken - self.bits)
+        if self.taken:
+            rest = 64 - self.taken
+            start = np.searchsorted(keys, self.prefixes << np.uint64(rest))
+            size = np.searchsorted(keys, (self.prefixes << np.uint64(rest)) | np.uint64((1 << rest) - 1), side="right") - start
+            at = np.repeat(np.arange(len(size)), size)
+            here = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size) + start[at]
+            keys, count, digit = keys[here], count[here], (digit[here] & np.uint64((1 << self.bits) - 1)) + (at << self.bits).astype(np.uint64)
+        digit = digit.astype(np.int64)
+        fresh = self.n[digit] == 0
+        self.key[digit[fresh]] = keys[fresh]
+        self.several[digit[keys != self.key[digit]]] = True
+        self.n += np.bincount(digit, count, len(self.n)).astype(np.int64)
+
+
+def _digits(batches: Iterator[pa.RecordBatch], prefixes: list[list[int]], taken: int, bits: int) -> Iterator[pa.RecordBatch]:
+    """(f, at, n, low, high) of a task: ``at`` numbers prefixes and digits; low and high are equal where only one key occurs."""
+    found = {f: _Digits(some, taken, bits) for f, some in enumerate(prefixes) if some or not taken}
+    held: list[pa.RecordBatch] = []
+    rows = 0
+
+    def take() -> None:
+        for i, d in enumerate(found.values()):
+            d.add(np.concatenate([_ordered(b.column(i)) for b in held]))
+        held.clear()
+
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        if rows >= _HELD:
+            take()
+            rows = 0
+    if held:
+        take()
+    for f, d in found.items():
+        at = np.flatnonzero(d.n)
+        key = (d.key[at] ^ np.uint64(1 << 63)).view(np.int64)
+        low, high = (np.where(d.several[at], end, key) for end in (np.iinfo(np.int64).min, np.iinfo(np.int64).max))
+        yield pa.record_batch([pa.array(np.full(len(at), f, np.int32)), pa.array(at), pa.array(d.n[at]), pa.array(low), pa.array(high)], ["f", "at", "n", "low", "high"])
+
+
 def exact_quantiles(df: DataFrame, bins: dict[str, int]) -> dict[str, list[float]]:
     """Quantiles k / bins of each column, between two values if need be.
 
-    Values are counted, dealt by ranges of (column, value) and numbered within each range; the ranges' totals (one row
-    a range and column) give the ranks before it. Only values at a wanted rank leave the executors.
+    The values at the wanted ranks are found by their digits (FIRST_DIGIT, then DIGIT bits of a key in the numbers' order): a round counts the next
+    digit of the keys that begin as a wanted one does, in arrays. A value is known when only one key begins like it, so few rounds are needed; six
+    at most. No values are shuffled, and what moves is bounded by tasks and columns, not by rows or different values.
     """
     names = list(bins)
     if not names:
         return {}
     wide = df.select(*[as_number(df, n).alias(f"f{i}") for i, n in enumerate(names)])
-    kinds = wide.unpivot([], [f"f{i}" for i in range(len(names))], "f", "v").filter("v is not null").groupBy("f", "v").agg(F.count("*").alias("n"))
-    ranged = kinds.repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        sizes = ranged.groupBy("f", "part").agg(F.sum("n").alias("n")).collect()
-        total, before = dict.fromkeys((f"f{i}" for i in range(len(names))), 0), []
-        for r in sorted(sizes, key=lambda r: (r["f"], r["part"])):
-            before.append((r["f"], r["part"], total[r["f"]]))
-            total[r["f"]] += r["n"]
-        ranks = {f: [(total[f] - 1) * k / b for k in range(1, b)] if total[f] else [] for f, b in zip(total, bins.values(), strict=True)}
-        wanted = {f: sorted({int(x) for x in r} | {math.ceil(x) for x in r}) for f, r in ranks.items()}
-        if not before:
-            return {n: [] for n in names}
-        firsts = df.sparkSession.createDataFrame(before, "f string, part int, before long")
-        needs = df.sparkSession.createDataFrame(list(wanted.items()), "f string, ranks array<long>")
-        upto = F.sum("n").over(Window.partitionBy("f", "part").orderBy("v"))
-        placed = ranged.withColumn("upto", upto).join(F.broadcast(firsts), ["f", "part"]).join(F.broadcast(needs), "f")
-        end = F.col("before") + F.col("upto")
-        hit = F.filter("ranks", lambda r: (r < end) & (r >= end - F.col("n")))
-        at: dict[tuple[str, int], float] = {}
-        for r in placed.select("f", "v", hit.alias("hit")).filter(F.size("hit") > 0).collect():
-            at |= {(r["f"], k): r["v"] for k in r["hit"]}
-    finally:
-        ranged.unpersist()
-
-    def between(f: str, x: float) -> float:
-        lo, hi = at[f, int(x)], at[f, math.ceil(x)]
-        return lo + (hi - lo) * (x - int(x))
-
-    return {n: [between(f, x) for x in ranks[f]] for n, f in zip(names, total, strict=True)}
+    #: by column: {rank: (prefix, rank among the keys with that prefix)} of what is wanted, and the keys found
+    open_ranks: list[dict[int, tuple[int, int]]] = [{} for _ in names]
+    ranks: list[list[float]] = [[] for _ in names]
+    found: list[dict[int, int]] = [{} for _ in names]
+    taken, bits = 0, FIRST_DIGIT
+    while taken < 64 and (not taken or any(open_ranks)):
+        prefixes = [sorted({p for p, _ in some.values()}) for some in open_ranks]
+        asked = wide if not taken else wide.select(*[f"f{i}" for i, some in enumerate(prefixes) if some])
+        parts = asked.mapInArrow(lambda it, p=prefixes, t=taken, b=bits: _digits(it, p, t, b), "f int, at long, n long, low long, high long")
+        sums = parts.groupBy("f", "at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
+        f, at, n, low, high = (c.to_numpy() for c in sums.columns)
+        for i, b in enumerate(bins.values()):
+            mine = np.flatnonzero(f == i)
+            mine = mine[np.argsort(at[mine])]
+            upto, place = np.cumsum(n[mine]), at[mine]
+            if not taken and len(mine):
+                ranks[i] = [(int(upto[-1]) - 1) * k / b for k in range(1, b)]
+                open_ranks[i] = {r: (0, r) for x in ranks[i] for r in (int(x), math.ceil(x))}
+            after = {}
+            for r, (prefix, inside) in open_ranks[i].items():
+                first = (prefixes[i].index(prefix) if taken else 0) << bits
+                before = int(n[mine[: np.searchsorted(place, first)]].sum())
+                k = int(np.searchsorted(upto, before + inside, side="right"))
+                if low[mine[k]] == high[mine[k]]:
+                    found[i][r] = int(low[mine[k]]) + (1 << 63)
+                else:
+                    after[r] = (prefix << bits | int(place[k]) - first, before + inside - int(upto[k] - n[mine[k]]))
+            open_ranks[i] = after
+        taken, bits = taken + bits, DIGIT
+
+    def between(i: int, x: float) -> float:
+        lo, hi = _number(found[i][int(x)]), _number(found[i][math.ceil(x)])
+        return lo if lo == hi or x == int(x) else lo + (hi - lo) * (x - int(x))
+
+    return {name: [between(i, x) for x in ranks[i]] for i, name in enumerate(names)}
 
 
 def category_counts(df: DataFrame, names: list[str]) -> DataFrame:
@@ -235,7 +316,7 @@ def codings_of(stats: dict[str, tuple], values: dict[str, list[str]], bins: dict
 
 
 def code_of(df: DataFrame, c: Coding) -> Column:
-    """The code of a column; null where a value is missing and missing values have no code."""
+    """The code of a column; null where a value is missing and missing values have no code. For many columns, see ``coded``."""
     missing = F.lit(c.missing_code).cast("int")
     if c.kind == "numeric":
         x = as_number(df, c.name)
@@ -250,10 +331,39 @@ def code_of(df: DataFrame, c: Coding) -> Column:
     return F.when(x.isNotNull(), code).otherwise(missing).cast("int")
 
 
+def _codes(batches: Iterator[pa.RecordBatch], codings: list[Coding], names: list[str]) -> Iterator[pa.RecordBatch]:
+    known = [pa.array(list(c.codes), pa.string()) for c in codings]
+    given = [pa.array(np.array(list(c.codes.values()), np.int32)) for c in codings]
+    edges = [np.array(sorted(e for e in c.edges if e == e)) for c in codings]
+    for b in batches:
+        out = []
+        for c, column, texts, codes, cuts in zip(codings, b.columns, known, given, edges, strict=False):
+            if c.kind == "numeric":
+                x = column.to_numpy(zero_copy_only=False)
+                code = pa.array(np.searchsorted(cuts, x, side="right").astype(np.int32), mask=np.isnan(x))
+            else:
+                rest = pa.scalar(c.other_code if c.other_code is not None else 0, pa.int32())
+                code = pc.fill_null(codes.take(pc.index_in(column, texts)), rest)
+                code = pc.if_else(column.is_valid(), code, pa.scalar(None, pa.int32()))
+            out.append(code if c.missing_code is None else pc.fill_null(code, pa.scalar(c.missing_code, pa.int32())))
+        yield pa.RecordBatch.from_arrays([*out, *b.columns[len(codings) :]], names=names)
+
+
+def coded(df: DataFrame, codings: list[Coding], more: tuple[str, ...] = ()) -> DataFrame:
+    """The codes of columns, as ``code_of``, and further columns as they are.
+
+    Codes are looked up in arrays: as expressions, hundreds of comparisons make code that the JVM doesn't compile.
+    """
+    codings = list(codings)
+    given = [(as_number if c.kind == "numeric" else as_text)(df, c.name).alias(f"c{i}") for i, c in enumerate(codings)]
+    kinds = T.StructType([T.StructField(c.name, T.IntegerType()) for c in codings] + [df.schema[m] for m in more])
+    return df.select(*given, *map(_col, more)).mapInArrow(lambda it: _codes(it, codings, kinds.names), kinds)
+
+
 def encoded(df: DataFrame, features: list[Coding], target: Coding, missing: str = "category") -> DataFrame:
-    """All columns as codes, by one projection; with missing="drop" only rows without missing values."""
-    out = df.select(*[code_of(df, c).alias(c.name) for c in (*features, target)])
-    return out.dropna() if missing == "drop" else out
+    """All columns as codes; with missing="drop" only rows without missing values."""
+    out = coded(df, [*features, target])
+    return out.filter(reduce(and_, [_col(c).isNotNull() for c in out.columns])) if missing == "drop" else out
 
 
 def sampled(df: DataFrame, n_rows: int, most: int, seed: int) -> DataFrame:

@@ -69,7 +69,7 @@ def _coded_with_sizes(spark: SparkSession, d: str, *more: str) -> tuple[DataFram
     """The example's codes, and the number of codes of each feature; the target has two."""
     df = _lines(spark, d, *more)
     features, _, _ = _plan(df)
-    return df.select(*[P.code_of(df, c).alias(c.name) for c in features], "y", *more), [c.n_codes for c in features]
+    return P.coded(df, features, ("y", *more)), [c.n_codes for c in features]
 
 
 def _mi_of(coded: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ SELECT feature, round(sum(n / nt * ln(n * nz / (nxz * nyz))), 9) AS cmi FROM w G
 def cmi_two_conditioners(spark, d):
     df = _lines(spark, d, "l_linestatus").withColumn("z", F.floor(F.col("l_discount") * 20))
     features, _, _ = _plan(df)
-    codes = df.select(*[P.code_of(df, c).alias(c.name) for c in features], "y", "l_linestatus", "z")
+    codes = P.coded(df, features, ("y", "l_linestatus", "z"))
     cells = C.given_cells(codes, FEATURES, "y", ["l_linestatus", "z"])
     return cmi_of_cells(cells, ["feature"], "x", "y", ["z0", "z1"]).select("feature", F.round("cmi", 9).alias("cmi"))
 

@@ -325,6 +325,45 @@ def test_many_candidates_with_a_binned_target(spark, k):
         assert got[i, j]["mi"] == pytest.approx(mutual_information(table.sum(axis=1)), abs=1e-12)
 
 
+def test_exact_quantiles_of_close_and_tied_numbers(spark, monkeypatch):
+    """Numbers that differ in their last bits, both signs, zeros of both signs, infinities and ties, with several batches held."""
+    rng = np.random.default_rng(5)
+    near = 1 + np.arange(3000) * 2.0**-52
+    ends = np.concatenate([rng.standard_normal(2990) * 10.0 ** rng.integers(-300, 300, 2990), [0.0, -0.0, np.inf, np.inf, -np.inf, 5e-324, -5e-324, 1.0, 1.0, 1.0]])
+    tied = np.where(rng.random(3000) < 0.9, 7.0, rng.standard_normal(3000))
+    df = spark.createDataFrame([tuple(map(float, r)) for r in zip(rng.permutation(near), rng.permutation(ends), tied, strict=True)], "near double, ends double, tied double")
+    monkeypatch.setattr(P, "_HELD", 100)
+    got = P.exact_quantiles(df.repartition(5), {"near": 1000, "ends": 7, "tied": 20})
+    for name, values, b in (("near", near, 1000), ("ends", ends, 7), ("tied", tied, 20)):
+        order, at = np.sort(values), [2999 * k / b for k in range(1, b)]
+        assert got[name] == [order[int(x)] + (order[int(np.ceil(x))] - order[int(x)]) * (x - int(x)) for x in at]
+
+
+def test_codes_and_quantiles_by_lookup(spark):
+    """Codes are no expressions of hundreds of comparisons, quantiles shuffle no values: the plans grow with the columns only."""
+    df = spark.range(500).select(*[(F.col("id") * (i + 3) % 101).cast("double").alias(f"x{i}") for i in range(12)], (F.col("id") % 2).alias("y"))
+    config = SelectorConfig(target="y", exact_quantiles=True, missing="drop")
+    features, target, _ = P.codings(df, P.kinds_of(df, config), config, "classifier_multiclass")
+    codes = P.encoded(df, features, target, "drop")
+    plan = codes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(">=") < 12 and "MapInArrow" in plan
+    plain = df.select(*[P.code_of(df, c).alias(c.name) for c in (*features, target)])
+    assert sorted(codes.collect()) == sorted(plain.collect())
+
+
+@pytest.mark.parametrize("missing", ["category", "drop"])
+def test_codes_of_odd_values(spark, missing):
+    """Null, NaN, infinities, texts that are no numbers, values beyond the first, dates: as the expressions say."""
+    day = datetime.date(2020, 1, 1)
+    data = [(None, "a", "1.5", None, 0), (float("nan"), "b", "x", day, 1), (float("inf"), None, None, day, 0), (-1.0, "c", "2", day, 1), (2.0, "a", "NaN", None, None), (2.0, "b", "3", datetime.date(2021, 5, 6), 1)]
+    df = spark.createDataFrame(data * 3, "n double, c string, t string, `d.y` date, y int")
+    config = SelectorConfig(target="y", max_categories=2, missing=missing, numeric_features=["t"], exact_quantiles=True)
+    features, target, _ = P.codings(df, P.kinds_of(df, config), config, "classifier_multiclass")
+    plain = df.select(*[P.code_of(df, c).alias(c.name) for c in (*features, target)])
+    wanted = [r for r in map(tuple, plain.collect()) if missing == "category" or None not in r]
+    assert Counter(map(tuple, P.encoded(df, features, target, missing).collect())) == Counter(wanted)
+
+
 def test_exact_quantiles(spark):
     df = spark.range(1000).select((F.col("id") % 7).alias("few"), F.rand(3).alias("many"), F.lit(None).cast("double").alias("none"), F.when(F.col("id") < 1, 2.5).alias("one"))
     got = P.exact_quantiles(df.repartition(4), {"few": 10, "many": 4, "none": 3, "one": 2})
