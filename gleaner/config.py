@@ -30,7 +30,8 @@ class SelectorConfig:
     n_permutations: int = 100
     permutation_rows: int = 50_000
     min_score: float = 1e-4
-    subsample: int = 1_000_000
+    #: Rows from which joint tables are counted; None: all.
+    subsample: int | None = 1_000_000
     estimator: str = "histogram"
     ksg_k: int = 10
     ksg_subsample: int = 250_000
@@ -51,6 +52,8 @@ class SelectorConfig:
     def __post_init__(self) -> None:
         least = {"max_features": 1, "screen_top_k": 1, "bins_target": 2, "max_categories": 1, "n_permutations": 1, "permutation_rows": 100, "subsample": 1000, "ksg_k": 1, "ksg_subsample": 1000, "max_cache_cells": 1000, "cmim_m": 1, "min_score": 0}
         for name, low in least.items():
+            if getattr(self, name) is None and name == "subsample":
+                continue
             if getattr(self, name) < low:
                 raise ValueError(f"{name} must be at least {low}, not {getattr(self, name)}")
         allowed = {"task": TASKS, "missing": ("category", "drop"), "estimator": ("histogram", "ksg"), "cmim_approx": (None, "max_min"), "freedom": ("table", "occupied")}

@@ -89,8 +89,9 @@ class InfoSelector:
             if not short:
                 return SelectorModel([], [], screening.ranking(), self.criterion, n_rows, c.target, task, clock.found)
             picked = [features[i] for i in short]
-            sample = P.sampled(codes, n_rows, c.subsample, c.seed)
-            info = self._matrices(sample, picked, target, screening.mi[short], min(n_rows, c.subsample))
+            most = n_rows if c.subsample is None else min(n_rows, c.subsample)
+            sample = P.sampled(codes, n_rows, most, c.seed)
+            info = self._matrices(sample, picked, target, screening.mi[short], most)
             clock.lap(STAGES[2])
             chosen = self._search(info)
             clock.lap(STAGES[3])

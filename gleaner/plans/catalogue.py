@@ -540,7 +540,7 @@ def greedy_cmim(spark, d):
 
 def _fitted_example(spark: SparkSession, d: str, criterion: str) -> DataFrame:
     """The whole of ``fit`` on the example: profile, codes, screening, joint tables, search."""
-    m = estimator.InfoSelector(criterion, target="y", max_features=3, screen_top_k=5, missing="drop", significance=None, min_score=_LEAST, exact_quantiles=True).fit(_lines(spark, d))
+    m = estimator.InfoSelector(criterion, target="y", max_features=3, screen_top_k=5, missing="drop", significance=None, min_score=_LEAST, exact_quantiles=True, subsample=None).fit(_lines(spark, d))
     return spark.createDataFrame([(k + 1, f, round(s, 9)) for k, (f, s) in enumerate(zip(m.selected_features, m.scores_, strict=True))], "round int, feature string, score double")
 
 
@@ -635,7 +635,7 @@ def _fitted(spark: SparkSession, df: DataFrame, criterion: str = "jmim", **confi
 
 @_query()
 def fit_lineitem(spark, d):
-    return _fitted(spark, table(spark, d, "lineitem").drop("l_orderkey").withColumn("y", F.expr(_TARGET)), max_features=5, screen_top_k=10)
+    return _fitted(spark, table(spark, d, "lineitem").drop("l_orderkey").withColumn("y", F.expr(_TARGET)), max_features=5, screen_top_k=10, subsample=None)
 
 
 _PLANTED = {"x0": "l_partkey % 2", "x1": "l_suppkey % 2", "x2": "l_linenumber % 2", "x3": "l_partkey % 2"}
@@ -654,7 +654,7 @@ SELECT 1 AS place, feature, round(v, 9) AS score FROM one UNION ALL SELECT 2, fe
 def planted_recovery(spark, d):
     """Two parts of a conjunction among a copy and an independent feature, planted in the lines."""
     df = table(spark, d, "lineitem").select(*[F.expr(e).alias(n) for n, e in _PLANTED.items()], F.expr(_BOTH).alias("y"))
-    return _fitted(spark, df, max_features=2, screen_top_k=4).withColumn("score", F.round("score", 9))
+    return _fitted(spark, df, max_features=2, screen_top_k=4, subsample=None).withColumn("score", F.round("score", 9))
 
 
 @_query()
