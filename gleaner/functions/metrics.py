@@ -51,9 +51,10 @@ def auc_of_cells(cells: DataFrame, by: list[str] = ()) -> DataFrame:
     return sums.select(*by, F.when((F.col("pos") > 0) & (F.col("neg") > 0), F.col("won") / F.col("pos") / F.col("neg")).otherwise(F.lit(0.5)).alias("auc"))
 
 
-def auc_of_rows(df: DataFrame, positive: Column, score: Column) -> DataFrame:
-    """One row, ``auc``."""
-    return auc_of_cells(df.groupBy(score.alias("s")).agg(F.sum(positive.cast("long")).alias("p"), F.count("*").alias("n")))
+def auc_of_rows(df: DataFrame, positive: Column, score: Column, weight: Column | None = None) -> DataFrame:
+    """One row, ``auc``. ``weight``: for how many rows a row stands."""
+    n = F.lit(1) if weight is None else weight
+    return auc_of_cells(df.groupBy(score.alias("s")).agg(F.sum(F.when(positive, n).otherwise(0).cast("long")).alias("p"), F.sum(n.cast("long")).alias("n")))
 
 
 def macro_auc_of_rows(df: DataFrame, label: Column, scores: Column) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from multiprocessing.pool import ThreadPool
 from typing import Any, Protocol
@@ -13,14 +14,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.config import TASKS
+from gleaner.config import TASKS, SelectorConfig
 from gleaner.functions.metrics import auc_of_rows, macro_auc_of_rows, r2_of_rows
-from gleaner.operators.profile import as_text, task_of
+from gleaner.operators.profile import NUMBERS, as_text, coded, codings_of, number_stats, task_of
 
 #: Older names of the tasks.
 _OLD_NAMES = {"classification": "classifier_multiclass", "regression": "continuous", None: "auto"}
 
 
+#: Column of a counted table: for how many rows a row stands.
+_ROWS = "rows that are so"
+
+
 class ModelFactory(Protocol):
     """Trains on (features, label) and returns the rows with ``probability`` (a vector) or ``prediction``."""
 
@@ -33,16 +38,20 @@ class GbtFactory:
     """Boosted trees; with more than two classes, which Spark's don't know, a random forest."""
 
     name = "gbt"
+    #: Bins into which trees cut a number. Of two classes, rows in the same bins may come as one row with the column ``weight``.
+    bins = 64
 
     def train(self, df_vec: DataFrame, task: str, label_col: str) -> DataFrame:
         from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
         from pyspark.ml.regression import GBTRegressor
 
         if task == "continuous":
-            model = GBTRegressor(labelCol=label_col, maxBins=64, seed=42)
+            model = GBTRegressor(labelCol=label_col, maxBins=self.bins, seed=42)
         else:
             two = df_vec.agg(F.max(label_col)).first()[0] <= 1
-            model = (GBTClassifier if two else RandomForestClassifier)(labelCol=label_col, maxBins=64, seed=42)
+            model = (GBTClassifier if two else RandomForestClassifier)(labelCol=label_col, maxBins=self.bins, seed=42)
+        if "weight" in df_vec.columns:
+            model = model.setWeightCol("weight")
         return model.fit(df_vec).transform(df_vec)
 
 
@@ -82,7 +91,7 @@ def _task(df: DataFrame, target: str, task: str | None) -> str:
 
 def _vectors(df: DataFrame, features: list[str], target: str, task: str) -> DataFrame:
     """(features, label): texts, dates and times are indexed by frequency, a class label by its order; nulls are kept."""
-    cols, words = [], []
+    cols, words = [F.col(_ROWS).cast("double").alias("weight")] if _ROWS in df.columns else [], []
     for i, f in enumerate(features):
         kind = df.schema[f].dataType
         if isinstance(kind, (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)):
@@ -99,11 +108,31 @@ def _vectors(df: DataFrame, features: list[str], target: str, task: str) -> Data
     if words:
         out = StringIndexer(inputCols=words, outputCols=[f"{w}_code" for w in words], handleInvalid="keep").fit(out).transform(out)
     inputs = [f"f{i}_code" if f"f{i}" in words else f"f{i}" for i in range(len(features))]
-    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(out).select("features", "label")
+    return VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep").transform(out).select("features", "label", *(["weight"] if _ROWS in df.columns else []))
+
 
+#: Trainings that run side by side; combinations of bins up to which rows are counted before trees are trained.
+PARALLEL, KINDS = 4, 1 << 18
 
-#: Trainings that run side by side.
-PARALLEL = 4
+
+def _counted(df: DataFrame, features: list[str], target: str, bins: int) -> DataFrame | None:
+    """(features as bins, target, rows) by one grouped count, if all features are numbers with KINDS combinations at most and the target has two classes.
+
+    Trees cut numbers into bins first and then use nothing but the bins, so rows in the same bins with one target are as good as one row with a weight.
+    """
+    if target in features or any(not isinstance(df.schema[f].dataType, NUMBERS) for f in features):
+        return None
+    stats, _ = number_stats(df.filter(F.col(f"`{target}`").isNotNull()), dict.fromkeys(features, bins))
+    config = SelectorConfig(target=target, bins=bins, missing="drop")
+    cuts, _ = codings_of(stats, {target: []}, dict.fromkeys(features, bins), dict.fromkeys(features, "numeric"), config, TASKS[2])
+    if math.prod(c.n_codes + 1 for c in cuts) > KINDS:
+        return None
+    kinds = coded(df, cuts, (target,)).filter(F.col(f"`{target}`").isNotNull())
+    counts = kinds.groupBy(*[f"`{c}`" for c in kinds.columns]).agg(F.count("*").alias(_ROWS)).persist(StorageLevel.MEMORY_AND_DISK)
+    if len(counts.select(f"`{target}`").distinct().take(3)) == 2:
+        return counts
+    counts.unpersist()
+    return None
 
 
 class Trainings:
@@ -117,26 +146,33 @@ class Trainings:
         self.task, self.parallel = _task(df, target, task), max(1, parallel)
         self.factory = make_model_factory(model) if isinstance(model, str) else model
         self.place = {f: i for i, f in enumerate(dict.fromkeys(features))}
-        self.vectors = _vectors(df, list(self.place), target, self.task).persist(StorageLevel.MEMORY_AND_DISK)
+        self.counts = None
+        if self.task != "continuous" and self.place and isinstance(self.factory, GbtFactory):
+            self.counts = _counted(df, list(self.place), target, self.factory.bins)
+        vectors = _vectors(df if self.counts is None else self.counts, list(self.place), target, self.task)
+        self.vectors = (vectors if self.counts is None else vectors.coalesce(1)).persist(StorageLevel.MEMORY_AND_DISK)
 
     def __enter__(self) -> Trainings:
         return self
 
     def __exit__(self, *_) -> None:
         self.vectors.unpersist()
+        if self.counts is not None:
+            self.counts.unpersist()
 
     def worth(self, features: list[str]) -> float:
         """AUC (macro for more classes) or R2 of a model on its training rows. Metrics are aggregates: no rows reach the driver."""
         sliced = self.vectors
         if (at := [self.place[f] for f in features]) != list(range(len(self.place))):
-            sliced = VectorSlicer(inputCol="features", outputCol="some", indices=at).transform(self.vectors).select(F.col("some").alias("features"), "label")
+            sliced = VectorSlicer(inputCol="features", outputCol="some", indices=at).transform(self.vectors).drop("features").withColumnRenamed("some", "features")
         rows = self.factory.train(sliced, self.task, "label")
         if self.task == "continuous":
             return float(r2_of_rows(rows, F.col("label"), F.col("prediction")).first()[0])
-        rows = rows.select("label", vector_to_array("probability").alias("p")).cache()
+        weight = F.lit(1) if self.counts is None else F.col("weight")
+        rows = rows.select("label", vector_to_array("probability").alias("p"), weight.alias("weight")).cache()
         try:
             width = rows.select(F.max(F.size("p"))).first()[0] or 0
-            found = auc_of_rows(rows, F.col("label") == 1, F.col("p")[1]) if width == 2 else macro_auc_of_rows(rows, F.col("label"), F.col("p"))
+            found = auc_of_rows(rows, F.col("label") == 1, F.col("p")[1], F.col("weight")) if width == 2 else macro_auc_of_rows(rows, F.col("label"), F.col("p"))
             value = found.first()[0]
             return 0.5 if value is None else float(value)
         finally:

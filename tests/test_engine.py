@@ -326,6 +326,19 @@ def test_many_candidates_with_a_binned_target(spark, k):
         assert got[i, j]["mi"] == pytest.approx(mutual_information(table.sum(axis=1)), abs=1e-12)
 
 
+def test_trees_are_trained_on_counts(spark, monkeypatch):
+    """Two classes of numbers: rows in the same bins come as one with a weight; the worth is that of the rows."""
+    evaluate = catalogue.evaluate
+    df = spark.range(6000).select((F.col("id") % 7).cast("double").alias("a"), (F.col("id") % 5).alias("b"), ((F.col("id") % 7 + F.col("id") % 5 + F.hash("id") % 4) > 5).cast("int").alias("y"))
+    with evaluate.Trainings(df, ["a", "b"], "y") as t:
+        counted = t.all_of([["b"], ["b", "a"]])
+        assert t.vectors.count() <= 7 * 5 * 2 and t.vectors.agg(F.sum("weight")).first()[0] == 6000
+    monkeypatch.setattr(evaluate, "KINDS", 0)
+    with evaluate.Trainings(df, ["a", "b"], "y") as t:
+        assert t.vectors.count() == 6000
+        assert counted == pytest.approx(t.all_of([["b"], ["b", "a"]]), abs=1e-9) and counted[0] < counted[1]
+
+
 @pytest.mark.parametrize("query", ["planted_recovery", "fit_mrmr", "fit_cmim"])
 def test_fits_count_all_rows(spark, monkeypatch, query):
     """The fits that have SQL count joint tables over all rows, also where there are more than the selector's default sample."""
