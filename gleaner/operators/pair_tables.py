@@ -68,7 +68,7 @@ class Tiles:
 def _packed(batches: Iterator[pa.RecordBatch], tiles: Tiles, shards: int) -> Iterator[pa.RecordBatch]:
     """(task, block, data): each block's columns of BATCH rows, and the target, as the smallest whole numbers that hold them."""
     wide = [*tiles.wide, tiles.y]
-    kind = np.min_scalar_type(max(wide) - 1)
+    kind, null = np.min_scalar_type(max(wide) - 1), np.array(wide)[:, None] - 1
     held, rows, n = [], 0, 0
 
     def out() -> Iterator[pa.RecordBatch]:
@@ -80,7 +80,8 @@ def _packed(batches: Iterator[pa.RecordBatch], tiles: Tiles, shards: int) -> Ite
     for b in batches:
         for at in range(0, b.num_rows, BATCH):
             some = b.slice(at, BATCH)
-            held.append(np.stack([pc.fill_null(c, w - 1).to_numpy(zero_copy_only=False).astype(kind) for c, w in zip(some.columns, wide, strict=True)]))
+            codes = pc.fill_null(some.column(0).flatten(), -1).to_numpy(zero_copy_only=False).reshape(-1, len(wide)).T
+            held.append(np.where(codes < 0, null, codes).astype(kind))
             rows += some.num_rows
             if rows >= BATCH:
                 yield from out()
@@ -216,7 +217,8 @@ def _tables(codes: DataFrame, features: list[str], target: str, sizes: list[int]
     rows = codes.count() if rows is None else rows
     shards = max(1, -(-rows // SHARD_ROWS))
     tiles = Tiles(sizes, target_size, -(-2 * spark.sparkContext.defaultParallelism // shards), block_cells or BLOCK_CELLS)
-    ints = codes.select(*[_col(c).cast("int").alias(f"c{k}") for k, c in enumerate((*features, target))])
+    # as one array: for each row, Spark sums up the buffers of every column that goes to a task of ``mapInArrow``
+    ints = codes.select(F.array(*[_col(c).cast("int") for c in (*features, target)]).alias("codes"))
     dealt = ints.mapInArrow(lambda it: _packed(it, tiles, shards), "task int, block int, data binary")
     dealt = dealt.repartitionById(len(tiles.blocks) * shards, F.col("task"))
     if shards == 1:

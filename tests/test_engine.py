@@ -463,3 +463,24 @@ def test_efficiency_prefix_uses_every_line(spark, monkeypatch):
     monkeypatch.setattr(catalogue.evaluate, "efficiency_curve", lambda df, order, target: seen.append(df.count()) or [(k + 1, 0.5) for k in range(len(order))])
     assert catalogue.QUERIES["efficiency_prefix"](spark, "/root/testdata/sf0.001").count() == 2
     assert seen == [spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()] and seen[0] > 5000
+
+
+def _sent_to_tasks(df) -> list[str]:
+    """Names of the columns that go to the first step of ``mapInArrow`` in a plan."""
+    node = df._jdf.queryExecution().optimizedPlan()
+    found = None
+    while True:
+        if node.nodeName() == "MapInArrow":
+            found = node.children().apply(0)
+        if not node.children().size():
+            break
+        node = node.children().apply(0)
+    return [found.output().apply(i).name() for i in range(found.output().size())]
+
+
+def test_joint_tables_take_one_column_to_the_tasks(spark):
+    """For each row, Spark sums up the buffers of every column that goes to a task: codes go as one array. Null is a code of its own."""
+    df = spark.createDataFrame([(0, None, 1), (1, 2, None), (0, None, 1), (None, 0, 0)], "a int, b int, y int")
+    cells = T.pair_cells(df.repartition(3), ["a", "b"], "y", [2, 3], 2, 4)
+    assert sorted(map(tuple, cells.collect()), key=str) == sorted([(0, 1, 0, None, 1, 2), (0, 1, 1, 2, None, 1), (0, 1, None, 0, 0, 1)], key=str)
+    assert _sent_to_tasks(cells) == ["codes"]
