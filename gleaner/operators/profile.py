@@ -142,9 +142,19 @@ def number_stats(df: DataFrame, bins: dict[str, int], exact: bool = False) -> tu
     return {n: (row[i + 1]["lo"], row[i + 1]["hi"], quantiles[n]) for i, n in enumerate(bins)}, row["rows"]
 
 
-def _ordered(values: pa.Array) -> np.ndarray:
+def side_by_side(columns: list[Column], kind: str) -> Column:
+    """Numbers of a row as one array. To the tasks of ``mapInArrow``, many columns cost much more: Spark sums up the buffers of every column for each row."""
+    return F.array(*columns).cast(f"array<{kind}>")
+
+
+def numbers_of(column: pa.Array, width: int) -> np.ndarray:
+    """The numbers of ``side_by_side``, a row each; null is NaN."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
     """The numbers that are there as unsigned 64-bit keys in the same order."""
-    bits = (values.drop_null().to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+    bits = (values[~np.isnan(values)] + 0.0).view(np.int64)
     return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.uint64) ^ np.uint64(1 << 63)
 
 
@@ -184,16 +194,16 @@ class _Digits:
 def _digits(batches: Iterator[pa.RecordBatch], prefixes: list[list[int]], taken: int, bits: int) -> Iterator[pa.RecordBatch]:
     """(f, at, n, low, high) of a task: ``at`` numbers prefixes and digits; low and high are equal where only one key occurs."""
     found = {f: _Digits(some, taken, bits) for f, some in enumerate(prefixes) if some or not taken}
-    held: list[pa.RecordBatch] = []
+    held: list[np.ndarray] = []
     rows = 0
 
     def take() -> None:
         for i, d in enumerate(found.values()):
-            d.add(np.concatenate([_ordered(b.column(i)) for b in held]))
+            d.add(np.concatenate([_ordered(x[:, i]) for x in held]))
         held.clear()
 
     for b in batches:
-        held.append(b)
+        held.append(numbers_of(b.column(0), len(found)))
         rows += b.num_rows
         if rows >= _HELD:
             take()
@@ -217,7 +227,7 @@ def exact_quantiles(df: DataFrame, bins: dict[str, int]) -> dict[str, list[float
     names = list(bins)
     if not names:
         return {}
-    wide = df.select(*[as_number(df, n).alias(f"f{i}") for i, n in enumerate(names)])
+    wide = [as_number(df, n) for n in names]
     #: by column: {rank: (prefix, rank among the keys with that prefix)} of what is wanted, and the keys found
     open_ranks: list[dict[int, tuple[int, int]]] = [{} for _ in names]
     ranks: list[list[float]] = [[] for _ in names]
@@ -225,8 +235,8 @@ def exact_quantiles(df: DataFrame, bins: dict[str, int]) -> dict[str, list[float
     taken, bits = 0, FIRST_DIGIT
     while taken < 64 and (not taken or any(open_ranks)):
         prefixes = [sorted({p for p, _ in some.values()}) for some in open_ranks]
-        asked = wide if not taken else wide.select(*[f"f{i}" for i, some in enumerate(prefixes) if some])
-        parts = asked.mapInArrow(lambda it, p=prefixes, t=taken, b=bits: _digits(it, p, t, b), "f int, at long, n long, low long, high long")
+        asked = [x for x, some in zip(wide, prefixes, strict=True) if some or not taken]
+        parts = df.select(side_by_side(asked, "double").alias("x")).mapInArrow(lambda it, p=prefixes, t=taken, b=bits: _digits(it, p, t, b), "f int, at long, n long, low long, high long")
         sums = parts.groupBy("f", "at").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow()
         f, at, n, low, high = (c.to_numpy() for c in sums.columns)
         for i, b in enumerate(bins.values()):
@@ -332,21 +342,26 @@ def code_of(df: DataFrame, c: Coding) -> Column:
 
 
 def _codes(batches: Iterator[pa.RecordBatch], codings: list[Coding], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Of rows of the numbers side by side, the texts, and further columns."""
+    numeric = [c.kind == "numeric" for c in codings]
+    place = np.where(numeric, np.cumsum(numeric), np.cumsum(~np.array(numeric))) - 1
     known = [pa.array(list(c.codes), pa.string()) for c in codings]
     given = [pa.array(np.array(list(c.codes.values()), np.int32)) for c in codings]
     edges = [np.array(sorted(e for e in c.edges if e == e)) for c in codings]
     for b in batches:
         out = []
-        for c, column, texts, codes, cuts in zip(codings, b.columns, known, given, edges, strict=False):
+        numbers = numbers_of(b.column(0), sum(numeric)) if any(numeric) else None
+        for c, at, texts, codes, cuts in zip(codings, place, known, given, edges, strict=True):
             if c.kind == "numeric":
-                x = column.to_numpy(zero_copy_only=False)
+                x = numbers[:, at]
                 code = pa.array(np.searchsorted(cuts, x, side="right").astype(np.int32), mask=np.isnan(x))
             else:
+                column = b.column(int(at) + any(numeric))
                 rest = pa.scalar(c.other_code if c.other_code is not None else 0, pa.int32())
                 code = pc.fill_null(codes.take(pc.index_in(column, texts)), rest)
                 code = pc.if_else(column.is_valid(), code, pa.scalar(None, pa.int32()))
             out.append(code if c.missing_code is None else pc.fill_null(code, pa.scalar(c.missing_code, pa.int32())))
-        yield pa.RecordBatch.from_arrays([*out, *b.columns[len(codings) :]], names=names)
+        yield pa.RecordBatch.from_arrays([*out, *b.columns[any(numeric) + numeric.count(False) :]], names=names)
 
 
 def coded(df: DataFrame, codings: list[Coding], more: tuple[str, ...] = ()) -> DataFrame:
@@ -355,7 +370,9 @@ def coded(df: DataFrame, codings: list[Coding], more: tuple[str, ...] = ()) -> D
     Codes are looked up in arrays: as expressions, hundreds of comparisons make code that the JVM doesn't compile.
     """
     codings = list(codings)
-    given = [(as_number if c.kind == "numeric" else as_text)(df, c.name).alias(f"c{i}") for i, c in enumerate(codings)]
+    numbers = [as_number(df, c.name) for c in codings if c.kind == "numeric"]
+    given = [side_by_side(numbers, "double").alias("numbers")] if numbers else []
+    given += [as_text(df, c.name).alias(f"c{i}") for i, c in enumerate(codings) if c.kind != "numeric"]
     kinds = T.StructType([T.StructField(c.name, T.IntegerType()) for c in codings] + [df.schema[m] for m in more])
     return df.select(*given, *map(_col, more)).mapInArrow(lambda it: _codes(it, codings, kinds.names), kinds)
 

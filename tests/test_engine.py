@@ -484,3 +484,17 @@ def test_joint_tables_take_one_column_to_the_tasks(spark):
     cells = T.pair_cells(df.repartition(3), ["a", "b"], "y", [2, 3], 2, 4)
     assert sorted(map(tuple, cells.collect()), key=str) == sorted([(0, 1, 0, None, 1, 2), (0, 1, 1, 2, None, 1), (0, 1, None, 0, 0, 1)], key=str)
     assert _sent_to_tasks(cells) == ["codes"]
+
+
+def test_numbers_go_to_the_tasks_as_one_column(spark):
+    """As in joint tables; numbers and texts by turns, missing ones among them, a column without numbers, and no numbers at all."""
+    rows_ = [(float(i) if i % 5 else None, "ab"[i % 2] if i % 3 else None, i, float("nan") if i % 4 else 0.5, None, i) for i in range(60)]
+    df = spark.createDataFrame(rows_, "u double, t string, v int, w double, e double, more long")
+    config = SelectorConfig(target="t", exact_quantiles=True)
+    features, target, _ = P.codings(df, {"u": "numeric", "v": "numeric", "w": "numeric", "e": "numeric"}, config, "classifier_multiclass")
+    every = [features[0], target, *features[1:]]
+    got = P.coded(df.repartition(3), every, ("more",))
+    plain = df.select(*[P.code_of(df, c).alias(c.name) for c in every], "more")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[-1]) == sorted(map(tuple, plain.collect()), key=lambda r: r[-1])
+    assert _sent_to_tasks(got) == ["numbers", "c1", "more"]
+    assert sorted(r[0] for r in P.coded(df, [target]).collect()) == sorted(r["t"] for r in plain.collect())
