@@ -45,7 +45,7 @@ SHARD_TOKENS, RATE = 1_500_000, 0.01
 #: Numbers of a model in a row, so that no row, and no sort of them, grows with the model.
 PIECE = 1 << 15
 #: Outputs (rows by classes) that are handled at a time, so that they stay in the cache; rows of inputs that are moved at a time.
-CELLS, ROWS = 1 << 16, 512
+CELLS, ROWS = 1 << 17, 512
 #: Words of a lexicon that are moved together.
 MOVED = 2048
 #: Uses of an input in a window from which its slopes are summed by themselves.
@@ -171,15 +171,15 @@ class Lexicon:
         self.shapes = np.array([_shape(w) for w, _ in frequent], np.int16)
 
     def coded(self, words: pa.Array) -> np.ndarray:
-        """Place of each word among the frequent ones, or -1 - shape; each kind is looked up once."""
-        kinds = words.dictionary_encode()
-        codes = pc.fill_null(pc.index_in(kinds.dictionary, value_set=self.sought), -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        """Place of each word among the frequent ones, or -1 - shape; each kind that isn't sought in arrays is looked up once."""
+        codes = pc.fill_null(pc.index_in(words, value_set=self.sought), -1).to_numpy(zero_copy_only=False).astype(np.int32)
         missed = np.flatnonzero(codes < 0)
+        kinds = words.take(pa.array(missed)).dictionary_encode()
+        of_kind = -1 - _shapes(kinds.dictionary).astype(np.int32)
         if len(self.code) > len(self.sought):
-            codes[missed] = [self.code.get(w, -1) for w in kinds.dictionary.take(pa.array(missed)).to_pylist()]
-            missed = np.flatnonzero(codes < 0)
-        codes[missed] = -1 - _shapes(kinds.dictionary)[missed]
-        return codes[kinds.indices.to_numpy()] if len(words) else codes
+            of_kind = np.array([self.code.get(w, c) for w, c in zip(kinds.dictionary.to_pylist(), of_kind.tolist(), strict=True)], np.int32)
+        codes[missed] = of_kind[kinds.indices.to_numpy()]
+        return codes
 
 
 class Softmaxes:
@@ -188,7 +188,7 @@ class Softmaxes:
     def __init__(self, x: np.ndarray, w: np.ndarray, at: list[int], edge: np.ndarray, out: np.ndarray):
         """Logits are x @ w.T, the last column of both being ones and biases; out: the output that came, of all outputs."""
         n, width = np.diff(at), np.diff(edge)
-        self.x, self.w = x, w
+        self.x, self.w = x, w.T
         self.edge, self.at = edge.tolist(), at
         self.begin = np.concatenate([[0], np.cumsum(np.repeat(width, n))])
         self.own = self.begin[:-1] + out - np.repeat(edge[:-1], n)
@@ -200,15 +200,17 @@ class Softmaxes:
         some: list[tuple[int, int, int, int]] = []
         n = 0
         for c in np.flatnonzero(np.diff(self.at)).tolist():
-            lo, hi, last = self.edge[c], self.edge[c + 1], self.at[c + 1]
-            step = max(1, cells // (hi - lo)) if rows else last
-            for i in range(self.at[c], last, step):
-                j = min(i + step, last)
-                if some and n + (j - i) * (hi - lo) > cells:
+            i, last, lo, hi = self.at[c], self.at[c + 1], self.edge[c], self.edge[c + 1]
+            size = hi - lo
+            step = max(1, cells // size) if rows else last - i
+            while i < last:
+                j = i + step if i + step < last else last
+                n += (j - i) * size
+                if n > cells and some:
                     yield some
-                    some, n = [], 0
+                    some, n = [], (j - i) * size
                 some.append((i, j, lo, hi))
-                n += (j - i) * (hi - lo)
+                i = j
         if some:
             yield some
 
@@ -225,12 +227,13 @@ class Softmaxes:
         flat, begin, own, tables = self.space[:size], self.begin[i:j] - start, self.own[i:j] - start, []
         n = 0
         for a, b, lo, hi in blocks:
-            tables.append(flat[n : n + (b - a) * (hi - lo)].reshape(b - a, hi - lo))
-            n += tables[-1].size
+            end = n + (b - a) * (hi - lo)
+            tables.append(flat[n:end].reshape(b - a, hi - lo))
+            n = end
 
         def fill() -> None:
             for (a, b, lo, hi), f in zip(blocks, tables, strict=True):
-                np.dot(self.x[a:b], self.w[lo:hi].T, out=f)
+                self.x[a:b].dot(self.w[:, lo:hi], f)
 
         fill()
         picked = flat[own]
@@ -266,19 +269,21 @@ class Model:
         self.p |= {"g": normal(lexicon.groups, h), "gb": lexicon.group_bias.astype(np.float32)}
         self.l = lexicon
 
-    def step(self, x: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, ...]:
-        h = STATE
-        g = s @ self.p["u"]
-        zr = x[:, : 2 * h] + g[:, : 2 * h]
-        zr *= np.float32(0.5)  # 1 / (1 + exp(-x)) by way of tanh
-        np.tanh(zr, out=zr)
-        zr *= np.float32(0.5)
-        zr += np.float32(0.5)
-        z, r, gn = zr[:, :h].copy(), zr[:, h:].copy(), g[:, 2 * h :].copy()  # whole arrays are quicker than columns
+    @np.errstate(over="ignore")  # of exponentials that a chance of 0 comes from
+    def step(self, x: np.ndarray, s: np.ndarray, out: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """The next states (in ``out``), and what their slopes are made of."""
+        h, u = STATE, self.p["u"]
+        zr, gn = s @ u[:, : 2 * h], s @ u[:, 2 * h :]
+        zr += x[:, : 2 * h]
+        np.negative(zr, out=zr)  # 1 / (1 + exp(-x)), whose exponential takes half as long as a tanh
+        np.exp(zr, out=zr)
+        zr += np.float32(1)
+        np.divide(np.float32(1), zr, out=zr)
+        z, r = zr[:, :h].copy(), zr[:, h:].copy()  # whole arrays are quicker than columns
         n = r * gn
         n += x[:, 2 * h :]
         np.tanh(n, out=n)
-        new = s - n
+        new = np.subtract(s, n, out=out)
         new *= z
         new += n
         return new, z, r, n, gn
@@ -397,8 +402,7 @@ def scored(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             if start[t].any():
                 s = np.where(start[t][:, None], np.float32(0), s)
                 before = np.where(start[t], k + SHAPES, before)
-            s = model.step(model.p["x"][before], s)[0]
-            states[t] = s
+            s = model.step(np.take(model.p["x"], before, axis=0), s, states[t])[0]
             before = rows[t]
         real = np.flatnonzero(owner.ravel() >= 0)
         waiting.append((owner.ravel()[real], states.reshape(-1, STATE)[real], out_class.ravel()[real], np.where(inside, code, -1).ravel()[real]))
@@ -460,9 +464,8 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             if (new_text := start[t].any()):
                 s = np.where(start[t][:, None], np.float32(0), s)
                 before = np.where(start[t], k + SHAPES, before)
-            new, z, r, n, gn = model.step(np.take(p["x"], before, axis=0), s)
+            new, z, r, n, gn = model.step(np.take(p["x"], before, axis=0), s, states[t])
             kept.append((before, s, z, r, n, gn, start[t] if new_text else None))
-            states[t] = new
             s, before = new, rows[t]
         states = states.reshape(-1, h)
         real = np.flatnonzero(owner.ravel() >= 0)
@@ -472,19 +475,23 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         order, of_group, of_class = model.by_class(out_class.ravel()[real])
         real = real[order]
         x, cls, word = _and_one(states[real]), out_class.ravel()[real], code.ravel()[real]
-        g = {n: np.zeros_like(p[n]) for n in ("c", "g", "u")}
-        dx = np.zeros_like(x)
+        g = {n: np.zeros_like(p[n]) for n in ("c", "g")}
+        dx = np.empty_like(x)
         for name, at, edge, out in (("g", [0, len(x)], np.array([0, lex.groups]), lex.group[cls]), ("c", of_group, lex.group_edge, cls)):
             soft = Softmaxes(x, p[name], at, edge, out)
             for blocks in soft.parts(CELLS):
                 tables, share = soft.slopes(blocks, scale)
                 first = blocks[0][0]
-                shared = x[first : blocks[-1][1]] * share
                 for (i, j, lo, hi), f in zip(blocks, tables, strict=True):
-                    dx[i:j] += (f @ p[name][lo:hi]) * share[i - first : j - first]
-                    g[name][lo:hi] += f.T @ shared[i - first : j - first]
+                    f *= share[i - first : j - first]  # fewer numbers than the products have
+                    if name == "g":
+                        f.dot(p[name], dx[i:j])
+                    else:
+                        dx[i:j] += f.dot(p[name][lo:hi])
+                    g[name][lo:hi] += f.T.dot(x[i:j])
         n = of_class[-1]  # rows of the lexicon's words come first
-        soft = Softmaxes(x[:n], p["w"], of_class, lex.edge, word[:n])
+        w, most = p["w"], len(slope)
+        soft = Softmaxes(x[:n], w, of_class, lex.edge, word[:n])
         shares, back = np.empty((n, 1), np.float32), np.empty((n, h + 1), np.float32)
         begun = ended = 0
         for blocks in soft.parts(CELLS, rows=False):
@@ -493,12 +500,12 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             shares[first : blocks[-1][1]] = share
             shared = x[first : blocks[-1][1]] * share
             for (i, j, lo, hi), f in zip(blocks, tables, strict=True):
-                np.dot(f, p["w"][lo:hi], out=back[i:j])
-                if lo != ended or hi - begun > len(slope):  # words of adjoining classes are moved together, when all that read them are done
+                f.dot(w[lo:hi], back[i:j])
+                if lo != ended or hi - begun > most:  # words of adjoining classes are moved together, when all that read them are done
                     move("w", slice(begun, ended), slope[: ended - begun])
                     begun = lo
                 ended = hi
-                np.dot(f.T, shared[i - first : j - first], out=slope[lo - begun : hi - begun])
+                f.T.dot(shared[i - first : j - first], slope[lo - begun : hi - begun])
         move("w", slice(begun, ended), slope[: ended - begun])
         back *= shares
         dx[:n] += back
@@ -506,9 +513,11 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
         full[real] = dx[:, :h]
         full = full.reshape(len(kept), -1, h)
         ds = np.zeros_like(s)
-        inner, dg = np.empty((len(kept), live, 3 * h), np.float32), np.empty((live, 3 * h), np.float32)
+        # slopes of what the gates and the candidate are made of; of what the state adds to the candidate
+        inner, dgn = np.empty((len(kept), live, 3 * h), np.float32), np.empty((len(kept), live, h), np.float32)
+        by_gates, by_candidate = p["u"][:, : 2 * h].T, p["u"][:, 2 * h :].T
         for i in range(len(kept) - 1, -1, -1):
-            b, s0, z, r, n, gn, new_text = kept[i]
+            _, s0, z, r, n, gn, new_text = kept[i]
             d = full[i] + ds
             keep = 1 - z
             dn = d * keep
@@ -517,20 +526,22 @@ def learnt(model: Model, codes: list[np.ndarray], shapes: list[np.ndarray], lane
             dn *= more
             keep *= z
             keep *= d
-            keep *= s0 - n
-            dg[:, :h] = keep
+            np.subtract(s0, n, out=more)
+            at = inner[i]
+            np.multiply(keep, more, out=at[:, :h])
+            np.multiply(dn, r, out=dgn[i])
             np.subtract(1, r, out=more)
-            more *= r
             more *= gn
-            more *= dn
-            dg[:, h : 2 * h] = more
-            np.multiply(dn, r, out=dg[:, 2 * h :])
-            inner[i, :, : 2 * h], inner[i, :, 2 * h :] = dg[:, : 2 * h], dn
-            g["u"] += s0.T @ dg
+            np.multiply(more, dgn[i], out=at[:, h : 2 * h])
+            at[:, 2 * h :] = dn
             d *= z
-            d += dg @ p["u"].T
+            d += at[:, : 2 * h] @ by_gates
+            d += dgn[i] @ by_candidate
             ds = d if new_text is None else np.where(new_text[:, None], np.float32(0), d)
-        used, moved = _sums(inner.reshape(-1, 3 * h), np.concatenate([x[0] for x in kept]))
+        inner = inner.reshape(-1, 3 * h)
+        read = np.concatenate([x[1] for x in kept]).T
+        g["u"] = np.concatenate([read @ inner[:, : 2 * h], read @ dgn.reshape(-1, h)], axis=1)
+        used, moved = _sums(inner, np.concatenate([x[0] for x in kept]))
         for i in range(0, len(used), ROWS):
             move("x", used[i : i + ROWS], moved[i : i + ROWS])
         for name, v in g.items():

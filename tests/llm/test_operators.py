@@ -412,6 +412,43 @@ def test_a_token_meets_few_outputs():
     assert sum(cells) / len(word) < lexicon.outputs
 
 
+def test_gates_take_no_tanh():
+    """A tanh takes twice as long as an exponential: only the candidate, STATE numbers a token, needs one."""
+    model, codes, shapes = small_model()
+    cells, tanh = [], np.tanh
+    class Numpy:  # counts what tanh is taken of
+        def __getattr__(self, name):
+            return (lambda x, **more: cells.append(np.size(x)) or tanh(x, **more)) if name == "tanh" else getattr(np, name)
+    real, recurrent_lm.np = recurrent_lm.np, Numpy()
+    try:
+        recurrent_lm.scored(model, codes, shapes, lanes=1)
+        recurrent_lm.learnt(model, codes, shapes, lanes=1)
+    finally:
+        recurrent_lm.np = real
+    assert sum(cells) == 2 * recurrent_lm.STATE * sum(map(len, codes))
+
+
+def test_gates_far_from_0_are_open_or_shut():
+    model, _, _ = small_model()
+    h, s = recurrent_lm.STATE, np.linspace(-1, 1, recurrent_lm.STATE, dtype=np.float32)[None]
+    x = np.zeros((1, 3 * h), np.float32)
+    with np.errstate(all="raise", under="ignore"):
+        for far, want in ((200, s), (-200, np.tanh(x[:, 2 * h :]))):  # z is 1: the state stays; 0: the candidate takes its place
+            x[:, :h], x[:, h : 2 * h] = far, -200
+            new, z, r, _, _ = model.step(x, s)
+            assert new.tolist() == want.tolist() and set(z.ravel()) == {far > 0} and r.max() < 1e-38
+
+
+def test_words_that_are_known_are_coded_without_a_dictionary(monkeypatch):
+    lexicon = recurrent_lm.Lexicon([(f"w{i}".encode(), 9 - i) for i in range(8)] + [(b"\n", 1)], 50, 9, {})
+    words = pa.array([b"w1", b"other", b"w7", b"x", b"other", b"w1"] * 50, pa.large_binary())
+    sought, index_in = [], recurrent_lm.pc.index_in
+    monkeypatch.setattr(recurrent_lm.pc, "index_in", lambda x, **more: sought.append(len(x)) or index_in(x, **more))
+    assert lexicon.coded(words).tolist() == [lexicon.code.get(w, -1 - recurrent_lm.shape(w)) for w in words.to_pylist()]
+    assert sought == [300]
+    assert lexicon.coded(words[:0]).tolist() == [] and lexicon.coded(words[:1]).tolist() == [1]
+
+
 def test_far_logits_of_any_sign():
     model, codes, shapes = small_model()
     for name, by in (("cb", 200), ("wb", -200), ("w", 300)):
